@@ -13,14 +13,18 @@ def json_block(text: Column) -> Column:
     return F.regexp_extract(text, BLOCK_PATTERN, 1)
 
 
-def json_values(block: Column) -> Column:
-    """``array<variant>`` with the one JSON value of the block, NULL unless it is exactly one.
+def parse_block(block: Column) -> Column:
+    """``array<variant>`` with every JSON value of the block, NULL if it is not clean JSON.
 
     Wrapping the block in brackets makes the parser read it to its end: trailing
     text is then an error, and two values in a row show up as two elements.
     """
-    parsed = F.try_parse_json(F.concat(F.lit("["), block, F.lit("]"))).cast("array<variant>")
-    return F.when(F.size(parsed) == 1, parsed)
+    return F.try_parse_json(F.concat(F.lit("["), block, F.lit("]"))).cast("array<variant>")
+
+
+def single_value(values: Column) -> Column:
+    """The parsed block if it is exactly one JSON value, else NULL."""
+    return F.when(F.size(values) == 1, values)
 
 
 def flatten_nested(values: Column, block: Column) -> Column:

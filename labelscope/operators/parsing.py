@@ -21,8 +21,8 @@ def _with_objects(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     configure(df.sparkSession)
     return (
         df.withColumn("_block", ann.json_block(F.col(text)))
-        .withColumn("_values", ann.json_values(F.col("_block")))
-        .withColumn("_objects", ann.flatten_nested(F.col("_values"), F.col("_block")))
+        .withColumn("_values", ann.parse_block(F.col("_block")))
+        .withColumn("_objects", ann.flatten_nested(ann.single_value(F.col("_values")), F.col("_block")))
         .withColumn("_objects", ann.with_keys(F.col("_objects"), tuple(keys)))
         .drop("_block", "_values")
     )
