@@ -16,11 +16,17 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return counts.orderBy(F.desc("count"), column)
 
 
-def top_values(df: DataFrame, column: str, n: int = 10, fill: str | None = None) -> DataFrame:
-    """The ``n`` most frequent values with their rank; ``fill`` stands in for NULL."""
+def top_values(
+    df: DataFrame, column: str, n: int = 10, fill: str | None = None, weight: str | None = None
+) -> DataFrame:
+    """The ``n`` most frequent values with their rank.
+
+    ``fill`` stands in for NULL; ``weight`` names a column that already holds counts.
+    """
     if fill is not None:
         df = df.withColumn(column, F.coalesce(F.col(column), F.lit(fill)))
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("count"))
+    total = F.count("*") if weight is None else F.sum(weight)
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(total.alias("count"))
     order = (F.desc("count"), F.asc(column))
     # The limit comes first (a top-k per partition), so the rank only ever sees n rows.
     return counts.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
