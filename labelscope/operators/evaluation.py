@@ -55,9 +55,10 @@ def alignment_coverage(truth: DataFrame, predicted: DataFrame, sentence: str = "
     gt = truth.groupBy(sentence).agg(F.count("*").alias("n_gt"))
     pred = predicted.groupBy(sentence).agg(F.count("*").alias("n_pred"))
     both = gt.join(pred, sentence, "full")
+    # least() would ignore a NULL, so sentences of one side only are left to the 0
+    paired = F.when(F.col("n_gt").isNotNull() & F.col("n_pred").isNotNull(), F.least("n_gt", "n_pred"))
     totals = both.agg(
-        F.coalesce(F.sum(F.when(F.col(sentence).isNotNull(), F.least("n_gt", "n_pred")).otherwise(0)
-                         * F.when(F.col("n_gt").isNull() | F.col("n_pred").isNull(), 0).otherwise(1)), F.lit(0)).alias("aligned"),
+        F.coalesce(F.sum(paired), F.lit(0)).alias("aligned"),
         F.coalesce(F.sum("n_gt"), F.lit(0)).alias("gt_rows"),
         F.coalesce(F.sum("n_pred"), F.lit(0)).alias("pred_rows"),
     )

@@ -68,8 +68,8 @@ def match_rules(
     """The first ``take_n`` rows of every rule in row order, with ``rule_id`` and ``match_no``.
 
     An open rule matches the whole table. So the rows of each rule are first counted
-    per slice of row ids, and only slices before which fewer than ``take_n`` rows
-    matched are numbered and cut.
+    per slice of row ids; the slice in which it reaches ``take_n`` bounds the rows that
+    are looked at again. These bounds are one row per rule, hence the broadcast.
     """
     hits = _matching_rules(rules, labels)
     sliced = df.withColumn(SLICE, slice_of(row_id, slice_rows))
@@ -79,9 +79,15 @@ def match_rules(
         .groupBy("rule_id", "take_n", SLICE)
         .agg(F.sum("_n").alias("_rows"))
     )
-    wanted = earlier_rows(per_slice, ["rule_id"], "_rows", "_before").filter("_before < take_n")
-    rows = sliced.select("*", F.inline(hits)).join(wanted.select("rule_id", SLICE), ["rule_id", SLICE])
-    numbered = occurrence_number(rows.drop(SLICE), ["rule_id"], row_id, name="match_no", slice_rows=slice_rows)
+    bounds = (
+        earlier_rows(per_slice, ["rule_id"], "_rows", "_before")
+        .filter("_before < take_n")
+        .groupBy("rule_id")
+        .agg(F.max(SLICE).alias("_last"))
+    )
+    matched = sliced.select("*", F.inline(hits)).join(F.broadcast(bounds), "rule_id")
+    rows = matched.filter(F.col(SLICE) <= F.col("_last")).drop(SLICE, "_last")
+    numbered = occurrence_number(rows, ["rule_id"], row_id, name="match_no", slice_rows=slice_rows)
     return numbered.filter("match_no < take_n").select(
         "rule_id", (F.col("match_no") + 1).alias("match_no"), *df.columns
     )
