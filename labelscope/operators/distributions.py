@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelscope.defaults import NOT_IN_ONTOLOGY
+from labelscope.sources.local import local_table
 from labelscope.sources.ontologies import Ontology
 
 
@@ -34,7 +35,8 @@ def top_values(
 
 def label_distribution(df: DataFrame, column: str, ontology: Ontology) -> DataFrame:
     """Count of every code of the ontology in its fixed order, 0 where there is none."""
-    order = df.sparkSession.createDataFrame(
+    order = local_table(
+        df.sparkSession,
         [(code, i, label) for i, (code, label) in enumerate(ontology.labels.items())],
         f"{column} string, ord int, label string",
     )
@@ -78,9 +80,8 @@ def crosstab_wide(
     counts = filled.groupBy(index).agg(
         *[F.count_if(label == F.lit(name)).alias(name) for name in labels]
     )
-    order = df.sparkSession.createDataFrame(
-        [(code, i) for i, code in enumerate(index_ontology.order)], f"{index} string, ord int"
-    )
+    codes = [(code, i) for i, code in enumerate(index_ontology.order)]
+    order = local_table(df.sparkSession, codes, f"{index} string, ord int")
     return order.join(counts, index, "left").orderBy("ord")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from labelscope.operators.flows import LABELS, flow_counts
 from labelscope.operators.ranking import SLICE, SLICE_ROWS, earlier_rows, occurrence_number, slice_of
+from labelscope.sources.local import local_table
 
 ANY = "(Any)"
 
@@ -34,7 +35,8 @@ def _matching_rules(rules: Sequence[Rule], labels: Sequence[str]) -> Column:
 
 
 def _rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
-    return spark.createDataFrame(
+    return local_table(
+        spark,
         [(i + 1, *r) for i, r in enumerate(rules)],
         "rule_id int, aspect string, sentiment string, tone string, asked long",
     )

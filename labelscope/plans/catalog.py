@@ -924,7 +924,7 @@ def load_classifier(model_id: str):
     def classify(texts: list[str]) -> list[list[tuple[str, float]]]:
         if any(not t.strip() for t in texts):
             raise ValueError("empty text")
-        return [[(w, round(t.count(w) / len(t), 6)) for w in words] for t in texts]
+        return [[(w, t.count(w) / len(t)) for w in words] for t in texts]
 
     return classify
 
@@ -950,7 +950,8 @@ def _scored_sql() -> str:
 
 def _model_scores(d: Derived) -> DataFrame:
     texts = d.table("documents").select("doc_id", "text")
-    return scoring.score_models(texts, CLASSIFIERS, load_classifier).drop("text")
+    scores = scoring.score_models(texts, CLASSIFIERS, load_classifier).drop("text")
+    return scores.withColumn("score", six("score"))
 
 
 @query(_scored_sql())

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from labelscope import defaults
 from labelscope.defaults import OTHER, WHITE_SPACE
 from labelscope.functions.text import fold
+from labelscope.sources.local import local_table
 
 # An ontology or cluster table is a hand-written document; anything larger is a mistake.
 MAX_DOCUMENT_BYTES = 8 << 20
@@ -67,7 +68,7 @@ def alias_dim(spark: SparkSession, ontology: Ontology) -> DataFrame:
         (alias, code, ontology.labels[code], ontology.order.index(code))
         for alias, code in ontology.aliases.items()
     ]
-    return spark.createDataFrame(rows, "alias_key string, canonical string, label string, ord int")
+    return local_table(spark, rows, "alias_key string, canonical string, label string, ord int")
 
 
 def _read_document(spark: SparkSession, path: str) -> dict:

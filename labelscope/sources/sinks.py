@@ -7,7 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Headered CSV; quotes inside a field are doubled, so any CSV reader gets the text back."""
-    df.write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue='""')
+    df.write.mode(mode).csv(
+        path,
+        header=True,
+        quote='"',
+        escape='"',
+        emptyValue='""',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
 
 
 def write_json_records(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from labelscope.functions.text import null_if_na
+from labelscope.sources.local import local_table
 
 # Types of the known columns of a raw annotation table; all others stay text.
 RAW_TYPES = {"page_number": "bigint"}
 
+ROOT_SLASHES = r":/+"
+
 
 def normalize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower() for c in df.columns])
@@ -37,6 +41,15 @@ def read_csv_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return df.select([null_if_na(F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+def _typed(value: Column, kind: str) -> Column:
+    """The text as the given type, NULL if it is none; whole numbers may be written ``3.0``."""
+    if kind == "string":
+        return value
+    if kind == "bigint":
+        return F.coalesce(value.try_cast(kind), value.try_cast("double").try_cast(kind))
+    return value.try_cast(kind)
+
+
 def read_annotations(
     spark: SparkSession, path: str | list[str], types: dict[str, str] = RAW_TYPES
 ) -> DataFrame:
@@ -48,21 +61,19 @@ def read_annotations(
     """
     scan = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
     names = [c.strip().lower() for c in scan.columns]
-    columns = []
-    for raw, name in zip(scan.columns, names):
-        value = null_if_na(F.col(f"`{raw}`"))
-        if name in types:
-            value = value.try_cast("double").cast(types[name]) if types[name] == "bigint" else value.try_cast(types[name])
-        columns.append(value.alias(name))
+    columns = [
+        _typed(null_if_na(F.col(f"`{raw}`")), types.get(name, "string")).alias(name)
+        for raw, name in zip(scan.columns, names)
+    ]
     rows = scan.select(
         *columns,
-        F.col("_metadata.file_path").alias("_file"),
+        F.regexp_replace(F.col("_metadata.file_path"), ROOT_SLASHES, ":/").alias("_file"),
         # the low 33 bits of the id count the rows of one task
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_line"),
     )
-    files = spark.createDataFrame(
-        [(f, i) for i, f in enumerate(sorted(scan.inputFiles()))], "_file string, _file_no long"
-    )
+    # the two listings write the slashes after the scheme differently
+    paths = sorted({re.sub(ROOT_SLASHES, ":/", f) for f in scan.inputFiles()})
+    files = local_table(spark, [(f, i) for i, f in enumerate(paths)], "_file string, _file_no long")
     return (
         rows.join(files, "_file", "left")
         .withColumn("row_id", F.shiftleft(F.col("_file_no"), 33).bitwiseOR(F.col("_line")))
