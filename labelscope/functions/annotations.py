@@ -62,16 +62,17 @@ def with_keys(values: Column, keys: tuple[str, ...] = ("sentence", "aspect")) ->
     return F.filter(values, keep)
 
 
-def field(annotation: Column, name: str, kind: str) -> Column:
-    """One field of an annotation; an object in the place of a label gives NULL."""
-    path = f"$['{name}']"
-    value = F.try_variant_get(annotation, path, kind)
-    if kind != "string":
-        return value
-    is_object = value.startswith("{") & F.try_variant_get(
-        annotation, path, "map<string,variant>"
+def typed(annotation: Column, fields: dict[str, str]) -> Column:
+    """All named fields in one cast; absent ones, and values of another type, are NULL."""
+    return annotation.try_cast("struct<" + ", ".join(f"`{n}`: {kind}" for n, kind in fields.items()) + ">")
+
+
+def scalar_text(annotation: Column, name: str, value: Column) -> Column:
+    """A text field as cast, but NULL where the annotation holds an object instead of a label."""
+    nested = value.startswith("{") & F.try_variant_get(
+        annotation, f"$['{name}']", "map<string,variant>"
     ).isNotNull()
-    return F.when(~F.coalesce(is_object, F.lit(False)), value)
+    return F.when(~F.coalesce(nested, F.lit(False)), value)
 
 
 def other_fields(annotation: Column, known: list[str]) -> Column:

@@ -32,14 +32,14 @@ def contains_text(text: Column, sentence: Column) -> Column:
 
 
 def keyword_cluster(
-    aspect: Column, clusters: dict[str, list[str]], casefold_keywords: bool = False
+    lowered: Column, clusters: dict[str, list[str]], casefold_keywords: bool = False
 ) -> Column:
-    """First cluster with a keyword inside the lower-cased aspect.
+    """First cluster with a keyword inside the aspect, which must be lower-cased already.
 
     ``exists`` stops at the first hit and keeps each branch one small expression,
     where a chain of several hundred ``contains`` would outgrow what the JVM compiles.
+    Its lambda runs once per keyword, so ``lowered`` should be a plain column.
     """
-    lowered = F.lower(aspect)
     chain = None
     for cluster, keywords in clusters.items():
         if casefold_keywords:

@@ -84,25 +84,31 @@ def balanced_sample(
     A group may hold a large share of all rows, so it is never sorted as a whole.
     Each row falls into a level by the size of its hash, every level half as likely
     as the one before; counts per level (64 at most per group) tell which levels are
-    needed to have ``n`` rows. Only those, about 2n rows, are ranked.
+    needed to have ``n`` rows. Only those, about 2n rows, are ranked. The level counts
+    are used twice and persisted, so the table is read once for them and once for the rows.
 
     ``small_targets`` states that the targets come from two closed label sets, as the
     rarest-tone table does, and broadcasts them; without it they are joined plainly.
     """
     group = ["target_aspect", "target_sentiment", "target_tone"]
+    hint = F.broadcast if small_targets else (lambda frame: frame)
     keys = targets.select(
         F.col("aspect_category").alias(group[0]),
         F.col("sentiment").alias(group[1]),
         F.col("minimum_tone").alias(group[2]),
     ).distinct()
     matches = [F.col(c) == F.col(g) for c, g in zip(labels, group)]
-    rows = df.join(F.broadcast(keys) if small_targets else keys, matches)
-
-    place = F.shiftrightunsigned(draw(F.lit(seed).cast("long"), F.col(row_id)), 1)
-    rows = rows.withColumn("_place", place).withColumn(
-        "_level", (F.lit(63) - F.floor(F.log2(F.col("_place") + F.lit(1.0)))).cast("int")
+    start = F.lit(seed).cast("long")
+    place = F.shiftrightunsigned(draw(start, F.col(row_id)), 1)
+    level = F.lit(63) - F.floor(F.log2(F.col("_place") + F.lit(1.0)))
+    rows = df.withColumn("_place", place).withColumn("_row_level", level.cast("int"))
+
+    levels = (
+        rows.join(hint(keys), matches)
+        .groupBy(*group, F.col("_row_level").alias("_level"))
+        .agg(F.count("*").alias("_rows"))
+        .persist()
     )
-    levels = rows.groupBy(*group, "_level").agg(F.count("*").alias("_rows"))
     higher = Window.partitionBy(*group).orderBy(F.desc("_level")).rowsBetween(Window.unboundedPreceding, -1)
     needed = (
         levels.withColumn("_size", F.sum("_rows").over(Window.partitionBy(*group)))
@@ -110,12 +116,12 @@ def balanced_sample(
         .filter(F.col("_higher") < n)
         .select(*group, "_level", "_size")
     )
-    needed = F.broadcast(needed) if small_targets else needed
-    ranked = rows.join(needed, [*group, "_level"]).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*group).orderBy("_place", row_id))
+    by_place = Window.partitionBy(*group).orderBy("_place", row_id)
+    ranked = rows.join(hint(needed), [*matches, F.col("_row_level") == F.col("_level")]).withColumn(
+        "_rank", F.row_number().over(by_place)
     )
     # Draw k of a large group is the row of rank k; a small group is drawn from again and again.
-    again = F.pmod(draw(F.lit(seed).cast("long"), *group, F.col("_draw")), F.col("_size")) + 1
+    again = F.pmod(draw(start, *group, F.col("_draw")), F.col("_size")) + 1
     picked = F.when(F.col("_size") >= n, F.col("_draw")).otherwise(again)
     draws = (
         levels.groupBy(*group)

@@ -27,7 +27,8 @@ def cluster_aspects(
     """Adds the cluster of each row; all ``Unclustered`` if the table has no such column."""
     if column not in df.columns:
         return df.withColumn(name, F.lit(UNCLUSTERED))
-    return df.withColumn(name, keyword_cluster(F.col(column), clusters, casefold_keywords))
+    lowered = df.withColumn("_lowered", F.lower(F.col(column)))
+    return lowered.withColumn(name, keyword_cluster(F.col("_lowered"), clusters, casefold_keywords)).drop("_lowered")
 
 
 def _clustered_counts(df: DataFrame, column: str, clusters: dict[str, list[str]]) -> DataFrame:

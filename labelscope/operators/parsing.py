@@ -41,15 +41,19 @@ def parse_annotations(
     already uses gets the prefix ``ann_``. No shuffle: the plan is scan, projection,
     generate, projection, and columns nobody reads are pruned from all of it.
     """
-    metadata = df.columns
-    exploded = _with_objects(df, text, required).select(
-        *metadata, F.posexplode_outer("_objects").alias("pos", "_annotation")
+    metadata, annotation = df.columns, F.col("_annotation")
+    exploded = (
+        _with_objects(df, text, required)
+        .select(*metadata, F.posexplode_outer("_objects").alias("pos", "_annotation"))
+        .withColumn("_typed", ann.typed(annotation, fields))
     )
-    parsed = [
-        ann.field(F.col("_annotation"), name, kind).alias(f"ann_{name}" if name in metadata else name)
-        for name, kind in fields.items()
-    ]
-    extras = ann.other_fields(F.col("_annotation"), list(fields)).alias("extras")
+    parsed = []
+    for name, kind in fields.items():
+        value = F.col(f"_typed.`{name}`")
+        if kind == "string":
+            value = ann.scalar_text(annotation, name, value)
+        parsed.append(value.alias(f"ann_{name}" if name in metadata else name))
+    extras = ann.other_fields(annotation, list(fields)).alias("extras")
     return exploded.select(*metadata, "pos", *parsed, extras)
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from labelscope.operators.flows import LABELS, flow_counts
-from labelscope.operators.ranking import SLICE, SLICE_ROWS, earlier_rows, occurrence_number, slice_of
+from labelscope.operators.ranking import SLICE, SLICE_ROWS, earlier_rows, slice_of
 from labelscope.sources.local import local_table
 
 ANY = "(Any)"
@@ -71,25 +71,31 @@ def match_rules(
 
     An open rule matches the whole table. So the rows of each rule are first counted
     per slice of row ids; the slice in which it reaches ``take_n`` bounds the rows that
-    are looked at again. These bounds are one row per rule, hence the broadcast.
+    are looked at again. These bounds are one row per rule, hence the broadcast. The
+    counts also tell where the numbering of each slice starts, so no window ever holds
+    more than one slice. They are used twice and persisted: two reads of the table in all.
     """
     hits = _matching_rules(rules, labels)
     sliced = df.withColumn(SLICE, slice_of(row_id, slice_rows))
-    triples = sliced.groupBy(*labels, SLICE).agg(F.count("*").alias("_n"))
     per_slice = (
-        triples.select(SLICE, "_n", F.inline(hits))
+        sliced.groupBy(*labels, SLICE)
+        .agg(F.count("*").alias("_n"))
+        .select(SLICE, "_n", F.inline(hits))
         .groupBy("rule_id", "take_n", SLICE)
         .agg(F.sum("_n").alias("_rows"))
     )
-    bounds = (
+    starts = (
         earlier_rows(per_slice, ["rule_id"], "_rows", "_before")
         .filter("_before < take_n")
-        .groupBy("rule_id")
-        .agg(F.max(SLICE).alias("_last"))
+        .select("rule_id", SLICE, "_before")
+        .persist()
     )
-    matched = sliced.select("*", F.inline(hits)).join(F.broadcast(bounds), "rule_id")
-    rows = matched.filter(F.col(SLICE) <= F.col("_last")).drop(SLICE, "_last")
-    numbered = occurrence_number(rows, ["rule_id"], row_id, name="match_no", slice_rows=slice_rows)
-    return numbered.filter("match_no < take_n").select(
-        "rule_id", (F.col("match_no") + 1).alias("match_no"), *df.columns
+    last = F.broadcast(starts.groupBy("rule_id").agg(F.max(SLICE).alias("_last")))
+    matched = sliced.select("*", F.inline(hits)).join(last, "rule_id").filter(F.col(SLICE) <= F.col("_last"))
+    inside = Window.partitionBy("rule_id", SLICE).orderBy(row_id)
+    numbered = (
+        matched.withColumn("_inside", F.row_number().over(inside))
+        .join(starts, ["rule_id", SLICE])
+        .withColumn("match_no", F.col("_before") + F.col("_inside"))
     )
+    return numbered.filter("match_no <= take_n").select("rule_id", "match_no", *df.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelscope.operators.labels import normalize_labels
 from labelscope.operators.parsing import parse_annotations, with_provider
-from labelscope.session import configure
+from labelscope.session import configure, spread
 
 # Flat labels, one row per line item.
 LAB = """
@@ -138,6 +138,9 @@ WHERE d.doc_id % 10 <> 0
 """
 
 
+FACTS = ("lineitem", "orders", "documents")
+
+
 class Derived:
     """The derived tables over one data folder; nothing runs before it is read."""
 
@@ -146,7 +149,8 @@ class Derived:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in FACTS else df
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         names = {}

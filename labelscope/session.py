@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the operators count on; none of them fixes a cluster size.
 RUNTIME_CONF = {
@@ -13,6 +13,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # A page, file or key may hold a third of the rows: let AQE split its join partition.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Also where the next aggregate counts on the partitioning of the join: its partial
+    # results are then exchanged once more, which is little beside one overfull task.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # A repeated JSON key counts once, with its last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
@@ -40,6 +43,16 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return configure(spark)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistributes the rows of a scan that has fewer splits than there are cores.
+
+    Meant for small inputs, such as a file of one row group, ahead of work that
+    costs CPU. A scan of many splits, as at any real size, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder ``spark.checkpoint.dir`` names; local only if that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="labelscope-")

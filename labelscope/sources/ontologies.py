@@ -43,9 +43,14 @@ class Ontology:
         return len(self.aliases) <= MAX_LITERAL_ALIASES
 
     def code_of(self, value: Column) -> Column:
-        """Code of a free-text label; unknown and missing labels give ``OTHER``."""
-        found = F.try_element_at(_literal_map(self.aliases), fold(value))
-        return F.coalesce(found, F.lit(OTHER))
+        """Code of a free-text label; unknown and missing labels give ``OTHER``.
+
+        Most labels are aliases up to their case; only the others are also trimmed,
+        which costs more than the rest. An alias has no blanks to trim, so a hit stands.
+        """
+        codes = _literal_map(self.aliases)
+        as_is = F.try_element_at(codes, F.lower(value.cast("string")))
+        return F.coalesce(as_is, F.try_element_at(codes, fold(value)), F.lit(OTHER))
 
     def label_of(self, code: Column, default: Column | None = None) -> Column:
         """Label of a code, by default the code itself where there is none."""
