@@ -1,0 +1,144 @@
+import random
+from collections import defaultdict
+
+import pytest
+
+from labelscope.operators import grounding
+from labelscope.operators.ranking import occurrence_number
+from labelscope.session import configure
+
+SCHEMA = "row_id long, pos int, filename string, page_number long, model string, sentence string"
+
+
+def make(seed, hot=0.0, n=300):
+    rng = random.Random(seed)
+    texts, rows, raws = [], [], {}
+    alphabet = ["net zero", "(a+b)", "water. ", "scope 1", "Board", "er", " e", "1", "span", "[2] x", "<b>", ""]
+    for i in range(n):
+        page = ("f", 1) if rng.random() < hot else (rng.choice(["f", "g", None]), rng.randint(1, 3))
+        raws[i] = (rng.choice([None, " ".join(rng.choices(alphabet[:6], k=8))]), rng.choice([None, "water. Board er"]))
+        for pos in range(rng.randint(1, 3)):
+            s = rng.choice([None, rng.choice(alphabet), " ".join(rng.choices(alphabet, k=2)), f"made up {i}"])
+            rows.append((i, pos, *page, rng.choice(["m/1", "m/2", None]), s))
+    rng.shuffle(rows)
+    return rows, raws
+
+
+@pytest.fixture(scope="module", params=[(1, 0.0), (2, 0.6)], ids=["even", "hot page"])
+def case(spark, request):
+    rows, raws = make(*request.param)
+    df = spark.createDataFrame(rows, SCHEMA)
+    raw = spark.createDataFrame([(i, *t) for i, t in raws.items()], "row_id long, markdown_full string, cleaned_markdown string")
+    pages = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r[:2]):
+        if r[2] is not None:
+            pages[r[2], r[3]].append(r)
+    texts = {k: raws[v[0][0]] for k, v in pages.items()}
+    index = {k: {s: i + 1 for i, s in enumerate(dict.fromkeys(r[5] for r in v if r[5] is not None))} for k, v in pages.items()}
+    return df, raw, pages, texts, index
+
+
+def hit(sentence, texts):
+    return sentence is not None and any(t is not None and sentence in t for t in texts)
+
+
+def test_page_texts(case, rows):
+    df, raw, pages, texts, _ = case
+    for frame in (grounding.page_texts(df, raw), grounding.page_texts(df.join(raw, "row_id"))):
+        assert {(r[0], r[1]): (r[2], r[3]) for r in frame.collect()} == texts
+    first = {(r[0], r[1]): r[2] for r in grounding.first_page_text(df.join(raw, "row_id")).collect()}
+    raws = {r[0]: r[2] for r in raw.collect()}
+    for k, v in pages.items():
+        found = [raws[r[0]] for r in v if raws[r[0]] is not None]
+        assert first.get(k) == (found[0] if found else None)
+
+
+def test_index_and_presence(case):
+    df, raw, pages, texts, index = case
+    got = defaultdict(dict)
+    for r in grounding.sentence_presence(df, grounding.page_texts(df, raw)).collect():
+        key = (r.filename, r.page_number)
+        got[key][r.sentence] = r["index"]
+        full, clean = (t is not None and r.sentence in t for t in texts[key])
+        assert (r.in_markdown_full, r.in_cleaned_markdown, r.found_anywhere) == (full, clean, full or clean)
+    assert got == {k: v for k, v in index.items() if v}
+
+
+def test_audit(case):
+    df, raw, pages, texts, _ = case
+    audit = grounding.sentence_audit(df, grounding.page_texts(df, raw))
+    good, bad = grounding.grounded_sentences(audit).count(), grounding.ungrounded_sentences(audit).count()
+    wanted = sum(hit(r[5], texts[k]) for k, v in pages.items() for r in v)
+    assert good == wanted and good + bad == df.count()
+    assert audit.columns == ["filename", "page_number", "sentence", "aspect", "sentiment", "model", "grounded"]
+
+
+def test_scorecard(case):
+    df, raw, pages, texts, index = case
+    lookup = grounding.page_texts(df, raw)
+    got = {(r.filename, r.page_number): r for r in grounding.grounding_scorecard(df, lookup, models=["m/1", "m/2"]).collect()}
+    assert set(got) == set(pages)
+    per_model = {}
+    for k, v in pages.items():
+        r, sentences = got[k], set(index[k])
+        yes = {s for s in sentences if hit(s, texts[k])}
+        assert r.num_llms == len({x[4] for x in v} - {None})
+        assert (r.total_sentences, r.grounded, r.not_grounded) == (len(sentences), len(yes), len(sentences - yes))
+        for m in ("m/1", "m/2"):
+            mine = {x[5] for x in v if x[4] == m} - {None}
+            assert (r[f"{m}_grounded"], r[f"{m}_not_grounded"]) == (len(mine & yes), len(mine - yes))
+            if any(x[4] == m for x in v):
+                per_model[(*k, m)] = (len(mine & yes), len(mine - yes))
+    long = grounding.grounding_scorecard(df, lookup, by_model=True).collect()
+    assert {(r.filename, r.page_number, r.model): (r.grounded, r.not_grounded) for r in long} == per_model
+
+
+def test_highlight(case):
+    df, raw, pages, texts, index = case
+    got = {(r[0], r[1]): (r[2], r[3]) for r in grounding.highlight_pages(df, grounding.page_texts(df, raw)).collect()}
+    assert set(got) == set(pages)
+    for k, pair in texts.items():
+        for text, marked in zip(pair, got[k]):
+            if text is None:
+                assert marked == ""
+                continue
+            for s, i in index[k].items():
+                if s:
+                    text = text.replace(s, f"{grounding.OPEN_TAG}[{i}] {s}{grounding.CLOSE_TAG}")
+            assert marked == text
+
+
+@pytest.mark.parametrize("slice_rows", [1, 7, 1 << 20])
+def test_occurrence_number_in_slices(spark, slice_rows):
+    rng = random.Random(slice_rows)
+    data = [(i * 3, p, "hot" if rng.random() < 0.4 else rng.choice("abc")) for i in range(200) for p in range(rng.randint(1, 2))]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "row_id long, pos int, k string")
+    got = occurrence_number(df, ["k"], then_by=["pos"], slice_rows=slice_rows)
+    seen, wanted = defaultdict(int), set()
+    for r, p, k in sorted(data):
+        wanted.add((r, p, k, seen[k]))
+        seen[k] += 1
+    assert {tuple(r) for r in got.collect()} == wanted
+
+
+def test_hot_page_join_is_split(spark):
+    """A page with most of the sentences: its join partition is split, the aggregate follows."""
+    own = configure(spark.newSession())
+    for key, value in {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.shuffle.partitions": "8",
+    }.items():
+        own.conf.set(key, value)
+    rows = own.range(60000).selectExpr(
+        "id AS row_id", "0 AS pos", "'f' AS filename", "IF(id % 10 < 8, 0, id % 40) AS page_number",
+        "'m' AS model", "concat(md5(string(id)), md5(string(id + 1))) AS sentence")
+    texts = own.range(40).selectExpr(
+        "'f' AS filename", "id AS page_number", "repeat('x', 60) AS markdown_full", "'' AS cleaned_markdown")
+    card = grounding.grounding_scorecard(rows, texts)
+    assert sum(r.not_grounded + r.grounded for r in card.collect()) == 60000
+    assert "skew=true" in card._jdf.queryExecution().executedPlan().toString()
