@@ -24,7 +24,10 @@ def cluster_aspects(
     name: str = "aspect_cluster",
     casefold_keywords: bool = False,
 ) -> DataFrame:
-    """Adds the cluster of each row; all ``Unclustered`` if the table has no such column."""
+    """Adds the cluster of each row; all ``Unclustered`` if the table has no such column.
+
+    The aspect is lower-cased in a projection of its own, once for all clusters.
+    """
     if column not in df.columns:
         return df.withColumn(name, F.lit(UNCLUSTERED))
     lowered = df.withColumn("_lowered", F.lower(F.col(column)))

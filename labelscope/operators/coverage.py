@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from labelscope.functions.text import provider as provider_of
+from labelscope.functions.text import present, provider as provider_of
 from labelscope.operators.ranking import row_order
 
 PAGE = ("filename", "page_number")
@@ -32,7 +32,7 @@ def models_per_document(df: DataFrame, key: str = "filename", model: str = "mode
 
 
 def models_per_page(df: DataFrame, page: Sequence[str] = PAGE, model: str = "model") -> DataFrame:
-    rows = df.dropna(subset=list(page)).groupBy(*page)
+    rows = df.filter(present(*page)).groupBy(*page)
     return rows.agg(F.count_distinct(model).alias("unique_model_count")).orderBy(*page)
 
 
@@ -40,7 +40,7 @@ def models_per_page_list(df: DataFrame, page: Sequence[str] = PAGE, model: str =
     """The models of each page as an array and as one comma-separated text."""
     models = F.sort_array(F.collect_set(model))
     return (
-        df.dropna(subset=list(page))
+        df.filter(present(*page))
         .groupBy(*page)
         .agg(models.alias("model"))
         .withColumn("models", F.concat_ws(", ", "model"))
@@ -58,7 +58,7 @@ def model_page_matrix(
 
     The wide form keeps only the models of its list and fills in 0.
     """
-    rows = df.dropna(subset=[*page, model])
+    rows = df.filter(present(*page, model))
     if models is None:
         return rows.groupBy(*page, model).agg(F.count(values).alias("count"))
     return rows.groupBy(*page).pivot(model, list(models)).agg(F.count(values)).na.fill(0, list(models))
@@ -78,7 +78,7 @@ def model_comparison(
     are compared and the first row counts even if its value is NULL. Sentences with
     no value for any model drop out. Long by default, wide with a list of models.
     """
-    rows = df.dropna(subset=[*page, "sentence", "model"])
+    rows = df.filter(present(*page, "sentence", "model"))
     at = row_order(df, order)
     if provider is None:
         first = F.min_by(value, at)
@@ -102,16 +102,16 @@ def model_completeness(
     and per file is a set of model names, however many rows stand behind it.
     """
     file_keys, page_keys = [page[0]], list(page)
-    rows = df.dropna(subset=page_keys)
+    rows = df.filter(present(*page_keys))
     if by_provider:
         rows = rows.withColumn("provider", provider_of(F.col(model)))
         file_keys, page_keys = [*file_keys, "provider"], [*page_keys, "provider"]
     pairs = rows.select(*page_keys, model).distinct()
     expected = pairs.groupBy(*file_keys).agg(F.sort_array(F.collect_set(model)).alias("expected"))
-    present = pairs.groupBy(*page_keys).agg(F.sort_array(F.collect_set(model)).alias("present"))
+    on_page = pairs.groupBy(*page_keys).agg(F.sort_array(F.collect_set(model)).alias("present"))
     share = F.try_divide(F.size("present"), F.size("expected"))
     return (
-        present.join(expected, file_keys)
+        on_page.join(expected, file_keys)
         .withColumn("missing", F.sort_array(F.array_except("expected", "present")))
         .select(
             *page_keys,

@@ -74,11 +74,12 @@ def crosstab_wide(
     All codes of the index are rows in ontology order; a code without any value is
     a row of NULLs, a missing pair inside a present row is 0.
     """
-    labels = list(ontology.labels.values())
-    label = ontology.label_of(F.col(columns))
+    codes_of: dict[str, list[str]] = {}
+    for code, name in ontology.labels.items():
+        codes_of.setdefault(name, []).append(code)
     filled = df.filter(F.col(values).isNotNull())
     counts = filled.groupBy(index).agg(
-        *[F.count_if(label == F.lit(name)).alias(name) for name in labels]
+        *[F.count_if(F.col(columns).isin(*codes)).alias(name) for name, codes in codes_of.items()]
     )
     codes = [(code, i) for i, code in enumerate(index_ontology.order)]
     order = local_table(df.sparkSession, codes, f"{index} string, ord int")

@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from labelscope.functions.text import present
 from labelscope.sources.ontologies import ASPECTS, SENTIMENTS, TONES, Ontology
 
 LABELS = ("aspect_category_norm", "sentiment_norm", "tone_norm")
@@ -26,7 +27,7 @@ class FlowGraph(NamedTuple):
 
 def flow_counts(df: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """Rows per (aspect, sentiment, tone)."""
-    return df.dropna(subset=list(labels)).groupBy(*labels).agg(F.count("*").alias("count"))
+    return df.filter(present(*labels)).groupBy(*labels).agg(F.count("*").alias("count"))
 
 
 def flow_marginals(flow: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:

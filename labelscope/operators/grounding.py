@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelscope.functions.text import contains_text
+from labelscope.functions.text import contains_text, present
 from labelscope.operators.coverage import PAGE
 from labelscope.operators.ranking import occurrence_number, row_order
 
@@ -36,7 +36,7 @@ def page_texts(
     gives the first row id of each page, a narrow aggregate, and the texts are
     fetched by that id. Without it the texts are columns of the sentence table.
     """
-    rows = sentences.dropna(subset=list(page))
+    rows = sentences.filter(present(*page))
     if raw is not None:
         first = rows.groupBy(*page).agg(F.min("row_id").alias("row_id"))
         return first.join(raw.select("row_id", *texts), "row_id").drop("row_id")
@@ -51,7 +51,7 @@ def first_page_text(
     order: Sequence[str] | None = None,
 ) -> DataFrame:
     """First non-null text of each page."""
-    rows = sentences.dropna(subset=[*page, text])
+    rows = sentences.filter(present(*page, text))
     return rows.groupBy(*page).agg(F.min_by(text, row_order(sentences, order)).alias(text))
 
 
@@ -77,7 +77,7 @@ def sentence_index(
 ) -> DataFrame:
     """Distinct sentences of each page, numbered from 1 by first appearance."""
     order = list(order or [c for c in ("row_id", "pos") if c in df.columns])
-    rows = df.dropna(subset=[*page, "sentence"])
+    rows = df.filter(present(*page, "sentence"))
     firsts = rows.groupBy(*page, "sentence").agg(F.min(row_order(df, order)).alias("_first"))
     if len(order) == 1:
         firsts = firsts.withColumnRenamed("_first", order[0])
@@ -133,12 +133,12 @@ def grounding_scorecard(
     columns per model to the page table instead. Each distinct sentence of a page
     is tested once; it carries the set of its models from there on.
     """
-    rows = df.dropna(subset=list(page))
+    rows = df.filter(present(*page))
     distinct = rows.groupBy(*page, "sentence").agg(F.collect_set("model").alias("models"))
     flagged = with_grounding(distinct, pages, page)
-    present = F.col("sentence").isNotNull()
-    is_hit = (present & F.col("grounded")).cast("int")
-    is_miss = (present & ~F.col("grounded")).cast("int")
+    has_text = F.col("sentence").isNotNull()
+    is_hit = (has_text & F.col("grounded")).cast("int")
+    is_miss = (has_text & ~F.col("grounded")).cast("int")
     by_pair = flagged.select(
         *page, is_hit.alias("hit"), is_miss.alias("miss"), F.posexplode_outer("models").alias("at", "model")
     )
@@ -200,7 +200,7 @@ def highlight_pages(
     lists = candidates.groupBy(*page).agg(
         F.array_sort(F.collect_list(F.struct("index", "sentence"))).alias("_found")
     )
-    marked = pages.dropna(subset=list(page)).join(lists, list(page), "left")
+    marked = pages.filter(present(*page)).join(lists, list(page), "left")
 
     def mark(text: Column) -> Column:
         def wrap(acc: Column, s: Column) -> Column:

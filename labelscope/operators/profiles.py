@@ -65,17 +65,11 @@ def profile_correlation(profile: DataFrame, columns: list[str] | None = None) ->
     single row that are unfolded afterwards.
     """
     columns = columns or profile_columns()
-    spread = [F.stddev_samp(c).alias(f"s_{i}") for i, c in enumerate(columns)]
-    shared = [
-        F.covar_samp(a, b).alias(f"c_{i}_{j}")
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-        if i <= j
-    ]
-    sums = profile.agg(*spread, *shared)
+    sums = [f"stddev_samp(`{c}`) AS s_{i}" for i, c in enumerate(columns)]
     cells = []
     for (i, a), (j, b) in product(enumerate(columns), repeat=2):
-        low, high = min(i, j), max(i, j)
-        value = F.try_divide(F.col(f"c_{low}_{high}"), F.col(f"s_{i}") * F.col(f"s_{j}"))
-        cells.append(F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), value.alias("corr")))
-    return sums.select(F.inline(F.array(*cells)))
+        if i <= j:
+            sums.append(f"covar_samp(`{a}`, `{b}`) AS c_{i}_{j}")
+        shared = f"c_{min(i, j)}_{max(i, j)}"
+        cells.append(f"struct('{a}' AS first, '{b}' AS second, try_divide({shared}, s_{i} * s_{j}) AS corr)")
+    return profile.agg(*map(F.expr, sums)).selectExpr(f"inline(array({', '.join(cells)}))")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelscope.defaults import SENTIMENT_CLASSES, TONE_CLASSES
 from labelscope.functions.scores import best_class, softmax
+from labelscope.functions.text import present
 
 # texts -> (sentiment logits per text, tone logits per text)
 TwoHeadScorer = Callable[[list[str]], tuple[list[list[float]], list[list[float]]]]
@@ -119,5 +120,5 @@ def top_prediction_per_model(
     """
     rest = [c for c in df.columns if c not in keys]
     best = F.min_by(F.struct(*rest), F.struct((-F.col(score)).alias("s"), F.col("label").alias("l")))
-    found = df.dropna(subset=[score]).groupBy(*keys).agg(best.alias("_best"))
+    found = df.filter(present(score)).groupBy(*keys).agg(best.alias("_best"))
     return found.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])

@@ -126,7 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:
     """Raw answers -> sentences -> codes -> rarest tone of each aspect and sentiment."""
-    return rarest_tones(Derived(spark, folder).sentences.filter("sentence IS NOT NULL"))
+    return rarest_tones(Derived(spark, folder).sentences.filter("pos IS NOT NULL"))
 
 
 def six(column: str) -> Column:
@@ -249,7 +249,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY a, s ORDER BY n, t) AS r,
             FROM nparsed WHERE pos IS NOT NULL GROUP BY ALL) AS c) AS x WHERE r = 1""")
 def rarest_tone_of_answers(d: Derived) -> DataFrame:
     """The flagship: from raw answers to the rarest tone of each aspect and sentiment."""
-    return rarest_tones(d.sentences.filter("sentence IS NOT NULL"))
+    return rarest_tones(d.sentences.filter("pos IS NOT NULL"))
 
 
 # --- labels and distributions ------------------------------------------------------

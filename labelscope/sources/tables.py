@@ -16,6 +16,9 @@ RAW_TYPES = {"page_number": "bigint"}
 
 ROOT_SLASHES = r":/+"
 
+# Files are numbered through a broadcast table of their paths, a few MB at this limit.
+MAX_NUMBERED_FILES = 10_000
+
 
 def normalize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower() for c in df.columns])
@@ -55,9 +58,10 @@ def read_annotations(
 ) -> DataFrame:
     """Raw answers from CSV with a ``row_id`` that follows the order of rows in each file.
 
-    A multi-line file is read by one task, so the task-wise id grows along the file;
-    files follow each other by path. Land the result as Parquet before using it at
-    size: a multi-line CSV cannot be split, and the stored ids stay as they are.
+    A multi-line file is read by one task, so the task-wise id grows along the file.
+    Up to ``MAX_NUMBERED_FILES`` files follow each other by path; beyond that their
+    order among each other is that of the scan. Land the result as Parquet before
+    using it at size: a multi-line CSV cannot be split, and stored ids stay as they are.
     """
     scan = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
     names = [c.strip().lower() for c in scan.columns]
@@ -65,17 +69,19 @@ def read_annotations(
         _typed(null_if_na(F.col(f"`{raw}`")), types.get(name, "string")).alias(name)
         for raw, name in zip(scan.columns, names)
     ]
+    # the two listings write the slashes after the scheme differently
+    paths = sorted({re.sub(ROOT_SLASHES, ":/", f) for f in scan.inputFiles()})
+    if len(paths) > MAX_NUMBERED_FILES:
+        return scan.select(*columns, F.monotonically_increasing_id().alias("row_id"))
     rows = scan.select(
         *columns,
         F.regexp_replace(F.col("_metadata.file_path"), ROOT_SLASHES, ":/").alias("_file"),
         # the low 33 bits of the id count the rows of one task
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_line"),
     )
-    # the two listings write the slashes after the scheme differently
-    paths = sorted({re.sub(ROOT_SLASHES, ":/", f) for f in scan.inputFiles()})
     files = local_table(spark, [(f, i) for i, f in enumerate(paths)], "_file string, _file_no long")
     return (
-        rows.join(files, "_file", "left")
+        rows.join(F.broadcast(files), "_file", "left")
         .withColumn("row_id", F.shiftleft(F.col("_file_no"), 33).bitwiseOR(F.col("_line")))
         .drop("_file", "_file_no", "_line")
     )

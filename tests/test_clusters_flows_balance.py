@@ -182,3 +182,30 @@ def test_targets_are_broadcast_and_levels_cached(triples):
     plan = balance.balanced_sample(triples, balance.minimum_tone_distribution(triples), 3)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "InMemoryTableScan" in text and "Python" not in text.replace("applySchemaToPythonRDD", "")
+
+
+def test_patterns_find_words_literally(spark):
+    from labelscope.functions.text import any_of
+
+    rng = random.Random(11)
+    letters = "ab.*\\E[(^$ é😀"
+    for _ in range(4):
+        words = ["".join(rng.choices(letters, k=rng.randint(1, 4))) for _ in range(5)]
+        texts = ["".join(rng.choices(letters, k=rng.randint(0, 9))) for _ in range(150)]
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        got = [r[0] for r in df.select(F.col("t").rlike(any_of(words))).collect()]
+        assert got == [any(w in t for w in words) for t in texts]
+    assert spark.range(1).select(F.lit("").rlike(any_of(["", "x"]))).first()[0]
+
+
+def test_clusters_against_brute_force(spark):
+    rng = random.Random(12)
+    words = [w for v in CLUSTERS.values() for w in v]
+    texts = [" ".join(rng.choices([*words, "Zz", "q", "BOARD"], k=rng.randint(0, 3))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "aspect string")
+    for table in (CLUSTERS, SIX_CLUSTERS, {"A": [], "B": ["(x", "q"]}, {}):
+        def first(t):
+            return next((c for c, ws in table.items() if any(w in t.lower() for w in ws)), "Unclustered")
+
+        got = clustering.cluster_aspects(df, clusters=table).collect()
+        assert [(r.aspect, r.aspect_cluster) for r in got] == [(t, first(t)) for t in texts]

@@ -34,7 +34,7 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
 def test_from_answers_to_rarest_tone(spark):
     sentences = workflows.annotate(raw(spark, TEXTS))
     assert sentences.count() == 5
-    tones = workflows.rarest_tones(sentences.filter("sentence IS NOT NULL"))
+    tones = workflows.rarest_tones(sentences.filter("pos IS NOT NULL"))
     assert [tuple(r) for r in tones.collect()] == [
         ("E", "POSITIVE", "COMMITMENT", 1, 3), ("S", "NEGATIVE", "ACTION", 1, 1),
     ]
