@@ -497,13 +497,11 @@ array_to_string(list_sort(list_filter(e.m, lambda x: NOT list_contains(p.m, x)))
 len(e.m) - len(p.m) AS missing_count, len(p.m) AS present_count, len(e.m) AS total, round(len(p.m) / len(e.m), 6) AS score
 FROM (SELECT filename, page_number, {s} list_sort(list(DISTINCT model)) AS m FROM g GROUP BY ALL) AS p
 JOIN (SELECT filename, {s} list_sort(list(DISTINCT model)) AS m FROM g GROUP BY ALL) AS e USING (filename {u})"""
-_GAPS = "SELECT * FROM (SELECT * {x} FROM ground) AS y WHERE NOT (page_number % 5 = 0 AND model = 'beta')"
 _PROVIDER = ", CASE WHEN contains(model, '/') THEN split_part(model, '/', 1) ELSE 'unknown' END AS provider"
 
 
 def _completeness(d: Derived, by_provider: bool) -> DataFrame:
-    gaps = d.ground.filter("NOT (page_number % 5 = 0 AND model = 'beta')")
-    found = coverage.model_completeness(gaps, by_provider=by_provider)
+    found = coverage.model_completeness(d.ground, by_provider=by_provider)
     for c in ("expected", "present", "missing"):
         found = found.withColumn(c, F.concat_ws(",", c))
     for c in ("missing_count", "present_count", "total"):
@@ -511,13 +509,13 @@ def _completeness(d: Derived, by_provider: bool) -> DataFrame:
     return found.withColumn("score", six("score"))
 
 
-@query(_COMPLETE.format(k="", s="", u="").replace("FROM g ", f"FROM ({_GAPS.format(x='')}) AS z "))
+@query(_COMPLETE.format(k="", s="", u="").replace("FROM g ", "FROM ground "))
 def model_completeness(d: Derived) -> DataFrame:
     return _completeness(d, False)
 
 
 @query(_COMPLETE.format(k="p.provider,", s="provider,", u=", provider").replace(
-    "FROM g ", f"FROM ({_GAPS.format(x=_PROVIDER)}) AS z "))
+    "FROM g ", f"FROM (SELECT * {_PROVIDER} FROM ground) AS z "))
 def provider_completeness(d: Derived) -> DataFrame:
     return _completeness(d, True)
 
@@ -800,12 +798,13 @@ def rule_matches(d: Derived) -> DataFrame:
 
 # --- evaluation --------------------------------------------------------------------
 
-@query(f"""SELECT row_id, pos, filename, page_number, sentence FROM ground g
-WHERE NOT EXISTS (SELECT 1 FROM ground e WHERE e.page_number % 3 <> 0 AND e.filename = g.filename
-AND e.page_number = g.page_number)""")
+@query("""SELECT doc_id, source AS filename, doc_id AS page_number, n_chars FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM documents e JOIN labels USING (doc_id) WHERE e.source IS NOT DISTINCT FROM d.source
+AND e.doc_id IS NOT DISTINCT FROM d.doc_id)""")
 def missing_pages(d: Derived) -> DataFrame:
-    exported = d.ground.filter("page_number % 3 <> 0")
-    return evaluation.find_missing(d.ground, exported).select("row_id", "pos", "filename", "page_number", "sentence")
+    """Documents for which there is no label."""
+    output = d.table("documents").selectExpr("doc_id", "source AS filename", "doc_id AS page_number", "n_chars")
+    return evaluation.find_missing(output, output.join(d.table("labels"), "doc_id"))
 
 
 @query("SELECT * FROM aligned")

@@ -105,10 +105,11 @@ FROM (
 ) AS x
 """
 
-# Sentences cut from documents; several documents share a page, whose text is that of the first.
+# Sentences cut from documents. A document is the answer of one model; documents of one source
+# with close ids share a page, whose text is that of the first, so few pages have all models.
 GROUND = """
-SELECT doc_id AS row_id, k AS pos, source AS filename, doc_id % 25 AS page_number,
-       CASE k % 3 WHEN 0 THEN 'alpha/m1' WHEN 1 THEN 'alpha/m2' ELSE 'beta' END AS model,
+SELECT doc_id AS row_id, k AS pos, source AS filename, CAST(floor(doc_id / 60) AS BIGINT) AS page_number,
+       CASE doc_id % 7 WHEN 0 THEN 'alpha/m2' WHEN 1 THEN 'alpha/m2' WHEN 2 THEN 'beta' ELSE 'alpha/m1' END AS model,
        CASE WHEN k = 2 AND doc_id % 9 = 0 THEN NULL
             WHEN k = 3 AND doc_id % 2 = 0 THEN concat(substr(text, 1, 40), '#')
             WHEN k = 3 THEN substr(text, 1, 6)
@@ -116,7 +117,6 @@ SELECT doc_id AS row_id, k AS pos, source AS filename, doc_id % 25 AS page_numbe
        lang AS aspect,
        CASE (doc_id + k) % 4 WHEN 0 THEN 'positive' WHEN 1 THEN NULL WHEN 2 THEN 'negative' ELSE 'neutral' END AS sentiment
 FROM $documents_by_k
-WHERE NOT (k = 1 AND doc_id % 4 = 0)
 """
 DOCS_TEXT = "SELECT doc_id AS row_id, text AS markdown_full, lower(text) AS cleaned_markdown FROM $documents"
 
@@ -134,7 +134,7 @@ SELECT d.doc_id AS row_id, text AS sentence,
        CASE WHEN d.doc_id % 13 = 0 THEN NULL ELSE source END AS tone,
        CAST(d.doc_id % 7 AS DOUBLE) / 7 AS confidence
 FROM $documents d JOIN $labels l ON d.doc_id = l.doc_id
-WHERE d.doc_id % 10 <> 0
+WHERE lang <> 'es'
 """
 
 
