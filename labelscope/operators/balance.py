@@ -84,8 +84,8 @@ def balanced_sample(
     A group may hold a large share of all rows, so it is never sorted as a whole.
     Each row falls into a level by the size of its hash, every level half as likely
     as the one before; counts per level (64 at most per group) tell which levels are
-    needed to have ``n`` rows. Only those, about 2n rows, are ranked. The level counts
-    are used twice and persisted, so the table is read once for them and once for the rows.
+    needed to have ``n`` rows. Only those, about 2n rows, are ranked. The exchange
+    of the level counts is reused, so the table is read once for them and once for the rows.
 
     ``small_targets`` states that the targets come from two closed label sets, as the
     rarest-tone table does, and broadcasts them; without it they are joined plainly.
@@ -107,7 +107,6 @@ def balanced_sample(
         rows.join(hint(keys), matches)
         .groupBy(*group, F.col("_row_level").alias("_level"))
         .agg(F.count("*").alias("_rows"))
-        .persist()
     )
     higher = Window.partitionBy(*group).orderBy(F.desc("_level")).rowsBetween(Window.unboundedPreceding, -1)
     needed = (

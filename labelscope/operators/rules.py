@@ -73,7 +73,7 @@ def match_rules(
     per slice of row ids; the slice in which it reaches ``take_n`` bounds the rows that
     are looked at again. These bounds are one row per rule, hence the broadcast. The
     counts also tell where the numbering of each slice starts, so no window ever holds
-    more than one slice. They are used twice and persisted: two reads of the table in all.
+    more than one slice. Their exchange is reused: two reads of the table in all.
     """
     hits = _matching_rules(rules, labels)
     sliced = df.withColumn(SLICE, slice_of(row_id, slice_rows))
@@ -88,7 +88,6 @@ def match_rules(
         earlier_rows(per_slice, ["rule_id"], "_rows", "_before")
         .filter("_before < take_n")
         .select("rule_id", SLICE, "_before")
-        .persist()
     )
     last = F.broadcast(starts.groupBy("rule_id").agg(F.max(SLICE).alias("_last")))
     matched = sliced.select("*", F.inline(hits)).join(last, "rule_id").filter(F.col(SLICE) <= F.col("_last"))

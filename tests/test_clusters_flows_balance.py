@@ -178,10 +178,15 @@ def test_sample_takes_the_smallest_hashes(triples):
             assert ids == set(sorted(members[key], key=hashes.get)[:6])
 
 
-def test_targets_are_broadcast_and_levels_cached(triples):
-    plan = balance.balanced_sample(triples, balance.minimum_tone_distribution(triples), 3)
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "InMemoryTableScan" in text and "Python" not in text.replace("applySchemaToPythonRDD", "")
+def test_sampling_reads_the_table_three_times(triples, spark, tmp_path):
+    """Once for the targets, once for the level counts, once for the rows."""
+    triples.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    sample = balance.balanced_sample(df, balance.minimum_tone_distribution(df), 3)
+    sample.collect()
+    final = sample._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 3 and "ReusedExchange" in final
+    assert "SortMergeJoin" not in final and "Python" not in final
 
 
 def test_patterns_find_words_literally(spark):

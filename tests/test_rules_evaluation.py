@@ -41,6 +41,14 @@ def test_first_matches_in_row_order(table, slice_rows):
     assert {tuple(r) for r in got.collect()} == wanted and got.count() == len(wanted)
 
 
+def test_rules_read_the_table_twice(table, spark, tmp_path):
+    table[0].write.parquet(str(tmp_path / "t"))
+    out = match_rules(spark.read.parquet(str(tmp_path / "t")), RULES, LABELS)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 2 and "ReusedExchange" in final and "NestedLoop" not in final
+
+
 def test_find_missing(spark, rows):
     out = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), (None, 1, "n"), ("b", None, "z")], "filename string, page_number long, v string")
     exp = spark.createDataFrame([("a", 1), ("a", 1), (None, 1)], "filename string, page_number long")
