@@ -32,9 +32,10 @@ def page_texts(
 ) -> DataFrame:
     """Texts of each page as its first row has them.
 
-    With ``raw`` (one row per answer, unique ``row_id``) the sentence table only
-    gives the first row id of each page, a narrow aggregate, and the texts are
-    fetched by that id. Without it the texts are columns of the sentence table.
+    The usual call is ``page_texts(raw)`` on the table of answers: map-side combining
+    leaves one text per page and task. To take the first row of *filtered* sentences,
+    pass them together with ``raw`` (one row per answer, unique ``row_id``): they only
+    give the first row id of each page, and the texts are fetched by that id.
     """
     rows = sentences.filter(present(*page))
     if raw is not None:

@@ -92,7 +92,7 @@ def oracle_sql() -> dict[str, str]:
     views["page_first"] = """
         SELECT filename, page_number, markdown_full, cleaned_markdown
         FROM (SELECT filename, page_number, min(row_id) AS row_id FROM ground GROUP BY ALL) AS f
-        JOIN ground_raw USING (row_id)"""
+        JOIN ground_raw USING (row_id, filename, page_number)"""
     views["sent_index"] = """
         SELECT filename, page_number, sentence,
                row_number() OVER (PARTITION BY filename, page_number ORDER BY f) AS "index"
@@ -523,7 +523,7 @@ def provider_completeness(d: Derived) -> DataFrame:
 # --- grounding ---------------------------------------------------------------------
 
 def _pages(d: Derived) -> DataFrame:
-    return grounding.page_texts(d.ground, d.ground_raw)
+    return grounding.page_texts(d.ground_raw)
 
 
 @query("SELECT * FROM page_first")
@@ -531,16 +531,17 @@ def page_texts(d: Derived) -> DataFrame:
     return _pages(d)
 
 
-@query("SELECT * FROM page_first")
-def page_texts_of_one_table(d: Derived) -> DataFrame:
-    """The same from a table that carries its texts."""
-    return grounding.page_texts(d.ground.join(d.ground_raw, "row_id"))
+@query("""SELECT filename, page_number, markdown_full, cleaned_markdown FROM (
+SELECT filename, page_number, min(row_id) AS row_id FROM ground WHERE sentiment = 'negative' GROUP BY ALL) AS f
+JOIN ground_raw USING (row_id, filename, page_number)""")
+def page_texts_after_filter(d: Derived) -> DataFrame:
+    """The first row of a page is that of the filtered sentences."""
+    return grounding.page_texts(filters.apply_filters(d.ground, {"sentiment": ["negative"]}), d.ground_raw)
 
 
-@query(f"""SELECT {PAGE}, arg_min(cleaned_markdown, row_id * 4 + pos) AS cleaned_markdown
-FROM ground JOIN ground_raw USING (row_id) GROUP BY ALL""")
+@query(f"SELECT {PAGE}, arg_min(cleaned_markdown, row_id) AS cleaned_markdown FROM ground_raw GROUP BY ALL")
 def first_cleaned_text(d: Derived) -> DataFrame:
-    return grounding.first_page_text(d.ground.join(d.ground_raw, "row_id"))
+    return grounding.first_page_text(d.ground_raw)
 
 
 @query("SELECT * FROM sent_index")

@@ -118,7 +118,11 @@ SELECT doc_id AS row_id, k AS pos, source AS filename, CAST(floor(doc_id / 60) A
        CASE (doc_id + k) % 4 WHEN 0 THEN 'positive' WHEN 1 THEN NULL WHEN 2 THEN 'negative' ELSE 'neutral' END AS sentiment
 FROM $documents_by_k
 """
-DOCS_TEXT = "SELECT doc_id AS row_id, text AS markdown_full, lower(text) AS cleaned_markdown FROM $documents"
+DOCS_TEXT = """
+SELECT doc_id AS row_id, source AS filename, CAST(floor(doc_id / 60) AS BIGINT) AS page_number,
+       text AS markdown_full, lower(text) AS cleaned_markdown
+FROM $documents
+"""
 
 GT = """
 SELECT d.doc_id AS row_id, text AS sentence, lang AS aspect_category,
