@@ -1,0 +1 @@
+"""Machine-made annotations of documents, analysed with PySpark."""

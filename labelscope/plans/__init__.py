@@ -1,0 +1 @@
+"""Workflows, derived tables and registered queries."""

@@ -343,7 +343,7 @@ def top_ontology_uris(d: Derived) -> DataFrame:
 FROM (SELECT source, unnest(regexp_split_to_array(lower(text), '[^0-9A-Za-z_]+')) AS token FROM documents) AS x
 WHERE token <> '' GROUP BY ALL""")
 def token_counts(d: Derived) -> DataFrame:
-    return distributions.token_counts(d.table("documents"), "text", ["source"])
+    return distributions.token_counts(d.documents, "text", ["source"])
 
 
 # --- filters -----------------------------------------------------------------------
@@ -905,7 +905,7 @@ def _head_sql(head: str, classes: list[str]) -> str:
 @query(f"""SELECT doc_id, {_head_sql("sentiment", defaults.SENTIMENT_CLASSES)}, {_head_sql("tone", defaults.TONE_CLASSES)}
 FROM documents""")
 def scored_texts(d: Derived) -> DataFrame:
-    texts = d.table("documents").select("doc_id", "text")
+    texts = d.documents.select("doc_id", "text")
     scored = scoring.score_texts(texts, lexicon_scorer)
     cells = [
         F.round(F.get(f"{head}_scores", i), 6).alias(f"{head}_{i}")
@@ -949,7 +949,7 @@ def _scored_sql() -> str:
 
 
 def _model_scores(d: Derived) -> DataFrame:
-    texts = d.table("documents").select("doc_id", "text")
+    texts = d.documents.select("doc_id", "text")
     scores = scoring.score_models(texts, CLASSIFIERS, load_classifier).drop("text")
     return scores.withColumn("score", six("score"))
 

@@ -165,6 +165,10 @@ class Derived:
             df.createOrReplaceTempView(names[name])
         return self.spark.sql(Template(text).substitute(names))
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        return spread(self.table("documents"))
+
     @cached_property
     def lab(self) -> DataFrame:
         return self.sql(LAB)
@@ -191,7 +195,7 @@ class Derived:
 
     @cached_property
     def ground(self) -> DataFrame:
-        by_k = spread(self.table("documents")).withColumn("k", F.explode(F.array(*map(F.lit, range(4)))))
+        by_k = self.documents.withColumn("k", F.explode(F.array(*map(F.lit, range(4)))))
         return self.sql(GROUND, documents_by_k=by_k)
 
     @cached_property

@@ -1,0 +1 @@
+"""Tables, ontologies and sinks."""
