@@ -149,7 +149,7 @@ def annotation_scan(d: Derived) -> DataFrame:
     """The scan with row ids of its own: every row once, ids unique."""
     path = shared_path(d.spark, "scan_csv")
     sinks.write_csv(d.raw.drop("row_id"), path)
-    rows = tables.read_annotations(d.spark, path)
+    rows = tables.harden_schema(tables.read_annotations(d.spark, path))
     return rows.groupBy("filename", "page_number", "model", "text").agg(
         F.count_distinct("row_id").alias("copies")
     )
