@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from labelscope import defaults
-from labelscope.functions.text import provider
 from labelscope.operators import balance, clustering, coverage, distributions, evaluation, filters
 from labelscope.operators import flows, grounding, labels, parsing, profiles, rules, scoring
 from labelscope.plans.derived import Derived, oracle_views
@@ -615,7 +614,7 @@ for _name, _table in (("", defaults.CLUSTERS), ("_short", defaults.SIX_CLUSTERS)
     query(
         f"SELECT aspect, aspect_cluster, count(*) AS count FROM (SELECT aspect, {_case} AS aspect_cluster FROM lab) AS x GROUP BY ALL",
         f"clustered_rows{_name}",
-    )(lambda d, t=_table: clustering.cluster_aspects(d.lab, clusters=t)
+    )(lambda d, t=_table: clustering.cluster_aspects(d.lab_spread, clusters=t)
       .groupBy("aspect", "aspect_cluster").agg(F.count("*").alias("count")))
     query(
         f"""SELECT {_case} AS aspect_cluster, count(*) AS count,

@@ -173,6 +173,11 @@ class Derived:
     def lab(self) -> DataFrame:
         return self.sql(LAB)
 
+    @cached_property
+    def lab_spread(self) -> DataFrame:
+        """``lab`` for row-wise work that costs CPU."""
+        return self.sql(LAB, lineitem=spread(self.table("lineitem")))
+
     @cached_property
     def labelled(self) -> DataFrame:
         return normalize_labels(self.lab)

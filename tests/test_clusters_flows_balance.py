@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from labelscope.defaults import CLUSTERS, SIX_CLUSTERS
 from labelscope.operators import balance, clustering, flows
 from labelscope.operators.labels import normalize_labels
-from labelscope.sources.ontologies import ASPECTS, SENTIMENTS, TONES
+from labelscope.sources.ontologies import SENTIMENTS
 
 ASPECT_CASES = [
     ("Board diversity", "Governance & Board"),

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from labelscope.operators import distributions as dist
 from labelscope.operators import filters
