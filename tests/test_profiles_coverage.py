@@ -99,3 +99,9 @@ def test_completeness(annotated, by_provider):
         assert r.missing == sorted(expected - present)
         assert (r.missing_count, r.present_count, r.total) == (len(expected - present), len(present), len(expected))
         assert r.score == pytest.approx(len(present) / len(expected) if expected else 1.0)
+
+
+def test_wide_tables_refuse_too_many_models(annotated, monkeypatch):
+    monkeypatch.setattr(coverage, "MAX_WIDE_MODELS", 3)
+    with pytest.raises(ValueError, match="long form"):
+        coverage.model_list(annotated[0])

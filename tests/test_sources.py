@@ -126,3 +126,14 @@ def test_cluster_tables_are_minimal():
         for word in words:
             assert not any(s in word for s in words if s != word), word
         seen += words
+
+
+def test_scan_of_very_many_files_keeps_file_order_inside(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "MAX_NUMBERED_FILES", 0)
+    for name in "ab":
+        put(tmp_path / f"{name}.csv", "model,text\n" + "".join(f"{name},{i:03d}\n" for i in range(50)))
+    df = tables.read_annotations(spark, str(tmp_path))
+    assert df.select("row_id").distinct().count() == 100
+    for name in "ab":
+        texts = [r.text for r in df.filter(F.col("model") == name).orderBy("row_id").collect()]
+        assert texts == sorted(texts)
