@@ -1,20 +1,59 @@
-"""From raw documents to a training mix, in stages that are written and read again."""
+"""From raw documents to a training mix: quality, duplicates, decontamination, mixing.
+
+Each stage takes (spark, docs, folder) and works on all its predecessor kept; its result is written
+as Parquet and read again as the next one's documents.
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from labelscope.llm.content_dedup import distinct_documents
+from labelscope.llm.decontaminate import clean_documents
+from labelscope.llm.mixing import mixed_documents
+from labelscope.llm.ngram_jaccard import group_heads
+from labelscope.llm.quality import good_documents
 from labelscope.llm.shared import shared_folder
 
-STAGES: list = []
-#: The quality classifier is trained, which SQL cannot express; tests compare the stages with brute force.
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return distinct_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return group_heads(docs, shingle=5, percent=80)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_documents(docs)
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+]
+#: The first stage is a trained model, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over ``documents``; each one's rows are written to the shared folder and read by the next."""
+    """The stages in turn over ``documents``, each read back from the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"

@@ -366,3 +366,30 @@ def ngram_jaccard(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     return rows.join(smallest, "base", "left").select(
         "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")
     )
+
+
+def group_heads(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that head their component or have no id.
+
+    Rows that share an id are one document: they stay or go together. The ids that go are looked for by a filter of
+    fixed size in the scan, so only rows that may go are shuffled to the join that decides.
+    """
+    found = ngram_jaccard(docs, shingle, percent)
+    gone = written(found.filter("doc_id <> component_id").groupBy("doc_id").agg(F.min("component_id"))
+                   .select(F.col("doc_id").alias("gone_id"), F.xxhash64("doc_id").alias("gone")), "gone")
+    kept_ids = found.filter("doc_id = component_id").select(F.col("doc_id").alias("gone_id"))
+    gone = written(gone.join(kept_ids, "gone_id", "left_anti"), "gone")
+    words = bloom(gone, "gone")
+
+    @F.pandas_udf("boolean")
+    def may_go(keys):
+        import pandas as pd
+
+        return pd.Series(in_bloom(words, keys.to_numpy().view(np.uint64)))
+
+    marked = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row")).withColumns({
+        "id": F.col("row.doc_id").cast("long"),
+    }).withColumn("maybe", may_go(F.xxhash64("id")))
+    stays = marked.filter("id IS NULL OR NOT maybe").select("row")
+    decided = marked.filter("id IS NOT NULL AND maybe").join(gone.select(F.col("gone_id").alias("id")), "id", "left_anti").select("row")
+    return stays.unionByName(decided).select("row.*")

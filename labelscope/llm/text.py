@@ -26,20 +26,19 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 ALPHANUMERIC = np.zeros(256, dtype=bool)
 ALPHANUMERIC[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-_BASE = pow(0x9E3779B97F4A7C15, 1, 1 << 64)
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+#: Two polynomial hashes: base and value of each byte.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_VALUES = tuple(mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0xD1342543DE82EF95, 0xA0761D6478BD642F))
+_powers: dict[int, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2^64."""
-    for i, base in enumerate((_BASE, _INVERSE)):
-        if len(_powers[i]) < n:
-            steps = np.full(max(n, CHUNK_BYTES + 1), base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def _power(base: int, n: int) -> np.ndarray:
+    """The first n powers of a base, modulo 2^64."""
+    if len(_powers.get(base, ())) < n:
+        steps = np.full(max(n, CHUNK_BYTES + 1), base, dtype=np.uint64)
+        steps[0] = 1
+        _powers[base] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[base][:n]
 
 
 @dataclass
@@ -52,12 +51,13 @@ class Words:
     first: np.ndarray
     offsets: np.ndarray  # of the texts in data
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash for each word."""
-        power, inverse = _power(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[self.data] * power[: len(self.data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+    def hashes(self, kind: int = 0) -> np.ndarray:
+        """A 64-bit hash for each word; the two kinds are independent."""
+        base, n = _BASES[kind], len(self.data) + 1
+        total = np.zeros(n, dtype=np.uint64)
+        np.cumsum(_VALUES[kind][self.data] * _power(base, n)[:-1], out=total[1:])
+        back = _power(pow(base, -1, 1 << 64), n)[self.start]
+        return mix((total[self.end] - total[self.start]) * back + (self.end - self.start).astype(np.uint64))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
