@@ -13,26 +13,26 @@ NOT_IN_ONTOLOGY = "❓ Not in ontology"
 # Canonical code -> (label, aliases). Aliases are compared after
 # trimming and lower-casing; an alias listed twice belongs to the later code.
 ASPECT_ONTOLOGY = {
-    "E": ("Environmental", ["e", "env", "environment", "environmental", "economic"]),
-    "S": ("Social", ["s", "soc", "social"]),
-    "G": ("Governance", ["g", "gov", "governance", "g>"]),
-    "E-S": ("Environmental & Social", ["e-s", "s-e", "es", "e s", "e/s"]),
-    "E-G": ("Environmental & Governance", ["e-g", "g-e", "eg", "e g"]),
-    "S-G": ("Social & Governance", ["s-g", "g-s", "sg", "s g"]),
-    "E-S-G": ("Environmental, Social & Governance", ["esg", "e-s-g", "e s g", "e,s,g"]),
-    "OTHER": ("Other / Unclassified", ["none", "unknown", "", "other", "w", "gri305"]),
+    "E": ("Environmental", ["E", "ENV", "environment", "environmental", "ECONOMIC"]),
+    "S": ("Social", ["S", "SOC", "social"]),
+    "G": ("Governance", ["G", "GOV", "governance", "G>"]),
+    "E-S": ("Environmental & Social", ["E-S", "S-E", "ES", "E S", "E/S"]),
+    "E-G": ("Environmental & Governance", ["E-G", "G-E", "EG", "E G"]),
+    "S-G": ("Social & Governance", ["S-G", "G-S", "SG", "S G"]),
+    "E-S-G": ("Environmental, Social & Governance", ["ESG", "E-S-G", "E S G", "E,S,G"]),
+    "OTHER": ("Other / Unclassified", ["none", "unknown", "", None, "OTHER", "W", "GRI305"]),
 }
 SENTIMENT_ONTOLOGY = {
-    "POSITIVE": ("Positive", ["positive", "positif", "pos", "good", "favorable"]),
-    "NEUTRAL": ("Neutral", ["neutral", "neural", "none", "commitment", "mixed"]),
-    "NEGATIVE": ("Negative", ["negative", "neg", "bad", "unfavorable"]),
-    "OTHER": ("Other / Unclassified", ["", "unknown", "na", "none"]),
+    "POSITIVE": ("Positive", ["positive", "positif", "Positive", "POS", "good", "favorable"]),
+    "NEUTRAL": ("Neutral", ["neutral", "Neutral", "neural", "none", "commitment", "mixed"]),
+    "NEGATIVE": ("Negative", ["negative", "Negative", "NEG", "bad", "unfavorable"]),
+    "OTHER": ("Other / Unclassified", ["", None, "unknown", "na", "none"]),
 }
 TONE_ONTOLOGY = {
     "OUTCOME": ("Outcome", ["outcome", "achievement", "result", "impact", "success"]),
     "ACTION": ("Action", ["action", "initiative", "implementation", "execution"]),
     "COMMITMENT": ("Commitment", ["commitment", "commit", "pledge", "promise"]),
-    "OTHER": ("Other / Unclassified", ["challenge", "compliance", "neutral", "", "unknown"]),
+    "OTHER": ("Other / Unclassified", ["challenge", "compliance", "neutral", "", None, "unknown"]),
 }
 
 # The short cluster table (cluster -> keywords, in priority order).
@@ -50,101 +50,226 @@ SIX_CLUSTERS = {
     "Tax & Compliance": ["tax", "taxation", "compliance"],
 }
 
-# The long cluster table, in priority order. Only keywords that can
-# decide an answer are listed: one that contains a shorter keyword of its own or of
-# an earlier cluster, or holds a capital letter (the aspect is lower-cased before the
-# substring test), never does. A full table can be read with ``load_clusters``.
+# The long cluster table (cluster -> keywords), in priority order. Keywords
+# are compared as they stand with the lower-cased aspect, so those with capitals count
+# only where keywords are folded too; repeats change nothing.
 CLUSTERS = {
     "Governance & Board": [
-        "governance", "board", "leadership", "executive", "committee", "oversight",
-        "shareholder", "shareholding", "corporate actions", "ipo", "listing",
-        "general meeting", "share ownership", "corporate structure", "organization structure",
-        "subsidiaries", "related parties", "related party transactions", "remuneration",
-        "voter participation", "succession planning", "company", "affiliation",
-        "stakeholder engagement", "ultimate beneficial ownership",
-        "nomination and selection process compliance", "succession program",
-        "stakeholder communication", "stakeholder relations", "organizational hierarchy",
-        "stakeholder feedback", "stakeholder identification", "successor development",
+        "governance", "board", "board of directors", "board of commissioners",
+        "board composition", "board independence", "board diversity",
+        "leadership", "executive", "committee", "oversight",
+        "corporate governance", "management oversight",
+        "governance", "board", "board composition", "board structure",
+        "shareholder", "shareholding", "shareholder structure",
+        "corporate actions", "ipo", "listing",
+        "general meeting", "share ownership",
+        "corporate structure", "organization structure",
+        "subsidiaries", "related parties", "related party transactions",
+        "remuneration", "remuneration policy",
+        "voter participation", "succession planning",
+        "company", "company name", "affiliation",
+        "stakeholder engagement",
+        "Stakeholders",
+        "Good Corporate Governance implementation",
+        "ultimate beneficial ownership",
+        "Board of Directors performance",
+        "nomination and selection process compliance",
+        "succession program",
+        "stakeholder communication",
+        "stakeholder relations",
+        "corporate governance",
+        "organizational hierarchy",
+        "stakeholder feedback",
+        "stakeholder identification",
+        "successor development",
+        "ultimate beneficial ownership",
     ],
     "Risk Management & Internal Control": [
-        "risk", "internal control", "internal audit", "control system", "compliance",
-        "manajemen risiko", "emergency preparedness", "emergency response",
-        "audit processes", "legal exposure", "early warning system",
+        "risk", "risk management", "risk assessment", "risk mitigation",
+        "internal control", "internal audit", "control system",
+        "compliance risk", "legal risk", "liquidity risk", "credit risk",
+        "compliance",
+        "legal compliance",
+        "manajemen risiko",
+        "internal controls",
+        "regulatory compliance",
+        "emergency preparedness",
+        "emergency response",
+        "audit processes",
+        "legal and regulatory compliance",
+        "legal exposure",
+        "risk management",
+        "internal control system",
+        "integrated risk management",
+        "early warning system",
     ],
     "Ethics, Integrity & Anti-Corruption": [
-        "ethics", "integrity", "anti-corruption", "anti bribery", "whistleblowing",
-        "conflict of interest", "fraud", "transparency", "code of conduct",
+        "ethics", "integrity", "anti-corruption", "anti bribery",
+        "whistleblowing", "conflict of interest", "fraud",
+        "business ethics", "transparency", "code of conduct",
     ],
     "Emissions & Climate": [
-        "emission", "carbon", "ghg", "greenhouse gas", "scope 1", "scope 2", "scope 3",
-        "climate change", "net zero", "methane", "flaring",
+        "emission", "carbon", "ghg", "greenhouse gas",
+        "scope 1", "scope 2", "scope 3",
+        "climate change", "net zero", "decarbonization",
+        "methane", "flaring",
+    ],
+    "Energy": [
+        "energy", "renewable", "energy efficiency",
+        "biofuel", "hydrogen", "electricity",
+        "clean fuel", "energy transition",
     ],
-    "Energy": ["energy", "renewable", "biofuel", "hydrogen", "electricity", "clean fuel"],
     "Water & Waste": [
-        "water", "waste", "recycling", "spill incidents", "circular economy",
-        "oil spill management", "oil spill prevention", "effluent management",
+        "water", "water consumption", "water withdrawal",
+        "water recycling", "waste", "waste management",
+        "hazardous waste", "waste reduction", "recycling",
+        "spill incidents",
+        "oil spill incidents",
+        "water management",
+        "waste management",
+        "water consumption",
+        "water recycling",
+        "hazardous waste management",
+        "water discharge",
+        "clean water access",
+        "wastewater discharge",
+        "circular economy",
+        "produced water",
+        "oil spill management",
+        "oil spill prevention",
+        "effluent management",
         "effluent reduction",
+        "water withdrawal",
+        "produced water handling and reinjection",
+        "waste reduction via 3R",
+        "hazardous waste generation",
+        "water use reduction",
+        "wastewater treatment",
+        "hazardous waste recycling",
     ],
     "Biodiversity & Environmental Impact": [
-        "biodiversity", "ecosystem", "environmental impact", "environmental footprint",
-        "conservation", "rehabilitation", "land use", "habitat", "wildlife release",
-        "tree planting and forest restoration", "forest management and restoration",
-        "mangrove planting impact", "coral reef restoration and turtle release",
-        "protected species impact and count", "environmental protection and reclamation",
-        "reserves in protected or conflict areas", "whale shark population count",
+        "biodiversity", "ecosystem", "environmental impact",
+        "environmental footprint", "conservation",
+        "rehabilitation", "land use", "habitat", " Environment", "E",
+        "wildlife release",
+        "tree planting and forest restoration",
+        "buffer zone expansion and compliance",
+        "HCV assessments (High Conservation Value)",
+        "forest management and restoration",
+        "mangrove planting impact",
+        "coral reef restoration and turtle release",
+        "protected species impact and count",
+        "nature-based solutions (NBS)",
+        "environmental protection and reclamation",
+        "reserves in protected or conflict areas",
+        "whale shark population count",
     ],
     "Human Capital & Workforce": [
-        "employees", "workforce", "human capital", "training", "education", "talent",
-        "skills", "employee development", "employee engagement",
+        "employees", "workforce", "human capital",
+        "training", "education", "talent", "skills",
+        "employee development", "employee engagement",
     ],
     "Health, Safety & Well-being": [
-        "health", "safety", "accident", "injury", "ohs", "hsse", "well-being",
+        "health", "safety", "occupational health",
+        "workplace safety", "accident", "injury",
+        "ohs", "hsse", "well-being",
     ],
     "Diversity, Equity & Inclusion": [
-        "diversity", "inclusion", "gender", "equal opportunity", "pay equity", "women",
-        "minority",
+        "diversity", "inclusion", "gender",
+        "equal opportunity", "gender equality",
+        "pay equity", "women", "minority",
     ],
     "Human Rights & Labor Practices": [
-        "human rights", "child labor", "forced labor", "labor practices",
-        "freedom of association", "fair labor", "worker rights",
+        "human rights", "child labor", "forced labor",
+        "labor practices", "freedom of association",
+        "fair labor", "worker rights",
     ],
     "Community & Social Impact": [
-        "community", "csr", "social responsibility", "social impact", "social performance",
+        "community", "csr", "social responsibility",
+        "social impact", "education", "healthcare",
+        "local community", "public health", "social performance", "Social",
     ],
     "Supply Chain & Procurement": [
-        "supply chain", "supplier", "procurement", "sourcing", "traceability",
+        "supply chain", "supplier", "procurement",
+        "sourcing", "traceability",
+        "supplier sustainability", "local supplier",
     ],
     "Customers & Product Responsibility": [
-        "customer", "product quality", "service quality", "consumer protection",
+        "customer", "customer satisfaction",
+        "product safety", "product quality",
+        "service quality", "consumer protection",
     ],
     "Sustainability Strategy & ESG": [
-        "sustainability", "esg", "sustainable development", "sdgs", "sustainable finance",
-        "sustainable bond issuance", "sustainable business practices",
-        "sustainable building practices", "sustainable research center",
+        "sustainability", "esg", "sustainability strategy",
+        "sustainable development", "sdgs",
+        "sustainability roadmap", "sustainability policy",
+        "sustainable finance",
+        "SDG alignment",
+        "ESG performance",
+        "sustainable bond issuance",
+        "Material Topic Management",
+        "sustainable business practices",
+        "sustainable building practices",
+        "sustainable finance performance",
+        "sustainable research center",
+        "SDG contribution",
+        "PROPER Emas certification",
     ],
     "Reporting, Disclosure & Assurance": [
-        "reporting", "disclosure", "assurance", "verification", "audit opinion",
+        "reporting", "disclosure", "sustainability report",
+        "assurance", "verification", "audit opinion",
         "report quality", "materiality",
     ],
     "Financial Performance & Capital": [
-        "revenue", "profit", "capital", "assets", "liabilities", "cash flow", "equity",
-        "investment", "financial", "economic performance", "tax", "financing", "finance",
-        "sustainable bonds", "cash and cash equivalents", "earnings per share", "dividends",
-        "payables", "net sales", "gearing ratio", "dividend policy", "cash management",
-        "debt instruments", "funding", "loans", "bond issuance",
+        "revenue", "profit", "profitability",
+        "capital", "assets", "liabilities",
+        "cash flow", "equity", "investment", "financial", "financial performance",
+        "financial instruments", "economic performance",
+        "taxation",
+        "tax",
+        "financing",
+        "finance",
+        "sustainable bonds",
+        "green bond issuance",
+        "cash and cash equivalents",
+        "earnings per share",
+        "dividends",
+        "payables",
+        "net sales",
+        "capital structure",
+        "gearing ratio",
+        "tax compliance",
+        "tax contribution",
+        "tax assessment",
+        "tax management",
+        "dividend policy",
+        "cash management",
+        "debt instruments",
+        "funding",
+        "loans",
+        "bond issuance",
+        "tax strategy",
     ],
     "Business Strategy & Operations": [
-        "operations", "business strategy", "growth", "innovation", "digital transformation",
+        "operations", "business strategy",
+        "growth", "innovation", "digital transformation",
         "operational efficiency", "infrastructure",
         "corporate strategy and strategic direction",
         "business expansion and international expansion",
         "operational disruption and impact management",
         "business model and business diversification",
-        "strategic partnerships and collaboration", "asset management and identification",
-        "market share and market presence", "brand transformation and rebranding",
-        "operational effectiveness and efficiency", "product development and launch",
+        "strategic partnerships and collaboration",
+        "asset management and identification",
+        "market share and market presence",
+        "brand transformation and rebranding",
+        "operational effectiveness and efficiency",
+        "product development and launch",
+    ],
+    "Digital & Data Security": [
+        "digital", "cyber", "data security",
+        "information security", "it", "technology",
+        "privacy", "digital transformation",
     ],
-    "Digital & Data Security": ["cyber", "it", "technology", "privacy"],
 }
 
 # Texts a CSV field may hold in place of a missing value.
@@ -184,10 +309,3 @@ ANNOTATION_FIELDS = {
     "confidence": "double",
     "ontology_uri": "string",
 }
-
-# Columns of the sentence table, in display order.
-SENTENCE_COLUMNS = [
-    "sentence", "aspect", "aspect_category", "sentiment", "sentiment_score", "tone",
-    "materiality", "stakeholder", "impact_level", "time_horizon", "filename",
-    "page_number", "model",
-]

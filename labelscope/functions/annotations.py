@@ -31,22 +31,28 @@ def flatten_nested(values: Column, block: Column) -> Column:
     """Open nested lists of any depth.
 
     One round of the fold opens one level. Nesting cannot be deeper than the block
-    has opening brackets, so that many rounds are always enough; a round over an
-    already flat list only looks at it.
+    has opening brackets, so that many rounds are always enough; once a round finds
+    nothing to open, those after it pass the list on without a look.
     """
     rounds = F.greatest(F.lit(1), F.length(block) - F.length(F.replace(block, F.lit("["), F.lit(""))))
 
     def as_list(v: Column) -> Column:
         return v.try_cast("array<variant>")
 
+    def opened(state: Column) -> Column:
+        found = F.transform(state["list"], as_list)
+        return F.when(
+            F.exists(found, lambda v: v.isNotNull()),
+            F.struct(
+                F.flatten(F.zip_with(state["list"], found, lambda v, inner: F.coalesce(inner, F.array(v)))).alias("list"),
+                F.lit(False).alias("done"),
+            ),
+        ).otherwise(F.struct(state["list"].alias("list"), F.lit(True).alias("done")))
+
+    start = F.struct(values.alias("list"), values.isNull().alias("done"))
     return F.aggregate(
-        F.sequence(F.lit(1), rounds),
-        values,
-        lambda acc, _: F.when(
-            F.exists(acc, lambda v: as_list(v).isNotNull()),
-            F.flatten(F.transform(acc, lambda v: F.coalesce(as_list(v), F.array(v)))),
-        ).otherwise(acc),
-    )
+        F.sequence(F.lit(1), rounds), start, lambda state, _: F.when(state["done"], state).otherwise(opened(state))
+    )["list"]
 
 
 def with_keys(values: Column, keys: tuple[str, ...] = ("sentence", "aspect")) -> Column:
@@ -75,7 +81,17 @@ def scalar_text(annotation: Column, name: str, value: Column) -> Column:
     return F.when(~F.coalesce(nested, F.lit(False)), value)
 
 
-def other_fields(annotation: Column, known: list[str]) -> Column:
-    """Everything outside the known keys, as a VARIANT object."""
+def other_fields(annotation: Column, fields: dict[str, Column]) -> Column:
+    """Everything the typed ``fields`` do not hold, as a VARIANT object.
+
+    That is every other key, and each known key whose value is not null but came out NULL,
+    as it has another type than the field.
+    """
     entries = annotation.try_cast("map<string,variant>")
-    return F.to_variant_object(F.map_filter(entries, lambda k, _: ~k.isin(known)))
+    empty = F.array(*(F.when(value.isNull(), F.lit(name)) for name, value in fields.items()))
+
+    def kept(key: Column, value: Column) -> Column:
+        mistyped = F.coalesce(F.array_contains(empty, key), F.lit(False)) & ~F.is_variant_null(value)
+        return ~key.isin(list(fields)) | mistyped
+
+    return F.to_variant_object(F.map_filter(entries, kept))

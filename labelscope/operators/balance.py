@@ -73,7 +73,7 @@ def balanced_sample(
     labels: Sequence[str] = LABELS,
     row_id: str = "row_id",
     draw: Callable[..., Column] = F.xxhash64,
-    small_targets: bool = True,
+    small_targets: bool = False,
 ) -> DataFrame:
     """Exactly ``n`` rows of every target group, drawn by hash order; same seed, same rows.
 
@@ -87,8 +87,8 @@ def balanced_sample(
     needed to have ``n`` rows. Only those, about 2n rows, are ranked. The exchange
     of the level counts is reused, so the table is read once for them and once for the rows.
 
-    ``small_targets`` states that the targets come from two closed label sets, as the
-    rarest-tone table does, and broadcasts them; without it they are joined plainly.
+    Targets are joined plainly, and Spark broadcasts them where it knows them to be small.
+    ``small_targets`` states that they come from two closed label sets, and asks for it.
     """
     group = ["target_aspect", "target_sentiment", "target_tone"]
     hint = F.broadcast if small_targets else (lambda frame: frame)

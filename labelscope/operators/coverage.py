@@ -11,16 +11,17 @@ from labelscope.operators.ranking import row_order
 
 PAGE = ("filename", "page_number")
 
-# Wide tables have one column per model; beyond this, use the long form.
-MAX_WIDE_MODELS = 1000
 
+def model_list(df: DataFrame, model: str = "model", most: int = 1000) -> list[str]:
+    """The sorted model names, for use as pivot columns.
 
-def model_list(df: DataFrame, model: str = "model") -> list[str]:
-    """The sorted model names, for use as pivot columns; refused if there are too many."""
-    names = df.filter(F.col(model).isNotNull()).select(model).distinct().limit(MAX_WIDE_MODELS + 1)
+    A wide table has a column per model, so the driver must hold their names: with more than
+    ``most`` of them this raises, and the long forms are left.
+    """
+    names = df.filter(F.col(model).isNotNull()).select(model).distinct().limit(most + 1)
     found = sorted(r[0] for r in names.collect())
-    if len(found) > MAX_WIDE_MODELS:
-        raise ValueError(f"more than {MAX_WIDE_MODELS} models: use the long form")
+    if len(found) > most:
+        raise ValueError(f"more than {most} models: use the long form")
     return found
 
 

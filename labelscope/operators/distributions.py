@@ -89,11 +89,12 @@ def crosstab_wide(
 def category_table(df: DataFrame, column: str, ontology: Ontology | None = None) -> DataFrame:
     """Count, percentage of all rows (two decimals) and label of every category.
 
-    The total is taken over the aggregated table, one row per category.
+    The total is an aggregate of its own, one row that is joined back.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
-    shares = counts.withColumn("percentage", F.round(F.col("count") / total * 100, 2))
+    total = counts.agg(F.sum("count").alias("_total"))
+    share = F.round(F.col("count") / F.col("_total") * 100, 2)
+    shares = counts.crossJoin(F.broadcast(total)).select(column, "count", share.alias("percentage"))
     label: Column = (
         F.lit(NOT_IN_ONTOLOGY)
         if ontology is None
@@ -103,7 +104,10 @@ def category_table(df: DataFrame, column: str, ontology: Ontology | None = None)
 
 
 def token_counts(df: DataFrame, column: str = "sentence", columns: Sequence[str] = ()) -> DataFrame:
-    """Word frequencies of a text column, per group if ``columns`` are given."""
-    words = F.explode(F.split(F.lower(F.col(column)), r"\W+")).alias("token")
+    """Word frequencies of a text column, per group if ``columns`` are given.
+
+    Words are runs of letters, marks, digits and connectors of any alphabet.
+    """
+    words = F.explode(F.split(F.lower(F.col(column)), r"(?U)\W+")).alias("token")
     tokens = df.select(*columns, words).filter("token <> ''")
     return tokens.groupBy(*columns, "token").agg(F.count("*").alias("count"))

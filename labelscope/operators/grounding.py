@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelscope.functions.text import contains_text, present
 from labelscope.operators.coverage import PAGE
-from labelscope.operators.ranking import occurrence_number, row_order
+from labelscope.operators.ranking import occurrence_number, order_columns, row_order
 
 TEXTS = ("markdown_full", "cleaned_markdown")
 
@@ -23,6 +23,15 @@ OPEN_TAG = "<span style='background-color:#fff59d; padding:2px; border-radius:4p
 CLOSE_TAG = "</span>"
 
 
+def _first_rows(rows: DataFrame, source: DataFrame, page: Sequence[str], columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``columns`` of the first row of each page: its key from a narrow aggregate, the texts of that row alone by a join."""
+    first = rows.groupBy(*page).agg(F.min(row_order(rows, order)).alias("_first"))
+    keys = ["_first"] if len(order) == 1 else [f"_first.{c}" for c in order]
+    named = first.select(*page, *[F.col(k).alias(c) for k, c in zip(keys, order)])
+    found = source.select(*order, *columns)
+    return named.join(found, list(order)).select(*page, *columns)
+
+
 def page_texts(
     sentences: DataFrame,
     raw: DataFrame | None = None,
@@ -32,17 +41,15 @@ def page_texts(
 ) -> DataFrame:
     """Texts of each page as its first row has them.
 
-    The usual call is ``page_texts(raw)`` on the table of answers: map-side combining
-    leaves one text per page and task. To take the first row of *filtered* sentences,
-    pass them together with ``raw`` (one row per answer, unique ``row_id``): they only
-    give the first row id of each page, and the texts are fetched by that id.
+    The usual call is ``page_texts(raw)`` on the table of answers, whose ``row_id`` (or ``order``)
+    names a row. To take the first row of *filtered* sentences, pass them together with ``raw`` (one
+    row per answer): they only give the first row id of each page. Either way ids are
+    aggregated without a text, and only the texts of those ids are asked for.
     """
     rows = sentences.filter(present(*page))
     if raw is not None:
-        first = rows.groupBy(*page).agg(F.min("row_id").alias("row_id"))
-        return first.join(raw.select("row_id", *texts), "row_id").drop("row_id")
-    first = F.min_by(F.struct(*texts), row_order(sentences, order))
-    return rows.groupBy(*page).agg(first.alias("_t")).select(*page, *[f"_t.{t}" for t in texts])
+        return _first_rows(rows, raw, page, texts, ["row_id"])
+    return _first_rows(rows, sentences, page, texts, order_columns(sentences, order))
 
 
 def first_page_text(
@@ -52,8 +59,7 @@ def first_page_text(
     order: Sequence[str] | None = None,
 ) -> DataFrame:
     """First non-null text of each page."""
-    rows = sentences.filter(present(*page, text))
-    return rows.groupBy(*page).agg(F.min_by(text, row_order(sentences, order)).alias(text))
+    return _first_rows(sentences.filter(present(*page, text)), sentences, page, [text], order_columns(sentences, order))
 
 
 def grounded_in(sentence: Column, texts: Sequence[Column]) -> Column:
@@ -107,10 +113,13 @@ def sentence_presence(
 
 
 def sentence_audit(df: DataFrame, pages: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
-    """Every annotation row with its grounding flag."""
+    """Every annotation row with its grounding flag; each distinct sentence of a page is tested once."""
     columns = [*page, "sentence", "aspect", "sentiment", "model"]
     rows = df.select(*[c if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
-    return with_grounding(rows, pages, page)
+    distinct = rows.select(*page, "sentence").filter(present(*page, "sentence")).distinct()
+    flags = with_grounding(distinct, pages, page)
+    flagged = rows.join(flags, [*page, "sentence"], "left")
+    return flagged.select(*columns, F.coalesce("grounded", F.lit(False)).alias("grounded"))
 
 
 def grounded_sentences(audit: DataFrame) -> DataFrame:
@@ -171,13 +180,14 @@ def _may_change(text: Column, sentence: Column) -> Column:
     """False only for sentences the highlighter can never find in this text.
 
     A sentence that is not in the text itself can still match once markup has been
-    put in, but then it reaches into the markup: it holds an angle bracket, starts
-    with the end of an opening tag (``[12] ``, ``2] `` or a blank), or lies inside a tag.
+    put in, but then it reaches into the markup: it holds an angle bracket, starts with the end of
+    an opening tag (``[12] ``, ``2] `` or a blank) before words of the text, or lies inside a tag.
     """
+    after_tag = F.regexp_replace(sentence, r"^(\[?\d*\])? ", "")
     touches_markup = (
         sentence.contains("<")
         | sentence.contains(">")
-        | sentence.rlike(r"^(\[?\d*\])? ")
+        | (sentence.rlike(r"^(\[?\d*\])? ") & contains_text(text, after_tag))
         | sentence.rlike(r"^\[?\d*\]? ?$")
         | F.contains(F.lit(OPEN_TAG + CLOSE_TAG), sentence)
     )

@@ -6,19 +6,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelscope.defaults import OTHER
 from labelscope.functions.text import fold, strip
-from labelscope.sources.ontologies import ASPECTS, SENTIMENTS, TONES, Ontology, alias_dim
+from labelscope.sources.ontologies import ASPECTS, SENTIMENTS, TONES, Ontology
 
 ONTOLOGIES = {"aspect_category": ASPECTS, "sentiment": SENTIMENTS, "tone": TONES}
 
 
 def normalize_labels(
-    df: DataFrame, ontologies: dict[str, Ontology | None] = ONTOLOGIES, keep_raw: bool = False
+    df: DataFrame, ontologies: dict[str, Ontology | DataFrame | None] = ONTOLOGIES, keep_raw: bool = False
 ) -> DataFrame:
     """Adds ``<column>_norm`` for every given column, and ``<column>_raw`` on request.
 
     ``None`` in place of an ontology means plain clean-up: trimmed and upper-cased.
-    A small ontology is a literal map inside the projection; a larger one is left
-    joined, and Catalyst decides on the broadcast from its size.
+    An ``Ontology`` is a literal map inside the projection. A dimension table (``alias_dim``,
+    ``ontology_table``) is left joined, and Catalyst decides on the broadcast from its size.
     """
     for column, ontology in ontologies.items():
         norm, value = f"{column}_norm", F.col(column)
@@ -26,10 +26,10 @@ def normalize_labels(
             df = df.withColumn(f"{column}_raw", value)
         if ontology is None:
             df = df.withColumn(norm, F.upper(strip(value)))
-        elif ontology.small:
+        elif isinstance(ontology, Ontology):
             df = df.withColumn(norm, ontology.code_of(value))
         else:
-            dim = alias_dim(df.sparkSession, ontology).select(
+            dim = ontology.select(
                 F.col("alias_key").alias("_key"), F.col("canonical").alias(norm)
             )
             df = (

@@ -37,7 +37,7 @@ def parse_annotations(
     """One row per annotation; an answer without any keeps one row with NULL annotation columns.
 
     Input columns stay, ``pos`` numbers the annotations of an answer, keys outside
-    ``fields`` are kept in the VARIANT ``extras``. A field whose name the input
+    ``fields``, and values that do not fit their field, are kept in the VARIANT ``extras``. A field whose name the input
     already uses gets the prefix ``ann_``. No shuffle: the plan is scan, projection,
     generate, projection, and columns nobody reads are pruned from all of it.
     """
@@ -47,13 +47,14 @@ def parse_annotations(
         .select(*metadata, F.posexplode_outer("_objects").alias("pos", "_annotation"))
         .withColumn("_typed", ann.typed(annotation, fields))
     )
-    parsed = []
+    parsed, values = [], {}
     for name, kind in fields.items():
         value = F.col(f"_typed.`{name}`")
         if kind == "string":
             value = ann.scalar_text(annotation, name, value)
+        values[name] = value
         parsed.append(value.alias(f"ann_{name}" if name in metadata else name))
-    extras = ann.other_fields(annotation, list(fields)).alias("extras")
+    extras = ann.other_fields(annotation, values).alias("extras")
     return exploded.select(*metadata, "pos", *parsed, extras)
 
 
@@ -67,11 +68,21 @@ def parse_report(df: DataFrame, text: str = "text", required: Sequence[str] = ("
 
 
 def extra_keys(sentences: DataFrame) -> DataFrame:
-    """Keys outside the known fields, with the number of annotations that carry them."""
+    """Keys outside the known fields, with the number of annotations that carry them.
+
+    A known key counts where its value has another type than its field.
+    """
     keys = F.explode(F.map_keys(F.col("extras").try_cast("map<string,variant>")))
     return sentences.select(keys.alias("key")).groupBy("key").agg(F.count("*").alias("count"))
 
 
+def mistyped_fields(sentences: DataFrame, fields: dict[str, str] = ANNOTATION_FIELDS) -> DataFrame:
+    """Values of known fields that did not fit their type, as JSON, with the number of annotations."""
+    entries = F.explode(F.col("extras").try_cast("map<string,variant>")).alias("key", "value")
+    found = sentences.select(entries).filter(F.col("key").isin(list(fields)))
+    return found.groupBy("key", F.to_json("value").alias("value")).agg(F.count("*").alias("count"))
+
+
 def with_provider(df: DataFrame, model: str = "model") -> DataFrame:
     return df.withColumn("provider", provider(F.col(model)))
 

@@ -57,10 +57,16 @@ def occurrence_number(
     )
 
 
-def row_order(df: DataFrame, order: Sequence[str] | None = None) -> Column:
-    """The column (or struct) that stands for the row order of the source table."""
+def order_columns(df: DataFrame, order: Sequence[str] | None = None) -> list[str]:
+    """The columns that stand for the row order of the source table."""
     if order is None:
         order = [c for c in ("row_id", "pos") if c in df.columns]
     if not order:
         raise ValueError("the table has no row_id; pass the ordering columns")
+    return list(order)
+
+
+def row_order(df: DataFrame, order: Sequence[str] | None = None) -> Column:
+    """The row order as one column, a struct if it has several."""
+    order = order_columns(df, order)
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)

@@ -6,7 +6,9 @@ column wide, and only raw scores come back. Decoding is native.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,6 +22,20 @@ TwoHeadScorer = Callable[[list[str]], tuple[list[list[float]], list[list[float]]
 # texts -> one list of (label, score) per text
 Classifier = Callable[[list[str]], list[list[tuple[str, float]]]]
 
+# Loaded scorers of this Python worker, which serves many tasks; by plan and model id.
+_LOADED: dict[tuple[str, str], Any] = {}
+
+
+def _once(plan: str, model_id: str, load: Callable[[], Any]) -> Any:
+    """What ``load`` gives, called once per worker; a failure is kept too, as its text."""
+    if (plan, model_id) not in _LOADED:
+        try:
+            _LOADED[plan, model_id] = load()
+        except Exception as error:
+            _LOADED[plan, model_id] = str(error)
+    return _LOADED[plan, model_id]
+
+
 LOAD_ERROR = "LOAD_ERROR"
 INFER_ERROR = "INFER_ERROR"
 
@@ -39,21 +55,24 @@ def score_texts(
 ) -> DataFrame:
     """Adds ``sentiment``, ``tone``, ``sentiment_scores`` and ``tone_scores``.
 
-    ``load`` is called once per task and returns the scorer.
+    ``load`` is called once per Python worker and returns the scorer.
     """
+    plan = uuid.uuid4().hex
 
     @F.pandas_udf("sentiment array<double>, tone array<double>")
     def logits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        score = load()
+        score = _once(plan, "", load)
+        if isinstance(score, str):
+            raise RuntimeError(score)
         for batch in batches:
             sentiment, tone = score(batch.fillna("").tolist())
             yield pd.DataFrame({"sentiment": list(sentiment), "tone": list(tone)})
 
     scored = df.withColumn("_logits", logits(F.col(text)))
     for head, classes in (("sentiment", sentiment_classes), ("tone", tone_classes)):
-        scored = scored.withColumn(f"{head}_scores", softmax(F.col(f"_logits.{head}"))).withColumn(
-            head, best_class(F.col(f"{head}_scores"), list(classes))
-        )
+        scores, _ = decode_scores(F.col(f"_logits.{head}"), classes)
+        scored = scored.withColumn(f"{head}_scores", scores)
+        scored = scored.withColumn(head, best_class(F.col(f"{head}_scores"), list(classes)))
     return scored.drop("_logits")
 
 
@@ -76,27 +95,22 @@ def score_models(
     """All labels and scores every model gives to every text.
 
     ``models`` are (name, id) pairs, ``load`` turns an id into a classifier, once per
-    task. The output has the input columns and ``model_name, model_id, label, score,
+    Python worker. The output has the input columns and ``model_name, model_id, label, score,
     error``. A model that cannot be loaded, or a text it fails on, gives an error row
     and never a failed task. Each text travels to Python once, whatever the number
     of models.
     """
+    plan = uuid.uuid4().hex
 
     @F.pandas_udf(
         "array<struct<model_name string, model_id string, label string, score double, error string>>"
     )
     def results(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        loaded: dict[str, Classifier | str] = {}
         for batch in batches:
             texts = batch.fillna("").tolist()
             rows: list[list[tuple]] = [[] for _ in texts]
             for name, model_id in models:
-                if model_id not in loaded:
-                    try:
-                        loaded[model_id] = load(model_id)
-                    except Exception as error:
-                        loaded[model_id] = str(error)
-                classifier = loaded[model_id]
+                classifier = _once(plan, model_id, lambda: load(model_id))
                 if isinstance(classifier, str):
                     for row in rows:
                         row.append((name, model_id, LOAD_ERROR, None, classifier))

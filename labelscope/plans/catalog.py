@@ -95,7 +95,7 @@ def oracle_sql() -> dict[str, str]:
     views["sent_index"] = """
         SELECT filename, page_number, sentence,
                row_number() OVER (PARTITION BY filename, page_number ORDER BY f) AS "index"
-        FROM (SELECT filename, page_number, sentence, min(row_id * 4 + pos) AS f FROM ground
+        FROM (SELECT filename, page_number, sentence, min(row_id * 1000000 + pos) AS f FROM ground
               WHERE sentence IS NOT NULL GROUP BY ALL) AS x"""
     views["flagged"] = """
         SELECT g.*, coalesce(contains(markdown_full, sentence) OR contains(cleaned_markdown, sentence), FALSE) AS grounded
@@ -158,7 +158,8 @@ def annotation_scan(d: Derived) -> DataFrame:
 def first_available_source(d: Derived) -> DataFrame:
     path = shared_path(d.spark, "labels_csv")
     sinks.write_csv(d.lab.select("aspect_category", "sentiment", "tone"), path)
-    candidates = [("uploaded", None), ("remote", path + "-absent"), ("local", path)]
+    broken = "nowhere://no-such-store/labels.csv"  # a file system that cannot be opened
+    candidates = [("uploaded", None), ("remote", path + "-absent"), ("store", broken), ("local", path)]
     df, _ = tables.read_first_available(d.spark, candidates)
     tables.validate_columns(df, ["aspect_category", "sentiment", "tone"])
     return df.groupBy(F.col("source_tag").alias("tag")).agg(F.count("*").alias("rows"))
@@ -168,12 +169,17 @@ def first_available_source(d: Derived) -> DataFrame:
 SELECT 'aspect' AS kind, code AS name, count(aspect_category_norm) AS count, {label_case("code", ASPECTS)} AS label
 FROM {order_values(ASPECTS)} LEFT JOIN nlab ON aspect_category_norm = code GROUP BY ALL
 UNION ALL
+SELECT 'sentiment' AS kind, code AS name, count(sentiment_norm) AS count, {label_case("code", SENTIMENTS)} AS label
+FROM {order_values(SENTIMENTS)} LEFT JOIN nlab ON sentiment_norm = code GROUP BY ALL
+UNION ALL
 SELECT 'tone' AS kind, code AS name, count(tone_norm) AS count, {label_case("code", TONES)} AS label
 FROM {order_values(TONES)} LEFT JOIN nlab ON tone_norm = code GROUP BY ALL""")
 def label_summary_export(d: Derived) -> DataFrame:
     """The summaries as written to JSON records and read again."""
     path = shared_path(d.spark, "summaries")
-    kinds = {"aspect": ("aspect_category_norm", ASPECTS), "tone": ("tone_norm", TONES)}
+    kinds = {
+        "aspect": ("aspect_category_norm", ASPECTS), "sentiment": ("sentiment_norm", SENTIMENTS), "tone": ("tone_norm", TONES)
+    }
     sinks.write_label_summaries(
         {k: distributions.label_summary(d.labelled, c, "name", o) for k, (c, o) in kinds.items()}, path
     )
@@ -183,7 +189,19 @@ def label_summary_export(d: Derived) -> DataFrame:
         .select(F.lit(k).alias("kind"), "*")
         for k in kinds
     ]
-    return found[0].unionByName(found[1])
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+_OBJECTS = "'{{\"name\":\"' || code || '\",\"count\":' || n || ',\"label\":\"' || label || '\"}}'"
+
+
+@query(f"""SELECT '[' || string_agg({_OBJECTS.format()}, ',' ORDER BY ord) || ']' AS document FROM (
+SELECT code, ord, count(tone_norm) AS n, {label_case("code", TONES)} AS label
+FROM {order_values(TONES)} LEFT JOIN nlab ON tone_norm = code GROUP BY ALL) AS x""")
+def label_summary_document(d: Derived) -> DataFrame:
+    """A summary as one JSON document."""
+    table = distributions.label_distribution(d.labelled, "tone_norm", TONES)
+    return sinks.records_document(table.select(F.col("tone_norm").alias("name"), "count", "label", "ord"), "ord")
 
 
 @query("SELECT sentiment_norm AS code, count(*) AS rows FROM nlab GROUP BY ALL")
@@ -198,6 +216,25 @@ def ontology_file(d: Derived) -> DataFrame:
     return rows.groupBy(F.col("sentiment_norm").alias("code")).agg(F.count("*").alias("rows"))
 
 
+@query("SELECT sentiment_norm AS code, count(*) AS rows FROM nlab GROUP BY ALL")
+def ontology_table(d: Derived) -> DataFrame:
+    """The same by a join with the document read as a table."""
+    document = {c: {"label": t, "aliases": a} for c, (t, a) in defaults.SENTIMENT_ONTOLOGY.items()}
+    path = shared_path(d.spark, "ontology")
+    d.spark.createDataFrame([(json.dumps(document),)], "value string").coalesce(1).write.text(path)
+    rows = labels.normalize_labels(d.lab, {"sentiment": ontologies.ontology_table(d.spark, f"{path}/*.txt")})
+    return rows.groupBy(F.col("sentiment_norm").alias("code")).agg(F.count("*").alias("rows"))
+
+
+@query(f"SELECT aspect_cluster, count(*) AS rows FROM (SELECT {cluster_case('aspect', defaults.SIX_CLUSTERS)} AS aspect_cluster FROM lab) AS x GROUP BY ALL")
+def cluster_file(d: Derived) -> DataFrame:
+    """Aspects clustered by a table read from its JSON document."""
+    path = shared_path(d.spark, "clusters")
+    d.spark.createDataFrame([(json.dumps(defaults.SIX_CLUSTERS),)], "value string").coalesce(1).write.text(path)
+    rows = clustering.cluster_aspects(d.lab, clusters=ontologies.load_clusters(d.spark, f"{path}/*.txt"))
+    return rows.groupBy("aspect_cluster").agg(F.count("*").alias("rows"))
+
+
 @query("SELECT * FROM ordlab ORDER BY row_id LIMIT 30")
 def preview_rows(d: Derived) -> DataFrame:
     return tables.preview(d.ordlab, 30)
@@ -219,11 +256,19 @@ def parsed_sentences(d: Derived) -> DataFrame:
     return parsing.sentence_table(d.sentences, wanted)
 
 
-@query("SELECT 'meta' AS key, count(*) AS count FROM parsed WHERE pos = 0")
+@query("""SELECT key, count(*) AS count FROM (SELECT unnest(CASE WHEN mistyped THEN ['meta', 'sentiment', 'confidence']
+ELSE ['meta'] END) AS key FROM parsed WHERE pos = 0) AS x GROUP BY key""")
 def extra_annotation_keys(d: Derived) -> DataFrame:
     return parsing.extra_keys(d.sentences)
 
 
+@query("""SELECT 'confidence' AS key, '"high"' AS value, count(*) AS count FROM parsed WHERE mistyped
+UNION ALL SELECT 'sentiment', '{"label":"' || o_orderstatus || '"}', count(*) FROM parsed WHERE mistyped GROUP BY o_orderstatus""")
+def mistyped_fields(d: Derived) -> DataFrame:
+    """Values of known fields that are of another type than the field."""
+    return parsing.mistyped_fields(d.sentences)
+
+
 @query("SELECT count(*) AS records FROM parsed")
 def record_count(d: Derived) -> DataFrame:
     return tables.record_count(d.sentences)
@@ -339,7 +384,7 @@ def top_ontology_uris(d: Derived) -> DataFrame:
 
 
 @query("""SELECT source, token, count(*) AS count
-FROM (SELECT source, unnest(regexp_split_to_array(lower(text), '[^0-9A-Za-z_]+')) AS token FROM documents) AS x
+FROM (SELECT source, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]+')) AS token FROM documents) AS x
 WHERE token <> '' GROUP BY ALL""")
 def token_counts(d: Derived) -> DataFrame:
     return distributions.token_counts(d.documents, "text", ["source"])
@@ -465,11 +510,33 @@ def model_page_matrix(d: Derived) -> DataFrame:
     return coverage.model_page_matrix(d.ground, MODELS)
 
 
-_FIRST = f"""(SELECT {PAGE}, sentence, model, arg_min(sentiment, row_id * 4 + pos) AS sentiment FROM ground
+@query("SELECT DISTINCT model FROM ground")
+def model_list(d: Derived) -> DataFrame:
+    """The names that wide tables get as columns."""
+    return d.spark.createDataFrame([(m,) for m in coverage.model_list(d.ground)], "model string")
+
+
+@query(f"SELECT {PAGE}, " + ", ".join(
+    f"count(sentence) FILTER (model = '{m}') AS \"{m}\"" for m in MODELS) + " FROM ground GROUP BY ALL")
+def model_page_matrix_found(d: Derived) -> DataFrame:
+    """The wide table with the columns that the data name."""
+    return coverage.model_page_matrix(d.ground, coverage.model_list(d.ground))
+
+
+@query("""SELECT DISTINCT "column", value FROM (SELECT unnest(['model', 'provider']) AS "column",
+unnest([model, CASE WHEN contains(model, '/') THEN split_part(model, '/', 1) ELSE 'unknown' END]) AS value
+FROM raw WHERE filename = 'doc_7.pdf' AND page_number = 16) AS x""")
+def page_filter_options(d: Derived) -> DataFrame:
+    """The models and providers to choose from on one page."""
+    page = parsing.with_provider(filters.drill_down(d.raw, filename="doc_7.pdf", page_number="16"))
+    return filters.filter_options(page, ["model", "provider"])
+
+
+_FIRST = f"""(SELECT {PAGE}, sentence, model, arg_min(sentiment, row_id * 1000000 + pos) AS sentiment FROM ground
 WHERE sentiment IS NOT NULL AND sentence IS NOT NULL GROUP BY ALL)"""
 # arg_min skips NULL values, so the first row of a provider is found by its number
 _FIRST_OF_PROVIDER = f"""(SELECT {PAGE}, sentence, model, sentiment FROM (SELECT *, row_number() OVER (
-PARTITION BY {PAGE}, sentence, model ORDER BY row_id * 4 + pos) AS r FROM ground
+PARTITION BY {PAGE}, sentence, model ORDER BY row_id * 1000000 + pos) AS r FROM ground
 WHERE sentence IS NOT NULL AND model LIKE 'alpha/%') AS q WHERE r = 1 AND sentiment IS NOT NULL)"""
 
 
@@ -614,7 +681,7 @@ for _name, _table in (("", defaults.CLUSTERS), ("_short", defaults.SIX_CLUSTERS)
     query(
         f"SELECT aspect, aspect_cluster, count(*) AS count FROM (SELECT aspect, {_case} AS aspect_cluster FROM lab) AS x GROUP BY ALL",
         f"clustered_rows{_name}",
-    )(lambda d, t=_table: clustering.cluster_aspects(d.lab_spread, clusters=t)
+    )(lambda d, t=_table: clustering.cluster_aspects(d.lab, clusters=t)
       .groupBy("aspect", "aspect_cluster").agg(F.count("*").alias("count")))
     query(
         f"""SELECT {_case} AS aspect_cluster, count(*) AS count,
@@ -622,6 +689,15 @@ for _name, _table in (("", defaults.CLUSTERS), ("_short", defaults.SIX_CLUSTERS)
         f"top_clusters{_name}",
     )(lambda d, t=_table: clustering.top_clusters(d.lab, 10, clusters=t))
 
+_FOLDED = {name: [w.lower() for w in words] for name, words in defaults.CLUSTERS.items()}
+
+
+@query(f"SELECT aspect, {cluster_case('aspect', _FOLDED)} AS aspect_cluster, count(*) AS count FROM lab GROUP BY ALL")
+def clustered_rows_casefold(d: Derived) -> DataFrame:
+    rows = clustering.cluster_aspects(d.lab, casefold_keywords=True)
+    return rows.groupBy("aspect", "aspect_cluster").agg(F.count("*").alias("count"))
+
+
 _CLUSTER = cluster_case("aspect", defaults.CLUSTERS)
 
 

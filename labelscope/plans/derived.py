@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelscope.operators.labels import normalize_labels
 from labelscope.operators.parsing import parse_annotations, with_provider
-from labelscope.session import configure, spread
+from labelscope.session import configure
 
 # Flat labels, one row per line item.
 LAB = """
@@ -59,9 +59,10 @@ SELECT row_id, filename, page_number, model,
          WHEN 4 THEN '[{"sentence": "no aspect here"}]'
          WHEN 5 THEN 'none'
          WHEN 6 THEN concat('{"sentence": "replaced", ', substr(a1, 2))
-         ELSE concat(a1, ' y ', a2) END AS text
+         WHEN 7 THEN CASE WHEN o_custkey % 3 = 0 THEN a3 ELSE concat(a1, ' y ', a2) END
+         END AS text
 FROM (
-  SELECT o_orderkey AS row_id, o_orderkey % 8 AS form,
+  SELECT o_orderkey AS row_id, o_custkey, o_orderkey % 8 AS form,
          concat('doc_', CAST(o_custkey % 20 AS STRING), '.pdf') AS filename,
          o_orderkey % 50 AS page_number,
          CASE o_orderkey % 3 WHEN 0 THEN 'alpha/m1' WHEN 1 THEN 'alpha/m2' ELSE 'beta' END AS model,
@@ -75,45 +76,50 @@ FROM (
                    WHEN 3 THEN 'neutral' ELSE 'zzz' END,
                 '", "confidence": ', CAST(CAST(o_orderkey % 8 AS DOUBLE) / 8 AS STRING), ', "meta": {"k": 3}}') AS a1,
          concat('{"sentence": "status ', o_orderstatus, ' of ', CAST(o_custkey % 31 AS STRING),
-                '", "aspect": null, "aspect_category": "G", "sentiment": "good", "tone": "impact"}') AS a2
+                '", "aspect": null, "aspect_category": "G", "sentiment": "good", "tone": "impact"}') AS a2,
+         concat('{"sentence": "mistyped", "aspect": "x", "sentiment": {"label": "', o_orderstatus,
+                '"}, "confidence": "high", "tone": "zzz", "meta": {"k": 3}}') AS a3
   FROM $orders
 ) AS parts
 """
 
 # What the answers of RAW hold, straight from the orders.
 PARSED = """
-SELECT row_id, filename, page_number, model, pos,
-       CASE WHEN pos = 0 THEN concat('order ', CAST(row_id % 97 AS STRING), ' is ', o_orderpriority)
+SELECT row_id, filename, page_number, model, pos, mistyped, o_orderstatus,
+       CASE WHEN mistyped THEN 'mistyped' WHEN pos = 0 THEN concat('order ', CAST(row_id % 97 AS STRING), ' is ', o_orderpriority)
             WHEN pos = 1 THEN concat('status ', o_orderstatus, ' of ', CAST(o_custkey % 31 AS STRING)) END AS sentence,
-       CASE WHEN pos = 0 THEN CASE o_orderpriority WHEN '1-URGENT' THEN 'Board diversity'
+       CASE WHEN mistyped THEN 'x' WHEN pos = 0 THEN CASE o_orderpriority WHEN '1-URGENT' THEN 'Board diversity'
                    WHEN '2-HIGH' THEN 'water [recycling]' ELSE 'other matters' END END AS aspect,
-       CASE WHEN pos = 0 THEN CASE o_orderpriority WHEN '1-URGENT' THEN 'ENV' WHEN '2-HIGH' THEN ' soc '
+       CASE WHEN mistyped THEN NULL WHEN pos = 0 THEN CASE o_orderpriority WHEN '1-URGENT' THEN 'ENV' WHEN '2-HIGH' THEN ' soc '
                    WHEN '3-MEDIUM' THEN 'GOV' WHEN '4-NOT SPECIFIED' THEN 'E/S' ELSE '??' END
             WHEN pos = 1 THEN 'G' END AS aspect_category,
-       CASE WHEN pos = 0 THEN CASE o_orderstatus WHEN 'F' THEN 'negative' WHEN 'O' THEN 'POS' END
+       CASE WHEN mistyped THEN NULL WHEN pos = 0 THEN CASE o_orderstatus WHEN 'F' THEN 'negative' WHEN 'O' THEN 'POS' END
             WHEN pos = 1 THEN 'good' END AS sentiment,
-       CASE WHEN pos = 0 THEN CASE o_custkey % 5 WHEN 0 THEN 'initiative' WHEN 1 THEN 'Pledge' WHEN 2 THEN 'result'
+       CASE WHEN mistyped THEN 'zzz' WHEN pos = 0 THEN CASE o_custkey % 5 WHEN 0 THEN 'initiative' WHEN 1 THEN 'Pledge' WHEN 2 THEN 'result'
                    WHEN 3 THEN 'neutral' ELSE 'zzz' END
             WHEN pos = 1 THEN 'impact' END AS tone,
-       CASE WHEN pos = 0 THEN CAST(row_id % 8 AS DOUBLE) / 8 END AS confidence
+       CASE WHEN pos = 0 AND NOT mistyped THEN CAST(row_id % 8 AS DOUBLE) / 8 END AS confidence
 FROM (
-  SELECT o.*, o_orderkey AS row_id, concat('doc_', CAST(o_custkey % 20 AS STRING), '.pdf') AS filename,
+  SELECT o.*, o_orderkey % 8 = 7 AND o_custkey % 3 = 0 AS mistyped, o_orderkey AS row_id, concat('doc_', CAST(o_custkey % 20 AS STRING), '.pdf') AS filename,
          o_orderkey % 50 AS page_number,
          CASE o_orderkey % 3 WHEN 0 THEN 'alpha/m1' WHEN 1 THEN 'alpha/m2' ELSE 'beta' END AS model,
-         unnest(CASE WHEN o_orderkey % 8 IN (0, 2) THEN [0, 1] WHEN o_orderkey % 8 IN (1, 6) THEN [0] ELSE [NULL] END) AS pos
+         unnest(CASE WHEN o_orderkey % 8 IN (0, 2) THEN [0, 1] WHEN o_orderkey % 8 IN (1, 6)
+                     OR (o_orderkey % 8 = 7 AND o_custkey % 3 = 0) THEN [0] ELSE [NULL] END) AS pos
   FROM orders o
 ) AS x
 """
 
-# Sentences cut from documents. A document is the answer of one model; documents of one source
-# with close ids share a page, whose text is that of the first, so few pages have all models.
-GROUND = """
+# Sentences cut from documents: each whole text in pieces of SENTENCE_CHARS, some of them altered. A document is the
+# answer of one model; documents of one source with close ids share a page, whose text is
+# that of the first, so few pages have all models.
+SENTENCE_CHARS = 90
+GROUND = f"""
 SELECT doc_id AS row_id, k AS pos, source AS filename, CAST(floor(doc_id / 60) AS BIGINT) AS page_number,
        CASE doc_id % 7 WHEN 0 THEN 'alpha/m2' WHEN 1 THEN 'alpha/m2' WHEN 2 THEN 'beta' ELSE 'alpha/m1' END AS model,
-       CASE WHEN k = 2 AND doc_id % 9 = 0 THEN NULL
-            WHEN k = 3 AND doc_id % 2 = 0 THEN concat(substr(text, 1, 40), '#')
-            WHEN k = 3 THEN substr(text, 1, 6)
-            ELSE substr(text, CAST(1 + (doc_id * 7 + k * 13) % 50 AS INT), 40) END AS sentence,
+       CASE WHEN k % 4 = 2 AND doc_id % 9 = 0 THEN NULL
+            WHEN k % 4 = 3 AND doc_id % 2 = 0 THEN concat(substr(text, CAST(k * {SENTENCE_CHARS} + 1 AS INT), {SENTENCE_CHARS}), '#')
+            WHEN k % 32 = 7 THEN substr(text, CAST(k * {SENTENCE_CHARS} + 1 AS INT), 6)
+            ELSE substr(text, CAST(k * {SENTENCE_CHARS} + 1 AS INT), {SENTENCE_CHARS}) END AS sentence,
        lang AS aspect,
        CASE (doc_id + k) % 4 WHEN 0 THEN 'positive' WHEN 1 THEN NULL WHEN 2 THEN 'negative' ELSE 'neutral' END AS sentiment
 FROM $documents_by_k
@@ -131,21 +137,18 @@ SELECT d.doc_id AS row_id, text AS sentence, lang AS aspect_category,
        CAST(d.doc_id % 10 AS DOUBLE) / 10 AS confidence
 FROM $documents d JOIN $labels l ON d.doc_id = l.doc_id
 """
+# Predictions for the same documents; the sentence of some is another one, and some come twice.
 PRED = """
-SELECT d.doc_id AS row_id, text AS sentence,
+SELECT d.doc_id + 1000000000 * copy AS row_id, CASE WHEN d.doc_id % 10 = 3 THEN concat(text, ' !') ELSE text END AS sentence,
        CASE WHEN d.doc_id % 11 = 0 THEN ' en ' ELSE lang END AS aspect_category,
        CASE WHEN toxic = 1 OR n_chars % 5 = 0 THEN 'bad' ELSE 'good' END AS sentiment,
        CASE WHEN d.doc_id % 13 = 0 THEN NULL ELSE source END AS tone,
        CAST(d.doc_id % 7 AS DOUBLE) / 7 AS confidence
 FROM $documents d JOIN $labels l ON d.doc_id = l.doc_id
-WHERE lang <> 'es'
+JOIN (SELECT 0 AS copy UNION ALL SELECT 1 AS copy) AS copies ON copy = 0 OR d.doc_id % 5 = 1
 """
 
 
-# Driving tables of row-wise work that is worth spreading over the cores.
-HEAVY = ("orders", "documents")
-
-
 class Derived:
     """The derived tables over one data folder; nothing runs before it is read."""
 
@@ -158,26 +161,20 @@ class Derived:
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         names = {}
-        for i, name in enumerate(Template(text).get_identifiers()):
+        for name in Template(text).get_identifiers():
             df = frames[name] if name in frames else self.table(name)
-            df = spread(df) if i == 0 and name in HEAVY else df
             names[name] = f"labelscope_{name}_{zlib.crc32(self.folder.encode())}"
             df.createOrReplaceTempView(names[name])
         return self.spark.sql(Template(text).substitute(names))
 
     @cached_property
     def documents(self) -> DataFrame:
-        return spread(self.table("documents"))
+        return self.table("documents")
 
     @cached_property
     def lab(self) -> DataFrame:
         return self.sql(LAB)
 
-    @cached_property
-    def lab_spread(self) -> DataFrame:
-        """``lab`` for row-wise work that costs CPU."""
-        return self.sql(LAB, lineitem=spread(self.table("lineitem")))
-
     @cached_property
     def labelled(self) -> DataFrame:
         return normalize_labels(self.lab)
@@ -200,7 +197,8 @@ class Derived:
 
     @cached_property
     def ground(self) -> DataFrame:
-        by_k = self.documents.withColumn("k", F.explode(F.array(*map(F.lit, range(4)))))
+        last = F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / SENTENCE_CHARS).cast("int")
+        by_k = self.documents.withColumn("k", F.explode(F.sequence(F.lit(0), F.coalesce(last, F.lit(0)))))
         return self.sql(GROUND, documents_by_k=by_k)
 
     @cached_property
@@ -220,7 +218,10 @@ def oracle_views() -> dict[str, str]:
     """The same tables for the checking database, by name."""
     plain = ("documents", "labels", "orders", "part", "lineitem")
     names = {n: n for n in plain}
-    names["documents_by_k"] = "(SELECT d.*, unnest([0, 1, 2, 3]) AS k FROM documents d) AS dk"
+    names["documents_by_k"] = (
+        f"(SELECT d.*, CAST(unnest(range((greatest(coalesce(length(text), 0), 1) - 1) // {SENTENCE_CHARS} + 1)) AS INT) AS k "
+        "FROM documents d) AS dk"
+    )
     texts = {
         "lab": LAB, "ordlab": ORDLAB, "raw": RAW, "parsed": PARSED, "ground": GROUND,
         "ground_raw": DOCS_TEXT, "gt": GT, "pred": PRED,

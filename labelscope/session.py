@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime SQL settings the operators count on; none of them fixes a cluster size.
 RUNTIME_CONF = {
@@ -16,6 +15,8 @@ RUNTIME_CONF = {
     # Also where the next aggregate counts on the partitioning of the join: its partial
     # results are then exchanged once more, which is little beside one overfull task.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The few rows a join is after may be many: let their Bloom filter thin a large scan ahead of the exchange.
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
     # A repeated JSON key counts once, with its last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
@@ -43,17 +44,13 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return configure(spark)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistributes the rows of a scan that has fewer splits than there are cores.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Meant for small inputs, such as a file of one row group, ahead of work that
-    costs CPU. A scan of many splits, as at any real size, is left as it is.
+    Without that setting, the checkpoint folder of the context counts; without either there
+    is no folder that all of them see, and nothing is written.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder ``spark.checkpoint.dir`` names; local only if that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="labelscope-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

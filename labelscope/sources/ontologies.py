@@ -12,11 +12,6 @@ from labelscope.defaults import OTHER, WHITE_SPACE
 from labelscope.functions.text import fold
 from labelscope.sources.local import local_table
 
-# An ontology or cluster table is a hand-written document; anything larger is a mistake.
-MAX_DOCUMENT_BYTES = 8 << 20
-# Up to this many aliases a literal map inside the projection beats a join.
-MAX_LITERAL_ALIASES = 256
-
 
 @dataclass(frozen=True)
 class Ontology:
@@ -37,10 +32,6 @@ class Ontology:
     def order(self) -> list[str]:
         return list(self.labels)
 
-    @property
-    def small(self) -> bool:
-        return len(self.aliases) <= MAX_LITERAL_ALIASES
-
     def code_of(self, value: Column) -> Column:
         """Code of a free-text label; unknown and missing labels give ``OTHER``.
 
@@ -76,17 +67,35 @@ def alias_dim(spark: SparkSession, ontology: Ontology) -> DataFrame:
     return local_table(spark, rows, "alias_key string, canonical string, label string, ord int")
 
 
+def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON document as a row with the column ``d``."""
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d"))
+
+
+def ontology_table(spark: SparkSession, path: str) -> DataFrame:
+    """An ontology document as a dimension table (see ``alias_dim``), for joins; it never reaches the driver.
+
+    ``{code: {"label": ..., "aliases": [...]}}``; on a repeated alias the later code wins.
+    """
+    codes = _document(spark, path, "map<string, struct<label: string, aliases: array<string>>>").select(
+        F.posexplode("d").alias("ord", "canonical", "entry")
+    )
+    code = F.struct("ord", "canonical", F.coalesce("entry.label", "canonical").alias("label")).alias("code")
+    aliases = codes.select(F.explode("entry.aliases").alias("alias"), code).withColumn("alias_key", fold(F.col("alias")))
+    last = aliases.filter(F.col("alias_key").isNotNull()).groupBy("alias_key").agg(F.max("code").alias("code"))
+    return last.select("alias_key", "code.canonical", "code.label", "code.ord")
+
+
 def _read_document(spark: SparkSession, path: str) -> dict:
-    """One small JSON document from any file system; its size is checked before it is fetched."""
-    found = spark.read.format("binaryFile").load(path).select("length", "content")
-    sizes = [r.length for r in found.select("length").limit(2).collect()]
-    if len(sizes) != 1 or sizes[0] > MAX_DOCUMENT_BYTES:
-        raise ValueError(f"{path}: expected one JSON document of at most {MAX_DOCUMENT_BYTES} bytes")
-    return json.loads(bytes(found.first().content).decode("utf-8"))
+    """A JSON document in the driver: for tables that become part of the plan."""
+    found = spark.read.text(path, wholetext=True).take(2)
+    if len(found) != 1:
+        raise ValueError(f"{path}: expected one JSON document")
+    return json.loads(found[0].value)
 
 
 def load_ontology(spark: SparkSession, path: str) -> Ontology:
-    """``{code: {"label": ..., "aliases": [...]}}``; on a repeated alias the later code wins."""
+    """An ontology document as a literal of the plan; for large ones see ``ontology_table``."""
     document = _read_document(spark, path)
     return Ontology.of(
         {code: (meta.get("label", code), meta.get("aliases", [])) for code, meta in document.items()}

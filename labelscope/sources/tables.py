@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from labelscope.functions.text import null_if_na
-from labelscope.sources.local import local_table
 
 # Types of the known columns of a raw annotation table; all others stay text.
 RAW_TYPES = {"page_number": "bigint"}
 
-ROOT_SLASHES = r":/+"
-
-# Files are numbered through a broadcast table of their paths, a few MB at this limit.
-MAX_NUMBERED_FILES = 10_000
-
 
 def normalize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower() for c in df.columns])
@@ -56,11 +50,12 @@ def _typed(value: Column, kind: str) -> Column:
 def read_annotations(
     spark: SparkSession, path: str | list[str], types: dict[str, str] = RAW_TYPES
 ) -> DataFrame:
-    """Raw answers from CSV with a ``row_id`` that follows the order of rows in each file.
+    """Raw answers from CSV with a dense ``row_id``: files by path, rows as they stand in the file.
 
-    A multi-line file is read by one task, so the task-wise id grows along the file.
-    Up to ``MAX_NUMBERED_FILES`` files follow each other by path; beyond that their
-    order among each other is that of the scan. Land the result as Parquet before
+    A multi-line file is read by one task, so the task-wise id grows along the file; the rows of
+    the files before it, counted and summed up, are added. One rule for any number of
+    files: the table of files has a row for each, and never reaches the driver. The input is
+    scanned once for the counts and once for the rows. Land the result as Parquet before
     using it at size: a multi-line CSV cannot be split, and stored ids stay as they are.
     """
     scan = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
@@ -69,22 +64,14 @@ def read_annotations(
         _typed(null_if_na(F.col(f"`{raw}`")), types.get(name, "string")).alias(name)
         for raw, name in zip(scan.columns, names)
     ]
-    # the two listings write the slashes after the scheme differently
-    paths = sorted({re.sub(ROOT_SLASHES, ":/", f) for f in scan.inputFiles()})
-    if len(paths) > MAX_NUMBERED_FILES:
-        return scan.select(*columns, F.monotonically_increasing_id().alias("row_id"))
-    rows = scan.select(
-        *columns,
-        F.regexp_replace(F.col("_metadata.file_path"), ROOT_SLASHES, ":/").alias("_file"),
-        # the low 33 bits of the id count the rows of one task
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_line"),
-    )
-    files = local_table(spark, [(f, i) for i, f in enumerate(paths)], "_file string, _file_no long")
-    return (
-        rows.join(F.broadcast(files), "_file", "left")
-        .withColumn("row_id", F.shiftleft(F.col("_file_no"), 33).bitwiseOR(F.col("_line")))
-        .drop("_file", "_file_no", "_line")
+    place = [F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line")]
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = (
+        scan.select(*place).groupBy("_file").agg(F.count("*").alias("_rows"), F.min("_line").alias("_first"))
+        .select("_file", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     )
+    rows = scan.select(*columns, *place).join(files, "_file")
+    return rows.withColumn("row_id", F.col("_line") + F.col("_shift")).drop("_file", "_line", "_shift")
 
 
 def read_first_available(
@@ -92,18 +79,17 @@ def read_first_available(
 ) -> tuple[DataFrame | None, str]:
     """The first ``(tag, uri)`` that can be read, and its tag; ``(None, "missing")`` if none can.
 
-    A URI may name any file system the cluster knows. The tag and the base name of
-    the file travel along as ``source_tag`` and ``source_file``.
+    Whatever keeps a source from being opened (no such path, an empty folder, a file system that is not
+    there or fails) only sends the search on to the next. A URI may name any file system the
+    cluster knows. The tag and the base name of the file travel along as ``source_tag`` and ``source_file``.
     """
     for tag, uri in candidates:
         if uri is None:
             continue
         try:
             df = spark.read.csv(uri, header=True, multiLine=True, quote='"', escape='"')
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                continue
-            raise
+        except (PySparkException, Py4JJavaError):
+            continue
         cleaned = df.select(
             *[null_if_na(F.col(f"`{c}`")).alias(c.strip().lower()) for c in df.columns],
             F.lit(tag).alias("source_tag"),

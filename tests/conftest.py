@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -11,7 +12,7 @@ sys.path.insert(0, str(ROOT))
 def spark():
     from labelscope.session import local_session
 
-    session = local_session("4", shuffle_partitions=4, memory="6g")
+    session = local_session(os.environ.get("TEST_CORES", "4"), shuffle_partitions=4, memory="6g")
     yield session
     session.stop()
 

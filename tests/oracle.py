@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -59,7 +60,7 @@ def main() -> None:
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
-    spark, con, sql = local_session(memory="12g"), connect(folder), contract.oracle_sql()
+    spark, con, sql = local_session(os.environ.get("CORES", "8"), memory="8g"), connect(folder), contract.oracle_sql()
     bad = 0
     for name, run in contract.queries().items():
         if names and name not in names:

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as contract
 from labelscope.plans import catalog
-from labelscope.session import shared_path, spread
+from labelscope.session import shared_path
 from tests.oracle import connect, difference
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -17,7 +17,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(catalog.oracle_sql()) == set(catalog.queries())
 
 
 @pytest.mark.parametrize("name", list(catalog.QUERIES))
@@ -31,20 +31,35 @@ def test_entry(spark):
     assert df.count() > 0
 
 
-def test_shared_folder_is_the_one_the_session_names(spark, tmp_path):
-    class Conf:
-        def get(self, key, default=None):
-            return "hdfs://shared/x/" if key == "spark.checkpoint.dir" else default
-
+def test_shared_folder_is_the_one_the_session_names():
     class Session:
-        conf = Conf()
-
-    one, two = (shared_path(Session(), "t") for _ in range(2))
+        class conf:
+            named = None
+
+            @classmethod
+            def get(cls, key, default=None):
+                return cls.named if key == "spark.checkpoint.dir" else default
+
+        class sparkContext:
+            folder = None
+
+            @classmethod
+            def getCheckpointDir(cls):
+                return cls.folder
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_path(Session, "t")
+    Session.sparkContext.folder = "file:/context"
+    assert shared_path(Session, "t").startswith("file:/context/t-")
+    Session.conf.named = "hdfs://shared/x/"
+    one, two = (shared_path(Session, "t") for _ in range(2))
     assert one.startswith("hdfs://shared/x/t-") and one != two
-    assert not shared_path(spark, "t").startswith("hdfs")
 
 
-def test_small_scans_are_spread_and_others_left(spark):
-    assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 4
-    many = spark.range(10, numPartitions=9)
-    assert spread(many) is many
+def test_base_tables_hold_whole_texts_and_all_rows(spark):
+    from labelscope.plans.derived import Derived
+
+    d = Derived(spark, FOLDER)
+    pieces = d.ground.groupBy("row_id").count().join(d.documents.selectExpr("doc_id AS row_id", "length(text) AS n"), "row_id")
+    assert pieces.filter("count <> ceil(n / 90)").count() == 0
+    assert d.pred.filter("row_id < 1000000000").count() == d.gt.count()

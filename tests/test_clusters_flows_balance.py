@@ -34,6 +34,11 @@ def test_clusters(spark, aspects, rows):
     assert got == set(ASPECT_CASES)
     short = {r.aspect: r.aspect_cluster for r in clustering.cluster_aspects(aspects, clusters=SIX_CLUSTERS).collect()}
     assert short["Legal compliance"] == "Tax & Compliance" and short["Board diversity"] == "Unclustered"
+    words = spark.createDataFrame([("Stakeholders",), ("Social",), ("SDG alignment",)], "aspect string")
+    folded = {r.aspect: r.aspect_cluster for r in clustering.cluster_aspects(words, casefold_keywords=True).collect()}
+    assert folded == {"Stakeholders": "Governance & Board", "Social": "Community & Social Impact",
+                      "SDG alignment": "Biodiversity & Environmental Impact"}  # its keyword "E" comes first
+    assert {r.aspect_cluster for r in clustering.cluster_aspects(words).collect()} == {"Unclustered"}
     none = clustering.cluster_aspects(spark.range(1))
     assert none.first().aspect_cluster == "Unclustered"
     capital = {"Env": ["E"]}

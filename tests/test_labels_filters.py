@@ -87,6 +87,16 @@ def test_crosstabs(flat, rows):
 def test_tokens(spark, rows):
     df = spark.createDataFrame([("Net-zero by 2040, net!",), (None,)], "sentence string")
     assert rows(dist.token_counts(df)) == [("2040", 1), ("by", 1), ("net", 2), ("zero", 1)]
+    words = spark.createDataFrame([("Für größere Übung: año_1, Ελλάδα 中文",)], "sentence string")
+    assert {r.token for r in dist.token_counts(words).collect()} == {"für", "größere", "übung", "año_1", "ελλάδα", "中文"}
+
+
+def test_shares_have_no_single_partition_ahead_of_the_total(spark):
+    df = spark.range(100).selectExpr("string(id % 7) AS v").repartition(3)
+    table = dist.category_table(df, "v")
+    assert sum(r["count"] for r in table.collect()) == 100
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
 
 
 def test_filters_reach_the_scan(spark, tmp_path, flat):

@@ -49,10 +49,41 @@ def test_fields_types_and_extras(spark):
     ]
     one, two = parse_annotations(raw(spark, texts)).orderBy("row_id").collect()
     assert (one.aspect, one.confidence, one.sentiment_score, one.tone) == (None, 0.5, 2.0, "[1,2]")
-    assert one.model == "p/m" and json.loads(one.extras.toJson()) == {"model": "m2", "n": {"k": 3}}
-    assert (two.sentence, two.confidence) == ("{brace", None)
+    assert one.model == "p/m" and json.loads(one.extras.toJson()) == {"aspect": {"x": 1}, "model": "m2", "n": {"k": 3}}
+    assert (two.sentence, two.confidence) == ("{brace", None) and json.loads(two.extras.toJson()) == {"confidence": "high"}
     keys = {(r.key, r["count"]) for r in extra_keys(parse_annotations(raw(spark, texts))).collect()}
-    assert keys == {("model", 1), ("n", 1)}
+    assert keys == {("model", 1), ("n", 1), ("aspect", 1), ("confidence", 1)}
+
+
+@pytest.mark.parametrize("value", ['{"label": "POS"}', '[{"a": 1}]', "true", "1.5", '"x"', "null"])
+@pytest.mark.parametrize("field", ["sentiment", "confidence"])
+def test_no_value_of_a_known_field_is_lost(spark, field, value):
+    row = parse_annotations(raw(spark, ['{"sentence":"a","aspect":"b","%s":%s}' % (field, value)])).first()
+    kept = json.loads(row.extras.toJson()).get(field)
+    if value == "null":
+        assert row[field] is None and kept is None
+    else:
+        assert (row[field] is None) == (kept is not None)
+        assert kept is None or kept == json.loads(value)
+
+
+def test_brackets_in_many_annotations_cost_little(spark):
+    import time
+
+    def seconds(cite):
+        text = "[" + ",".join('{"sentence":"see %s%d","aspect":"b"}' % (cite, i) for i in range(4000)) + "]"
+        df = raw(spark, [text]).cache()
+        df.count()
+        best = 1e9
+        for _ in range(3):
+            start = time.perf_counter()
+            assert parse_report(df).first().parsed_objects == 4000
+            best = min(best, time.perf_counter() - start)
+        df.unpersist()
+        return best
+
+    plain = seconds("")
+    assert seconds("[1] ") < 1.5 * plain + 0.5
 
 
 def test_clashing_column_gets_prefix(spark):

@@ -101,7 +101,6 @@ def test_completeness(annotated, by_provider):
         assert r.score == pytest.approx(len(present) / len(expected) if expected else 1.0)
 
 
-def test_wide_tables_refuse_too_many_models(annotated, monkeypatch):
-    monkeypatch.setattr(coverage, "MAX_WIDE_MODELS", 3)
+def test_names_of_models_are_bounded_by_the_argument(annotated):
     with pytest.raises(ValueError, match="long form"):
-        coverage.model_list(annotated[0])
+        coverage.model_list(annotated[0], most=3)

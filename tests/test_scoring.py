@@ -1,4 +1,5 @@
 import math
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,17 @@ def test_models_errors_and_top(spark, rows):
     assert scoring.top_prediction_per_model(out).count() == 1
 
 
+def test_a_scorer_is_loaded_once_per_worker(spark, tmp_path):
+    def counted():
+        (tmp_path / f"{uuid.uuid4().hex}").touch()
+        return two_heads()
+
+    df = spark.range(64, numPartitions=32).selectExpr("id", "string(id) AS text")
+    assert scoring.score_texts(df, counted).count() == 64
+    scoring.score_texts(df, counted).collect()
+    assert 1 <= len(list(tmp_path.iterdir())) <= 4 * 2  # four workers, two plans, not 64 tasks
+
+
 def test_only_the_text_goes_to_python(spark):
     df = spark.range(4).selectExpr("id", "string(id) AS text", "repeat('w', 100) AS wide")
     plan = scoring.score_texts(df, two_heads)._jdf.queryExecution().executedPlan().toString()

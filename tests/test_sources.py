@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from labelscope.defaults import CLUSTERS, SIX_CLUSTERS
+from labelscope.defaults import ASPECT_ONTOLOGY, CLUSTERS, SENTIMENT_ONTOLOGY, SIX_CLUSTERS, TONE_ONTOLOGY
 from labelscope.functions.text import strip
 from labelscope.sources import ontologies, sinks, tables
 
@@ -103,11 +103,11 @@ def test_loaded_ontology_and_large_one(spark, tmp_path, rows):
     from labelscope.operators.labels import normalize_labels
 
     large = ontologies.Ontology.of({"N": ("Numbers", [f"n{i}" for i in range(1000)])})
-    assert not large.small
     df = spark.createDataFrame([(" N7 ",), ("n1000",), (None,)], "v string")
-    out = normalize_labels(df, {"v": large})
-    assert rows(out, "v_norm") == [("N",), ("OTHER",), ("OTHER",)]
-    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    for form in (large, ontologies.alias_dim(spark, large)):
+        assert rows(normalize_labels(df, {"v": form}), "v_norm") == [("N",), ("OTHER",), ("OTHER",)]
+    table = ontologies.ontology_table(spark, put(tmp_path / "t.json", json.dumps(document)))
+    assert rows(table, "alias_key", "canonical", "label", "ord") == dim
 
 
 def test_cluster_document(spark, tmp_path):
@@ -115,25 +115,27 @@ def test_cluster_document(spark, tmp_path):
     assert list(ontologies.load_clusters(spark, path)) == ["Z", "A"]
 
 
-def test_cluster_tables_are_minimal():
-    assert len(CLUSTERS) == 19 and len(SIX_CLUSTERS) == 6
-    assert sum(map(len, SIX_CLUSTERS.values())) == 26
-    seen = []
-    for words in CLUSTERS.values():
-        for word in words:
-            assert word == word.lower()
-            assert not any(s in word for s in seen), word
-        for word in words:
-            assert not any(s in word for s in words if s != word), word
-        seen += words
-
-
-def test_scan_of_very_many_files_keeps_file_order_inside(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(tables, "MAX_NUMBERED_FILES", 0)
-    for name in "ab":
-        put(tmp_path / f"{name}.csv", "model,text\n" + "".join(f"{name},{i:03d}\n" for i in range(50)))
-    df = tables.read_annotations(spark, str(tmp_path))
-    assert df.select("row_id").distinct().count() == 100
-    for name in "ab":
-        texts = [r.text for r in df.filter(F.col("model") == name).orderBy("row_id").collect()]
-        assert texts == sorted(texts)
+def test_fixed_tables_are_whole():
+    assert len(CLUSTERS) == 19 and sum(map(len, CLUSTERS.values())) == 305
+    assert len({w for words in CLUSTERS.values() for w in words}) == 293
+    assert len(SIX_CLUSTERS) == 6 and sum(map(len, SIX_CLUSTERS.values())) == 26
+    assert [sum(len(a) for _, a in t.values()) for t in (ASPECT_ONTOLOGY, SENTIMENT_ONTOLOGY, TONE_ONTOLOGY)] == [36, 22, 19]
+
+
+def test_row_ids_are_dense_and_the_same_for_any_number_of_files(spark, tmp_path):
+    lines = [f"m{i % 3},{i:03d}" for i in range(200)]
+    for name, cuts in (("one", [200]), ("many", [3, 50, 51, 120, 200])):
+        (tmp_path / name).mkdir()
+        for i, (a, b) in enumerate(zip([0, *cuts], cuts)):
+            put(tmp_path / name / f"{i:02d}.csv", "\n".join(["model,text", *lines[a:b], ""]))
+        df = tables.read_annotations(spark, str(tmp_path / name))
+        assert [r.text for r in df.orderBy("row_id").collect()] == [f"{i:03d}" for i in range(200)]
+        assert sorted(r.row_id for r in df.select("row_id").collect()) == list(range(200))
+
+
+def test_a_source_that_fails_is_passed_over(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    good = put(tmp_path / "x.csv", "a\n1\n")
+    candidates = [("empty", str(tmp_path / "empty")), ("store", "nowhere://host/x.csv"), ("good", good)]
+    assert tables.read_first_available(spark, candidates)[1] == "good"
+    assert tables.read_first_available(spark, candidates[:2]) == (None, "missing")
