@@ -12,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from labelscope.llm.shared import written
+from labelscope.llm.shared import bloom, in_bloom, written
 
 #: Characters of a text that are a splitter's first part: what is sampled for splitters stays small however long the texts.
 PREFIX = 32
@@ -28,23 +29,26 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
 
 
-def _sorted(docs: DataFrame, *carried: Column) -> DataFrame:
+def digest(text: Column) -> Column:
+    return F.sha2(normalised(text).cast("binary"), 256)
+
+
+def _sorted(docs: DataFrame) -> DataFrame:
     """Rows in order of content, the largest id first among equals."""
-    text = normalised(F.col("text"))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("id"), F.sha2(text.cast("binary"), 256).alias("digest"),
-        F.substring(text, 1, PREFIX).alias("prefix"), *carried,
+        F.col("doc_id").cast("long").alias("id"), digest(F.col("text")).alias("digest"),
+        F.substring(normalised(F.col("text")), 1, PREFIX).alias("prefix"), "text",
     )
     order = [F.col("prefix"), F.col("digest"), F.col("id").desc_nulls_last()]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], texts) -> Iterator[tuple[pa.RecordBatch, list[bool], list[int | None]]]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bool], list[int | None]]]:
     """(batch, which rows differ from the one before, the id at the head of each row's run)."""
     last, head = None, None
     for batch in batches:
         new, heads = [], []
-        for value, doc_id in zip(texts(batch), batch.column("id").to_pylist(), strict=True):
+        for value, doc_id in zip(batch.column("text"), batch.column("id").to_pylist(), strict=True):
             value = value.as_buffer().to_pybytes().translate(_LOWER) if value.is_valid else b""
             new.append(value != last)
             if new[-1]:
@@ -53,6 +57,24 @@ def _runs(batches: Iterator[pa.RecordBatch], texts) -> Iterator[tuple[pa.RecordB
         yield batch, new, heads
 
 
+def sorted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_sha256, head, first`` of each row, as its task's run of equal texts has them; written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, new, heads in _runs(batches):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("digest"), pa.array(heads, pa.int64()), pa.array(new, pa.bool_())],
+                ["doc_id", "text_sha256", "head", "first"],
+            )
+
+    rows = _sorted(docs).mapInArrow(run, "doc_id long, text_sha256 string, head long, first boolean")
+    return written(rows, "runs")
+
+
+def _groups(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("text_sha256").agg(F.max("head").alias("keep_id"), F.count("*").alias("group_size"))
+
+
 def content_dedup(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (``doc_id``, ``text``): which row of its text stays.
 
@@ -61,44 +83,32 @@ def content_dedup(docs: DataFrame) -> DataFrame:
     ``keep_id`` only if no equal row has an id. An empty table gives no rows; other columns are not read.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, new, heads in _runs(batches, lambda batch: batch.column("text")):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("digest"), pa.array(heads, pa.int64()), pa.array(new)],
-                ["doc_id", "text_sha256", "head", "first"],
-            )
-
-    rows = _sorted(docs, F.col("text")).mapInArrow(run, "doc_id long, text_sha256 string, head long, first boolean")
-    rows = written(rows, "runs")
-    groups = rows.groupBy("text_sha256").agg(F.max("head").alias("keep_id"), F.count("*").alias("group_size"))
-    return rows.join(groups, "text_sha256").select(
+    rows = sorted_runs(docs)
+    return rows.join(_groups(rows), "text_sha256").select(
         "doc_id", "keep_id", "group_size",
         (F.col("first") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256",
     )
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay by the rules of ``content_dedup``."""
+    """The rows of ``docs``, with all their columns, that stay by the rules of ``content_dedup``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begun = False
-        for batch, new, _ in _runs(batches, lambda batch: batch.column("row").field("text")):
-            start = np.arange(len(new)) == (-1 if begun else 0)
-            begun |= bool(new)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("digest"), batch.column("id"), pa.array(start)],
-                ["row", "digest", "id", "at_start"],
-            ).filter(pa.array(new, pa.bool_()))
+    Only rows whose text may have copies, by a filter of fixed size over the digests of those that have, are
+    shuffled to the table that names who stays; all others pass through the scan.
+    """
+    groups = written(_groups(sorted_runs(docs)).filter("group_size > 1").select(F.col("text_sha256").alias("digest"), "keep_id"), "copies")
+    words = bloom(groups.select(F.xxhash64("digest").alias("key")), "key")
+
+    @F.pandas_udf("boolean")
+    def may_have_copies(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_bloom(words, keys.to_numpy().view(np.uint64)))
 
     row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
-    schema = T.StructType([
-        T.StructField("row", docs.schema), T.StructField("digest", T.StringType()),
-        T.StructField("id", T.LongType()), T.StructField("at_start", T.BooleanType()),
-    ])
-    heads = written(_sorted(docs, row).mapInArrow(run, schema), "heads")
-    # a run that goes on from an earlier task has a head at the start of its own: one for each task at most
-    starts = heads.filter("at_start").select("digest", F.col("id").alias("start"))
-    others = heads.select("digest", "id").join(F.broadcast(starts), "digest")
-    behind = others.filter(F.col("id") > F.coalesce("start", F.lit(-(2**63)))).select("digest", F.col("start").alias("id")).distinct()
-    gone = (heads["digest"] == behind["digest"]) & heads["id"].eqNullSafe(behind["id"])
-    return heads.join(F.broadcast(behind), gone, "left_anti").select("row.*")
+    marked = docs.select(row).withColumn("digest", digest(F.col("row.text"))).withColumn("maybe", may_have_copies(F.xxhash64("digest")))
+    alone = marked.filter("NOT maybe").select("row")
+    has_group = groups.select("digest", "keep_id", F.lit(True).alias("grouped"))
+    joined = marked.filter("maybe").withColumn("id", F.col("row.doc_id").cast("long")).join(has_group, "digest", "left")
+    single = joined.filter("grouped IS NULL").select("row")
+    # rows alike in text and id: one of them
+    heads = joined.filter("grouped").filter(F.col("id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["digest"]).select("row")
+    return alone.unionByName(single).unionByName(heads).select("row.*")

@@ -3,27 +3,30 @@
 Sizes are cut into bands so that two sets of the asked similarity lie in the same band or
 in neighbouring ones. For a band with largest size r such sets differ in at most
 ``k = floor(2 r (100 - t) / (100 + t))`` shingles. The domain of shingles is hashed into
-``k + 1 + slack`` parts, so at least ``slack + 1`` parts of two such sets are equal. The
-shingles of a set that fall into one part are a signature. A set leaves out the parts
-that hold next to nothing, if they are no more than ``slack``: then one of the equal parts
-is left. A set with more such parts states them all. Thus no link is lost.
+``n1 = floor(k / (k2 + 1)) + 1 + slack`` parts of ``n2`` sub-parts each, so in at least ``slack + 1`` parts
+two such sets differ in ``k2`` shingles at most, and agree on some ``n2 - k2`` of the
+sub-parts. What a set holds in such a choice of sub-parts is a signature. A set leaves
+out the signatures that hold next to nothing, if they lie in no more than ``slack`` parts: then
+a part is left where all are stated. Other sets state them all. Thus no link is lost.
 
 What follows is exact: the smallest member of each signature is a centre, and each
-member meets its centre; the others of a centre meet each other, in blocks, where links do not
-join them already. A parity sketch gives a lower bound of the difference and so
+member meets its centre; the others of a centre meet each other, in blocks, where a signature has
+them and links do not join them already. A parity sketch gives a lower bound of the difference and so
 drops pairs safely; what is left is compared whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from labelscope.llm.components import components
-from labelscope.llm.shared import bloom, in_bloom, mix, written
+from labelscope.llm.shared import Scratch, bloom, in_bloom, mix, written
 from labelscope.llm.text import NOT_SPACE, chunks, shingle_sets, words_of
 
 #: Members of a centre in a block of the second comparison.
@@ -42,17 +45,23 @@ def bands(percent: int, largest: int) -> list[tuple[int, int]]:
     return found
 
 
+#: Sub-parts of a part, and shingles that may differ in one: every choice of ``N2 - K2`` sub-parts is a signature.
+N2, K2 = 3, 1
+CHOICES = tuple(combinations(range(N2), N2 - K2))
+
+
 def parts_of_band(low: int, high: int, percent: int) -> tuple[int, int, int]:
-    """(parts, slack, least): into how many parts to cut, and how many with fewer than ``least`` shingles to leave out."""
-    differ = 2 * high * (100 - percent) // (100 + percent)
-    for least in (2, 1):
-        for slack in range(0, differ // 2 + 2):
-            parts = differ + 1 + slack
-            mean = low / parts
-            few = parts * np.exp(-mean) * (1 + mean * (least == 2))
+    """(parts, slack, least): into how many parts to cut, and in how many to leave out signatures of fewer than ``least`` shingles."""
+    needed = 2 * high * (100 - percent) // (100 + percent) // (K2 + 1) + 1
+    for least in (3, 2, 1):
+        for slack in range(needed // 3 + 1):
+            parts = needed + slack
+            mean = low / parts * (N2 - K2) / N2
+            thin = np.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(least))
+            few = parts * (1 - (1 - thin) ** len(CHOICES))
             if few + 2 * np.sqrt(few) <= slack:
                 return parts, slack, least
-    return differ + 1, 0, 1
+    return needed, 0, 1
 
 
 def differ_at_most(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -88,20 +97,25 @@ class Signatures:
         for tag in (band, band + 1):
             parts, slack, least = self.plans[tag].T
             base = np.concatenate([[0], np.cumsum(parts)])
-            part = (spread * parts[owner].astype(np.uint64)) >> np.uint64(32)
-            slot = base[owner] + part.astype(np.int64)
+            at = (spread * (parts * N2)[owner].astype(np.uint64)) >> np.uint64(32)
+            slot = base[owner] * N2 + at.astype(np.int64)
             order = np.argsort(slot, kind="stable")
             slot = slot[order]
             starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-            held = np.bincount(slot, minlength=base[-1])
-            total = np.zeros(base[-1], dtype=np.uint64)
+            held = np.bincount(slot, minlength=base[-1] * N2).reshape(-1, N2)
+            total = np.zeros(base[-1] * N2, dtype=np.uint64)
             total[slot[starts]] = np.add.reduceat(value[order], starts)
+            total = mix(total.reshape(-1, N2) + (np.arange(N2, dtype=np.uint64) << np.uint64(32)) + np.uint64(1))
             whose = np.repeat(np.arange(len(sizes)), parts)
-            few = held < least[whose]
-            many_few = np.bincount(whose, weights=few, minlength=len(sizes)) > slack
-            stated = (~few | many_few[whose]) & (sizes > 0)[whose]
+            thin = np.stack([held[:, c].sum(axis=1) < least[whose] for c in CHOICES], axis=1)
+            many_thin = np.bincount(whose, weights=thin.any(axis=1), minlength=len(sizes)) > slack
+            stated = (~thin | many_thin[whose][:, None]) & (sizes > 0)[whose][:, None]
             name = (tag[whose].astype(np.uint64) << np.uint64(32)) + (np.arange(base[-1]) - base[whose]).astype(np.uint64)
-            out.append((mix(total ^ mix(name + np.uint64(1)))[stated], whose[stated]))
+            for i, choice in enumerate(CHOICES):
+                chosen = mix(name * np.uint64(len(CHOICES)) + np.uint64(i + 1))
+                for sub in choice:
+                    chosen = mix(chosen + total[:, sub])
+                out.append((chosen[stated[:, i]], whose[stated[:, i]]))
         return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
@@ -121,8 +135,8 @@ def sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
 
 
 def sketch_bits(size: int) -> int:
-    """A power of two, at least four bits for each shingle."""
-    return max(64, 1 << (4 * size - 1).bit_length())
+    """A power of two, at least two bits for each shingle."""
+    return max(64, 1 << (2 * size - 1).bit_length())
 
 
 def folded(bits: np.ndarray, size: int) -> np.ndarray:
@@ -177,8 +191,8 @@ def signatures(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "signature long, node long")
 
 
-def sets_of(docs: DataFrame, shingle: int, nodes: DataFrame) -> DataFrame:
-    """``node, shingles`` for the sets of ``nodes``: a filter of fixed size thins the scan, a join decides."""
+def _of_nodes(docs: DataFrame, shingle: int, nodes: DataFrame, value: Callable[[np.ndarray], bytes], scratch: Scratch, name: str) -> DataFrame:
+    """``node, n_shingles, value`` for the sets of ``nodes``: a filter of fixed size thins the scan, a join decides."""
     words = bloom(nodes, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,34 +201,53 @@ def sets_of(docs: DataFrame, shingle: int, nodes: DataFrame) -> DataFrame:
             _, one = np.unique(names, return_index=True)
             one = one[(names[one] != 0) & in_bloom(words, names[one])]
             yield pa.RecordBatch.from_arrays(
-                [_longs(names[one]), pa.array([shingles[first[i] : first[i + 1]].tobytes() for i in one], pa.binary())],
-                ["node", "shingles"],
+                [_longs(names[one]), pa.array(np.diff(first)[one]),
+                 pa.array([value(shingles[first[i] : first[i + 1]]) for i in one], pa.binary())],
+                ["node", "n_shingles", "value"],
             )
 
-    found = docs.select("text").mapInArrow(run, "node long, shingles binary")
-    return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.max("shingles").alias("shingles"))
+    found = docs.select("text").mapInArrow(run, "node long, n_shingles long, value binary")
+    single = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.max("value").alias("value"))
+    return scratch.write(single, name)
 
 
-def _star_edges(rows: DataFrame) -> DataFrame:
-    """``centre, node`` from sorted ``signature, node``: each member of a signature with its smallest one."""
+def _stars(rows: DataFrame) -> DataFrame:
+    """``centre, node, more`` from ``signature, node``: each member of a signature with its smallest one.
+
+    ``more`` says that some signature of the two has a third member.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, centre = None, np.int64(0)
+        last = centre = before = None  # of the row ahead: signature, its centre, node
+        place = 0  # and its place among the distinct members
         for batch in batches:
-            if not batch.num_rows:
-                continue
             signature, node = (batch.column(i).to_numpy() for i in (0, 1))
-            starts = np.r_[last is None or signature[0] != last, signature[1:] != signature[:-1]]
-            run_of = np.cumsum(starts)
-            centres = np.r_[centre, node[starts]][run_of]
-            last, centre = signature[-1], centres[-1]
-            edge = np.unique(np.stack([centres, node], axis=1)[centres != node], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["centre", "node"])
-
-    return (
+            if last is not None:  # the row ahead once more, so that runs go on
+                signature, node = np.r_[last, signature], np.r_[before, node]
+            fresh = np.r_[True, (signature[1:] != signature[:-1]) | (node[1:] != node[:-1])]
+            signature, node = signature[fresh], node[fresh]
+            if not len(node):
+                continue
+            starts = np.r_[True, signature[1:] != signature[:-1]]
+            run_of = np.cumsum(starts) - 1
+            first = np.flatnonzero(starts)
+            centres, places = node[first], np.arange(len(node)) - first[run_of]
+            if last is not None:
+                centres[0] = centre
+                places[run_of == 0] += place
+            centres = centres[run_of]
+            later = np.r_[places[1:] >= 2, False]  # the next row is a third member or beyond
+            more = (places >= 2) | ((places == 1) & later)
+            last, before, centre, place = signature[-1], node[-1], centres[-1], places[-1]
+            kept = places > 0
+            edge = np.unique(np.stack([centres[kept], node[kept], more[kept]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1]), pa.array(edge[:, 2] == 1)], ["centre", "node", "more"])
+
+    stars = (
         rows.repartition(F.col("signature")).sortWithinPartitions("signature", "node")
-        .mapInArrow(run, "centre long, node long").distinct()
+        .mapInArrow(run, "centre long, node long, more boolean")
     )
+    return stars.groupBy("centre", "node").agg(F.max("more").alias("more"))
 
 
 def _near(pairs: DataFrame, percent: int, exact: bool) -> DataFrame:
@@ -243,10 +276,19 @@ def _near(pairs: DataFrame, percent: int, exact: bool) -> DataFrame:
     return pairs.select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long")
 
 
-def _with_both(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
-    left = values.select(F.col("node").alias("a"), F.col(value).alias("x"), F.col("n_shingles").alias("n"))
-    right = values.select(F.col("node").alias("b"), F.col(value).alias("y"), F.col("n_shingles").alias("m"))
-    return pairs.join(left, "a").join(right, "b")
+def _with_both(pairs: DataFrame, values: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """``pairs`` with columns of both ends: ``{column: (name for a, name for b)}``."""
+    for i, end in enumerate(("a", "b")):
+        pairs = pairs.join(values.select(F.col("node").alias(end), *(F.col(c).alias(names[i]) for c, names in columns.items())), end)
+    return pairs
+
+
+def _exact_links(docs: DataFrame, shingle: int, percent: int, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those of few ``pairs`` that are similar enough, by their whole sets."""
+    nodes = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    sets = _of_nodes(docs, shingle, nodes, np.ndarray.tobytes, scratch, "sets")
+    both = _with_both(pairs, sets, {"value": ("x", "y"), "n_shingles": ("n", "m")})
+    return scratch.write(_near(both, percent, exact=True), "links")
 
 
 def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -257,7 +299,7 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
     """
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = members.select(
-        "centre", "node", "label", "n_shingles", "sketch", own.alias("own"),
+        "centre", "node", "label", "n_shingles", F.col("value").alias("sketch"), own.alias("own"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     ).select(
         "centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
@@ -303,19 +345,6 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _sketches(sets: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("shingles")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([len(x) for x in found], pa.int64()),
-                 pa.array([sketch(x, sketch_bits(len(x))).tobytes() for x in found], pa.binary())],
-                ["node", "n_shingles", "sketch"],
-            )
-
-    return sets.select("node", "shingles").mapInArrow(run, "node long, n_shingles long, sketch binary")
-
-
 def ngram_jaccard(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``).
 
@@ -326,36 +355,35 @@ def ngram_jaccard(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     without an id has the smallest id of its component, null if there is none. An empty table gives no rows.
     Other columns are not read. Sets are named by 64-bit hashes.
     """
-    prints = written(fingerprints(docs, shingle), "fingerprints")
-    edges = written(_star_edges(signatures(docs, shingle, percent)), "edges")
-    nodes = edges.select("node").unionByName(edges.select(F.col("centre").alias("node"))).distinct()
-    sets = written(sets_of(docs, shingle, written(nodes, "nodes")), "sets")
-    sketches = written(_sketches(sets), "sketches")
-    sized = sets.withColumn("n_shingles", F.length("shingles") / 8).withColumn("n_shingles", F.col("n_shingles").cast("long"))
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        return written(_near(_with_both(pairs, sized, "shingles"), percent, exact=True), name)
-
-    pairs = edges.select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    links = linked(written(_near(_with_both(pairs, sketches, "sketch"), percent, exact=False), "pairs"), "links")
-    labels = components(links)
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.write(fingerprints(docs, shingle), "fingerprints")
+    stars = scratch.write(_stars(signatures(docs, shingle, percent)), "stars")
+    sizes = prints.filter("n_shingles > 0").select("node", "n_shingles").distinct()
+    sized = _with_both(stars.select(F.col("centre").alias("a"), F.col("node").alias("b")), sizes, {"n_shingles": ("n", "m")})
+    allowed = F.floor(F.lit(100 - percent) * (F.col("n") + F.col("m")) / (100 + percent))
+    edges = scratch.write(sized.filter(F.abs(F.col("n") - F.col("m")) <= allowed).select("a", "b"), "edges")
+    # members of a centre too far from it in size may still be near each other
+    nodes = scratch.write(stars.select(F.explode(F.array("centre", "node")).alias("node")).distinct(), "nodes")
+    sketches = _of_nodes(docs, shingle, nodes, lambda x: sketch(x, sketch_bits(len(x))).tobytes(), scratch, "sketches")
+    close = _near(_with_both(edges, sketches, {"value": ("x", "y"), "n_shingles": ("n", "m")}), percent, exact=False)
+    links = _exact_links(docs, shingle, percent, scratch.write(close, "pairs"), scratch)
+    labels = components(links, scratch)
 
     # what a centre did not join: its other members among themselves
-    labelled = edges.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = stars.filter("more").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_centres = (
         labelled.groupBy("centre").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
         .filter("members > 1 AND low <> high")
         .select("centre", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     )
     members = labelled.join(open_centres, "centre").join(sketches, "node")
-    more = linked(written(_block_pairs(members, percent), "pairs"), "links")
-    label_of = labels.select(F.col("node"), F.col("label"))
+    more = _exact_links(docs, shingle, percent, scratch.write(_block_pairs(members, percent), "pairs"), scratch)
     raised = (
-        more.join(label_of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
-        .join(label_of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+        more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
+        .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
         .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     )
-    upper = components(raised).select(F.col("node").alias("base"), F.col("label").alias("top"))
+    upper = components(raised, scratch).select(F.col("node").alias("base"), F.col("label").alias("top"))
 
     rows = (
         prints.join(labels, "node", "left").withColumn("base", F.coalesce("label", "node"))
@@ -363,9 +391,12 @@ def ngram_jaccard(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
         .select("doc_id", "n_shingles", "base")
     )
     smallest = rows.filter("n_shingles > 0").groupBy("base").agg(F.min("doc_id").alias("least"))
-    return rows.join(smallest, "base", "left").select(
+    found = rows.join(smallest, "base", "left").select(
         "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")
     )
+    result = written(found, "components")
+    scratch.drop()
+    return result
 
 
 def group_heads(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -375,10 +406,9 @@ def group_heads(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     fixed size in the scan, so only rows that may go are shuffled to the join that decides.
     """
     found = ngram_jaccard(docs, shingle, percent)
-    gone = written(found.filter("doc_id <> component_id").groupBy("doc_id").agg(F.min("component_id"))
-                   .select(F.col("doc_id").alias("gone_id"), F.xxhash64("doc_id").alias("gone")), "gone")
-    kept_ids = found.filter("doc_id = component_id").select(F.col("doc_id").alias("gone_id"))
-    gone = written(gone.join(kept_ids, "gone_id", "left_anti"), "gone")
+    goes = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    stays = found.filter("doc_id = component_id").select("doc_id").distinct()
+    gone = written(goes.join(stays, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("gone")), "gone")
     words = bloom(gone, "gone")
 
     @F.pandas_udf("boolean")
@@ -391,5 +421,5 @@ def group_heads(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
         "id": F.col("row.doc_id").cast("long"),
     }).withColumn("maybe", may_go(F.xxhash64("id")))
     stays = marked.filter("id IS NULL OR NOT maybe").select("row")
-    decided = marked.filter("id IS NOT NULL AND maybe").join(gone.select(F.col("gone_id").alias("id")), "id", "left_anti").select("row")
+    decided = marked.filter("id IS NOT NULL AND maybe").join(gone.select("id"), "id", "left_anti").select("row")
     return stays.unionByName(decided).select("row.*")

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from labelscope.llm.shared import small_batches
+
 # Fixed patterns of the base kinds, in their order.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?ai:(?P<name>password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?(?P<value>[A-Za-z0-9+/_.=-]+)""")
@@ -139,6 +141,8 @@ def find_secrets(docs: DataFrame, classes: Sequence[CharacterClass] = CLASSES, a
     other columns are not read.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = SecretScanner(classes, allowed)
         for batch in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,11 @@ BLOOM_BITS = 1 << 23
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, and the master is local, one of this machine."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder of ``spark.checkpoint.dir``, else the context's; where neither is set, and the master is local, one of this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _LOCAL.get(spark.sparkContext.applicationId) is None:
         _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="labelscope-")
@@ -27,14 +28,35 @@ def shared_folder(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hands texts to Python in batches of some megabytes, so that memory does not hang on their length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
+class Scratch:
+    """Tables of the shared folder that cut lineage. They go when the owner drops them, at the latest when the application ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        self.files = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.files.deleteOnExit(self.path)
+        small_batches(spark)
+
+    def write(self, frame: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def drop(self) -> None:
+        """For when everything that reads these tables has been written itself."""
+        self.files.delete(self.path, True)
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table of the shared folder, removed when the application ends: cuts the lineage."""
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(frame.schema).parquet(path)
+    """The frame as a table of a scratch of its own."""
+    return Scratch(frame.sparkSession).write(frame, name)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,8 +1,8 @@
 """Words of many texts at once, on the UTF-8 bytes of Arrow columns.
 
 All separators are ASCII, so cutting bytes is the same as cutting code points. A chunk
-holds about a megabyte of text; a longer text is a chunk of its own, and costs some forty
-bytes of memory for each of its own.
+holds about a quarter of a megabyte of text; a longer text is a chunk of its own, and costs
+some forty bytes of memory for each of its own.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 from labelscope.llm.shared import mix
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -68,7 +68,7 @@ class Words:
 
 
 def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of about a megabyte; null texts are empty."""
+    """(first row, end row, bytes, offsets) of runs of about a chunk; null texts are empty."""
     if texts.null_count:
         texts = pc.fill_null(texts, "")
     if not len(texts):

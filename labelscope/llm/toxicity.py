@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from labelscope.llm.quality import sampled
-from labelscope.llm.shared import held_out
+from labelscope.llm.shared import held_out, small_batches
 from labelscope.llm.text import ALPHANUMERIC, chunks, words_of
 
 #: Bound of the training sample: so many labelled rows at most (in expectation).
@@ -140,6 +140,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, groups: Sequence[str], mo
     The categories are ``toxic`` texts of each of ``groups`` (languages), then toxic ones of any. Of a document
     labelled more than once the highest label counts; null labels count as none.
     """
+    small_batches(docs.sparkSession)
     known = sampled(
         labels.select(F.col("doc_id").cast("long"), "toxic").dropna().filter(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")), F.col("doc_id"), most,
