@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from labelscope.llm.shared import Scratch, small_batches
 from labelscope.llm.text import ALPHANUMERIC, Words, chunks, window_hashes, words_of
 
 #: Bytes of window text in one broadcast set. A larger benchmark is scanned for in several passes.
@@ -102,17 +105,17 @@ def _scan(found: WindowSet, texts: pa.Array) -> Iterator[tuple[int, Words, np.nd
         yield row, words, hit, items
 
 
-def window_blocks(benchmark: DataFrame, size: int, most_bytes: int) -> list[list[tuple[int, str, list[str]]]]:
-    """The windows in blocks of no more than ``most_bytes`` bytes of window text and item names."""
-    blocks, room = [[]], most_bytes
+def window_blocks(benchmark: DataFrame, size: int, most_bytes: int) -> Iterator[list[tuple[int, str, list[str]]]]:
+    """The windows in blocks of no more than ``most_bytes`` bytes of window text and item names; the driver holds one at a time."""
+    block, room = [], most_bytes
     for row in benchmark_windows(benchmark, size).toLocalIterator():
         cost = len(row["window"]) + 8 * 16 + sum(map(len, row["items"]))
-        if cost > room and blocks[-1]:
-            blocks.append([])
-            room = most_bytes
-        blocks[-1].append((row["n"], row["window"], list(row["items"])))
+        if cost > room and block:
+            yield block
+            block, room = [], most_bytes
+        block.append((row["n"], row["window"], list(row["items"])))
         room -= cost
-    return blocks
+    yield block
 
 
 def decontaminate(
@@ -124,20 +127,26 @@ def decontaminate(
     lower-cased. A window is ``size`` words in a row of an item; an item of fewer words, but not none, is one window.
     A null or empty text has no words; null item ids mark words as hit but count as no item.
     ``items_sha256`` is of the sorted item ids, joined by commas. Repeated rows are judged one by one; an empty
-    benchmark hits nothing. Other columns are not read.
+    benchmark hits nothing. Other columns are not read. A benchmark beyond ``most_bytes`` costs one scan for each block of it.
     """
     source = docs.select(F.col("doc_id").cast("long"), "text")
     blocks = window_blocks(benchmark, size, most_bytes)
-    if len(blocks) == 1:
-        return source.mapInArrow(_counts(source, blocks[0], False), OUT)
-    # beyond the bound: one pass for each block, hit places met again by document
-    places = None
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return source.mapInArrow(_counts(source, first, False), OUT)
+    # beyond the bound: hit places of all passes met again by document
+    places, passes = _places(source, chain((first, second), blocks))
+    return places.groupBy("doc_id", "copy", "n_words").applyInArrow(_merged(passes), OUT)
+
+
+def _places(source: DataFrame, blocks: Iterator[list]) -> tuple[DataFrame, int]:
+    """(hit words and items of each row and block, number of blocks): one pass and one table for each block."""
+    scratch, parts = Scratch(source.sparkSession), []
+    keyed = source.withColumn("copy", F.xxhash64("text"))
     for block in blocks:
-        part = source.withColumn("copy", F.xxhash64("text")).mapInArrow(
-            _counts(source, block, True), "doc_id long, copy long, n_words long, hit binary, items array<string>"
-        )
-        places = part if places is None else places.unionByName(part)
-    return places.groupBy("doc_id", "copy", "n_words").applyInArrow(_merged, OUT)
+        schema = "doc_id long, copy long, n_words long, hit binary, items array<string>"
+        parts.append(scratch.write(keyed.mapInArrow(_counts(source, block, True), schema), "places"))
+    return reduce(DataFrame.unionByName, parts), len(parts)
 
 
 def _digest(items: set[str]) -> str:
@@ -146,6 +155,7 @@ def _digest(items: set[str]) -> str:
 
 def _counts(source: DataFrame, windows: list, places: bool):
     """The scan with one broadcast block; with ``places``, hit words as bits in place of counts."""
+    small_batches(source.sparkSession)
     shared = source.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,29 +185,43 @@ def _rows(ids: pa.Array, total: np.ndarray, hits: np.ndarray, items: list[set[st
     )
 
 
-def _merged(group: pa.Table) -> pa.Table:
+def _merged(passes: int):
     """One document's passes: places are or-ed. Rows alike in id and text come out as often as they came in."""
-    hit, items = group.column("hit").to_pylist(), group.column("items").to_pylist()
-    bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in hit]) if hit[0] else np.zeros(0, np.uint8)
-    names = {x for row in items for x in row}
-    return pa.Table.from_batches([_rows(group.column("doc_id").combine_chunks().slice(0, 1), np.array([group.column("n_words")[0].as_py()]),
-                                        np.array([int(np.bitwise_count(bits).sum())]), [names])])
+
+    def merge(group: pa.Table) -> pa.Table:
+        bits = None
+        names: set[str] = set()
+        for hit, items in zip(group.column("hit").to_pylist(), group.column("items").to_pylist(), strict=True):
+            hit = np.frombuffer(hit, np.uint8)
+            bits = hit if bits is None else bits | hit
+            names.update(items)
+        row = _rows(group.column("doc_id").combine_chunks().slice(0, 1), np.array([group.column("n_words")[0].as_py()]),
+                    np.array([int(np.bitwise_count(bits).sum())]), [names])
+        return pa.Table.from_batches([row] * (group.num_rows // passes))
+
+    return merge
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no window of the benchmark occurs."""
-    found = docs
-    for block in window_blocks(benchmark, size, most_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            windows = WindowSet(shared.value)
-            for batch in batches:
-                keep = np.zeros(batch.num_rows, dtype=bool)
-                for row, words, hit, items in _scan(windows, batch.column("text")):
-                    sums = np.concatenate([[0], np.cumsum(hit)])
-                    keep[row : row + len(items)] = sums[words.first[1:]] == sums[words.first[:-1]]
-                yield batch.filter(pa.array(keep))
+    small_batches(docs.sparkSession)
+    blocks = window_blocks(benchmark, size, most_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is not None:
+        source = docs.select(F.col("doc_id").cast("long"), "text")
+        places, _ = _places(source, chain((first, second), blocks))
+        dirty = places.filter(F.hex("hit").rlike("[1-9A-F]")).select(F.col("doc_id").alias("dirty"), "copy").distinct()
+        same = docs["doc_id"].cast("long").eqNullSafe(dirty["dirty"]) & (F.xxhash64(docs["text"]) == dirty["copy"])
+        return docs.join(dirty, same, "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = WindowSet(shared.value)
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for row, words, hit, items in _scan(windows, batch.column("text")):
+                sums = np.concatenate([[0], np.cumsum(hit)])
+                keep[row : row + len(items)] = sums[words.first[1:]] == sums[words.first[:-1]]
+            yield batch.filter(pa.array(keep))
 
-        found = found.mapInArrow(run, docs.schema)
-    return found
+    return docs.mapInArrow(run, docs.schema)
