@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelscope.llm.shared import held_out, mix
+from labelscope.llm.shared import held_out, mix, small_batches
 from labelscope.llm.text import NOT_SPACE, chunks, words_of
 
 #: Bound of the training sample: so many trusted positives, and so many unlabelled texts, at most (in expectation).
@@ -126,7 +126,7 @@ def fit_non_negative(
     theta[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     averaged, step = np.zeros_like(theta), 0
-    rounds = max(1, len(u) // batch)
+    rounds = max(20, len(u) // batch)
     for epoch in range(epochs):
         for _ in range(rounds):
             xp, xu = p[rng.integers(len(p), size=batch)], u[rng.integers(len(u), size=batch)]
@@ -193,6 +193,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED)
 
     Of a document labelled more than once the lowest label counts; null labels count as none.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     known = (
         labels.select(F.col("doc_id").cast("long"), "quality").dropna().filter(~held_out(F.col("doc_id")))
