@@ -35,26 +35,38 @@ def align_by_sentence(
 ) -> DataFrame:
     """Pairs the k-th occurrence of a sentence on both sides: min(count, count) rows per sentence.
 
-    Columns on both sides get ``_gt`` and ``_pred``. Rows without a sentence are left
-    out. A sentence that fills a third of the table is numbered in slices, and the
-    join key (sentence, occurrence) is unique on both sides.
+    Columns on both sides get ``_gt`` and ``_pred``. Rows without a sentence are left out;
+    ``row_id`` names a row. Occurrences are numbered and paired as (digest, row id) alone, a digest of
+    128 bits standing for the sentence; each side's rows are then fetched once by their ids, and the
+    sentences compared. A sentence that fills a third of the table is numbered in slices,
+    and (digest, occurrence) is unique on both sides.
     """
     shared = [c for c in truth.columns if c in predicted.columns and c != sentence]
 
-    def side(df: DataFrame, suffix: str) -> DataFrame:
-        kept = df.filter(F.col(sentence).isNotNull())
-        numbered = occurrence_number(kept, [sentence], row_id, name="_occurrence", slice_rows=slice_rows)
-        return numbered.withColumnsRenamed({c: f"{c}{suffix}" for c in shared})
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        keys = df.filter(F.col(sentence).isNotNull()).select(digest_of(sentence).alias("_digest"), F.col(row_id).alias(name))
+        return occurrence_number(keys, ["_digest"], name, name="_occurrence", slice_rows=slice_rows)
 
-    pairs = side(truth, "_gt").join(side(predicted, "_pred"), [sentence, "_occurrence"])
-    return pairs.drop("_occurrence")
+    def rows(df: DataFrame, suffix: str, text: str) -> DataFrame:
+        named = df.withColumn(f"_id{suffix}", F.col(row_id))
+        return named.withColumnsRenamed({c: f"{c}{suffix}" for c in shared} | {sentence: text})
+
+    pairs = numbered(truth, "_id_gt").join(numbered(predicted, "_id_pred"), ["_digest", "_occurrence"])
+    left, right = rows(truth, "_gt", sentence), rows(predicted, "_pred", "_other")
+    found = pairs.select("_id_gt", "_id_pred").join(left, "_id_gt").join(right, "_id_pred")
+    return found.filter(F.col(sentence) == F.col("_other")).drop("_id_gt", "_id_pred", "_other")
+
+
+def digest_of(column: str) -> Column:
+    """128 bits that stand for a text in exchanges."""
+    return F.unhex(F.md5(F.col(column).cast("binary")))
 
 
 def alignment_coverage(truth: DataFrame, predicted: DataFrame, sentence: str = "sentence") -> DataFrame:
     """Aligned rows and their share of either side in percent, from sentence counts alone."""
-    gt = truth.groupBy(sentence).agg(F.count("*").alias("n_gt"))
-    pred = predicted.groupBy(sentence).agg(F.count("*").alias("n_pred"))
-    both = gt.join(pred, sentence, "full")
+    gt = truth.groupBy(digest_of(sentence).alias("_digest")).agg(F.count("*").alias("n_gt"))
+    pred = predicted.groupBy(digest_of(sentence).alias("_digest")).agg(F.count("*").alias("n_pred"))
+    both = gt.join(pred, "_digest", "full")
     # least() would ignore a NULL, so sentences of one side only are left to the 0
     paired = F.when(F.col("n_gt").isNotNull() & F.col("n_pred").isNotNull(), F.least("n_gt", "n_pred"))
     totals = both.agg(
