@@ -1,9 +1,11 @@
 """Personal data and the terms that give it away.
 
-Fixed patterns find personal data. For the rest the corpus decides: texts are cut into blocks of
+Fixed patterns find personal data. For the rest the corpus decides: distinct texts are cut into blocks of
 words, and the co-occurrence of a term with a protected entity (one address, number or card) over all blocks
 gives how much of the entity's information content the term reveals, ``PMI(e, t) / IC(e)``.
-Terms above the disclosure threshold are generalised, or removed where they all but name the entity.
+Terms above the disclosure threshold are generalised, or removed where they all but name the entity. No entity is
+too rare to be examined: a term counts if chance would hardly bring it to the entity so often, given how often each
+of them occurs and how many blocks there are. An entity of one block has the terms that are rare enough elsewhere.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from labelscope.llm.shared import bloom, in_bloom, written
 from labelscope.llm.text import ALPHANUMERIC, Words, chunks, words_of
@@ -26,9 +29,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Words in a block, blocks that must hold term and entity together, share of the entity's information
+#: Words in a block, chance that an entity has any term by accident, share of the entity's information
 #: from which a term discloses it, and conditional probability from which it is removed.
-BLOCK_WORDS, SUPPORT, DISCLOSURE, REMOVAL = 50, 4, 0.9, 0.9
+BLOCK_WORDS, CHANCE, DISCLOSURE, REMOVAL = 50, 0.05, 0.9, 0.9
 #: Letters and digits of a term at least; counts that a task holds before it hands them on.
 LEAST_BYTES, MOST_HELD = 3, 1_000_000
 
@@ -107,8 +110,21 @@ class Counts:
         self.__init__()
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """``text``: each text once, null as empty. Only texts that may have copies, by a filter over their hashes, are shuffled."""
+    hashed = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    words = bloom(hashed.groupBy("key").count().filter("count > 1"), "key")
+
+    @F.pandas_udf("boolean")
+    def may_have_copies(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_bloom(words, keys.to_numpy().view(np.uint64)))
+
+    marked = hashed.withColumn("maybe", may_have_copies("key"))
+    return marked.filter("NOT maybe").select("text").unionByName(marked.filter("maybe").select("text").distinct())
+
+
 def co_occurrence(docs: DataFrame) -> DataFrame:
-    """``entity, term, n``: blocks of the corpus that hold both; 0 stands for any, so (0, t), (e, 0) and (0, 0) are the margins."""
+    """``entity, term, n``: blocks of the distinct texts that hold both; 0 stands for any, so (0, t), (e, 0) and (0, 0) are the margins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
@@ -151,23 +167,42 @@ def co_occurrence(docs: DataFrame) -> DataFrame:
         yield from counts.taken()
 
     return (
-        docs.select("text").mapInArrow(run, "entity long, term long, n long")
+        distinct_texts(docs).mapInArrow(run, "entity long, term long, n long")
         .groupBy("entity", "term").agg(F.sum("n").alias("n"))
     )
 
 
+def _rarity(n: Column, of: Column, other: Column, total: Column) -> Column:
+    """Minus the logarithm of a bound of the chance that ``n`` or more of ``of`` blocks are among ``other`` ones of ``total``.
+
+    The bound is Hoeffding's for draws without replacement, ``exp(-of * KL(n / of || other / total))``.
+    """
+    share, expected = n / of, other / total
+    rest = F.when(n < of, (1 - share) * F.log((1 - share) / (1 - expected))).otherwise(0.0)
+    return F.when(share > expected, of * (share * F.log(share / expected) + rest)).otherwise(0.0)
+
+
 def disclosing_terms(counts: DataFrame) -> DataFrame:
-    """``term, removed``: terms that reveal an entity, and whether they all but name it."""
-    pairs = counts.filter(f"entity <> 0 AND term <> 0 AND n >= {SUPPORT}")
+    """``term, removed``: terms that reveal an entity, and whether they all but name it.
+
+    Each term found with an entity, be it in one block, is tested: by chance alone, ``n`` of the ``n_entity`` blocks would be
+    among the ``n_term`` ones of ``total`` with a probability of at most ``CHANCE`` over all terms tested with the entity. Of
+    two bounds, from the entity's side and the term's, the closer one counts; for an entity of one block it is ``n_term / total``.
+    """
+    pairs = counts.filter("entity <> 0 AND term <> 0")
     terms = counts.filter("entity = 0 AND term <> 0").select("term", F.col("n").alias("n_term"))
-    entities = counts.filter("entity <> 0 AND term = 0").select("entity", F.col("n").alias("n_entity"))
+    entities = counts.filter("entity <> 0").groupBy("entity").agg(
+        F.max(F.when(F.col("term") == 0, F.col("n"))).alias("n_entity"), F.count_if(F.col("term") != 0).alias("tested")
+    )
     total = counts.filter("entity = 0 AND term = 0").select(F.col("n").alias("total"))
-    given = F.col("n") / F.col("n_term")
-    content = F.log(F.col("total") / F.col("n_entity"))
-    pmi = F.log(F.col("n") * F.col("total") / (F.col("n_term") * F.col("n_entity")))
+    n, n_term, n_entity = F.col("n"), F.col("n_term"), F.col("n_entity")
+    given = n / n_term
+    content = F.log(F.col("total") / n_entity)
+    pmi = F.log(n * F.col("total") / (n_term * n_entity))
+    rarity = F.greatest(_rarity(n, n_entity, n_term, F.col("total")), _rarity(n, n_term, n_entity, F.col("total")))
     return (
         pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))  # one row
-        .filter((content > 0) & (pmi >= DISCLOSURE * content))
+        .filter((content > 0) & (pmi >= DISCLOSURE * content) & (rarity >= F.log(F.col("tested") / CHANCE)))
         .groupBy("term").agg(F.max(given >= REMOVAL).alias("removed"))
     )
 

@@ -73,6 +73,40 @@ def test_terms_that_disclose_an_entity_become_spans(spark):
     assert found[1].spans == "" and found[0].n_email == 1
 
 
+def marked_terms(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    spans = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in sanitise(docs).collect()}
+    return {i: {(kind, texts[i][int(a) : int(b)]) for kind, a, b in found if kind in ("generalise", "remove")} for i, found in spans.items()}
+
+
+def test_rare_entities_have_disclosing_terms(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"filler{rng.randrange(300)}" for _ in range(40)) for _ in range(2000)]
+
+    def plant(i, email, *terms):
+        words = texts[i].split()
+        words[10:10] = [email, *terms]
+        texts[i] = " ".join(words)
+
+    for k in (1, 2, 3):  # entities in so many texts, each with a term of its own and a common word
+        for j in range(k):
+            plant(100 * k + j, f"one{k}@corp.example", f"zebrafish{k}", "filler7")
+    texts += [texts[100]] * 30  # copies do not make the pair more frequent
+    for j in range(500, 560):  # a word of many texts, once beside an entity of one text
+        plant(j, "", "widespread")
+    plant(700, "alone@corp.example", "widespread")
+    found = marked_terms(spark, texts)
+    for k in (1, 2, 3):
+        for j in range(k):
+            assert found[100 * k + j] == {("remove", f"zebrafish{k}")}
+    assert found[2000] == found[100] and found[700] == found[500] == set()
+
+
+def test_too_few_blocks_tell_nothing_of_a_rare_entity(spark):
+    texts = [f"a@b.example word{i} other thing" if i == 0 else f"word{i} other thing" for i in range(5)]
+    assert marked_terms(spark, texts)[0] == set()
+
+
 @given
 def test_blocks_of_a_benchmark_change_nothing(spark):
     docs, bench = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "benchmark"))
