@@ -2,6 +2,7 @@
 
 Every run of three consecutive lines is hashed. A window found more than once keeps its first
 occurrence, by document id and place; the lines that later ones cover, merged, are removed.
+On request, passages that fill fewer lines are found too: one or two lines of many words, and whole short texts.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelscope.llm.text import NOT_SPACE, Words, chunks, window_hashes
 
-#: Lines in a window.
-WINDOW = 3
+#: Lines in a window; words that a passage of fewer lines must exceed.
+WINDOW, PASSAGE = 3, 50
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -27,8 +28,22 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, start, end, before + np.arange(len(offsets)), offsets)
 
 
-def line_windows(docs: DataFrame, window: int) -> DataFrame:
-    """``high, low, id, copy, at``: a 128-bit hash of each window that is not blank, and where it begins."""
+def words_before(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many words, runs of bytes that are no white space, begin before each byte."""
+    begins = NOT_SPACE[data]
+    begins[1:] &= ~begins[:-1]
+    border = offsets[:-1][offsets[:-1] < len(data)]
+    begins[border] = NOT_SPACE[data[border]]
+    return np.concatenate([[0], np.cumsum(begins)])
+
+
+def line_windows(docs: DataFrame, window: int, passage: int | None = None) -> DataFrame:
+    """``high, low, id, copy, at``: a 128-bit hash of each window that is not blank, and where it begins.
+
+    With ``passage`` there are also windows of fewer lines, of more than so many words or of a whole text,
+    and ``at`` is ``line * window + lines - 1``.
+    """
+    sizes = [window] if passage is None else range(1, window + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -36,33 +51,46 @@ def line_windows(docs: DataFrame, window: int) -> DataFrame:
                 lines = lines_of(data, offsets)
                 owner = lines.doc()
                 ink = np.concatenate([[0], np.cumsum(NOT_SPACE[data])])
-                n = max(0, len(owner) - window + 1)
-                last = window - 1
-                at = np.flatnonzero(
-                    (owner[:n] == owner[last : last + n]) & (ink[lines.end[last : last + n]] > ink[lines.start[:n]])
-                )
-                keys = [window_hashes(lines.hashes(kind), window)[at].view(np.int64) for kind in (0, 1)]
-                ids, copies = (batch.column(c).slice(row, end - row).take(pa.array(owner[at])) for c in ("id", "copy"))
+                words = ink if passage is None else words_before(data, offsets)
+                hashes = [lines.hashes(kind) for kind in (0, 1)]
+                found = []
+                for size in sizes:
+                    n = max(0, len(owner) - size + 1)
+                    last = size - 1
+                    start, stop = lines.start[:n], lines.end[last : last + n]
+                    taken = (owner[:n] == owner[last : last + n]) & (ink[stop] > ink[start])
+                    if size < window:
+                        taken &= (words[stop] - words[start] > passage) | (lines.counts()[owner[:n]] == size)
+                    at = np.flatnonzero(taken)
+                    place = at - lines.first[owner[at]]
+                    found.append((
+                        *(window_hashes(x, size)[at].view(np.int64) for x in hashes), owner[at],
+                        place.astype(np.int32) if passage is None else place * window + size - 1,
+                    ))
+                high, low, doc, place = (np.concatenate(x) for x in zip(*found, strict=True))
+                ids, copies = (batch.column(c).slice(row, end - row).take(pa.array(doc)) for c in ("id", "copy"))
                 yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, keys), ids, copies, pa.array((at - lines.first[owner[at]]).astype(np.int32))],
-                    ["high", "low", "id", "copy", "at"],
+                    [pa.array(high), pa.array(low), ids, copies, pa.array(place)], ["high", "low", "id", "copy", "at"]
                 )
 
-    return docs.select("id", "copy", "text").mapInArrow(run, "high long, low long, id long, copy long, at int")
+    kind = "int" if passage is None else "long"
+    return docs.select("id", "copy", "text").mapInArrow(run, f"high long, low long, id long, copy long, at {kind}")
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = WINDOW, passage: int | None = None) -> DataFrame:
     """``docs`` (``doc_id``, ``text``) with ``n_lines``, ``n_removed`` and the ``cleaned`` text of each row.
 
-    Lines are compared as they stand. A text of fewer lines than a window, null or empty, keeps all
-    (null stays null, and has one line like an empty text). Windows of white space alone are not compared. Occurrences
+    Lines are compared as they stand. Without ``passage`` a text of fewer lines than a window keeps all, and so do
+    repeats of fewer lines. With it, runs of fewer lines that hold more than ``passage`` words are compared in the same
+    way, in texts of any length, and a text of fewer lines than a window is compared whole with others of its number of
+    lines. A null or empty text keeps all (null stays null, and has one line like an empty text). Windows of white space alone are not compared. Occurrences
     are ordered by id, ids of null last, then by a hash of the row; rows alike in id and text count as one and are
     cleaned alike. An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumns({
         "copy": F.xxhash64("doc_id", "text"), "id": F.coalesce("doc_id", F.lit(2**63 - 1)),
     })
-    windows = line_windows(rows, window)
+    windows = line_windows(rows, window, passage)
     place = F.struct("id", "copy", "at")
     repeated = windows.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").drop("last")
     covered = (
@@ -77,7 +105,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 lines = (text or "").split("\n")
                 keep = np.ones(len(lines), dtype=bool)
                 for at in starts or ():
-                    keep[at : at + window] = False
+                    at, last = (at, window - 1) if passage is None else divmod(at, window)
+                    keep[at : at + last + 1] = False
                 total.append(len(lines))
                 gone.append(int((~keep).sum()))
                 cleaned.append("\n".join(line for line, kept in zip(lines, keep, strict=True) if kept) if starts else text)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelscope.llm.content_dedup import content_dedup
 from labelscope.llm.decontaminate import decontaminate
-from labelscope.llm.line_dedup import dedup_lines
+from labelscope.llm.line_dedup import dedup_lines, PASSAGE
 from labelscope.llm.mixing import mix_sources
 from labelscope.llm.ngram_jaccard import ngram_jaccard
 from labelscope.llm.quality import score_quality
@@ -78,14 +78,22 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), vocabulary, pattern, separator=SEPARATOR)
 
 
-@query
-def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = dedup_lines(table(spark, folder, "documents"))
+def with_sha256_of_cleaned(cleaned: DataFrame) -> DataFrame:
     return cleaned.select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("cleaned", F.lit("")).cast("binary"), 256).alias("cleaned_sha256")
     )
 
 
+@query
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return with_sha256_of_cleaned(dedup_lines(table(spark, folder, "documents")))
+
+
+@query
+def op9_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return with_sha256_of_cleaned(dedup_lines(table(spark, folder, "documents"), passage=PASSAGE))
+
+
 @query
 def op10_sanitise(spark: SparkSession, folder: str) -> DataFrame:
     return sanitise(table(spark, folder, "documents"))

@@ -11,6 +11,7 @@ import pytest
 
 from labelscope.llm import queries
 from labelscope.llm.ngram_jaccard import K2, N2, Signatures, bands, ngram_jaccard, parts_of_band, sketch, sketch_bits, folded
+from labelscope.llm.line_dedup import dedup_lines
 from labelscope.llm.sanitise import personal_data
 from labelscope.llm.secret_scan import entropy_windows, SecretScanner
 from labelscope.llm.shared import bloom, in_bloom, mix
@@ -197,3 +198,39 @@ def test_bloom_filter_has_no_misses(spark):
     words = bloom(df, "k", bits=1 << 17)
     assert in_bloom(words, keys).all()
     assert in_bloom(words, mix(np.arange(10**6, 10**6 + 5000, dtype=np.uint64))).mean() < 0.05
+
+
+def without_repeats(texts, passage):
+    """What ``dedup_lines`` gives for texts by id."""
+    seen, cleaned = set(), {}
+    for doc, text in sorted(texts.items()):
+        lines = text.split("\n")
+        keep = [True] * len(lines)
+        for at in range(len(lines)):
+            for size in (1, 2, 3):
+                piece = tuple(lines[at : at + size])
+                words = " ".join(piece).split()
+                if len(piece) < size or not words or not (size == 3 or len(words) > passage or len(lines) == size):
+                    continue
+                if piece in seen:
+                    keep[at : at + size] = [False] * size
+                seen.add(piece)
+        cleaned[doc] = "\n".join(line for line, kept in zip(lines, keep, strict=True) if kept)
+    return cleaned
+
+
+@given
+def test_passages_of_few_lines_and_short_texts_are_found(spark, con):
+    def passage(tag, n):
+        return " ".join(f"{tag}{i}" for i in range(n))
+
+    made = [
+        "short copy", "short copy", "two lines\nof text", "two lines\nof text", "a\nshort copy\nb", passage("w", 51), f"before\n{passage('w', 51)}\nafter",
+        f"x\n{passage('u', 30)}\n{passage('v', 21)}\ny", f"p\nq\n{passage('u', 30)}\n{passage('v', 21)}\nr",
+        f"c\n{passage('t', 50)}\nd", f"e\n{passage('t', 50)}\nf", "", " ", " ", f"{passage('w', 51)}\nadded",
+    ]
+    cleaned = without_repeats(dict(enumerate(made)), 50)
+    assert [cleaned[i] for i in (1, 3, 4, 6, 8, 10, 13, 14)] == ["", "", made[4], "before\nafter", "p\nq\nr", made[10], " ", "added"]
+    for docs in (dict(enumerate(made)), dict(texts(con))):
+        frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+        assert {r.doc_id: r.cleaned for r in dedup_lines(frame, passage=50).collect()} == without_repeats(docs, 50)
