@@ -1,11 +1,12 @@
 """Personal data and the terms that give it away.
 
-Fixed patterns find personal data. For the rest the corpus decides: distinct texts are cut into blocks of
-words, and the co-occurrence of a term with a protected entity (one address, number or card) over all blocks
-gives how much of the entity's information content the term reveals, ``PMI(e, t) / IC(e)``.
+Fixed patterns find personal data. For the rest the corpus decides. The context of a protected entity (one address,
+number or card) in a text are the words around each of its occurrences there; contexts of several entities overlap. The
+words of the distinct texts that are in no context are cut into blocks as large. The co-occurrence of a term with an
+entity over all contexts and blocks gives how much of the entity's information content the term reveals, ``PMI(e, t) / IC(e)``.
 Terms above the disclosure threshold are generalised, or removed where they all but name the entity. No entity is
 too rare to be examined: a term counts if chance would hardly bring it to the entity so often, given how often each
-of them occurs and how many blocks there are. An entity of one block has the terms that are rare enough elsewhere.
+of them occurs and how many contexts and blocks there are. An entity of one text has the terms that are rare enough elsewhere.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Words in a block, chance that an entity has any term by accident, share of the entity's information
+#: Words in a block, half of them on each side of an entity; chance that an entity has any term by accident, share of the entity's information
 #: from which a term discloses it, and conditional probability from which it is removed.
 BLOCK_WORDS, CHANCE, DISCLOSURE, REMOVAL = 50, 0.05, 0.9, 0.9
 #: Letters and digits of a term at least; counts that a task holds before it hands them on.
@@ -124,7 +125,9 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 
 def co_occurrence(docs: DataFrame) -> DataFrame:
-    """``entity, term, n``: blocks of the distinct texts that hold both; 0 stands for any, so (0, t), (e, 0) and (0, 0) are the margins."""
+    """``entity, term, n``: contexts of the entity, one a distinct text, that hold the term; 0 stands for any, so (0, t), (e, 0) and (0, 0)
+    are the margins: (0, t) and (0, 0) count all contexts and blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
@@ -134,30 +137,40 @@ def co_occurrence(docs: DataFrame) -> DataFrame:
                 words = words_of(data, offsets, ALPHANUMERIC)
                 hashes, able = _terms(words)
                 doc = words.doc()
-                block_of = (np.arange(len(doc)) - words.first[:-1][doc]) // BLOCK_WORDS
-                per_doc = np.maximum((words.counts() + BLOCK_WORDS - 1) // BLOCK_WORDS, 1)
-                base = np.concatenate([[0], np.cumsum(per_doc)])
-                block = base[doc] + block_of
-                entities = []  # (block, entity)
+                outside = np.ones(len(doc), dtype=bool)
+                contexts = []  # (text, entity, its words)
                 for i in range(end - row):
                     text = texts[row + i].as_py() or ""
-                    spans = personal_data(text)
-                    if not spans:
-                        continue
+                    around: dict[int, list[np.ndarray]] = {}
                     first, last = words.first[i], words.first[i + 1]
-                    for start, stop, kind in spans:
+                    for start, stop, kind in personal_data(text):
                         a = offsets[i] + len(text[:start].encode())
                         b = a + len(text[start:stop].encode())
-                        low, high = (first + np.searchsorted(words.start[first:last], (a, b))).tolist()
+                        low = first + np.searchsorted(words.end[first:last], a, side="right")
+                        high = max(low, first + np.searchsorted(words.start[first:last], b))
                         able[low:high] = False
-                        entities.append((base[i] + min(low - first, last - first - 1) // BLOCK_WORDS, entity_name(kind, text[start:stop])))
-                pair = np.unique(np.stack([block[able], hashes[able].view(np.int64)], axis=1), axis=0) if able.any() else np.zeros((0, 2), np.int64)
+                        near = np.arange(max(first, low - BLOCK_WORDS // 2), min(last, high + BLOCK_WORDS // 2))
+                        outside[near] = False
+                        around.setdefault(entity_name(kind, text[start:stop]), []).append(near)
+                    contexts += [(i, e, np.unique(np.concatenate(near))) for e, near in around.items()]
+                rest = np.concatenate([[0], np.cumsum(outside)])
+                per_doc = (np.diff(rest[words.first]) + BLOCK_WORDS - 1) // BLOCK_WORDS
+                lone = np.ones(end - row, dtype=bool)
+                lone[[i for i, _, _ in contexts]] = False
+                base = np.concatenate([[0], np.cumsum(np.maximum(per_doc, lone))])
+                at = np.flatnonzero(outside & able)
+                places, found = [base[doc[at]] + (rest[at] - rest[words.first[doc[at]]]) // BLOCK_WORDS], [at]
+                for k, (_, _, near) in enumerate(contexts):
+                    found.append(near[able[near]])
+                    places.append(np.full(len(found[-1]), base[-1] + k))
+                held = np.array([(base[-1] + k, e) for k, (_, e, _) in enumerate(contexts)], dtype=np.int64).reshape(-1, 2)
+                pair = np.stack([np.concatenate(places), hashes[np.concatenate(found)].view(np.int64)], axis=1)
+                pair = np.unique(pair, axis=0) if len(pair) else pair
                 terms, n = np.unique(pair[:, 1], return_counts=True)
                 zero = np.zeros_like(terms)
                 counts.add(np.stack([zero, terms], axis=1), n)
-                counts.add(np.zeros((1, 2), np.int64), np.array([base[-1]]))
-                if entities:
-                    held = np.unique(np.array(entities, dtype=np.int64), axis=0)
+                counts.add(np.zeros((1, 2), np.int64), np.array([base[-1] + len(contexts)]))
+                if contexts:
                     counts.add(np.stack([held[:, 1], np.zeros(len(held), np.int64)], axis=1), np.ones(len(held), np.int64))
                     low, high = np.searchsorted(pair[:, 0], held[:, 0]), np.searchsorted(pair[:, 0], held[:, 0], side="right")
                     both = np.concatenate([np.stack([np.full(b - a, e), pair[a:b, 1]], axis=1) for a, b, e in zip(low, high, held[:, 1], strict=True)])
@@ -185,9 +198,9 @@ def _rarity(n: Column, of: Column, other: Column, total: Column) -> Column:
 def disclosing_terms(counts: DataFrame) -> DataFrame:
     """``term, removed``: terms that reveal an entity, and whether they all but name it.
 
-    Each term found with an entity, be it in one block, is tested: by chance alone, ``n`` of the ``n_entity`` blocks would be
+    Each term found with an entity, be it in one text, is tested: by chance alone, ``n`` of the ``n_entity`` contexts would be
     among the ``n_term`` ones of ``total`` with a probability of at most ``CHANCE`` over all terms tested with the entity. Of
-    two bounds, from the entity's side and the term's, the closer one counts; for an entity of one block it is ``n_term / total``.
+    two bounds, from the entity's side and the term's, the closer one counts; for an entity of one text it is ``n_term / total``.
     """
     pairs = counts.filter("entity <> 0 AND term <> 0")
     terms = counts.filter("entity = 0 AND term <> 0").select("term", F.col("n").alias("n_term"))

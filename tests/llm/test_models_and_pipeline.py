@@ -102,6 +102,19 @@ def test_rare_entities_have_disclosing_terms(spark):
     assert found[2000] == found[100] and found[700] == found[500] == set()
 
 
+def test_terms_beside_an_entity_count_wherever_the_text_is_cut(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"filler{rng.randrange(300)}" for _ in range(200)) for _ in range(2000)]
+    for i, at in ((10, 50), (20, 100), (30, 70)):  # the entity begins a block of 50 words, or lies within one
+        words = texts[i].split()
+        words[at - 1 : at] = ["zebrafish", "who", "1.2.3.4", "said", "okapi"]
+        words[at + 40] = f"distant{i}"
+        texts[i] = " ".join(words)
+    found = marked_terms(spark, texts)
+    for i in (10, 20, 30):
+        assert {word for _, word in found[i]} >= {"zebrafish", "okapi"} and f"distant{i}" not in {word for _, word in found[i]}
+
+
 def test_too_few_blocks_tell_nothing_of_a_rare_entity(spark):
     texts = [f"a@b.example word{i} other thing" if i == 0 else f"word{i} other thing" for i in range(5)]
     assert marked_terms(spark, texts)[0] == set()
