@@ -11,10 +11,13 @@ from labelscope.llm.content_dedup import content_dedup
 from labelscope.llm.decontaminate import decontaminate
 from labelscope.llm.line_dedup import dedup_lines, PASSAGE
 from labelscope.llm.mixing import mix_sources
+from labelscope.llm.neighbours import nearest
 from labelscope.llm.ngram_jaccard import ngram_jaccard
+from labelscope.llm.phrases import collocations
 from labelscope.llm.quality import score_quality
 from labelscope.llm.sanitise import sanitise
 from labelscope.llm.secret_scan import find_secrets
+from labelscope.llm.spelling import spelling_variants
 from labelscope.llm.token_scan import token_counts
 from labelscope.llm.toxicity import score_toxicity
 
@@ -99,6 +102,21 @@ def op10_sanitise(spark: SparkSession, folder: str) -> DataFrame:
     return sanitise(table(spark, folder, "documents"))
 
 
+@query
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"))
+
+
+@query
+def op13_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"))
+
+
 def tokenizer() -> tuple[bytes, str]:
     """The vocabulary, read once by the driver and sent to the tasks, and the pattern that cuts texts into pieces."""
     with open(VOCABULARY, "rb") as file:
@@ -187,3 +205,28 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
        CAST(size * (epochs + CASE WHEN rest > 0 AND through - size / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM ranked
 """
+
+SQL["op11_collocations"] = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), totals AS (SELECT lang, sum(len(w)) AS total FROM words GROUP BY lang
+), counts AS (
+    SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase, count(*) AS n
+    FROM words, range(1, 6) AS sizes(k), range(1, len(w) + 1) AS places(p) WHERE p + k - 1 <= len(w)
+    GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+    SELECT c.lang, c.phrase, c.n AS a, c.k, i AS cut, l.n AS l, r.n AS r, t.total AS n,
+           (1000::HUGEINT * c.n * t.total) // (l.n::HUGEINT * r.n) AS score
+    FROM counts c, range(1, c.k) AS places(i) JOIN totals t ON t.lang = c.lang
+    JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(string_split(c.phrase, ' ')[:i], ' ')
+    JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(string_split(c.phrase, ' ')[i + 1:], ' ')
+), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), kept AS (
+    SELECT * FROM lowest x WHERE NOT EXISTS (
+        SELECT 1 FROM counts y WHERE y.lang = x.lang AND y.k > x.k AND y.n >= x.a AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""

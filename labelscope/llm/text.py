@@ -123,3 +123,17 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
             sets.append(window_hashes(hashes[first : first + n], int(n)) if n else windows[:0])
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
     return np.concatenate(sets) if sets else windows[:0], np.concatenate([[0], np.cumsum(sizes)])
+
+
+def distinct_keys(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one member, and the number, of each group of equal (key, check)."""
+    if not len(keys):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    order = np.argsort(keys, kind="stable")
+    new = np.r_[True, keys[order[1:]] != keys[order[:-1]]]
+    differ = np.r_[False, checks[order[1:]] != checks[order[:-1]]]
+    if (differ & ~new).any():  # two contents of one key
+        order = np.lexsort((checks, keys))
+        new = np.r_[True, (keys[order[1:]] != keys[order[:-1]]) | (checks[order[1:]] != checks[order[:-1]])]
+    starts = np.flatnonzero(new)
+    return order[starts], np.diff(np.r_[starts, len(order)])
