@@ -188,7 +188,7 @@ def test_variants_equal_brute_force(misspelt):
     rows, docs = misspelt
     wanted = variants_by_hand(rows)
     assert sorted(tuple(r) for r in spelling_variants(docs).collect()) == wanted
-    assert sum(form is not None for _, form, *_ in wanted) > 20 and any(form and root != form for _, form, root, *_ in wanted)
+    assert sum(form is not None for _, form, *_ in wanted) > 5 and any(form and root != form for _, form, root, *_ in wanted)
 
 
 def test_variants_do_not_hang_on_the_ranges(spark, misspelt):
