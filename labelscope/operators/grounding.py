@@ -1,18 +1,22 @@
 """Checks that each annotated sentence really occurs in the text of its page.
 
-The page text is big and the same for all annotations of a page. It is therefore
-joined to *distinct* sentences, one copy per page, and never carried through the
-parse. The join key is the page; a page with very many sentences is split by AQE,
-as its sentences arrive hashed by (page, sentence) and are exchanged for this join only.
+The text of a page and its distinct sentences meet in one task as rows of their own: the text comes first and
+is read once for all sentences (``functions.places``), so no row holds a sentence and a text. A page
+with very many sentences is dealt in blocks, each with a copy of the text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from labelscope.functions.text import contains_text, present
+from labelscope.functions.places import places, present as present_in, spliced
+from labelscope.functions.text import present
 from labelscope.operators.coverage import PAGE
 from labelscope.operators.ranking import occurrence_number, order_columns, row_order
 
@@ -62,21 +66,122 @@ def first_page_text(
     return _first_rows(sentences.filter(present(*page, text)), sentences, page, [text], order_columns(sentences, order))
 
 
-def grounded_in(sentence: Column, texts: Sequence[Column]) -> Column:
+#: Sentences of a page that one task compares with its text; rows and bytes that it gathers for one reading.
+BLOCK, GATHERED, GATHERED_BYTES = 50_000, 20_000, 1 << 25
+
+
+def _page_key(page: Sequence[str], *more: Column) -> Column:
+    """The page as one text; rows without a page are spread over keys of their own, which no text has."""
+    spread = F.concat(F.lit("~"), F.pmod(F.xxhash64(F.col("_row")), F.lit(4096)).cast("string"))
+    return F.when(present(*page), F.to_json(F.struct(*page, *more))).otherwise(spread)
+
+
+def _meet(
+    df: DataFrame, pages: DataFrame, page: Sequence[str], texts: Sequence[str], counted: DataFrame | None, order: Sequence[str] = ()
+) -> DataFrame:
+    """``_key, _texts, _row``: of each page, or block of its sentences, the texts and then the rows of ``df``, in one task."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    texts_of = pages.filter(present(*page)).select(
+        *[F.col(c).cast(types[c]).alias(c) for c in page], F.array(*[F.col(t).cast("string") for t in texts]).alias("_texts")
+    )
+    rows = df.select(*page, *order, F.struct(*df.columns).alias("_row"))
+    blocks = F.lit(1)
+    if counted is not None:
+        hot = (
+            counted.filter(present(*page)).groupBy(*page).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")).filter("_blocks > 1")
+            .select(*[F.col(c).cast(types[c]).alias(c) for c in page], "_blocks")
+        )
+        rows, texts_of = rows.join(hot, list(page), "left"), texts_of.join(hot, list(page), "left")
+        blocks = F.coalesce("_blocks", F.lit(1))
+    block = F.pmod(F.xxhash64("_row.sentence"), blocks).cast("int").alias("_block")
+    each = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block")
+    rows = rows.withColumn("_block", block).select(
+        _page_key(page, F.col("_block")).alias("_key"), F.lit(None).cast("array<string>").alias("_texts"), "_row", *order
+    )
+    first = [F.lit(None).cast(types[c]).alias(c) for c in order]
+    texts_of = texts_of.select(*page, "_texts", each).select(
+        F.to_json(F.struct(*page, "_block")).alias("_key"), "_texts",
+        F.struct(*[F.col(c) if c in page else F.lit(None).cast(t).alias(c) for c, t in types.items()]).alias("_row"), *first,
+    )
+    dealt = texts_of.unionByName(rows).repartition("_key")
+    return dealt.sortWithinPartitions("_key", F.col("_texts").isNull(), *order).select("_key", "_texts", "_row")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.StructScalar], list[list[bytes | None]], list[pa.Array], bool]]:
+    """(page rows, their texts, gathered rows, whether the group ends) of each key; a large group comes in several parts."""
+    key, heads, texts, gathered, count, size = None, [], [], [], 0, 0
+    for batch in batches:
+        keys = batch.column("_key")
+        runs = keys.dictionary_encode().indices.to_numpy()
+        cuts = np.flatnonzero(runs[1:] != runs[:-1]) + 1
+        is_text = batch.column("_texts").is_valid().to_numpy(zero_copy_only=False)
+        for first, end in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(runs)].tolist(), strict=True):
+            if first == end:
+                continue
+            if (own := keys[first].as_py()) != key:
+                if key is not None:
+                    yield heads, texts, gathered, True
+                key, heads, texts, gathered, count, size = own, [], [], [], 0, 0
+            n = int(is_text[first:end].sum())
+            for i in range(first, first + n):
+                heads.append(batch.column("_row")[i])
+                texts.append([None if t is None else t.encode() for t in batch.column("_texts")[i].as_py()])
+            if first + n < end:
+                gathered.append(batch.column("_row").slice(first + n, end - first - n))
+                count, size = count + len(gathered[-1]), size + gathered[-1].nbytes
+            if count > GATHERED or size > GATHERED_BYTES:
+                yield heads, texts, gathered, False
+                gathered, count, size = [], 0, 0
+    if key is not None:
+        yield heads, texts, gathered, True
+
+
+def _with_presence(
+    df: DataFrame, pages: DataFrame, page: Sequence[str], texts: Sequence[str], counted: DataFrame, markup: bool = False
+) -> DataFrame:
+    """Adds ``_in_<text>`` for each page text, and ``_markup`` on request: the sentence may match what a highlighter puts in.
+
+    A row without a page or a sentence, or of a page without texts, is in none; a page of several rows has all their texts.
+    """
+    flags = [f"_in_{t}" for t in texts] + ["_markup"] * markup
+    columns = [*df.columns, *flags]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sources, gathered, _ in _groups(batches):
+            if not gathered:
+                continue
+            rows = pa.concat_arrays(gathered)
+            said = rows.field("sentence").to_pylist()
+            given = [i for i, s in enumerate(said) if s is not None]
+            sentences = [said[i].encode() for i in given]
+            found = np.zeros((len(flags), len(said)), dtype=bool)
+            for own in sources:
+                for at, text in enumerate(own):
+                    found[at, given] |= present_in(text, sentences)
+            if markup and sources:
+                found[-1, given] = _may_meet_markup([t for own in sources for t in own if t is not None], sentences)
+            yield pa.RecordBatch.from_arrays([*rows.flatten(), *(pa.array(f) for f in found)], columns)
+
+    schema = StructType([*df.schema.fields, *(StructField(f, BooleanType()) for f in flags)])
+    return _meet(df, pages, page, texts, counted).mapInArrow(run, schema)
+
+
+def _any_of(texts: Sequence[str]) -> Column:
     found = F.lit(False)
-    for text in texts:
-        found = found | contains_text(text, sentence)
+    for t in texts:
+        found = found | F.col(f"_in_{t}")
     return found
 
 
 def with_grounding(
-    df: DataFrame, pages: DataFrame, page: Sequence[str] = PAGE, texts: Sequence[str] = TEXTS
+    df: DataFrame, pages: DataFrame, page: Sequence[str] = PAGE, texts: Sequence[str] = TEXTS, counted: DataFrame | None = None
 ) -> DataFrame:
-    """Adds ``grounded``: the sentence is a literal part of one of the page texts."""
-    lookup = pages.select(*page, *[F.col(t).alias(f"_page_{t}") for t in texts])
-    checked = df.join(lookup, list(page), "left")
-    hit = grounded_in(F.col("sentence"), [F.col(f"_page_{t}") for t in texts])
-    return checked.withColumn("grounded", hit).drop(*[f"_page_{t}" for t in texts])
+    """Adds ``grounded``: the sentence is a literal part of one of the page texts.
+
+    ``counted`` may name a cheaper table with at least as many rows for each page, from which blocks are planned.
+    """
+    checked = _with_presence(df, pages, page, texts, df if counted is None else counted)
+    return checked.select(*df.columns, _any_of(texts).alias("grounded"))
 
 
 def sentence_index(
@@ -98,17 +203,14 @@ def sentence_presence(
     df: DataFrame, pages: DataFrame, page: Sequence[str] = PAGE, order: Sequence[str] | None = None
 ) -> DataFrame:
     """The sentence index of each page with one flag per page text and their disjunction."""
-    joined = sentence_index(df, page, order).join(pages, list(page), "left")
-    full, clean = (contains_text(F.col(t), F.col("sentence")) for t in TEXTS)
-    flagged = joined.select(
+    flagged = _with_presence(sentence_index(df, page, order), pages, page, TEXTS, df)
+    return flagged.select(
         *page,
         "index",
         "sentence",
-        full.alias("in_markdown_full"),
-        clean.alias("in_cleaned_markdown"),
-    )
-    return flagged.withColumn(
-        "found_anywhere", F.col("in_markdown_full") | F.col("in_cleaned_markdown")
+        F.col("_in_markdown_full").alias("in_markdown_full"),
+        F.col("_in_cleaned_markdown").alias("in_cleaned_markdown"),
+        _any_of(TEXTS).alias("found_anywhere"),
     )
 
 
@@ -117,7 +219,7 @@ def sentence_audit(df: DataFrame, pages: DataFrame, page: Sequence[str] = PAGE)
     columns = [*page, "sentence", "aspect", "sentiment", "model"]
     rows = df.select(*[c if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
     distinct = rows.select(*page, "sentence").filter(present(*page, "sentence")).distinct()
-    flags = with_grounding(distinct, pages, page)
+    flags = with_grounding(distinct, pages, page, counted=rows)
     flagged = rows.join(flags, [*page, "sentence"], "left")
     return flagged.select(*columns, F.coalesce("grounded", F.lit(False)).alias("grounded"))
 
@@ -145,7 +247,7 @@ def grounding_scorecard(
     """
     rows = df.filter(present(*page))
     distinct = rows.groupBy(*page, "sentence").agg(F.collect_set("model").alias("models"))
-    flagged = with_grounding(distinct, pages, page)
+    flagged = with_grounding(distinct, pages, page, counted=rows)
     has_text = F.col("sentence").isNotNull()
     is_hit = (has_text & F.col("grounded")).cast("int")
     is_miss = (has_text & ~F.col("grounded")).cast("int")
@@ -176,22 +278,87 @@ def grounding_scorecard(
     )
 
 
-def _may_change(text: Column, sentence: Column) -> Column:
-    """False only for sentences the highlighter can never find in this text.
+_OPEN, _CLOSE = OPEN_TAG.encode(), CLOSE_TAG.encode()
+_WHOLE_TAGS = re.compile(re.escape(_OPEN) + rb"\[\d+\] |" + re.escape(_CLOSE))
+_AFTER_TAG = re.compile(rb"(?:\[?\d*\])? ")
+_IN_NUMBER = re.compile(rb"\[?\d*\]? ?")
 
-    A sentence that is not in the text itself can still match once markup has been
-    put in, but then it reaches into the markup: it holds an angle bracket, starts with the end of
-    an opening tag (``[12] ``, ``2] `` or a blank) before words of the text, or lies inside a tag.
+
+def _without_cut_tags(piece: bytes, first: bool, last: bool) -> bytes:
+    """A piece between whole tags without the end of a tag it begins with, or the beginning of one it ends with."""
+    if first and (tag := re.match(rb"([^<>]*>)(\[\d+\] )?", piece)) and (_OPEN.endswith(tag[1]) or _CLOSE.endswith(tag[1])):
+        piece = piece[tag.end() :]
+    elif first and (tag := _AFTER_TAG.match(piece)):
+        piece = piece[tag.end() :]
+    if last and (tag := re.search(re.escape(_OPEN) + rb"\[?\d*\]?$", piece)):
+        piece = piece[: tag.start()]
+    elif last and (tag := re.search(rb"<[^<>]*$", piece)) and (_OPEN.startswith(tag[0]) or _CLOSE.startswith(tag[0])):
+        piece = piece[: tag.start()]
+    return piece
+
+
+def _beside_markup(sentence: bytes) -> list[bytes] | None:
+    """What a match that reaches into markup must find in the text itself; None if no such match is possible.
+
+    A sentence reaches into markup if it holds a tag, starts with the end or stops with the beginning of one, or lies inside one.
     """
-    after_tag = F.regexp_replace(sentence, r"^(\[?\d*\])? ", "")
-    touches_markup = (
-        sentence.contains("<")
-        | sentence.contains(">")
-        | (sentence.rlike(r"^(\[?\d*\])? ") & contains_text(text, after_tag))
-        | sentence.rlike(r"^\[?\d*\]? ?$")
-        | F.contains(F.lit(OPEN_TAG + CLOSE_TAG), sentence)
-    )
-    return (contains_text(text, sentence) | touches_markup) & (sentence != "")
+    if not sentence:
+        return None
+    if sentence in _OPEN or sentence in _CLOSE or _IN_NUMBER.fullmatch(sentence):
+        return []
+    pieces = _WHOLE_TAGS.split(sentence)
+    bare = [_without_cut_tags(p, i == 0, i == len(pieces) - 1) for i, p in enumerate(pieces)]
+    if len(pieces) == 1 and bare == pieces:
+        return None
+    return [p for p in bare if p]
+
+
+def _may_meet_markup(texts: list[bytes], sentences: list[bytes]) -> np.ndarray:
+    """Which sentences may match in one of the texts once markup has been put in, with that markup."""
+    beside = {i: parts for i, s in enumerate(sentences) if (parts := _beside_markup(s)) is not None}
+    asked = sorted({p for parts in beside.values() for p in parts})
+    found = np.zeros(len(sentences), dtype=bool)
+    for text in texts:
+        held = {p for p, hit in zip(asked, present_in(text, asked), strict=True) if hit}
+        for i, parts in beside.items():
+            found[i] |= held.issuperset(parts)
+    return found
+
+
+def _marked(text: bytes | None, marks: list[tuple[int, bytes]]) -> bytes:
+    """The text with every sentence wrapped, lower indices first, as repeated replacing gives it."""
+    if text is None:
+        return b""
+    result, starts = spliced(text, marks, _OPEN, _CLOSE)
+    if _reaches_into_markup(text, marks, starts):
+        for index, sentence in sorted(marks):
+            text = text.replace(sentence, _OPEN + b"[%d] " % index + sentence + _CLOSE)
+        return text
+    return result
+
+
+def _reaches_into_markup(text: bytes, marks: list[tuple[int, bytes]], starts: list[tuple[int, int]]) -> bool:
+    """Whether a sentence may match markup of one before it; words after the end of a tag must begin where one was put."""
+    if not starts:
+        return False
+    lowest = min(index for _, index in starts)
+    after: list[tuple[int, bytes]] = []
+    for index, sentence in marks:
+        parts = _beside_markup(sentence) if index > lowest else None
+        if parts is None:
+            continue
+        if len(parts) != 1 or b"<" in sentence or b">" in sentence:
+            if _IN_NUMBER.fullmatch(sentence) and len(re.findall(rb"\d", sentence)) > len(str(index)):
+                continue  # no number put in is as long
+            return True
+        after.append((index, parts[0]))
+    first_at: dict[int, int] = {}
+    for place, index in starts:
+        first_at[place] = min(index, first_at.get(place, index))
+    for which, at in places(text, [rest for _, rest in after]):
+        if any(p in first_at and first_at[p] < after[s][0] for s, p in zip(which.tolist(), at.tolist(), strict=True)):
+            return True
+    return False
 
 
 def highlight_pages(
@@ -199,28 +366,29 @@ def highlight_pages(
 ) -> DataFrame:
     """Page texts with every sentence wrapped in markup, in the order of the sentence index.
 
-    Only sentences that can be found are gathered, so the list of a page is bounded
-    by what its text holds and not by how many sentences models made up for it.
-    Empty sentences are skipped. A missing text gives ''.
+    A sentence is put in wherever it stands, unless markup put in before lies inside. Only sentences that can be found are gathered,
+    so the list of a page is bounded by what its text and the markup hold and not by how many sentences models
+    made up for it. Their places are found in one reading and the text is built once; only a page with a sentence that may match the
+    markup itself is rewritten sentence by sentence. Empty sentences are skipped. A missing text gives ''. Where a sentence lies inside
+    a tag (``e``, ``1``), others may match the pieces that it leaves of the tag; such sentences are not looked for.
     """
-    candidates = sentence_index(df, page, order).join(pages, list(page))
-    sentence = F.col("sentence")
-    candidates = candidates.filter(
-        _may_change(F.col(TEXTS[0]), sentence) | _may_change(F.col(TEXTS[1]), sentence)
-    )
-    lists = candidates.groupBy(*page).agg(
-        F.array_sort(F.collect_list(F.struct("index", "sentence"))).alias("_found")
-    )
-    marked = pages.filter(present(*page)).join(lists, list(page), "left")
-
-    def mark(text: Column) -> Column:
-        def wrap(acc: Column, s: Column) -> Column:
-            tag = F.concat(
-                F.lit(OPEN_TAG + "["), s["index"].cast("string"), F.lit("] "), s["sentence"], F.lit(CLOSE_TAG)
-            )
-            return F.when(F.contains(acc, s["sentence"]), F.replace(acc, s["sentence"], tag)).otherwise(acc)
-
-        folded = F.aggregate(F.col("_found"), text, wrap)
-        return F.coalesce(F.when(F.col("_found").isNull(), text).otherwise(folded), F.lit(""))
-
-    return marked.select(*page, *[mark(F.col(t)).alias(f"highlighted_{t}") for t in TEXTS])
+    tested = _with_presence(sentence_index(df, page, order), pages, page, TEXTS, df, markup=True)
+    found = tested.filter((_any_of(TEXTS) | F.col("_markup")) & (F.col("sentence") != "")).select(*page, "index", "sentence")
+    names = [f"highlighted_{t}" for t in TEXTS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks: list[tuple[int, bytes]] = []
+        for heads, texts, gathered, last in _groups(batches):
+            for rows in gathered:
+                marks += zip(rows.field("index").to_pylist(), (s.encode() for s in rows.field("sentence").to_pylist()), strict=True)
+            if last and heads:
+                kinds = [heads[0].type.field(c).type for c in page]
+                columns = [pa.array([h[c].as_py() for h in heads], kind) for c, kind in zip(page, kinds, strict=True)]
+                marked = [pa.array([_marked(own[i], marks).decode() for own in texts], pa.string()) for i in range(len(TEXTS))]
+                yield pa.RecordBatch.from_arrays([*columns, *marked], [*page, *names])
+            if last:
+                marks = []
+
+    types = {f.name: f.dataType.simpleString() for f in found.schema.fields}
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in page), *(f"{n} string" for n in names)])
+    return _meet(found, pages, page, TEXTS, None).mapInArrow(run, schema)

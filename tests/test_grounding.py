@@ -1,11 +1,12 @@
 import random
+import time
 from collections import defaultdict
 
 import pytest
 
+from labelscope.functions import places as places_of
 from labelscope.operators import grounding
 from labelscope.operators.ranking import occurrence_number
-from labelscope.session import configure
 
 SCHEMA = "row_id long, pos int, filename string, page_number long, model string, sentence string"
 
@@ -122,23 +123,128 @@ def test_occurrence_number_in_slices(spark, slice_rows):
     assert {tuple(r) for r in got.collect()} == wanted
 
 
-def test_hot_page_join_is_split(spark):
-    """A page with most of the sentences: its join partition is split, the aggregate follows."""
-    own = configure(spark.newSession())
-    for key, value in {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
-        "spark.sql.shuffle.partitions": "8",
-    }.items():
-        own.conf.set(key, value)
-    rows = own.range(60000).selectExpr(
+def test_a_hot_page_is_dealt_in_blocks(spark, monkeypatch):
+    """A page with most of the sentences: blocks of them, each with a copy of the text, go to tasks of their own."""
+    monkeypatch.setattr(grounding, "BLOCK", 2000)
+    rows = spark.range(60000).selectExpr(
         "id AS row_id", "0 AS pos", "'f' AS filename", "IF(id % 10 < 8, 0, id % 40) AS page_number",
         "'m' AS model", "concat(md5(string(id)), md5(string(id + 1))) AS sentence")
-    texts = own.range(40).selectExpr(
-        "'f' AS filename", "id AS page_number", "repeat('x', 60) AS markdown_full", "'' AS cleaned_markdown")
-    card = grounding.grounding_scorecard(rows, texts)
-    assert sum(r.not_grounded + r.grounded for r in card.collect()) == 60000
-    assert "skew=true" in card._jdf.queryExecution().executedPlan().toString()
+    texts = spark.range(40).selectExpr(
+        "'f' AS filename", "id AS page_number", "concat('x', md5('7'), md5('8'), md5('9'), 'x') AS markdown_full", "'' AS cleaned_markdown")
+    card = grounding.grounding_scorecard(rows, texts).collect()
+    assert sum(r.not_grounded + r.grounded for r in card) == 60000
+    assert {r.page_number: r.grounded for r in card if r.grounded} == {0: 1, 8: 1}
+    met = grounding._meet(rows, texts, grounding.PAGE, grounding.TEXTS, rows).selectExpr("_key", "_texts IS NULL AS s").groupBy("_key").agg({"s": "count"})
+    per_key = [r[1] for r in met.collect()]
+    assert max(per_key) < 2600 and len(per_key) > 60
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_row_holds_a_sentence_and_a_page_text(case):
+    """The texts are an array of their own column, and every row of the union has the one or the other."""
+    df, raw, *_ = case
+    pages = grounding.page_texts(df, raw)
+    met = grounding._meet(grounding.sentence_index(df), pages, grounding.PAGE, grounding.TEXTS, df)
+    assert met.filter("_texts IS NOT NULL AND _row.sentence IS NOT NULL").count() == 0
+    for frame in (grounding.sentence_audit(df, pages), grounding.sentence_presence(df, pages), grounding.grounding_scorecard(df, pages)):
+        plan = plan_of(frame)
+        assert "Contains(" not in plan and "contains(" not in plan.lower().replace("array_contains(", "")
+        joins = [line for line in plan.splitlines() if "Join" in line]
+        assert not any("markdown" in line and "sentence" in line for line in joins)
+
+
+# --- places of many sentences in one text ------------------------------------------
+
+
+def every_place(text, sentences):
+    return {(i, p) for i, s in enumerate(sentences) if s for p in range(len(text)) if text.startswith(s, p)}
+
+
+@pytest.mark.parametrize("window, pairs", [(1 << 22, 1 << 20), (7, 3), (64, 1)])
+def test_places_equal_brute_force(monkeypatch, window, pairs):
+    monkeypatch.setattr(places_of, "WINDOW", window)
+    monkeypatch.setattr(places_of, "PAIRS", pairs)
+    rng = random.Random(window)
+    for _ in range(60):
+        text = "".join(rng.choices(["a", "b", "ab", "é", "中"], k=rng.randint(0, 120))).encode()
+        cut = [text[i : i + rng.randint(0, 40)] for i in (rng.randint(0, len(text)) for _ in range(15))]
+        sentences = cut + ["".join(rng.choices("abé", k=rng.randint(0, 9))).encode() for _ in range(15)] + [text, text + b"a", b""]
+        found = [(s, p) for which, at in places_of.places(text, sentences) for s, p in zip(which.tolist(), at.tolist())]
+        assert len(found) == len(set(found)) and set(found) == every_place(text, sentences)
+        assert places_of.present(text, sentences).tolist() == [s in text for s in sentences]
+    assert places_of.present(None, [b"", b"a"]).tolist() == [False, False]
+
+
+def test_places_take_time_in_proportion(monkeypatch):
+    """Twice the text and twice the sentences take some twice the time, not four times."""
+    rng = random.Random(8)
+    took = []
+    for n in (1, 4):
+        text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=400_000 * n)).encode()
+        sentences = [text[i : i + 90] for i in range(0, len(text), 90)] + [b"made up %d and nowhere" % i for i in range(4_000 * n)]
+        start = time.perf_counter()
+        assert places_of.present(text, sentences).sum() == len(range(0, len(text), 90))
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10 * took[0]
+
+
+def folded(text, marks):
+    for index, sentence in sorted(marks):
+        text = text.replace(sentence, grounding._OPEN + b"[%d] " % index + sentence + grounding._CLOSE)
+    return text
+
+
+def test_overlaps_are_settled_by_index():
+    mark = grounding._marked
+    o, c = grounding._OPEN, grounding._CLOSE
+    assert mark(b"WXYZ", [(1, b"XY"), (2, b"WXY"), (3, b"Y"), (4, b"Z")]) == b"W" + o + b"[1] X" + o + b"[3] Y" + c + c + o + b"[4] Z" + c
+    assert mark(b"XXXX", [(2, b"XX"), (5, b"X")]).count(b"[5]") == 4 and mark(None, [(1, b"a")]) == b"" and mark(b"x", []) == b"x"
+
+
+def test_splicing_equals_repeated_replacing():
+    rng = random.Random(12)
+    bits = ["net", " zero", "ab", "a", "b", " ", "é", "1", "2] x", "[2] ab", "<b>", "] ", "span", "</span>", ">[1] ab", "</", "ab<", "e"]
+    rebuilt = 0
+    for n in range(3000):
+        text = "".join(rng.choices(bits[: 8 if n % 3 else len(bits)], k=rng.randint(1, 25)))
+        said = {"".join(rng.choices(bits[: 6 if n % 2 else len(bits)], k=rng.randint(1, 4))) for _ in range(6)}
+        said |= {text[i : i + rng.randint(1, 8)] for i in rng.choices(range(len(text)), k=3)}
+        if n % 5 == 0:
+            said.add(grounding.CLOSE_TAG + rng.choice(bits))
+            said.add(" " + rng.choice(bits) + grounding.OPEN_TAG + "[1] " + rng.choice(bits))
+        marks = [(i, s.encode()) for i, s in enumerate(sorted(said, key=lambda s: rng.random()), 1) if s]
+        data = text.encode()
+        assert grounding._marked(data, marks) == folded(data, marks)
+        spliced, starts = places_of.spliced(data, marks, grounding._OPEN, grounding._CLOSE)
+        rebuilt += grounding._reaches_into_markup(data, marks, starts)
+        if any(grounding._beside_markup(s) == [] for _, s in marks):
+            continue
+        # what can change the result is among what the first pass lets through
+        let = grounding._may_meet_markup([data], [s for _, s in marks])
+        kept = [m for m, may in zip(marks, let) if may or m[1] in data]
+        assert folded(data, kept) == folded(data, marks)
+    assert 100 < rebuilt < 2900
+
+
+def test_only_what_can_be_found_is_gathered(spark):
+    """Made-up sentences, with brackets or without, do not reach the task that builds the text."""
+    rows = spark.range(3000).selectExpr(
+        "id AS row_id", "0 AS pos", "'f' AS filename", "1L AS page_number", "'m' AS model",
+        "CASE WHEN id = 5 THEN 'two words' WHEN id % 3 = 0 THEN concat('<made up ', id) WHEN id % 3 = 1 THEN concat(' made up ', id) ELSE concat('>[', id, '] x') END AS sentence")
+    pages = spark.createDataFrame([("f", 1, "two words", None)], "filename string, page_number long, markdown_full string, cleaned_markdown string")
+    tested = grounding._with_presence(grounding.sentence_index(rows), pages, grounding.PAGE, grounding.TEXTS, rows, markup=True)
+    assert tested.filter("_in_markdown_full OR _in_cleaned_markdown OR _markup").count() == 1
+    assert grounding.highlight_pages(rows, pages).collect()[0].highlighted_markdown_full.count("[6] two words") == 1
+
+
+def test_rows_without_page_sentence_or_text(spark):
+    rows = spark.createDataFrame(
+        [("f", 1, "a"), ("f", 1, None), (None, 1, "a"), ("f", 2, "a"), ("f", 3, "a"), ("f", 3, "")], "filename string, page_number int, sentence string"
+    )
+    pages = spark.createDataFrame([("f", 1, "xax", None), ("f", 3, None, "b"), (None, 1, "a", "a")], "filename string, page_number long, markdown_full string, cleaned_markdown string")
+    got = sorted(map(str, grounding.with_grounding(rows, pages).collect()))
+    want = [("f", 1, "a", True), ("f", 1, None, False), (None, 1, "a", False), ("f", 2, "a", False), ("f", 3, "a", False), ("f", 3, "", True)]
+    assert got == sorted(f"Row(filename={f!r}, page_number={p}, sentence={s!r}, grounded={g})" for f, p, s, g in want)
