@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from labelscope.functions.text import present, provider as provider_of
-from labelscope.operators.ranking import row_order
+from labelscope.operators.ranking import order_columns, packed_order
 
 PAGE = ("filename", "page_number")
 
@@ -77,21 +77,33 @@ def model_comparison(
 
     Without ``provider`` the first non-null value counts; with one, only its models
     are compared and the first row counts even if its value is NULL. Sentences with
-    no value for any model drop out. Long by default, wide with a list of models.
+    no value for any model drop out. Long by default, wide with a list of models. The order columns name a row.
+
+    Sentences are compared by 128-bit digests: only these and the number of the first row are aggregated,
+    and value and text of the winning rows are fetched by that number.
     """
+    at = order_columns(df, order)
     rows = df.filter(present(*page, "sentence", "model"))
-    at = row_order(df, order)
     if provider is None:
-        first = F.min_by(value, at)
         rows = rows.filter(F.col(value).isNotNull())
     else:
-        first = F.min_by(F.struct(value), at)[value]
         rows = rows.filter(provider_of(F.col("model")) == provider)
-    keys = [*page, "sentence"]
-    picked = rows.groupBy(*keys, "model").agg(first.alias(value)).filter(F.col(value).isNotNull())
+    digest = F.unhex(F.md5(F.col("sentence").cast("binary"))).alias("_digest")
+    narrow = rows.select(*page, digest, "model", packed_order(df, at).alias("_at"))
+    winners = narrow.groupBy(*page, "_digest", "model").agg(F.min("_at").alias("_at"))
+    found = rows.select(packed_order(df, at).alias("_at"), value, "sentence")
     if models is None:
-        return picked
-    return picked.groupBy(*keys).pivot("model", list(models)).agg(F.first(value))
+        picked = winners.join(found, "_at").filter(F.col(value).isNotNull())
+        return picked.select(*page, "sentence", "model", value)
+    # a list is bounded by the models; the sentence is fetched once, from the first of its rows
+    picked = winners.join(found.select("_at", value), "_at").filter(F.col(value).isNotNull())
+    lists = picked.groupBy(*page, "_digest").agg(
+        F.collect_list(F.struct("model", F.col(value).alias("value"))).alias("_values"), F.min("_at").alias("_at")
+    )
+    by_model = F.map_from_entries("_values")
+    return lists.join(found.select("_at", "sentence"), "_at").select(
+        *page, "sentence", *[F.try_element_at(by_model, F.lit(m)).alias(m) for m in models]
+    )
 
 
 def model_completeness(

@@ -1,7 +1,7 @@
 """Aspect -> sentiment -> tone flow tables and graphs.
 
-Everything here works on the aggregated flow table, whose size is bounded by the
-label sets, so its windows without a partition see a few hundred rows at most.
+Everything here works on the aggregated flow table. Nodes of a graph are numbered by range, so labels
+may be raw ones without a bound.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelscope.functions.text import present
+from labelscope.operators.ranking import global_number
 from labelscope.sources.ontologies import ASPECTS, SENTIMENTS, TONES, Ontology
 
 LABELS = ("aspect_category_norm", "sentiment_norm", "tone_norm")
@@ -45,31 +46,22 @@ def flow_marginals(flow: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame
     return totals.withColumn("rank", F.row_number().over(place))
 
 
-def _by_total(flow: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Adds the node ids of the three codes: layers in turn, codes by falling total, then name."""
-    offset = F.lit(0)
-    for i, c in enumerate(labels):
-        flow = flow.withColumn(f"_total_{i}", F.sum("count").over(Window.partitionBy(c)))
-        place = Window.orderBy(F.desc(f"_total_{i}"), c)
-        flow = flow.withColumn(f"_rank_{i}", F.dense_rank().over(place))
-        flow = flow.withColumn(f"_id_{i}", F.col(f"_rank_{i}") - 1 + offset)
-        offset = offset + F.max(f"_rank_{i}").over(Window.partitionBy())
-    return flow
-
-
-def _by_first_seen(flow: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Adds the node ids of the three codes: dense, by first appearance in the sorted table."""
-    codes = F.array(*labels)
-    cells = flow.withColumn("_row", F.row_number().over(Window.orderBy(*labels)))
-    cells = cells.select("*", F.posexplode(codes).alias("_layer", "_name"))
-    cells = cells.withColumn("_at", F.col("_row") * 3 + F.col("_layer"))
-    node = Window.partitionBy("_layer", "_name")
-    cells = cells.withColumn("_new", (F.col("_at") == F.min("_at").over(node)).cast("int"))
-    so_far = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("_seen", F.sum("_new").over(so_far) - 1)
-    cells = cells.withColumn("_id", F.max(F.when(F.col("_new") == 1, F.col("_seen"))).over(node))
-    ids = [F.max(F.when(F.col("_layer") == i, F.col("_id"))).alias(f"_id_{i}") for i in range(3)]
-    return cells.groupBy(*labels, "count").agg(*ids)
+def _codes(flow: DataFrame, labels: Sequence[str], value: Column) -> DataFrame:
+    """``_layer, _name, _value``: the three codes of each flow row with a value of the row."""
+    codes = [F.struct(F.lit(i).alias("_layer"), F.col(c).cast("string").alias("_name")) for i, c in enumerate(labels)]
+    return flow.select(value.alias("_value"), F.inline(F.array(*codes)))
+
+
+def _nodes_by_total(flow: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """``_layer, _name, _id``: layers in turn, codes by falling total, then name."""
+    totals = _codes(flow, labels, F.col("count")).groupBy("_layer", "_name").agg(F.sum("_value").alias("_total"))
+    return global_number(totals, [F.col("_layer"), F.desc("_total"), F.col("_name")], "_id")
+
+
+def _nodes_by_first_seen(flow: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """``_layer, _name, _id``: by first appearance in the sorted table, where the codes of a row are its place."""
+    seen = _codes(flow, labels, F.struct(*labels)).groupBy("_layer", "_name").agg(F.min("_value").alias("_first"))
+    return global_number(seen, [F.col("_first"), F.col("_layer")], "_id")
 
 
 def flow_graph(
@@ -88,20 +80,20 @@ def flow_graph(
     code if ``ontologies`` is None.
     """
     flow = flow.select(*labels, F.col(value).alias("count")).filter("count > 0")
-    placed = (_by_total if order == "total" else _by_first_seen)(flow, labels)
+    numbered = (_nodes_by_total if order == "total" else _nodes_by_first_seen)(flow, labels)
+    placed = flow
+    for i, c in enumerate(labels):
+        own = numbered.filter(F.col("_layer") == i).select("_name", F.col("_id").alias(f"_id_{i}"))
+        placed = placed.join(own, placed[c].cast("string").eqNullSafe(own["_name"])).drop("_name")
 
     def shown(i: int, code: Column) -> Column:
         return code if ontologies is None else ontologies[i].label_of(code)
 
-    node = [
-        F.struct(
-            F.col(f"_id_{i}").cast("long").alias("node_id"),
-            F.lit(layer).alias("layer"),
-            F.col(c).alias("name"),
-            F.concat(F.lit(f"{layer}: "), shown(i, F.col(c))).alias("label"),
-        )
-        for i, (c, layer) in enumerate(zip(labels, LAYERS))
-    ]
+    layer, label = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, name in enumerate(LAYERS):
+        own = F.col("_layer") == i
+        layer = F.when(own, F.lit(name)).otherwise(layer)
+        label = F.when(own, F.concat(F.lit(f"{name}: "), shown(i, F.col("_name")))).otherwise(label)
     link = [
         F.struct(
             F.col(f"_id_{i}").cast("long").alias("source"),
@@ -111,6 +103,8 @@ def flow_graph(
         for i in range(2)
     ]
     return FlowGraph(
-        nodes=placed.select(F.inline(F.array(*node))).distinct(),
+        nodes=numbered.select(
+            F.col("_id").cast("long").alias("node_id"), layer.alias("layer"), F.col("_name").alias("name"), label.alias("label")
+        ),
         links=placed.select(F.inline(F.array(*link))),
     )

@@ -8,8 +8,13 @@ their slice, and the counts of the earlier slices of the group are added.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
+
+from labelscope.session import shared_table
+from labelscope.sources.local import local_table
 
 # A slice holds at most this many different row ids.
 SLICE_ROWS = 1 << 20
@@ -70,3 +75,39 @@ def row_order(df: DataFrame, order: Sequence[str] | None = None) -> Column:
     """The row order as one column, a struct if it has several."""
     order = order_columns(df, order)
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
+#: Digits of the integer types.
+_DIGITS = {ByteType: 3, ShortType: 5, IntegerType: 10, LongType: 19}
+
+
+def packed_order(df: DataFrame, order: Sequence[str]) -> Column:
+    """The row order as one number if its columns are integers of 38 digits together, else as a struct.
+
+    A number is state of fixed width: its minimum is taken by a hash aggregate, that of a struct by sorting.
+    Columns after the first must not be negative or NULL.
+    """
+    digits = [_DIGITS.get(type(df.schema[c].dataType)) for c in order]
+    if None in digits or sum(digits) > 38:
+        return row_order(df, order)
+    packed = F.col(order[0]).cast("decimal(38,0)")
+    for c, n in zip(order[1:], digits[1:], strict=True):
+        packed = (packed * F.expr(f"CAST('{10**n}' AS DECIMAL(20,0))") + F.col(c).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return packed
+
+
+def global_number(df: DataFrame, order: Sequence[Column], name: str = "number") -> DataFrame:
+    """0-based number of each row in the order of the whole table, as a table of the shared folder; the order must be total.
+
+    Rows are dealt by range, sorted there and numbered in their task; the number of a range is the count of all ranges
+    before it. The driver sums up those counts, a number for each task of an exchange; no task sees all rows.
+    """
+    at = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "*", F.shiftright(at, 33).alias("_range"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_inside")
+    )
+    stored = shared_table(ranged, "ranged")
+    counts = sorted((r[0], r[1]) for r in stored.groupBy("_range").count().collect())
+    ahead = [0, *accumulate(n for _, n in counts)]
+    shifts = local_table(df.sparkSession, [(r, n) for (r, _), n in zip(counts, ahead)], "_range long, _ahead long")
+    return stored.join(shifts, "_range").withColumn(name, F.col("_inside") + F.col("_ahead")).drop("_range", "_inside", "_ahead")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the operators count on; none of them fixes a cluster size.
 RUNTIME_CONF = {
@@ -54,3 +54,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_table(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a table of the shared folder, which cuts its lineage; it goes when the application ends."""
+    spark, path = frame.sparkSession, shared_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(frame.schema).parquet(path)

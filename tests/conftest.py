@@ -9,10 +9,11 @@ sys.path.insert(0, str(ROOT))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from labelscope.session import local_session
 
     session = local_session(os.environ.get("TEST_CORES", "4"), shuffle_partitions=4, memory="6g")
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))  # as a cluster has it
     yield session
     session.stop()
 

@@ -143,6 +143,35 @@ def test_flow_graph(triples, order):
     assert marginals["Aspect", "E"][1] == 1
 
 
+@pytest.mark.parametrize("order", ["total", "first_seen"])
+def test_nodes_of_raw_labels_are_numbered_by_range(spark, order):
+    """Labels without a bound: no exchange to a single task, ids dense and in order."""
+    flow = spark.range(5000).selectExpr(
+        "concat('a', id % 1700) AS aspect_category_norm", "concat('s', id % 611) AS sentiment_norm", "concat('t', id * 7 % 5000) AS tone_norm", "1 + id % 5 AS count")
+    graph = flows.flow_graph(flow, order=order, ontologies=None)
+    for frame in graph:
+        assert "SinglePartition" not in frame._jdf.queryExecution().executedPlan().toString()
+    found = [tuple(r) for r in graph.nodes.select("node_id", "layer", "name").collect()]
+    rows = sorted(tuple(r) for r in flow.collect())
+    if order == "total":
+        wanted = []
+        for i, layer in enumerate(flows.LAYERS):
+            totals = Counter()
+            for r in rows:
+                totals[r[i]] += r[3]
+            wanted += [(layer, name) for name in sorted(totals, key=lambda k: (-totals[k], k))]
+    else:
+        wanted = list(dict.fromkeys((flows.LAYERS[i], r[i]) for r in rows for i in range(3)))
+    assert sorted(found) == [(i, *w) for i, w in enumerate(wanted)]
+    assert graph.links.count() == 2 * len(rows)
+
+
+def test_flow_with_a_missing_code_keeps_its_links(spark):
+    flow = spark.createDataFrame([("a", None, "t", 2), (None, "s", "t", 1)], "aspect_category_norm string, sentiment_norm string, tone_norm string, count long")
+    graph = flows.flow_graph(flow, ontologies=None)
+    assert graph.links.count() == 4 and sorted(r.node_id for r in graph.nodes.collect()) == [0, 1, 2, 3, 4]
+
+
 @pytest.mark.parametrize("n", [1, 5, 40, 500])
 def test_balanced_sample(triples, n):
     targets = balance.minimum_tone_distribution(triples)
