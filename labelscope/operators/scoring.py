@@ -7,6 +7,7 @@ column wide, and only raw scores come back. Decoding is native.
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -22,18 +23,42 @@ TwoHeadScorer = Callable[[list[str]], tuple[list[list[float]], list[list[float]]
 # texts -> one list of (label, score) per text
 Classifier = Callable[[list[str]], list[list[tuple[str, float]]]]
 
-# Loaded scorers of this Python worker, which serves many tasks; by plan and model id.
-_LOADED: dict[tuple[str, str], Any] = {}
+#: Scorers that a Python worker, which serves many tasks, keeps loaded; characters of text in a call of one.
+MOST_LOADED, CALL_CHARS = 4, 1 << 20
 
+# Loaded scorers of this Python worker by plan and model id, the least recently used first.
+_LOADED: OrderedDict[tuple[str, str], Any] = OrderedDict()
 
-def _once(plan: str, model_id: str, load: Callable[[], Any]) -> Any:
-    """What ``load`` gives, called once per worker; a failure is kept too, as its text."""
-    if (plan, model_id) not in _LOADED:
+
+def _once(plan: str, model_id: str, load: Callable[[], Any], most: int = MOST_LOADED) -> Any:
+    """What ``load`` gives, called once per worker as long as it stays among the ``most`` used last; a failure is kept too, as its text.
+
+    Scorers of another plan go first: a plan that has ended never asks again, one that goes on loads again.
+    """
+    key = (plan, model_id)
+    if key not in _LOADED:
+        while _LOADED and len(_LOADED) >= most:
+            others = [k for k in _LOADED if k[0] != plan]
+            del _LOADED[others[0] if others else next(iter(_LOADED))]
         try:
-            _LOADED[plan, model_id] = load()
+            _LOADED[key] = load()
         except Exception as error:
-            _LOADED[plan, model_id] = str(error)
-    return _LOADED[plan, model_id]
+            _LOADED[key] = str(error)
+    _LOADED.move_to_end(key)
+    return _LOADED[key]
+
+
+def _calls(texts: list[str], chars: int = CALL_CHARS) -> Iterator[list[str]]:
+    """The texts in turn, in runs of about so many characters; a longer text is a run of its own."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > chars:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
 
 
 LOAD_ERROR = "LOAD_ERROR"
@@ -55,7 +80,7 @@ def score_texts(
 ) -> DataFrame:
     """Adds ``sentiment``, ``tone``, ``sentiment_scores`` and ``tone_scores``.
 
-    ``load`` is called once per Python worker and returns the scorer.
+    ``load`` is called once per Python worker and returns the scorer, which gets texts in runs of bounded length.
     """
     plan = uuid.uuid4().hex
 
@@ -65,8 +90,11 @@ def score_texts(
         if isinstance(score, str):
             raise RuntimeError(score)
         for batch in batches:
-            sentiment, tone = score(batch.fillna("").tolist())
-            yield pd.DataFrame({"sentiment": list(sentiment), "tone": list(tone)})
+            sentiment, tone = [], []
+            for texts in _calls(batch.fillna("").tolist()):
+                for heads, found in zip((sentiment, tone), score(texts)):
+                    heads.extend(found)
+            yield pd.DataFrame({"sentiment": sentiment, "tone": tone})
 
     scored = df.withColumn("_logits", logits(F.col(text)))
     for head, classes in (("sentiment", sentiment_classes), ("tone", tone_classes)):
@@ -77,13 +105,20 @@ def score_texts(
 
 
 def _classify(classifier: Classifier, texts: list[str]) -> list[tuple[list, str | None]]:
-    """Result or error of each text; after a failed batch every text is tried by itself."""
+    """Result or error of each text; a failed batch is halved until the texts that fail stand alone.
+
+    With ``b`` bad texts among ``n`` that makes some ``2 b log n`` calls in place of ``n``.
+    """
     try:
-        return [(found, None) for found in classifier(texts)]
+        found = classifier(texts)
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} results for {len(texts)} texts")
+        return [(labels, None) for labels in found]
     except Exception as error:
         if len(texts) == 1:
             return [([], str(error))]
-        return [result for t in texts for result in _classify(classifier, [t])]
+        half = len(texts) // 2
+        return _classify(classifier, texts[:half]) + _classify(classifier, texts[half:])
 
 
 def score_models(
@@ -98,7 +133,7 @@ def score_models(
     Python worker. The output has the input columns and ``model_name, model_id, label, score,
     error``. A model that cannot be loaded, or a text it fails on, gives an error row
     and never a failed task. Each text travels to Python once, whatever the number
-    of models.
+    of models. A worker keeps the models of its plan loaded, and few of other plans.
     """
     plan = uuid.uuid4().hex
 
@@ -110,12 +145,13 @@ def score_models(
             texts = batch.fillna("").tolist()
             rows: list[list[tuple]] = [[] for _ in texts]
             for name, model_id in models:
-                classifier = _once(plan, model_id, lambda: load(model_id))
+                classifier = _once(plan, model_id, lambda: load(model_id), max(len(models), MOST_LOADED))
                 if isinstance(classifier, str):
                     for row in rows:
                         row.append((name, model_id, LOAD_ERROR, None, classifier))
                     continue
-                for row, (found, error) in zip(rows, _classify(classifier, texts)):
+                outcomes = (result for run in _calls(texts) for result in _classify(classifier, run))
+                for row, (found, error) in zip(rows, outcomes):
                     if error is not None:
                         row.append((name, model_id, INFER_ERROR, None, error))
                     row.extend((name, model_id, label, float(score), None) for label, score in found)

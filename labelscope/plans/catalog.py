@@ -7,7 +7,9 @@ decimals on both sides.
 
 from __future__ import annotations
 
+import gzip
 import json
+import os
 from collections.abc import Callable
 
 import pandas as pd
@@ -159,7 +161,13 @@ def first_available_source(d: Derived) -> DataFrame:
     path = shared_path(d.spark, "labels_csv")
     sinks.write_csv(d.lab.select("aspect_category", "sentiment", "tone"), path)
     broken = "nowhere://no-such-store/labels.csv"  # a file system that cannot be opened
-    candidates = [("uploaded", None), ("remote", path + "-absent"), ("store", broken), ("local", path)]
+    packed = gzip.compress(b"aspect_category,sentiment,tone\n" + os.urandom(4096).hex().encode())
+    hollow = {"empty.csv": b"", "headless.csv": b"\n\n", "cut.csv.gz": packed[: len(packed) // 2]}  # nothing in them can be read
+    for name, data in hollow.items():
+        sinks.write_bytes(d.spark, f"{path}-hollow/{name}", data)
+    candidates = [
+        ("uploaded", None), ("remote", path + "-absent"), ("store", broken), *((n, f"{path}-hollow/{n}") for n in hollow), ("local", path)
+    ]
     df, _ = tables.read_first_available(d.spark, candidates)
     tables.validate_columns(df, ["aspect_category", "sentiment", "tone"])
     return df.groupBy(F.col("source_tag").alias("tag")).agg(F.count("*").alias("rows"))

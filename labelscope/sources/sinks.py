@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -39,3 +39,13 @@ def write_label_summaries(summaries: dict[str, DataFrame], path: str, mode: str
 def write_lines(df: DataFrame, path: str, column: str = "line", mode: str = "errorifexists") -> None:
     """A text document, one line per row in the order of the frame."""
     df.select(column).write.mode(mode).text(path)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file as it is, in any file system the cluster knows."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()

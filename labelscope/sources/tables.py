@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from py4j.protocol import Py4JJavaError
@@ -80,7 +81,9 @@ def read_first_available(
     """The first ``(tag, uri)`` that can be read, and its tag; ``(None, "missing")`` if none can.
 
     Whatever keeps a source from being opened (no such path, an empty folder, a file system that is not
-    there or fails) only sends the search on to the next. A URI may name any file system the
+    there or fails) only sends the search on to the next. So does a source that opens but holds nothing: one
+    of 0 bytes, one without a header that names a column, or one whose first block cannot be read, such as a compressed file that was
+    cut off. A header alone is a table without rows. Later blocks are not probed. A URI may name any file system the
     cluster knows. The tag and the base name of the file travel along as ``source_tag`` and ``source_file``.
     """
     for tag, uri in candidates:
@@ -88,6 +91,10 @@ def read_first_available(
             continue
         try:
             df = spark.read.csv(uri, header=True, multiLine=True, quote='"', escape='"')
+            # columns without a name in the header are called _c0, _c1, ...
+            if all(re.fullmatch(r"\s*(_c\d+)?\s*", c) for c in df.columns):
+                continue
+            df.head(1)
         except (PySparkException, Py4JJavaError):
             continue
         cleaned = df.select(

@@ -73,6 +73,76 @@ def test_a_scorer_is_loaded_once_per_worker(spark, tmp_path):
     assert 1 <= len(list(tmp_path.iterdir())) <= 4 * 2  # four workers, two plans, not 64 tasks
 
 
+@pytest.fixture
+def loaded(monkeypatch):
+    monkeypatch.setattr(scoring, "_LOADED", scoring.OrderedDict())
+    return scoring._LOADED
+
+
+def test_scorers_of_ended_plans_are_let_go(loaded):
+    calls = []
+    get = lambda plan, model, most=2: scoring._once(plan, model, lambda: calls.append((plan, model)) or object(), most)
+    first = get("p", "a")
+    assert get("p", "a") is first and calls == [("p", "a")]
+    get("p", "b")
+    get("q", "a")  # the second plan lets one of the first go: the one used longest ago
+    assert list(loaded) == [("p", "b"), ("q", "a")]
+    get("q", "b")
+    assert list(loaded) == [("q", "a"), ("q", "b")] and len(calls) == 4
+    get("p", "a")  # a plan that goes on loads again
+    assert len(calls) == 5 and len(loaded) == 2
+    assert get("r", "x", 1) is not None and list(loaded) == [("r", "x")]
+
+
+def test_a_failed_load_is_kept_as_its_text(loaded):
+    calls = []
+
+    def load():
+        calls.append(1)
+        raise RuntimeError("no weights")
+
+    assert [scoring._once("p", "m", load) for _ in range(3)] == ["no weights"] * 3 and len(calls) == 1
+
+
+def test_workers_keep_all_models_of_a_plan(spark, tmp_path):
+    def counted(model_id):
+        (tmp_path / f"{uuid.uuid4().hex}").touch()
+        return load(model_id)
+
+    df = spark.range(64, numPartitions=16).selectExpr("id", "string(id) AS text")
+    models = [(f"M{i}", f"m{i}") for i in range(6)]  # more than a worker keeps of other plans
+    assert scoring.score_models(df, models, counted).filter("label = model_id").count() == 64 * 6
+    assert len(list(tmp_path.iterdir())) < 16 * 6  # as many as workers, not as tasks
+
+
+@pytest.mark.parametrize("bad, most", [((), 1), ((300,), 21), ((0, 999), 41), (tuple(range(1000)), 1999)])
+def test_a_failed_batch_is_halved(bad, most):
+    calls = []
+
+    def classify(texts):
+        calls.append(len(texts))
+        if any(t in marked for t in texts):
+            raise ValueError("cannot read")
+        return [[("a", float(t))] for t in texts]
+
+    marked = {str(i) for i in bad}
+    got = scoring._classify(classify, [str(i) for i in range(1000)])
+    assert [e for _, e in got] == ["cannot read" if i in bad else None for i in range(1000)]
+    assert all(found == [("a", float(i))] for i, (found, e) in enumerate(got) if e is None)
+    assert len(calls) <= most
+
+
+def test_a_classifier_that_loses_a_text_is_an_error():
+    got = scoring._classify(lambda texts: [[("a", 1.0)]] * (len(texts) - ("x" in texts)), ["y", "x", "z"])
+    assert [e is None for _, e in got] == [True, False, True] and got[1][1] == "0 results for 1 texts"
+
+
+def test_calls_are_cut_by_length():
+    texts = ["a" * 10, "", "b" * 25, "c", "d", "e" * 100, "f"]
+    assert list(scoring._calls(texts, 30)) == [["a" * 10, ""], ["b" * 25, "c", "d"], ["e" * 100], ["f"]]
+    assert list(scoring._calls([], 30)) == []
+
+
 def test_only_the_text_goes_to_python(spark):
     df = spark.range(4).selectExpr("id", "string(id) AS text", "repeat('w', 100) AS wide")
     plan = scoring.score_texts(df, two_heads)._jdf.queryExecution().executedPlan().toString()

@@ -1,10 +1,14 @@
+import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from labelscope.defaults import ASPECT_ONTOLOGY, CLUSTERS, SENTIMENT_ONTOLOGY, SIX_CLUSTERS, TONE_ONTOLOGY
 from labelscope.functions.text import strip
+from labelscope.operators.labels import normalize_labels
+from labelscope.session import configure
 from labelscope.sources import ontologies, sinks, tables
 
 
@@ -139,3 +143,37 @@ def test_a_source_that_fails_is_passed_over(spark, tmp_path):
     candidates = [("empty", str(tmp_path / "empty")), ("store", "nowhere://host/x.csv"), ("good", good)]
     assert tables.read_first_available(spark, candidates)[1] == "good"
     assert tables.read_first_available(spark, candidates[:2]) == (None, "missing")
+
+
+@pytest.mark.parametrize("name, data", [
+    ("empty.csv", b""), ("lines.csv", b"\n\n\n"), ("blanks.csv", b",,\n1,2,3\n"), ("empty.csv.gz", b""),
+    ("cut.csv.gz", gzip.compress(random.Random(1).randbytes(60_000).hex().encode())[:2000]), ("noise.csv.gz", b"not packed at all"),
+])
+def test_hollow_source_sends_the_search_on(spark, tmp_path, name, data):
+    (tmp_path / name).write_bytes(data)
+    (tmp_path / "good.csv").write_text("a,b\n1,2\n")
+    df, tag = tables.read_first_available(spark, [("uploaded", str(tmp_path / name)), ("local", str(tmp_path / "good.csv"))])
+    assert tag == "local" and df.columns == ["a", "b", "source_tag", "source_file"] and df.count() == 1
+    assert tables.read_first_available(spark, [("uploaded", str(tmp_path / name))]) == (None, "missing")
+
+
+def test_header_alone_and_half_named_headers_are_tables(spark, tmp_path):
+    (tmp_path / "head.csv").write_text("a,b\n")
+    (tmp_path / "half.csv").write_text("a,\n1,2\n")
+    df, tag = tables.read_first_available(spark, [("head", str(tmp_path / "head.csv"))])
+    assert tag == "head" and df.count() == 0 and df.columns[:2] == ["a", "b"]
+    assert tables.read_first_available(spark, [("half", str(tmp_path / "half.csv"))])[1] == "half"
+
+
+def test_join_with_a_dimension_spreads_hot_and_missing_labels(spark):
+    """Half the labels missing, a third alike, the rest unknown: no task of the join gets a large share."""
+    own = configure(spark.newSession())
+    for key, value in {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}.items():
+        own.conf.set(key, value)
+    rows = own.range(48_000).selectExpr("id", "CASE id % 6 WHEN 0 THEN ' ENV ' WHEN 1 THEN 'env' WHEN 2 THEN 'nobody knows' END AS aspect_category", "map('k', id) AS m")
+    dim = ontologies.alias_dim(own, ontologies.ASPECTS)
+    joined = normalize_labels(rows, {"aspect_category": dim})
+    assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    sizes = [r[0] for r in joined.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) < 3 * 48_000 / 16 and sum(sizes) == 48_000
+    assert {r.aspect_category_norm: r["count"] for r in joined.groupBy("aspect_category_norm").count().collect()} == {"E": 16_000, "OTHER": 32_000}
