@@ -4,9 +4,11 @@ Fixed patterns find personal data. For the rest the corpus decides. The context
 number or card) in a text are the words around each of its occurrences there; contexts of several entities overlap. The
 words of the distinct texts that are in no context are cut into blocks as large. The co-occurrence of a term with an
 entity over all contexts and blocks gives how much of the entity's information content the term reveals, ``PMI(e, t) / IC(e)``.
-Terms above the disclosure threshold are generalised, or removed where they all but name the entity. No entity is
-too rare to be examined: a term counts if chance would hardly bring it to the entity so often, given how often each
-of them occurs and how many contexts and blocks there are. An entity of one text has the terms that are rare enough elsewhere.
+Terms above the disclosure threshold are generalised, or removed where they all but name the entity.
+
+A term counts only if chance would hardly bring it so often to *any* entity, whichever that is, and this for all terms of the corpus together: the
+entity was not named beforehand, and every rare word stands near something. One meeting is no evidence. So an entity of one
+text has no such terms, one of two or three has those that stand with it every time and are rare elsewhere.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Words in a block, half of them on each side of an entity; chance that an entity has any term by accident, share of the entity's information
+#: Words in a block, half of them on each side of an entity; chance that any term of the corpus is found by accident, share of the entity's information
 #: from which a term discloses it, and conditional probability from which it is removed.
 BLOCK_WORDS, CHANCE, DISCLOSURE, REMOVAL = 50, 0.05, 0.9, 0.9
-#: Letters and digits of a term at least; counts that a task holds before it hands them on.
-LEAST_BYTES, MOST_HELD = 3, 1_000_000
+#: Counts that a task holds before it hands them on.
+MOST_HELD = 1_000_000
 
 
 def luhn(digits: str) -> bool:
@@ -72,11 +74,27 @@ def entity_name(kind: str, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, whether it can be a term: long enough and not of digits alone)."""
-    letters = np.concatenate([[0], np.cumsum(words.data >= 97)])
-    able = (words.end - words.start >= LEAST_BYTES) & (letters[words.end] > letters[words.start])
-    return words.hashes(), able
+class Points:
+    """Code points and bytes of a chunk of texts."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        starts = (data & 0xC0) != 0x80
+        self.before = np.concatenate([[0], np.cumsum(starts)])  # code points ahead of each byte
+        self.at = np.append(np.flatnonzero(starts), len(data))  # the byte of each code point
+        self.first = self.before[offsets]
+
+    def bytes_of(self, text: int, spans: list[tuple[int, int, str]]) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.array([(start, end) for start, end, _ in spans], dtype=np.int64).reshape(-1, 2) + self.first[text]
+        return self.at[ends[:, 0]], self.at[ends[:, 1]]
+
+
+def outside_of(spans: list[tuple[int, int, str]], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of the pieces meet no span."""
+    if not spans:
+        return np.ones(len(start), dtype=bool)
+    edges = np.array(sorted((a, b) for a, b, _ in spans), dtype=np.int64)
+    reach = np.concatenate([[-1], np.maximum.accumulate(edges[:, 1])])
+    return reach[np.searchsorted(edges[:, 0], end, side="left")] <= start
 
 
 class Counts:
@@ -135,19 +153,19 @@ def co_occurrence(docs: DataFrame) -> DataFrame:
             texts = batch.column("text")
             for row, end, data, offsets in chunks(texts):
                 words = words_of(data, offsets, ALPHANUMERIC)
-                hashes, able = _terms(words)
+                hashes, points = words.hashes(), Points(data, offsets)
                 doc = words.doc()
-                outside = np.ones(len(doc), dtype=bool)
+                able, outside = np.ones(len(doc), dtype=bool), np.ones(len(doc), dtype=bool)
                 contexts = []  # (text, entity, its words)
                 for i in range(end - row):
                     text = texts[row + i].as_py() or ""
                     around: dict[int, list[np.ndarray]] = {}
                     first, last = words.first[i], words.first[i + 1]
-                    for start, stop, kind in personal_data(text):
-                        a = offsets[i] + len(text[:start].encode())
-                        b = a + len(text[start:stop].encode())
-                        low = first + np.searchsorted(words.end[first:last], a, side="right")
-                        high = max(low, first + np.searchsorted(words.start[first:last], b))
+                    spans = personal_data(text)
+                    begins, ends = points.bytes_of(i, spans)
+                    lows = first + np.searchsorted(words.end[first:last], begins, side="right")
+                    highs = np.maximum(lows, first + np.searchsorted(words.start[first:last], ends))
+                    for (start, stop, kind), low, high in zip(spans, lows.tolist(), highs.tolist(), strict=True):
                         able[low:high] = False
                         near = np.arange(max(first, low - BLOCK_WORDS // 2), min(last, high + BLOCK_WORDS // 2))
                         outside[near] = False
@@ -185,37 +203,32 @@ def co_occurrence(docs: DataFrame) -> DataFrame:
     )
 
 
-def _rarity(n: Column, of: Column, other: Column, total: Column) -> Column:
-    """Minus the logarithm of a bound of the chance that ``n`` or more of ``of`` blocks are among ``other`` ones of ``total``.
-
-    The bound is Hoeffding's for draws without replacement, ``exp(-of * KL(n / of || other / total))``.
-    """
-    share, expected = n / of, other / total
-    rest = F.when(n < of, (1 - share) * F.log((1 - share) / (1 - expected))).otherwise(0.0)
-    return F.when(share > expected, of * (share * F.log(share / expected) + rest)).otherwise(0.0)
-
-
 def disclosing_terms(counts: DataFrame) -> DataFrame:
     """``term, removed``: terms that reveal an entity, and whether they all but name it.
 
-    Each term found with an entity, be it in one text, is tested: by chance alone, ``n`` of the ``n_entity`` contexts would be
-    among the ``n_term`` ones of ``total`` with a probability of at most ``CHANCE`` over all terms tested with the entity. Of
-    two bounds, from the entity's side and the term's, the closer one counts; for an entity of one text it is ``n_term / total``.
+    A term of ``n_term`` contexts and blocks meets some entity ``n`` times or more by chance with a probability of at most
+    ``C(n_term, n) * sum over entities of (n_entity / total) ** n``, and the sum is at most the one of squares times the largest share to the
+    power ``n - 2``. That must not exceed ``CHANCE`` over all terms of the corpus; ``n`` is at least 2.
     """
-    pairs = counts.filter("entity <> 0 AND term <> 0")
+    pairs = counts.filter("entity <> 0 AND term <> 0 AND n > 1")
     terms = counts.filter("entity = 0 AND term <> 0").select("term", F.col("n").alias("n_term"))
-    entities = counts.filter("entity <> 0").groupBy("entity").agg(
-        F.max(F.when(F.col("term") == 0, F.col("n"))).alias("n_entity"), F.count_if(F.col("term") != 0).alias("tested")
+    margins = (F.col("entity") != 0) & (F.col("term") == 0)
+    entities = counts.filter(margins).select("entity", F.col("n").alias("n_entity"))
+    totals = counts.filter("entity = 0 OR term = 0").agg(
+        F.max(F.when((F.col("entity") == 0) & (F.col("term") == 0), F.col("n"))).alias("total"),
+        F.sum(F.when(margins, F.col("n").cast("double") * F.col("n"))).alias("squares"),
+        F.max(F.when(margins, F.col("n"))).alias("largest"),
+        F.count_if((F.col("entity") == 0) & (F.col("term") != 0)).alias("all_terms"),
     )
-    total = counts.filter("entity = 0 AND term = 0").select(F.col("n").alias("total"))
-    n, n_term, n_entity = F.col("n"), F.col("n_term"), F.col("n_entity")
+    n, n_term, n_entity, total = F.col("n"), F.col("n_term"), F.col("n_entity"), F.col("total")
     given = n / n_term
-    content = F.log(F.col("total") / n_entity)
-    pmi = F.log(n * F.col("total") / (n_term * n_entity))
-    rarity = F.greatest(_rarity(n, n_entity, n_term, F.col("total")), _rarity(n, n_term, n_entity, F.col("total")))
+    content = F.log(total / n_entity)
+    pmi = F.log(n * total / (n_term * n_entity))
+    orders = F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")))).otherwise(n * F.log(n) - n)  # at most log n!
+    chance = n * F.log(n_term) - orders + F.log(F.col("squares") / total / total) + (n - 2) * F.log(F.col("largest") / total)
     return (
-        pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))  # one row
-        .filter((content > 0) & (pmi >= DISCLOSURE * content) & (rarity >= F.log(F.col("tested") / CHANCE)))
+        pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(totals))  # one row
+        .filter((content > 0) & (pmi >= DISCLOSURE * content) & (chance <= F.log(CHANCE / F.col("all_terms"))))
         .groupBy("term").agg(F.max(given >= REMOVAL).alias("removed"))
     )
 
@@ -224,15 +237,13 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs`` (``doc_id``, ``text``): personal data and disclosing terms in its whole text.
+def _copy_key(doc_id: Column, text: Column) -> Column:
+    """A 128-bit name of a row by its id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary")))
 
-    ``n_email, n_ip, n_card, n_phone`` count the base spans, ``base_sha256`` is of them, ``spans`` has all spans as
-    ``kind:start:end`` in code points: the base kinds, then ``generalise`` and ``remove`` for terms. A null text is
-    empty. Rows alike in id and text get the same spans; rows without an id are scanned like others; an empty table gives
-    no rows; other columns are not read.
-    """
-    source = docs.select(F.col("doc_id").cast("long"), "text")
+
+def _found(source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, copy, n_<kind>, base`` of each row, and ``copy, terms``, the spans of the terms of those that hold any."""
     terms = written(disclosing_terms(written(co_occurrence(source), "co-occurrence")), "terms")
     words_in = bloom(terms, "term")
 
@@ -240,24 +251,20 @@ def sanitise(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column("text")
             for row, end, data, offsets in chunks(texts):
-                words = words_of(data, offsets, ALPHANUMERIC)
-                hashes, able = _terms(words)
-                points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                at = np.flatnonzero(able)
-                at = at[in_bloom(words_in, hashes[at])]
-                start, stop = points[words.start[at]], points[words.end[at]]
-                doc = np.searchsorted(words.first, at, side="right") - 1
-                begin, hashed = points[offsets], hashes.view(np.int64)[at]
-                bounds = np.searchsorted(doc, np.arange(end - row + 1))
+                words, points = words_of(data, offsets, ALPHANUMERIC), Points(data, offsets)
+                hashes = words.hashes()
+                at = np.flatnonzero(in_bloom(words_in, hashes))
+                start, stop = points.before[words.start[at]], points.before[words.end[at]]
+                hashed = hashes.view(np.int64)[at]
+                bounds = np.searchsorted(at, words.first)
                 rows = []
                 for i in range(end - row):
                     spans = personal_data(texts[row + i].as_py() or "")
                     kinds = [kind for _, _, kind in spans]
-                    maybe = [
-                        {"term": int(hashed[k]), "start": int(start[k] - begin[i]), "end": int(stop[k] - begin[i])}
-                        for k in range(bounds[i], bounds[i + 1])
-                    ]
-                    maybe = [x for x in maybe if not any(a < x["end"] and x["start"] < b for a, b, _ in spans)] if spans else maybe
+                    its = slice(bounds[i], bounds[i + 1])
+                    a, b = start[its] - points.first[i], stop[its] - points.first[i]
+                    free = outside_of(spans, a, b)
+                    maybe = [{"term": t, "start": x, "end": y} for t, x, y in zip(hashed[its][free].tolist(), a[free].tolist(), b[free].tolist(), strict=True)]
                     rows.append((*(kinds.count(kind) for kind in KINDS), joined(spans), maybe))
                 columns = list(zip(*rows, strict=True))
                 part = batch.slice(row, end - row)
@@ -268,15 +275,28 @@ def sanitise(docs: DataFrame) -> DataFrame:
                 )
 
     schema = (
-        "doc_id long, copy long, n_email long, n_ip long, n_card long, n_phone long, base string, "
+        "doc_id long, copy binary, n_email long, n_ip long, n_card long, n_phone long, base string, "
         "maybe array<struct<term: long, start: long, end: long>>"
     )
-    rows = written(source.withColumn("copy", F.xxhash64("doc_id", "text")).mapInArrow(run, schema), "spans")
+    rows = written(source.withColumn("copy", _copy_key(F.col("doc_id"), F.col("text"))).mapInArrow(run, schema), "spans")
     spans = (
         rows.filter(F.size("maybe") > 0).select("copy", F.explode("maybe").alias("x")).select("copy", "x.term", "x.start", "x.end")
         .join(terms, "term")
         .groupBy("copy").agg(F.sort_array(F.collect_set(F.struct("removed", "start", "end"))).alias("terms"))
     )
+    return rows.drop("maybe"), spans
+
+
+def sanitise(docs: DataFrame) -> DataFrame:
+    """One row for each row of ``docs`` (``doc_id``, ``text``): personal data and disclosing terms in its whole text.
+
+    ``n_email, n_ip, n_card, n_phone`` count the base spans, ``base_sha256`` is of them, ``spans`` has all spans as
+    ``kind:start:end`` in code points: the base kinds, then ``generalise`` and ``remove`` for terms. A null text is
+    empty. Rows alike in id and text get the same spans; rows without an id are scanned like others; an empty table gives
+    no rows; other columns are not read. Every word is examined as a term, short ones and numbers too. Time is in proportion to the
+    length of a text and its spans; the spans of one text are a list of one row.
+    """
+    rows, spans = _found(docs.select(F.col("doc_id").cast("long"), "text"))
     text = F.array_join(
         F.transform("terms", lambda x: F.concat_ws(":", F.when(x["removed"], "remove").otherwise("generalise"), x["start"], x["end"])), ","
     )
@@ -287,4 +307,66 @@ def sanitise(docs: DataFrame) -> DataFrame:
     )
 
 
+#: What stands for personal data and for generalised terms in a sanitised text.
+CLASSES = {kind: f"[{kind}]" for kind in KINDS}
+NUMBER, NAME, WORD = "[number]", "[name]", "[word]"
+
+
+def general_class(term: str) -> str:
+    """What a term is, by its shape: one with digits, one with a capital, any other."""
+    if any(c.isdigit() for c in term):
+        return NUMBER
+    return NAME if term[:1].isupper() else WORD
+
+
+def sanitised_text(text: str, terms: list[tuple[bool, int, int]]) -> str:
+    """The text with its personal data and generalised terms replaced by classes, and removed terms cut with the blank ahead of them.
+
+    Spans of personal data that overlap are replaced together by the class of the first.
+    """
+    edits = sorted((a, b, CLASSES[kind]) for a, b, kind in personal_data(text))
+    edits += [(a, b, "" if removed else general_class(text[a:b])) for removed, a, b in terms]
+    out, at = [], 0
+    for start, end, put in sorted(edits, key=lambda x: x[:2]):
+        if start < at:  # overlaps the span before
+            at = max(at, end)
+            continue
+        kept = text[at:start]
+        out.append(kept[:-1] if not put and kept.endswith(" ") else kept)
+        out.append(put)
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def sanitised_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, and their texts without what ``sanitise`` finds in them.
+
+    Null texts stay null. Only texts that may hold terms, by a filter over their names, are shuffled to the table of
+    spans; all others are rewritten in the scan.
+    """
+    columns = docs.columns
+    _, spans = _found(docs.select(F.col("doc_id").cast("long"), "text"))
+    spans = written(spans, "terms-of-texts")
+    words = bloom(spans.select(F.xxhash64("copy").alias("key")), "key")
+
+    @F.pandas_udf("boolean")
+    def may_hold_terms(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_bloom(words, keys.to_numpy().view(np.uint64)))
+
+    @F.pandas_udf("string")
+    def rewritten(texts: pd.Series, terms: pd.Series) -> pd.Series:
+        return pd.Series(
+            [None if t is None else sanitised_text(t, [] if x is None else [tuple(y.values()) for y in x]) for t, x in zip(texts, terms, strict=True)], dtype=object
+        )
+
+    row = F.struct(*(docs[c] for c in columns)).alias("row")
+    marked = docs.select(row).withColumn("copy", _copy_key(F.col("row.doc_id").cast("long"), F.col("row.text")))
+    marked = marked.withColumn("maybe", may_hold_terms(F.xxhash64("copy")))
+    kind = "array<struct<removed: boolean, start: bigint, end: bigint>>"
+    bare = marked.filter("NOT maybe").select("row", F.lit(None).cast(kind).alias("terms"))
+    held = marked.filter("maybe").join(spans, "copy", "left").select("row", F.col("terms").cast(kind).alias("terms"))
+    both = bare.unionByName(held).withColumn("clean", rewritten("row.text", "terms"))
+    return both.select(*(F.col("clean").alias(c) if c == "text" else F.col(f"row.{c}").alias(c) for c in columns))
+
+
 MAYBE = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -1,8 +1,11 @@
 """Held-out accuracy of the trained operators, disclosure of terms, blocks of a benchmark, and the pipeline."""
 
+import math
 import os
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,7 +17,7 @@ from labelscope.llm.decontaminate import clean_documents, decontaminate
 from labelscope.llm.mixing import mix_sources, mixed_documents, source_targets
 from labelscope.llm.ngram_jaccard import ngram_jaccard
 from labelscope.llm.quality import fit_non_negative
-from labelscope.llm.sanitise import sanitise
+from labelscope.llm.sanitise import entity_name, personal_data, sanitise, sanitised_documents, sanitised_text
 from labelscope.llm.toxicity import FOLDS, fit_chain
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -96,7 +99,8 @@ def test_rare_entities_have_disclosing_terms(spark):
         plant(j, "", "widespread")
     plant(700, "alone@corp.example", "widespread")
     found = marked_terms(spark, texts)
-    for k in (1, 2, 3):
+    assert found[100] == set()  # one meeting is no evidence: every word of a text is near something
+    for k in (2, 3):
         for j in range(k):
             assert found[100 * k + j] == {("remove", f"zebrafish{k}")}
     assert found[2000] == found[100] and found[700] == found[500] == set()
@@ -115,6 +119,115 @@ def test_terms_beside_an_entity_count_wherever_the_text_is_cut(spark):
         assert {word for _, word in found[i]} >= {"zebrafish", "okapi"} and f"distant{i}" not in {word for _, word in found[i]}
 
 
+@pytest.mark.parametrize("vocabulary, texts_of_each", [(300_000, 1), (3000, 1), (3000, 3), (30_000, 5)])
+def test_random_words_disclose_nobody(spark, vocabulary, texts_of_each):
+    """Words that have nothing to do with any address, rare ones too: at most one text in twenty with an address gets a term."""
+    rng = random.Random(vocabulary + texts_of_each)
+    texts = []
+    for i in range(1000):
+        words = [f"w{rng.randrange(vocabulary)}" for _ in range(60)]
+        if i < 500:
+            words[rng.randrange(60)] = f"someone{i // texts_of_each}@corp.example"
+        texts.append(" ".join(words))
+    found = marked_terms(spark, texts)
+    assert sum(bool(found[i]) for i in range(500)) <= 25
+
+
+def spans_by_hand(texts):
+    """All spans of ``sanitise``, from whole sets of contexts and blocks."""
+    alphanumeric = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def words_of(text):
+        return [(m[0].translate(lower), m.start(), m.end()) for m in alphanumeric.finditer(text)]
+
+    def inside(spans, a, b):
+        return any(x < b and a < y for x, y, _ in spans)
+
+    places = []  # (entity or None, terms) of each context and block
+    for text in {t or "" for t in texts}:
+        words, spans = words_of(text), personal_data(text)
+        able = [not inside(spans, a, b) for _, a, b in words]
+        near, outside = {}, set(range(len(words)))
+        for a, b, kind in spans:
+            own = [i for i, (_, x, y) in enumerate(words) if x < b and a < y]
+            low = own[0] if own else sum(y <= a for _, _, y in words)
+            high = own[-1] + 1 if own else low
+            around = set(range(max(0, low - 25), min(len(words), high + 25)))
+            near.setdefault(entity_name(kind, text[a:b]), set()).update(around)
+            outside -= around
+        rest = sorted(outside)
+        blocks = [rest[i : i + 50] for i in range(0, len(rest), 50)] or [[]] * (not near)
+        places += [(e, {words[i][0] for i in at if able[i]}) for e, at in [*near.items(), *((None, b) for b in blocks)]]
+    total, n_term, n_entity, both = len(places), Counter(), Counter(), Counter()
+    for e, terms in places:
+        n_term.update(terms)
+        if e is not None:
+            n_entity[e] += 1
+            both.update((e, t) for t in terms)
+    squares, largest = sum(n * n for n in n_entity.values()), max(n_entity.values(), default=0)
+    removed = {}
+    for (e, t), n in both.items():
+        content = math.log(total / n_entity[e])
+        pmi = math.log(n * total / (n_term[t] * n_entity[e]))
+        log_orders = math.lgamma(n + 1) if n <= 20 else n * math.log(n) - n
+        chance = n * math.log(n_term[t]) - log_orders + math.log(squares / total**2) + (n - 2) * math.log(largest / total)
+        if n > 1 and content > 0 and pmi >= 0.9 * content and chance <= math.log(0.05 / len(n_term)):
+            removed[t] = removed.get(t, False) or n / n_term[t] >= 0.9
+    out = {}
+    for i, text in enumerate(texts):
+        spans = personal_data(text or "")
+        terms = sorted((removed[w], a, b) for w, a, b in words_of(text or "") if w in removed and not inside(spans, a, b))
+        out[i] = ",".join([f"{k}:{a}:{b}" for a, b, k in spans] + [f"{'remove' if r else 'generalise'}:{a}:{b}" for r, a, b in terms])
+    return out
+
+
+def test_spans_equal_brute_force(spark):
+    rng = random.Random(21)
+    people = [("Ana.B@corp.example", ["zebrafish", "Ökapi"]), ("10.1.2.3", ["lab7", "q"]), ("+49 30 1234567", ["quokka", "1984"]), ("4111 1111 1111 1111", ["x9"])]
+    texts = [None, "", "@", "1.2.3.4 +1 222 333 4444"]
+    for i in range(700):
+        words = [rng.choice(["é", "Word", "und"]) + str(int(rng.expovariate(0.01))) for _ in range(rng.randint(0, 130))]
+        for who, terms in rng.choices(people, k=rng.choice([0] * 9 + [1, 1, 1, 2])):
+            at = rng.randint(0, len(words))
+            words[at:at] = [who, *(t for t in terms if rng.random() < 0.95)]
+        texts.append(rng.choice([" ", "  ", ", "]).join(words))
+    texts += texts[-20:] + [f"Word{i} solo@corp.example xylophone, Word{i + 1}" for i in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = {r.doc_id: r.spans for r in sanitise(docs).collect()}
+    assert found == spans_by_hand(texts)
+    kinds = Counter(x.split(":")[0] for s in found.values() for x in s.split(",") if x)
+    assert kinds["remove"] >= 6 and kinds["generalise"] > 50 and kinds["email"] > 20
+
+    clean = {r.doc_id: r.text for r in sanitised_documents(docs.selectExpr("*", "doc_id AS copy", "'x' AS terms")).collect()}
+    assert clean[0] is None and clean[1] == "" and clean[3] == "[ip] [phone]"
+    for i, text in enumerate(texts):
+        spans = [x.split(":") for x in found[i].split(",") if x]
+        for kind, a, b in spans:
+            if kind in ("email", "card", "remove"):
+                assert re.search(rf"(?<!\w){re.escape(text[int(a) : int(b)])}(?!\w)", clean[i]) is None
+        if not spans:
+            assert clean[i] == text
+    assert any("[email]" in t for t in clean.values() if t)
+
+
+def test_general_terms_and_cuts():
+    text = "Dr Who met X9 and zebra at a@b.cc now"
+    assert sanitised_text(text, [(False, 3, 6), (False, 11, 13), (True, 18, 23)]) == "Dr [name] met [number] and at [email] now"
+    assert sanitised_text("zebra", [(True, 0, 5)]) == "" and sanitised_text("a  b", []) == "a  b" and sanitised_text("zebra", [(False, 0, 5)]) == "[word]"
+
+
+def test_many_spans_in_one_text_take_time_in_proportion(spark):
+    took = []
+    for n in (5_000, 20_000):
+        text = " ".join(f"ü{i} a{i}@b.cc" for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.perf_counter()
+        assert sanitise(docs).collect()[0].n_email == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0]
+
+
 def test_too_few_blocks_tell_nothing_of_a_rare_entity(spark):
     texts = [f"a@b.example word{i} other thing" if i == 0 else f"word{i} other thing" for i in range(5)]
     assert marked_terms(spark, texts)[0] == set()
