@@ -9,10 +9,12 @@ first document of every block began.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from labelscope.llm.shared import written
@@ -110,6 +112,18 @@ def byte_pair_encoding(vocabulary: bytes, pattern: str):
     return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: White space in a row from which a text is cut into pieces here: the encoder's own matcher runs out of stack on a million.
+LONG_BLANK = 20_000
+_LONG_BLANK = re.compile(rf"\s{{{LONG_BLANK}}}")
+
+
+def encoded(encoder, pattern: regex.Pattern, text: str) -> list[int]:
+    """The tokens of a text. One with a very long run of white space is cut by the same pattern, but by a matcher without recursion."""
+    if not _LONG_BLANK.search(text):
+        return encoder.encode_ordinary(text)
+    return [token for piece in pattern.finditer(text) for token in encoder._encode_single_piece(piece[0])]
+
+
 def packed_blocks(docs: DataFrame, vocabulary: bytes, pattern: str, separator: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Flat token files of ``docs`` (``doc_id``, ``text``) in blocks, with the ids that a file's documents have, in order.
 
@@ -121,7 +135,7 @@ def packed_blocks(docs: DataFrame, vocabulary: bytes, pattern: str, separator: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = byte_pair_encoding(*shared.value)
+        encoder, cut_by = byte_pair_encoding(*shared.value), regex.compile(shared.value[1])
         file, block = f"part-{TaskContext.get().partitionId():08d}", 0
         parts: list[np.ndarray] = []
         held, ids = 0, []
@@ -136,7 +150,7 @@ def packed_blocks(docs: DataFrame, vocabulary: bytes, pattern: str, separator: i
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                tokens = encoder.encode_ordinary(text.as_py() or "")
+                tokens = encoded(encoder, cut_by, text.as_py() or "")
                 rest = np.array([*tokens, separator], dtype="<u2")
                 while held + len(rest) >= block_tokens:
                     ends = held + len(rest) == block_tokens
@@ -160,7 +174,8 @@ def token_counts(docs: DataFrame, vocabulary: bytes, pattern: str, separator: in
     """``doc_id, n_tokens`` for each row of ``docs``, counted by the separators of flat token files written for them.
 
     Null and empty texts have 0 tokens; repeated rows are counted one by one; an empty table gives no rows. Ids
-    may be null. Other columns are not read.
+    may be null. Other columns are not read. A very long text is encoded whole by one task, at some tens of bytes of memory for each of its own;
+    runs of millions of blanks, line ends or letters are encoded as the pattern cuts them.
     """
     blocks = written(packed_blocks(docs, vocabulary, pattern, separator, block_tokens), "token-blocks")
     counted = separator_scan(blocks.select("file", "block", "tokens"), separator)

@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+import regex
 
 from labelscope.llm.content_dedup import content_dedup, distinct_documents
 from labelscope.llm.decontaminate import clean_documents, decontaminate
@@ -13,7 +14,7 @@ from labelscope.llm.quality import good_documents, score_quality
 from labelscope.llm.queries import SEPARATOR, tokenizer
 from labelscope.llm.sanitise import sanitise
 from labelscope.llm.secret_scan import find_secrets
-from labelscope.llm.token_scan import byte_pair_encoding, token_counts
+from labelscope.llm.token_scan import byte_pair_encoding, encoded, token_counts
 from labelscope.llm.toxicity import score_toxicity
 from tests.llm.conftest import AWKWARD
 
@@ -137,3 +138,22 @@ def test_stages_keep_all_columns(awkward, labels, benchmark):
     assert clean == {3, 4, 5, None, 6, 8, 9, 10}
     mixed = mixed_documents(awkward)
     assert mixed.columns[-1] == "taken" and mixed.count() > 0
+
+
+@pytest.mark.parametrize("text, tokens", [
+    ("a" + " " * 5_000_000 + "b", None), ("a" + "\n" * 5_000_000 + "b", None), ("x" * 5_000_000, 625_000), (" \t\u3000" * 400_000, None),
+])
+def test_tokens_of_millions_of_blanks_line_ends_and_letters(spark, text, tokens):
+    vocabulary, pattern = tokenizer()
+    docs = spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")
+    found = {r.doc_id: r.n_tokens for r in token_counts(docs, vocabulary, pattern, SEPARATOR).collect()}
+    assert found[2] == 2 and (found[1] == tokens if tokens else found[1] > 1000)
+
+
+@pytest.mark.parametrize("text", [
+    "a" + " " * 25_000 + "b", "a" + "\n" * 25_000 + "\n", " " * 25_000, "x  y" + "\t " * 15_000 + "don't 12 ?!" + "\u3000" * 22_000 + "é", "\r\n" * 20_000 + " 1",
+])
+def test_long_blanks_are_cut_as_the_encoder_cuts_them(text):
+    vocabulary, pattern = tokenizer()
+    encoder = byte_pair_encoding(vocabulary, pattern)
+    assert encoded(encoder, regex.compile(pattern), text) == encoder.encode_ordinary(text)
