@@ -33,7 +33,7 @@ LOWERED = 2.3
 #: Bits of a filter for each key, and the most bits of one: a fuller filter admits more phrases to the count, never fewer.
 KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
 #: Names, and phrases, that a task holds ahead of handing on their counts; bytes of text it looks at together.
-MOST_HELD, MOST_PHRASES, CHUNK = 4_000_000, 200_000, 1 << 22
+MOST_HELD, MOST_PHRASES, CHUNK = 2_000_000, 200_000, 1 << 20
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _INSIDE = np.ones(256, dtype=bool)

@@ -24,7 +24,7 @@ from labelscope.llm.shared import Scratch, written
 from labelscope.llm.text import chunks, distinct_keys, words_of
 
 #: Bytes of text that a task looks at together; runs of more bytes are summed one by one.
-CHUNK, LONG_RUN = 1 << 22, 48
+CHUNK, LONG_RUN = 1 << 20, 48
 #: One run in so many loses a letter.
 DELETED = 199
 
