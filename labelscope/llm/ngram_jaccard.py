@@ -6,12 +6,14 @@ in neighbouring ones. For a band with largest size r such sets differ in at most
 ``n1 = floor(k / (k2 + 1)) + 1 + slack`` parts of ``n2`` sub-parts each, so in at least ``slack + 1`` parts
 two such sets differ in ``k2`` shingles at most, and agree on some ``n2 - k2`` of the
 sub-parts. What a set holds in such a choice of sub-parts is a signature. A set leaves
-out the signatures that hold next to nothing, if they lie in no more than ``slack`` parts: then
-a part is left where all are stated. Other sets state them all. Thus no link is lost.
+out the signatures that hold next to nothing. If they lie in no more than ``slack`` parts, a part is left where all
+are stated. If they lie in more, the set is cut anew by another hash, and states what that gives as well: two sets that share no
+other signature than ones that hold next to nothing hold the same there, so both do. What is still left after
+some rounds is stated as it is. Sets so small that they may not differ at all have one signature, the whole set. Thus no link is lost.
 
 What follows is exact: the smallest member of each signature is a centre, and each
-member meets its centre; the others of a centre meet each other, in blocks, where a signature has
-them and links do not join them already. A parity sketch gives a lower bound of the difference and so
+member meets its centre; those of its members that links do not join already meet in blocks: the members of its largest
+component stay in their block, the others visit every block. A parity sketch gives a lower bound of the difference and so
 drops pairs safely; what is left is compared whole.
 """
 
@@ -48,6 +50,8 @@ def bands(percent: int, largest: int) -> list[tuple[int, int]]:
 #: Sub-parts of a part, and shingles that may differ in one: every choice of ``N2 - K2`` sub-parts is a signature.
 N2, K2 = 3, 1
 CHOICES = tuple(combinations(range(N2), N2 - K2))
+#: How often a set is cut anew because too many of its signatures hold next to nothing.
+ROUNDS = 6
 
 
 def parts_of_band(low: int, high: int, percent: int) -> tuple[int, int, int]:
@@ -76,12 +80,14 @@ class Signatures:
         self.percent = percent
         self.highs = np.zeros(0, dtype=np.int64)
         self.plans = np.zeros((0, 3), dtype=np.int64)
+        self.whole = np.zeros(0, dtype=bool)  # bands of sets that are alike or not linked
 
     def _grow(self, largest: int) -> None:
         if len(self.highs) < 2 or self.highs[-2] < largest:
             found = bands(self.percent, 2 * largest + 2)
             self.highs = np.array([high for _, high in found], dtype=np.int64)
             self.plans = np.array([parts_of_band(*band, self.percent) for band in found], dtype=np.int64)
+            self.whole = 2 * self.highs * (100 - self.percent) // (100 + self.percent) == 0
 
     def of(self, shingles: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(signature, set) of each part that a set states, for its own band and the next."""
@@ -89,35 +95,60 @@ class Signatures:
         if not len(shingles):
             return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self._grow(int(sizes.max()))
-        owner = np.repeat(np.arange(len(sizes)), sizes)
         band = np.searchsorted(self.highs, sizes)
-        value = mix(shingles ^ np.uint64(0xA24BAED4963EE407))
-        spread = mix(shingles) >> np.uint64(32)
         out = []
-        for tag in (band, band + 1):
-            parts, slack, least = self.plans[tag].T
-            base = np.concatenate([[0], np.cumsum(parts)])
-            at = (spread * (parts * N2)[owner].astype(np.uint64)) >> np.uint64(32)
-            slot = base[owner] * N2 + at.astype(np.int64)
-            order = np.argsort(slot, kind="stable")
-            slot = slot[order]
-            starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-            held = np.bincount(slot, minlength=base[-1] * N2).reshape(-1, N2)
-            total = np.zeros(base[-1] * N2, dtype=np.uint64)
-            total[slot[starts]] = np.add.reduceat(value[order], starts)
-            total = mix(total.reshape(-1, N2) + (np.arange(N2, dtype=np.uint64) << np.uint64(32)) + np.uint64(1))
-            whose = np.repeat(np.arange(len(sizes)), parts)
-            thin = np.stack([held[:, c].sum(axis=1) < least[whose] for c in CHOICES], axis=1)
-            many_thin = np.bincount(whose, weights=thin.any(axis=1), minlength=len(sizes)) > slack
-            stated = (~thin | many_thin[whose][:, None]) & (sizes > 0)[whose][:, None]
-            name = (tag[whose].astype(np.uint64) << np.uint64(32)) + (np.arange(base[-1]) - base[whose]).astype(np.uint64)
-            for i, choice in enumerate(CHOICES):
-                chosen = mix(name * np.uint64(len(CHOICES)) + np.uint64(i + 1))
-                for sub in choice:
-                    chosen = mix(chosen + total[:, sub])
-                out.append((chosen[stated[:, i]], whose[stated[:, i]]))
+        whole = np.flatnonzero(self.whole[band] & (sizes > 0))
+        if len(whole):
+            sums = np.zeros(len(shingles) + 1, dtype=np.uint64)
+            np.cumsum(mix(shingles ^ np.uint64(0x7FB5D329728EA185)), out=sums[1:])
+            alike = mix(sums[first[whole + 1]] - sums[first[whole]] + sizes[whole].astype(np.uint64))
+            out.append((mix(alike ^ np.uint64(0x94D049BB133111EB)), whole))
+        for next_band in (0, 1):
+            tag = band + next_band
+            open_ = np.flatnonzero(~self.whole[tag] & (sizes > 0))
+            for turn in range(ROUNDS):
+                if not len(open_):
+                    break
+                keep = np.zeros(len(sizes), dtype=bool)
+                keep[open_] = True
+                names, whose, again = self._cut(
+                    shingles[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[open_])]), tag[open_], turn, turn == ROUNDS - 1
+                )
+                out.append((names, open_[whose]))
+                open_ = open_[again]
         return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
+    def _cut(self, shingles: np.ndarray, first: np.ndarray, tag: np.ndarray, turn: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(signature, set) by the hash of this turn, and the sets that need another; the last turn leaves nothing out."""
+        sizes = np.diff(first)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        value = mix(shingles ^ np.uint64(0xA24BAED4963EE407))
+        spread = mix(shingles + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(32)
+        parts, slack, least = self.plans[tag].T
+        base = np.concatenate([[0], np.cumsum(parts)])
+        at = (spread * (parts * N2)[owner].astype(np.uint64)) >> np.uint64(32)
+        slot = base[owner] * N2 + at.astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        slot = slot[order]
+        starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+        held = np.bincount(slot, minlength=base[-1] * N2).reshape(-1, N2)
+        total = np.zeros(base[-1] * N2, dtype=np.uint64)
+        total[slot[starts]] = np.add.reduceat(value[order], starts)
+        total = mix(total.reshape(-1, N2) + (np.arange(N2, dtype=np.uint64) << np.uint64(32)) + np.uint64(1))
+        whose = np.repeat(np.arange(len(sizes)), parts)
+        thin = np.stack([held[:, c].sum(axis=1) < least[whose] for c in CHOICES], axis=1)
+        many_thin = np.bincount(whose, weights=thin.any(axis=1), minlength=len(sizes)) > slack
+        stated = ~thin | (many_thin[whose][:, None] if last else False)
+        part = (np.arange(base[-1]) - base[whose]).astype(np.uint64)
+        name = (tag[whose].astype(np.uint64) << np.uint64(32)) + np.uint64(turn << 40 | turn << 24) + part
+        out = []
+        for i, choice in enumerate(CHOICES):
+            chosen = mix(name * np.uint64(len(CHOICES)) + np.uint64(i + 1))
+            for sub in choice:
+                chosen = mix(chosen + total[:, sub])
+            out.append((chosen[stated[:, i]], whose[stated[:, i]]))
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out]), np.flatnonzero(many_thin)
+
 
 def digests(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A 64-bit name for each set, 0 for an empty one."""
@@ -294,53 +325,65 @@ def _exact_links(docs: DataFrame, shingle: int, percent: int, pairs: DataFrame,
 def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
     """``a, b`` for members of a centre in different components whose sketches allow a link.
 
-    ``members`` has centre, node, label, n_shingles, sketch and the number of blocks.
-    A member goes to each pair of blocks that holds its own, so a task sees two blocks.
+    ``members`` has centre, node, label, n_shingles, the sketch as value, the number of blocks and the centre's largest label. Each member is
+    a resident of one block; those of other labels than the largest also visit all blocks. A task holds the residents of a block, and
+    visitors pass by, so rows are the members and, for each block, the visitors.
     """
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = members.select(
-        "centre", "node", "label", "n_shingles", F.col("value").alias("sketch"), own.alias("own"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
-    ).select(
-        "centre", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        "own", "node", "label", "n_shingles", "sketch",
+    row = ["node", "label", "n_shingles", F.col("value").alias("sketch"), (F.col("label") == F.col("largest")).alias("stays")]
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    residents = members.select("centre", own.alias("block"), F.lit(False).alias("visits"), *row)
+    visitors = members.filter("label <> largest").select(
+        "centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visits"), *row
     )
 
-    def pairs(rows: list[dict]) -> np.ndarray:
-        size = min(len(r["sketch"]) for r in rows)
-        bits = np.stack([folded(np.frombuffer(r["sketch"], np.uint8), size) for r in rows])
-        own, node, label, n = (np.array([r[k] for r in rows]) for k in ("own", "node", "label", "n_shingles"))
-        across = rows[0]["i"] != rows[0]["j"]
+    def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        return tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "n_shingles", "stays"))
+
+    def compared(held: list, batch: pa.RecordBatch) -> np.ndarray:
+        node, label, n, stays, sketches, at_size = held
         found = []
-        for at in range(len(rows) - 1):
-            rest = np.arange(at + 1, len(rows))
-            rest = rest[(label[rest] != label[at]) & ((own[rest] != own[at]) if across else True)]
-            allowed = differ_at_most(n[rest], n[at], percent)
-            close = np.abs(n[rest] - n[at]) <= allowed
-            rest, allowed = rest[close], allowed[close]
-            if len(rest):
-                differ = np.bitwise_count(bits[rest] ^ bits[at]).sum(axis=1, dtype=np.int64)
-                found += [(node[at], node[x]) for x in rest[differ <= allowed]]
+        for own, its, size, sketch_ in zip(*(batch.column(c).to_pylist() for c in ("node", "label", "n_shingles", "sketch")), strict=True):
+            allowed = differ_at_most(n, np.int64(size), percent)
+            # two visitors meet in the block of the one with the smaller name
+            near = np.flatnonzero((label != its) & (np.abs(n - size) <= allowed) & (stays | (node < own)))
+            if not len(near):
+                continue
+            bits = np.frombuffer(sketch_, np.uint8)
+            width = min(len(bits), min(len(sketches[i]) for i in near))
+            if width not in at_size:
+                at_size[width] = {}
+            folds = at_size[width]
+            for i in near:
+                if i not in folds:
+                    folds[i] = folded(sketches[i], width) if len(sketches[i]) >= width else None
+            differ = np.bitwise_count(np.stack([folds[i] for i in near]) ^ folded(bits, width)).sum(axis=1, dtype=np.int64)
+            found += [(min(own, x), max(own, x)) for x in node[near[differ <= allowed[near]]].tolist()]
         return np.array(found, dtype=np.int64).reshape(-1, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if len({r["label"] for r in rows}) > 1:
-                found = np.sort(pairs(rows), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
+        key, gathered, held = None, [], None
         for batch in batches:
-            for r in batch.to_pylist():
-                if (r["centre"], r["i"], r["j"]) != group:
-                    yield from done()
-                    group, rows = (r["centre"], r["i"], r["j"]), []
-                rows.append(r)
-        yield from done()
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("centre", "block", "visits")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for first, end in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(keys)].tolist(), strict=True):
+                if first == end:
+                    continue
+                part = batch.slice(first, end - first)
+                if tuple(keys[first, :2]) != key:
+                    key, gathered, held = tuple(keys[first, :2]), [], None
+                if not keys[first, 2]:
+                    gathered.append(part)
+                    continue
+                if held is None:
+                    if not gathered:
+                        continue
+                    sketches = [np.frombuffer(x.as_buffer(), np.uint8) for p in gathered for x in p.column("sketch")]
+                    held = [*(np.concatenate(x) for x in zip(*(columns(p) for p in gathered), strict=True)), sketches, {}]
+                found = compared(held, part)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     return (
-        dealt.repartition(F.col("centre"), F.col("i"), F.col("j")).sortWithinPartitions("centre", "i", "j")
+        residents.unionByName(visitors).repartition(F.col("centre"), F.col("block")).sortWithinPartitions("centre", "block", "visits")
         .mapInArrow(run, "a long, b long").distinct()
     )
 
@@ -372,9 +415,12 @@ def ngram_jaccard(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     # what a centre did not join: its other members among themselves
     labelled = stars.filter("more").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_centres = (
-        labelled.groupBy("centre").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
-        .filter("members > 1 AND low <> high")
-        .select("centre", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+        labelled.groupBy("centre", "label").agg(F.count("*").alias("members"))
+        .groupBy("centre").agg(
+            F.sum("members").alias("members"), F.count("*").alias("labels"), F.max(F.struct("members", "label")).alias("most"),
+        )
+        .filter("labels > 1")
+        .select("centre", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.col("most.label").alias("largest"))
     )
     members = labelled.join(open_centres, "centre").join(sketches, "node")
     more = _exact_links(docs, shingle, percent, scratch.write(_block_pairs(members, percent), "pairs"), scratch)

@@ -35,6 +35,9 @@ KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
 #: Names, and phrases, that a task holds ahead of handing on their counts; bytes of text it looks at together.
 MOST_HELD, MOST_PHRASES, CHUNK = 2_000_000, 200_000, 1 << 20
 
+#: Partitions of the documents that one task of the last pass reads at most.
+SPLITS = 16
+
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _INSIDE = np.ones(256, dtype=bool)
 _INSIDE[list(b" \t" + _ENDS)] = False
@@ -189,6 +192,12 @@ def frequent_names(docs: DataFrame, least: int, longest: int, sample: float, scr
     return frequent
 
 
+def _in_large_tasks(docs: DataFrame) -> DataFrame:
+    """Two tasks a core, or one for ``SPLITS`` partitions if that is more: a frequent phrase is then counted up in few places."""
+    wanted = max(2 * docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // SPLITS)
+    return docs.coalesce(wanted)
+
+
 def _recount(docs: DataFrame, names: DataFrame, longest: int) -> DataFrame:
     """``lang, size, phrase, n``: counts by the words themselves of phrases whose name may be among ``names``; size 0 counts all words."""
     words = bloom(names, "name", _bits(names.count()))
@@ -230,7 +239,7 @@ def _recount(docs: DataFrame, names: DataFrame, longest: int) -> DataFrame:
                 yield from counted()
         yield from counted()
 
-    counts = docs.select("text", "lang").mapInArrow(run, "lang string, size int, phrase string, n long")
+    counts = _in_large_tasks(docs.select("text", "lang")).mapInArrow(run, "lang string, size int, phrase string, n long")
     return counts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
 

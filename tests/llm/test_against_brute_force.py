@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -109,6 +110,46 @@ def test_similar_sets_share_a_signature(percent):
         assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b) - 2 * shared
 
 
+def test_unrelated_short_texts_share_no_signature():
+    """Sets that may not differ at all, and small ones whose sub-parts are often empty: few of them share a signature."""
+    rng = np.random.default_rng(1)
+    for percent, size in ((90, 1), (90, 5), (90, 9), (90, 12), (80, 1), (80, 4), (80, 5), (80, 9), (80, 18)):
+        sets = mix(rng.integers(1, 2**60, 20_000 * size).astype(np.uint64))
+        names, owner = Signatures(percent).of(sets, np.arange(20_001) * size)
+        assert len(np.unique(owner)) == 20_000
+        assert np.unique(names, return_counts=True)[1].max() < 60 and len(names) < 20_000 * 60
+
+
+def test_many_unrelated_short_texts_take_time_in_proportion(spark):
+    took = []
+    for n in (4_000, 32_000):
+        docs = spark.range(n, numPartitions=4).selectExpr("id AS doc_id", "concat('word', id) AS text")
+        start = time.perf_counter()
+        assert ngram_jaccard(docs, 3, 90).filter("component_id = doc_id AND n_shingles = 1").count() == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 3 * took[0]
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_members_that_no_link_joins_meet_in_blocks(spark, monkeypatch, block):
+    """A chain of families: each shares signatures with the next, and the smallest member links with few of them."""
+    from labelscope.llm import ngram_jaccard as module
+
+    monkeypatch.setattr(module, "BLOCK", block)
+    rng = random.Random(block)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for at in rng.sample(range(60), rng.randint(0, 7)):
+            copy[at] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(copy[: rng.randint(52, 60)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for size, percent in ((1, 80), (1, 90), (2, 80)):
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard(docs, size, percent).collect()}
+        assert found == components(rows, size, percent)
+
+
 def test_bands_hold_pairs_of_the_threshold():
     for percent in (50, 80, 90, 99):
         found = bands(percent, 5000)
