@@ -3,23 +3,28 @@
 A linear model on bytes, words and lines of a text is fitted to trusted positives and
 unlabelled texts by the non-negative unbiased risk ``prior * R+(positives) + max(0, R-(unlabelled) -
 prior * R-(positives))``. The labels say which positives are trusted and, by their share, the class prior; labels of
-low quality enter only the two numbers that turn the fitted value into a probability.
+low quality enter only the two numbers that turn the fitted value into a probability. Mean and scale of the features and the risk of the unlabelled
+side cover all documents that are not held out: features are computed once, kept as a table, and every step of the fit
+adds up risk, gradient and curvature over its rows, task by task. With the logistic loss this risk is
+convex, so a few Newton steps find its minimum.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelscope.llm.shared import held_out, mix, small_batches
+from labelscope.llm.shared import held_out, mix, small_batches, written
 from labelscope.llm.text import NOT_SPACE, chunks, words_of
 
-#: Bound of the training sample: so many trusted positives, and so many unlabelled texts, at most (in expectation).
+#: Bound of the labelled sample: so many trusted positives, and so many texts of low quality, at most (in expectation).
 MOST_TRAINED = 20_000
+#: Tasks that add up what the tasks of a pass have found; steps of a fit; weight of the squared weights.
+ADDERS, STEPS, DECAY = 16, 10, 0.02
 #: Score from which a text passes.
 THRESHOLD = 0.3
 
@@ -72,8 +77,9 @@ def _chunk_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     upper, letters, digits, signs = (in_words(kind) for kind in (_UPPER, _LETTER, _DIGIT, _SIGN))
     mean = per_doc(length)
     hashes = words.hashes()
-    pairs = hashes[:-1] ^ mix(hashes[1:]) if len(hashes) > 1 else hashes[:0]
-    pair_owner = owner[:-1]
+    inside = owner[1:] == owner[:-1]  # no pair reaches into the next text
+    pairs = (hashes[:-1] ^ mix(hashes[1:]))[inside] if len(hashes) > 1 else hashes[:0]
+    pair_owner = owner[:-1][inside]
     is_line = np.ones(256, dtype=bool)
     is_line[10] = False
     lines = words_of(data, offsets, is_line)
@@ -108,41 +114,97 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.value(x), -30, 30)))
 
 
-def fit_non_negative(
-    positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.01,
-    decay: float = 1e-4, seed: int = 7,
-) -> Model:
-    """A linear model of least non-negative unbiased risk with logistic loss, by Adam on mini-batches.
+#: ``sums(f)`` adds up the vectors that ``f`` gives for matrices of features, over all rows.
+Sums = Callable[[Callable[[np.ndarray], np.ndarray]], np.ndarray]
 
-    Where the estimated risk on negatives falls below zero, the step goes up that term alone.
+
+def table_sums(rows: DataFrame) -> Sums:
+    """Sums over a table with the features of a row as ``x``; the driver gets ``ADDERS`` vectors a pass."""
+
+    def sums(f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if len(batch):
+                    own = f(matrix(batch.column("x")))
+                    total = own if total is None else total + own
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+        def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for value in batch.column("total"):
+                    own = np.frombuffer(value.as_buffer(), np.float64)
+                    total = own.copy() if total is None else total + own
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+        own = rows.select("x").mapInArrow(added, "total binary").withColumn("task", F.spark_partition_id())
+        # in order of the tasks, so that reruns add in one order
+        dealt = own.repartition(ADDERS, "task").sortWithinPartitions("task").select("total").mapInArrow(added_up, "total binary")
+        found = sorted(bytes(r.total) for r in dealt.collect())
+        return np.sum([np.frombuffer(x, np.float64) for x in found], axis=0) if found else np.zeros(0)
+
+    return sums
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.float32).reshape(len(column), -1).astype(np.float64)
+
+
+def _scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised features and a last column of ones."""
+    return np.concatenate([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))], axis=1)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def fit_non_negative(positive: np.ndarray, sums: Sums, prior: float, steps: int = STEPS, decay: float = DECAY) -> Model:
+    """A linear model of least non-negative unbiased risk with logistic loss, by Newton steps.
+
+    ``sums`` covers the unlabelled rows. A step is halved until it neither raises the risk nor takes the estimated risk on
+    negatives below zero, where a loss cannot be; at that edge the fit ends.
     """
-    if not len(positive) or not len(unlabelled):
-        return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), float(np.log(prior / (1 - prior))))
-    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
-    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
-    p, u = (np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1) for x in (p, u))
-    rng = np.random.default_rng(seed)
-    theta = np.zeros(p.shape[1])
+    width = positive.shape[1]
+    counted = sums(lambda x: np.r_[len(x), x.sum(axis=0), (x * x).sum(axis=0)])
+    theta = np.zeros(width + 1)
     theta[-1] = np.log(prior / (1 - prior))
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    averaged, step = np.zeros_like(theta), 0
-    rounds = max(20, len(u) // batch)
-    for epoch in range(epochs):
-        for _ in range(rounds):
-            xp, xu = p[rng.integers(len(p), size=batch)], u[rng.integers(len(u), size=batch)]
-            zp, zu = np.clip(xp @ theta, -30, 30), np.clip(xu @ theta, -30, 30)
-            sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-            negative = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-            up = xu.T @ su / len(su) - prior * (xp.T @ sp) / len(sp)
-            gradient = prior * (xp.T @ (sp - 1)) / len(sp) + up if negative >= 0 else -up
-            gradient += decay * np.r_[theta[:-1], 0]
-            step += 1
-            first = 0.9 * first + 0.1 * gradient
-            second = 0.999 * second + 0.001 * gradient**2
-            theta = theta - rate * (1 - epoch / epochs) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-            if epoch >= epochs // 2:
-                averaged += theta
-    theta = averaged / (rounds * (epochs - epochs // 2))
+    if not len(positive) or not len(counted):
+        return Model(np.zeros(width), np.ones(width), theta[:-1], float(theta[-1]))
+    n = counted[0]
+    mean = counted[1 : width + 1] / n
+    scale = np.sqrt(np.maximum(counted[width + 1 :] / n - mean**2, 0)) + 1e-3
+    trusted = _scaled(positive.astype(np.float64), mean, scale)
+    pull = prior * trusted.mean(axis=0)
+    ridge = np.r_[np.full(width, decay), 1e-9]
+    held, change = None, np.zeros_like(theta)  # the last accepted (risk, theta), and the step from there
+    for _ in range(steps):
+
+        def risk_of(x: np.ndarray, theta: np.ndarray = theta) -> np.ndarray:
+            x = _scaled(x, mean, scale)
+            z = x @ theta
+            p = _sigmoid(z)
+            return np.concatenate([[np.logaddexp(0, z).sum()], x.T @ p, ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+
+        found = sums(risk_of) / n
+        risk = found[0] - pull @ theta + ridge @ theta**2 / 2
+        negative = found[0] - prior * np.logaddexp(0, trusted @ theta).mean()
+        if held is not None and (negative < 0 or risk > held[0]):
+            change = change / 2
+            if np.abs(change).max() < 1e-2:
+                break
+            theta = held[1] + change
+            continue
+        gradient = found[1 : width + 2] - pull + ridge * theta
+        step = np.linalg.solve(found[width + 2 :].reshape(width + 1, -1) + np.diag(ridge + 1e-9), gradient)
+        held, change = (risk, theta), -step
+        if gradient @ step < 1e-6:
+            break
+        theta = theta - step
+    theta = held[1]
     return Model(mean, scale, theta[:-1], float(theta[-1]))
 
 
@@ -172,8 +234,8 @@ def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 32)) < int((1 << 32) * most / total))
 
 
-def _features_of(docs: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features of the texts of a bounded set of ids, in order of feature values so that reruns agree."""
+def features_table(docs: DataFrame) -> DataFrame:
+    """``doc_id, x`` of each row of ``docs``: the features of its text as bytes of floats, in a table of the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,19 +244,22 @@ def _features_of(docs: DataFrame, ids: DataFrame) -> np.ndarray:
                 [batch.column("doc_id"), pa.array([row.tobytes() for row in x], pa.binary())], ["doc_id", "x"]
             )
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = texts.mapInArrow(run, "doc_id long, x binary").toPandas().sort_values(["doc_id", "x"])
+    small_batches(docs.sparkSession)
+    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x binary"), "features")
+
+
+def _rows_of(table: DataFrame, ids: DataFrame) -> np.ndarray:
+    """Features of a bounded set of ids, in an order of their own so that reruns agree."""
+    rows = table.join(F.broadcast(ids), "doc_id", "left_semi").toPandas().sort_values(["doc_id", "x"])
     return np.stack([np.frombuffer(x, np.float32) for x in rows["x"]]) if len(rows) else np.zeros((0, WIDTH), np.float32)
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED) -> Model:
-    """Fitted to at most ``most`` positives and ``most`` unlabelled texts of documents that are not held out, and
+def train_quality(table: DataFrame, labels: DataFrame, most: int = MOST_TRAINED) -> Model:
+    """Fitted to at most ``most`` trusted positives and to all rows of ``table`` (see ``features_table``) that are not held out, and
     calibrated with at most ``most`` texts of low quality among these.
 
     Of a document labelled more than once the lowest label counts; null labels count as none.
     """
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
     known = (
         labels.select(F.col("doc_id").cast("long"), "quality").dropna().filter(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -202,11 +267,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED)
     share = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     prior = 0.5 if share is None else min(max(share, 0.02), 0.98)
     positive = sampled(known.filter("quality = 1").select("doc_id"), F.col("doc_id"), most)
-    unlabelled = sampled(docs.filter("doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).select("doc_id"), F.col("doc_id"), most)
     negative = sampled(known.filter("quality <> 1").select("doc_id"), F.col("doc_id"), most)
-    trusted = _features_of(docs, positive)
-    model = fit_non_negative(trusted, _features_of(docs, unlabelled), prior)
-    return calibrated(model, trusted, _features_of(docs, negative), prior)
+    trusted = _rows_of(table, positive)
+    unlabelled = table.filter("doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
+    model = fit_non_negative(trusted, table_sums(unlabelled), prior)
+    return calibrated(model, trusted, _rows_of(table, negative), prior)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED) -> DataFrame:
@@ -214,24 +279,25 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED)
 
     The score reads the text only; null and empty texts get the score of a text without bytes.
     Rows without an id are scored and not held out. Without positives every score is the prior. Repeated rows are
-    scored alike; other columns are not read.
+    scored alike; other columns are not read. Very long texts are read whole, at some hundred bytes of memory for each of their own.
     """
-    model = train_quality(docs, labels, most)
+    table = features_table(docs)
+    model = train_quality(table, labels, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = model.score(features(batch.column("text"))).astype(np.float64)
+            score = model.score(matrix(batch.column("x"))) if len(batch) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = table.mapInArrow(run, "doc_id long, score double")
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that pass the classifier."""
-    model = train_quality(docs, labels, most)
+    """The rows of ``docs``, with all their columns, that pass the classifier; null and empty texts go or stay by the score of a text without bytes."""
+    model = train_quality(features_table(docs), labels, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,7 +2,8 @@
 
 Categories are predicted one after another. Each one's model is a logistic regression on
 the words of a text and on the probabilities of the categories before it; in
-training these come from models that have not seen the row (out of fold).
+training these come from models that have not seen the row (out of fold). A model looks at every word whose share of rows differs between the
+classes by more than chance explains; their number grows with the vocabulary, and weights are sparse.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from labelscope.llm.quality import sampled
 from labelscope.llm.shared import held_out, small_batches
@@ -20,8 +22,10 @@ from labelscope.llm.text import ALPHANUMERIC, chunks, words_of
 
 #: Bound of the training sample: so many labelled rows at most (in expectation).
 MOST_TRAINED = 20_000
-#: Hash space of words, words that a model looks at, folds.
-SPACE, SELECTED, FOLDS = 1 << 20, 192, 4
+#: Hash space of words, chi-squared value (one degree, a chance of 0.01) from which a model looks at a word, folds.
+SPACE, TELLING, FOLDS = 1 << 22, 6.635, 4
+#: Toxic rows that a language needs to have a link of its own; texts of others are left to the last link.
+LEAST_ROWS = 2 * FOLDS
 
 
 def word_ids(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -37,47 +41,83 @@ def word_ids(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 class Link:
     """One category's model: words it looks at, weights of words and earlier categories, bias."""
 
-    words: np.ndarray
+    words: np.ndarray  # sorted
     weights: np.ndarray
     bias: float
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
+    def probability(self, rows: int, row: np.ndarray, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+        known = len(self.words)
+        value = before @ self.weights[known:] + self.bias
+        if known:
+            row, at = seen_words(row, word, self.words)
+            value = value + np.bincount(row, weights=self.weights[at], minlength=rows)
+        return _sigmoid(value)
 
 
-def telling_words(row: np.ndarray, word: np.ndarray, y: np.ndarray, most: int = SELECTED) -> np.ndarray:
-    """The words whose share of rows differs most between the classes, by a chi-squared score."""
-    positive = np.bincount(word, weights=y[row], minlength=SPACE)
-    total = np.bincount(word, minlength=SPACE)
-    share = y.mean()
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def telling_words(row: np.ndarray, word: np.ndarray, y: np.ndarray, least: float = TELLING) -> np.ndarray:
+    """The words whose share of rows differs between the classes, by a chi-squared score; sorted."""
+    known, at = np.unique(word, return_inverse=True)
+    positive = np.bincount(at, weights=y[row], minlength=len(known))
+    total = np.bincount(at, minlength=len(known))
+    share = y.mean() if len(y) else 0.0
     expected = total * share
-    score = np.where(total >= 3, (positive - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9), 0)
-    return np.sort(np.argsort(-score, kind="stable")[:most])
+    score = (positive - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9)
+    return known[score >= least]
 
 
-def presence(rows: int, row: np.ndarray, word: np.ndarray, words: np.ndarray) -> np.ndarray:
+def seen_words(row: np.ndarray, word: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in ``words``) of the words that are among them."""
+    if not len(words):
+        return row[:0], row[:0]
     at = np.minimum(np.searchsorted(words, word), len(words) - 1)
     hit = words[at] == word
-    x = np.zeros((rows, len(words)), dtype=np.float64)
-    x[row[hit], at[hit]] = 1
-    return x
+    return row[hit], at[hit]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 8) -> tuple[np.ndarray, float]:
-    """Weights and bias by Newton steps; the bias is not penalised."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    theta = np.zeros(x.shape[1])
+def fit_logistic(
+    rows: int, row: np.ndarray, at: np.ndarray, width: int, before: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 8, turns: int = 12
+) -> tuple[np.ndarray, float]:
+    """Weights of words and of earlier categories, and bias, by Newton steps solved by conjugate gradients; the bias is not penalised.
+
+    ``row, at`` are the words of rows as places below ``width``.
+    """
+    dense = np.concatenate([before, np.ones((rows, 1))], axis=1)
+    theta = np.zeros(width + dense.shape[1])
     share = min(max(y.mean(), 1e-4), 1 - 1e-4)
     theta[-1] = np.log(share / (1 - share))
     ridge = np.full(len(theta), penalty)
     ridge[-1] = 1e-6
+
+    def forward(v: np.ndarray) -> np.ndarray:
+        return np.bincount(row, weights=v[at], minlength=rows) + dense @ v[width:]
+
+    def back(u: np.ndarray) -> np.ndarray:
+        return np.r_[np.bincount(at, weights=u[row], minlength=width), dense.T @ u]
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        gradient = x.T @ (p - y) + ridge * theta
+        p = _sigmoid(forward(theta))
+        gradient = back(p - y) + ridge * theta
         weight = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x * weight[:, None]).T @ x + np.diag(ridge), gradient)
+        scale = np.r_[np.bincount(at, weights=weight[row], minlength=width), (dense**2 * weight[:, None]).sum(axis=0)] + ridge
+        step, rest = np.zeros_like(theta), gradient.copy()
+        ahead = rest / scale
+        way, size = ahead.copy(), rest @ ahead
+        for _ in range(turns):
+            if size < 1e-10:
+                break
+            bent = back(weight * forward(way)) + ridge * way
+            length = size / (way @ bent)
+            step += length * way
+            rest -= length * bent
+            ahead = rest / scale
+            size, last = rest @ ahead, size
+            way = ahead + size / last * way
         theta -= step
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 1e-3:
             break
     return theta[:-1], float(theta[-1])
 
@@ -93,17 +133,14 @@ def fit_chain(rows: int, row: np.ndarray, word: np.ndarray, labels: np.ndarray,
             at = np.flatnonzero(inside)
             place = np.cumsum(inside) - 1
             used = inside[row]
-            words = telling_words(place[row[used]], word[used], y[at])
-            x = np.concatenate([presence(len(at), place[row[used]], word[used], words), before[at]], axis=1)
-            return Link(words, *fit_logistic(x, y[at]))
+            its, words = place[row[used]], telling_words(place[row[used]], word[used], y[at])
+            return Link(words, *fit_logistic(len(at), *seen_words(its, word[used], words), len(words), before[at], y[at]))
 
         own = np.zeros(rows)
         for fold in range(FOLDS):
             outside = folds == fold
             if outside.any() and (~outside).any():
-                link = fit(~outside)
-                x = np.concatenate([presence(rows, row, word, link.words), before], axis=1)[outside]
-                own[outside] = link.probability(x)
+                own[outside] = fit(~outside).probability(rows, row, word, before)[outside]
         links.append(fit(np.ones(rows, dtype=bool)))
         before = np.concatenate([before, own[:, None]], axis=1)
     return links, before
@@ -123,22 +160,22 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 @dataclass
 class Chain:
+    groups: list[str]
     links: list[Link]
     threshold: float
 
     def scores(self, rows: int, row: np.ndarray, word: np.ndarray) -> np.ndarray:
         before = np.zeros((rows, 0))
         for link in self.links:
-            x = np.concatenate([presence(rows, row, word, link.words), before], axis=1)
-            before = np.concatenate([before, link.probability(x)[:, None]], axis=1)
+            before = np.concatenate([before, link.probability(rows, row, word, before)[:, None]], axis=1)
         return before
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, groups: Sequence[str], most: int = MOST_TRAINED) -> Chain:
+def train_toxicity(docs: DataFrame, labels: DataFrame, groups: Sequence[str] | None = None, most: int = MOST_TRAINED) -> Chain:
     """Fitted to at most ``most`` labelled rows that are not held out.
 
-    The categories are ``toxic`` texts of each of ``groups`` (languages), then toxic ones of any. Of a document
-    labelled more than once the highest label counts; null labels count as none.
+    The categories are ``toxic`` texts of each of ``groups``, by default the languages of at least ``LEAST_ROWS`` toxic rows in order, then
+    toxic ones of any. Of a document labelled more than once the highest label counts; null labels count as none.
     """
     small_batches(docs.sparkSession)
     known = sampled(
@@ -164,28 +201,33 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, groups: Sequence[str], mo
         run, "doc_id long, lang string, toxic int, words binary"
     ).toPandas().sort_values(["doc_id", "words"]).reset_index(drop=True)
     if not len(seen):
-        return Chain([Link(np.zeros(1, dtype=np.int64), np.zeros(1 + i), 0.0) for i in range(len(groups) + 1)], 1.0)
+        groups = list(groups or [])
+        return Chain(groups, [Link(np.zeros(0, dtype=np.int64), np.zeros(i), 0.0) for i in range(len(groups) + 1)], 1.0)
     found = [np.frombuffer(x, np.int32) for x in seen["words"]]
     row = np.repeat(np.arange(len(found)), [len(x) for x in found])
     word = np.concatenate(found).astype(np.int64)
     toxic = (seen["toxic"] == 1).to_numpy()
+    if groups is None:
+        counts = seen["lang"][toxic].value_counts()
+        groups = sorted(counts.index[counts >= LEAST_ROWS])
     columns = [toxic & (seen["lang"] == group).to_numpy() for group in groups] + [toxic]
     folds = np.random.default_rng(3).permutation(len(seen)) % FOLDS
     links, out_of_fold = fit_chain(len(seen), row, word, np.stack(columns, axis=1), folds)
-    return Chain(links, best_threshold(out_of_fold[:, -1], toxic))
+    return Chain(list(groups), links, best_threshold(out_of_fold[:, -1], toxic))
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, groups: Sequence[str] = ("de", "en", "es", "fr"), most: int = MOST_TRAINED
+    docs: DataFrame, labels: DataFrame, groups: Sequence[str] | None = None, most: int = MOST_TRAINED
 ) -> DataFrame:
     """One row for each row of ``docs`` (``doc_id``, ``text``, and ``lang`` for training): probabilities of the chain.
 
-    ``p_<group>`` for each group, then ``score`` and ``predicted`` for toxic texts of any. Scores read
+    ``p_<group>`` for each group (see ``train_toxicity``), then ``score`` and ``predicted`` for toxic texts of any. Scores read
     the text only; null and empty texts have no words. Without labels every probability is a half and nothing is
     predicted. Rows without an id are scored and not held out. Repeated rows are scored alike; other columns are not read.
+    Very long texts are read whole, at some tens of bytes of memory for each of their own.
     """
     chain = train_toxicity(docs, labels, groups, most)
-    names = [f"p_{group}" for group in groups] + ["score"]
+    names = [f"p_{group}" for group in chain.groups] + ["score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +240,6 @@ def score_toxicity(
                 )
                 at += rows
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, f"doc_id long, {', '.join(f'{name} double' for name in names)}, predicted int"
-    )
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *names, "predicted")
+    fields = [StructField("doc_id", LongType()), *(StructField(name, DoubleType()) for name in names), StructField("predicted", IntegerType())]
+    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, StructType(fields))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *(F.col(f"`{name}`") for name in names), "predicted")

@@ -8,6 +8,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,9 +17,10 @@ from labelscope.llm import queries
 from labelscope.llm.decontaminate import clean_documents, decontaminate
 from labelscope.llm.mixing import mix_sources, mixed_documents, source_targets
 from labelscope.llm.ngram_jaccard import ngram_jaccard
-from labelscope.llm.quality import fit_non_negative
+from labelscope.llm.quality import features, features_table, fit_non_negative, score_quality, table_sums
 from labelscope.llm.sanitise import entity_name, personal_data, sanitise, sanitised_documents, sanitised_text
-from labelscope.llm.toxicity import FOLDS, fit_chain
+from labelscope.llm.shared import held_out
+from labelscope.llm.toxicity import FOLDS, fit_chain, fit_logistic, score_toxicity, telling_words
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 LARGER = "/root/testdata/sf0.1"
@@ -42,10 +44,50 @@ def test_non_negative_risk_separates_without_negatives():
     rng = np.random.default_rng(0)
     positive = rng.normal(1, 1, (800, 5)).astype(np.float32)
     unlabelled = np.concatenate([rng.normal(1, 1, (700, 5)), rng.normal(-1, 1, (300, 5))]).astype(np.float32)
-    model = fit_non_negative(positive, unlabelled, 0.7, epochs=20)
+    model = fit_non_negative(positive, lambda f: f(unlabelled.astype(float)), 0.7)
     assert model.score(rng.normal(1, 1, (500, 5))).mean() > model.score(rng.normal(-1, 1, (500, 5))).mean() + 0.5
 
 
+def test_fit_finds_the_least_risk_and_keeps_it_from_falling_below_zero():
+    rng = np.random.default_rng(2)
+    positive = rng.normal(0.7, 1, (400, 4))
+    unlabelled = np.concatenate([rng.normal(0.7, 1, (600, 4)), rng.normal(-0.7, 1, (900, 4))])
+    calls = []
+    model = fit_non_negative(positive, lambda f: (calls.append(1), f(unlabelled))[1], 0.3, steps=30, decay=1e-4)
+    assert len(calls) < 20
+
+    def risk(weights, bias):
+        z = [np.clip((x - model.mean) / model.scale, -8, 8) @ weights + bias for x in (positive, unlabelled)]
+        return np.logaddexp(0, z[1]).mean() - 0.3 * z[0].mean() + 5e-5 * (weights**2).sum()
+
+    least = risk(model.weights, model.bias)
+    for _ in range(200):
+        assert risk(model.weights + rng.normal(0, 0.05, 4), model.bias + rng.normal(0, 0.05)) > least - 1e-6
+    # few positives, a prior that is too large: the plain risk would go far below what loss can be
+    few = rng.normal(3, 0.1, (5, 4))
+    model = fit_non_negative(few, lambda f: f(unlabelled), 0.95)
+    z = [np.clip((x - model.mean) / model.scale, -8, 8) @ model.weights + model.bias for x in (few, unlabelled)]
+    assert np.logaddexp(0, z[1]).mean() - 0.95 * np.logaddexp(0, z[0]).mean() > -0.05
+
+
+def test_the_unlabelled_side_covers_all_documents(spark):
+    rng = random.Random(6)
+    plain = ["a walk by the river in the morning sun", "they read the old letters at night"]
+    rows = [(i, " ".join(rng.choice(plain).split() * rng.randint(1, 9))) for i in range(3000)]
+    rows += [(10_000 + i, " ".join(f"{rng.randrange(10**6):x}#$%" for _ in range(30))) for i in range(30)]  # one text in a hundred
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 3000, 3)] + [(10_000 + i, 0, 0) for i in range(0, 30, 10)], "doc_id long, quality int, toxic int")
+    table = features_table(docs)
+    outside = table.filter(~held_out(F.col("doc_id")))
+    counted = table_sums(outside)(lambda x: np.r_[len(x), x.sum(axis=0)])
+    direct = features(pa.array([r.text for r in docs.filter(~held_out(F.col("doc_id"))).collect()])).astype(float)
+    assert counted[0] == len(direct) and np.allclose(counted[1:], direct.sum(axis=0))
+    scored = score_quality(docs, labels)
+    assert sorted(scored.collect()) == sorted(score_quality(docs, labels).collect())
+    rates = {r.junk: r.passed for r in scored.groupBy((F.col("doc_id") >= 10_000).alias("junk")).agg(F.avg("predicted").alias("passed")).collect()}
+    assert rates[False] > 0.99 and rates[True] < 0.1
+
+
 def test_chain_uses_earlier_categories_out_of_fold():
     rng = np.random.default_rng(1)
     n = 1200
@@ -58,6 +100,40 @@ def test_chain_uses_earlier_categories_out_of_fold():
     assert ((held[:, 1] > 0.5) == labels[:, 1]).mean() > 0.95
 
 
+def test_a_large_toxic_vocabulary_in_several_languages(spark):
+    """A thousand toxic words, each in few texts, in languages that no argument names; held-out texts are caught by words seen elsewhere."""
+    rng = random.Random(4)
+    langs = {lang: ([f"{lang}bad{i}" for i in range(250)], [f"{lang}word{i}" for i in range(2000)]) for lang in ("it", "pl", "tr", "zz-1")}
+    rows, marks = [], []
+    for i in range(6000):
+        lang = rng.choice(list(langs))
+        bad, plain = langs[lang]
+        words = rng.choices(plain, k=rng.randint(10, 60))
+        toxic = rng.random() < 0.2
+        for at in rng.sample(range(len(words)), 4) if toxic else ():
+            words[at] = rng.choice(bad)
+        rows.append((i, " ".join(words), lang if i % 50 else None))
+        marks.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    scored = score_toxicity(docs, labels)
+    assert scored.columns == ["doc_id", "held_out", "p_it", "p_pl", "p_tr", "p_zz-1", "score", "predicted"]
+    rates = scored.join(labels, "doc_id").filter("held_out").groupBy("toxic").agg(F.avg("predicted").alias("caught")).collect()
+    caught = {r.toxic: r.caught for r in rates}
+    assert caught[1] > 0.97 and caught[0] < 0.03
+
+
+def test_newton_steps_by_conjugate_gradients_reach_the_minimum():
+    rng = np.random.default_rng(5)
+    x = (rng.random((300, 40)) < 0.2).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x @ rng.normal(0, 2, 40))))).astype(float)
+    row, at = np.nonzero(x)
+    weights, bias = fit_logistic(300, row, at, 40, np.zeros((300, 0)), y, rounds=30, turns=60)
+    p = 1 / (1 + np.exp(-(x @ weights + bias)))
+    assert np.abs(x.T @ (p - y) + weights).max() < 1e-2 and abs((p - y).sum()) < 1e-2
+    assert telling_words(np.array([0, 1, 2]), np.array([5, 5, 9]), np.array([1.0, 1.0, 0.0]), 0.1).tolist() == [5, 9]
+
+
 def test_terms_that_disclose_an_entity_become_spans(spark):
     rng = random.Random(2)
     rows = []
