@@ -1,8 +1,9 @@
 """Secrets in texts: fixed patterns, and windows of high entropy in candidate strings.
 
-A candidate is a long run of characters of one class. A window slides over it; its Shannon
-entropy follows from counts that change by two characters a step. Windows above the
-threshold of the class are merged into spans, unless an allow-list knows the candidate.
+A candidate is a long run of characters of one class, inside one segment: what lies between equals signs and, in a path, between
+slashes. A window slides over it; its Shannon entropy follows from counts that change by two characters a step. Windows above the
+threshold of the class are merged into spans, unless an allow-list knows the segment or the word that holds them; a name or folder ahead
+of a key does not hide the key.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import math
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,27 +31,36 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 @dataclass(frozen=True)
 class CharacterClass:
-    """Candidates: runs of ``characters`` of at least ``window``. ``bits`` is the least entropy of a window, ``needs`` what a window must hold."""
+    """Candidates: runs of ``characters`` of at least ``window``. ``bits`` is the least entropy of a window, ``needs`` what a window must hold,
+    ``turns`` how often letters and digits must change places in it.
+    """
 
     name: str
     characters: str
     window: int
     bits: float
     needs: tuple[str, ...]
+    turns: int = 0
 
 
 CLASSES = (
     CharacterClass("entropy_hex", "0-9a-fA-F", 24, 3.2, ("0-9", "a-fA-F")),
     CharacterClass("entropy_base32", "A-Z2-7", 24, 3.8, ("A-Z", "2-7")),
     CharacterClass("entropy_base64", "A-Za-z0-9+/_-", 20, 3.8, ("A-Z", "a-z", "0-9")),
+    CharacterClass("entropy_lower", "a-z0-9", 16, 3.4, ("a-z", "0-9"), 4),
+    CharacterClass("entropy_upper", "A-Z0-9", 16, 3.4, ("A-Z", "0-9"), 4),
 )
-#: Candidates that are no secrets: UUIDs, documented examples, placeholders, integrity hashes, paths.
+#: Segments that are no secrets: UUIDs, integrity hashes.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"(?i:.*(example|sample|dummy|placeholder|changeme|redacted|lorem).*)",
     r"sha(256|384|512)-.*",
-    r"(/?[a-z0-9_.-]+/){2,}[A-Za-z0-9_.-]*",
 )
+#: Words that are no secrets if they hold one of these: documented examples and placeholders.
+PLACEHOLDERS = ("example", "sample", "dummy", "placeholder", "changeme", "redacted", "lorem")
+#: Runs that are paths: their folders and their last name are segments.
+PATH = re.compile(r"(/?[a-z0-9_.-]+/){2,}[A-Za-z0-9_.-]*")
+#: Characters of a candidate from which counts are kept for all its windows at once, and of a piece of it.
+LONG, PIECE = 200, 1 << 16
 
 
 def entropy_windows(text: str, window: int, least: float) -> Iterator[int]:
@@ -74,14 +86,63 @@ def entropy_windows(text: str, window: int, least: float) -> Iterator[int]:
             yield i - window + 1
 
 
+def _many_windows(text: str, window: int, least: float) -> np.ndarray:
+    """``entropy_windows`` of a long text, with the counts of each character summed up along a piece of it."""
+    log = np.array([0.0, *(c * math.log2(c) for c in range(1, window + 1))])
+    most = (math.log2(window) - least) * window
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    found = []
+    for first in range(0, len(codes) - window + 1, PIECE):
+        known, at = np.unique(codes[first : first + PIECE + window - 1], return_inverse=True)
+        total = np.zeros(len(at) - window + 1)
+        for c in range(len(known)):
+            ahead = np.concatenate([[0], np.cumsum(at == c)])
+            total += log[ahead[window:] - ahead[:-window]]
+        found.append(first + np.flatnonzero(total <= most + 1e-9))
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
+
+def _digit(c: str) -> bool:
+    return "0" <= c <= "9"
+
+
+def _held(flags: list[bool], starts: list[int], window: int, least: int) -> list[int]:
+    """The starts whose window holds at least so many of the flagged places."""
+    ahead = [0, *accumulate(flags)]
+    return [i for i in starts if ahead[min(i + window, len(flags))] - ahead[i] >= least]
+
+
+def secret_windows(candidate: str, kind: CharacterClass, needs: Sequence[re.Pattern]) -> list[int]:
+    """Starts of the windows of a candidate that pass all that the class asks."""
+    if not all(need.search(candidate) for need in needs):
+        return []
+    long = len(candidate) >= LONG
+    starts = (_many_windows if long else entropy_windows)(candidate, kind.window, kind.bits)
+    starts = starts.tolist() if long else list(starts)
+    for need in needs:
+        if starts:
+            starts = _held([bool(need.match(c)) for c in candidate], starts, kind.window, 1)
+    if kind.turns and starts:
+        turned = [_digit(a) != _digit(b) for a, b in zip(candidate, candidate[1:])]
+        starts = _held(turned, starts, kind.window - 1, kind.turns)
+    return starts
+
+
+_SEGMENT, _PATH_SEGMENT, _WORD = re.compile("[^=]+"), re.compile("[^=/]+"), re.compile("[A-Za-z0-9]+")
+
+
 class SecretScanner:
-    def __init__(self, classes: Sequence[CharacterClass] = CLASSES, allowed: Sequence[str] = ALLOWED) -> None:
+    def __init__(
+        self, classes: Sequence[CharacterClass] = CLASSES, allowed: Sequence[str] = ALLOWED, placeholders: Sequence[str] = PLACEHOLDERS
+    ) -> None:
         self.classes = [
             (c, re.compile(f"(?<![{c.characters}])[{c.characters}]{{{c.window},}}"), [re.compile(f"[{need}]") for need in c.needs])
             for c in classes
         ]
         self.allowed = re.compile("|".join(f"(?:{x})" for x in allowed)) if allowed else None
-        self.longest = re.compile(f"[A-Za-z0-9+/_=-]{{{min((c.window for c in classes), default=1)},}}")
+        self.placeholder = re.compile("(?i:" + "|".join(map(re.escape, placeholders)) + ")") if placeholders else None
+        self.shortest = min((c.window for c in classes), default=1)
+        self.longest = re.compile(f"[A-Za-z0-9+/_=-]{{{self.shortest},}}")
 
     def base(self, text: str) -> list[tuple[int, int, str]]:
         found = []
@@ -92,27 +153,30 @@ class SecretScanner:
             found += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if m.end() - m.start() >= LEAST[kind]]
         return found
 
+    def segments(self, run: str) -> Iterator[tuple[int, str]]:
+        """(place, segment) of what may hold a secret in a run; words with a placeholder are blanked."""
+        for m in (_PATH_SEGMENT if PATH.fullmatch(run) else _SEGMENT).finditer(run):
+            segment = m.group()
+            if len(segment) < self.shortest or (self.allowed is not None and self.allowed.fullmatch(segment)):
+                continue
+            if self.placeholder is not None and self.placeholder.search(segment):
+                segment = _WORD.sub(lambda w: " " * len(w[0]) if self.placeholder.search(w[0]) else w[0], segment)
+            yield m.start(), segment
+
     def by_entropy(self, text: str) -> list[tuple[int, int, str]]:
         found = []
         for run in self.longest.finditer(text):
-            whole = run.group()
-            if self.allowed is not None and self.allowed.fullmatch(whole):
-                continue
-            for kind, pattern, needs in self.classes:
-                for m in pattern.finditer(whole):
-                    candidate = m.group()
-                    if self.allowed is not None and self.allowed.fullmatch(candidate):
-                        continue
-                    if not all(need.search(candidate) for need in needs):
-                        continue
-                    for start in entropy_windows(candidate, kind.window, kind.bits):
-                        if not all(need.search(candidate, start, start + kind.window) for need in needs):
-                            continue
-                        a, b = run.start() + m.start() + start, run.start() + m.start() + start + kind.window
-                        if found and found[-1][2] == kind.name and a <= found[-1][1] and found[-1][0] >= run.start() + m.start():
-                            found[-1] = (found[-1][0], b, kind.name)
-                        else:
-                            found.append((a, b, kind.name))
+            for place, segment in self.segments(run.group()):
+                for kind, pattern, needs in self.classes:
+                    for m in pattern.finditer(segment):
+                        base, last = run.start() + place + m.start(), None
+                        for start in secret_windows(m.group(), kind, needs):
+                            a, b = base + start, base + start + kind.window
+                            if last is not None and a <= found[-1][1]:
+                                found[-1] = (found[-1][0], b, kind.name)
+                            else:
+                                found.append((a, b, kind.name))
+                            last = b
         return found
 
     def scan(self, text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -132,19 +196,21 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def find_secrets(docs: DataFrame, classes: Sequence[CharacterClass] = CLASSES, allowed: Sequence[str] = ALLOWED) -> DataFrame:
+def find_secrets(
+    docs: DataFrame, classes: Sequence[CharacterClass] = CLASSES, allowed: Sequence[str] = ALLOWED, placeholders: Sequence[str] = PLACEHOLDERS
+) -> DataFrame:
     """One row for each row of ``docs`` (``doc_id``, ``text``) with the secrets in its whole text.
 
     ``n_assign, n_access, n_hex`` count the base spans, ``base_sha256`` is of them, ``spans`` has all spans with those by
     entropy (``n_entropy``) as ``kind:start:end`` in code points. The allow-list drops spans by entropy
     only. A null text is empty and has no spans; repeated rows are scanned alike; no rows give none;
-    other columns are not read.
+    other columns are not read. Very long texts and candidates are read whole, in time that grows with their length.
     """
 
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = SecretScanner(classes, allowed)
+        scanner = SecretScanner(classes, allowed, placeholders)
         for batch in batches:
             rows = []
             for text in batch.column("text"):

@@ -5,7 +5,7 @@ import os
 import random
 import re
 import time
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -14,7 +14,7 @@ from labelscope.llm import queries
 from labelscope.llm.ngram_jaccard import K2, N2, Signatures, bands, ngram_jaccard, parts_of_band, sketch, sketch_bits, folded
 from labelscope.llm.line_dedup import dedup_lines
 from labelscope.llm.sanitise import personal_data
-from labelscope.llm.secret_scan import entropy_windows, SecretScanner
+from labelscope.llm.secret_scan import CLASSES, PLACEHOLDERS, entropy_windows, SecretScanner
 from labelscope.llm.shared import bloom, in_bloom, mix
 from labelscope.llm.token_scan import separator_scan, token_blocks
 from tests.oracle import connect, difference
@@ -216,6 +216,70 @@ def test_entropy_adds_spans_and_the_allow_list_drops_them():
     assert start >= 43 and end == 43 + len(key)
 
 
+def test_keys_of_one_case_and_keys_behind_names_are_found():
+    scanner = SecretScanner()
+    for key in ("pj7wmz7c50fchhv4", "3mhsw4ofv8iyx779co3w7fi0j61e39bl", "9QZ7K2M4XB8LT3WD"):
+        (start, end, kind), *_ = scanner.by_entropy(f"see {key}, please")
+        assert kind in ("entropy_lower", "entropy_upper") and key in f"see {key}, please"[start:end]
+    key = "".join(random.Random(7).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=40))
+    for ahead in ("https://x.y/hooks/in/", "sample_", "sample_token=", "a/b/c=", "example-"):
+        spans = scanner.by_entropy(f"{ahead}{key} end")
+        assert any(kind == "entropy_base64" and a <= len(ahead) + 2 and b >= len(ahead) + 38 for a, b, kind in spans), ahead
+    for text in ("conference2019proceedings", "abcdefghijklmnop", "1234567890123456789012", "aaaaaaaa11111111aaaa", "ISO9001CERTIFICATION2015"):
+        assert scanner.by_entropy(text) == []
+
+
+def secret_spans_by_hand(text):
+    found = []
+    for run in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        if run.end() - run.start() < 16:
+            continue
+        cut = "[^=/]+" if re.fullmatch(r"(/?[a-z0-9_.-]+/){2,}[A-Za-z0-9_.-]*", run[0]) else "[^=]+"
+        for segment in re.finditer(cut, run[0]):
+            if re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|sha(256|384|512)-.*", segment[0]):
+                continue
+            word = lambda w: " " * len(w[0]) if any(p in w[0].lower() for p in PLACEHOLDERS) else w[0]
+            shown = re.sub("[A-Za-z0-9]+", word, segment[0])
+            for kind in CLASSES:
+                covered = set()
+                for i in range(len(shown) - kind.window + 1):
+                    piece = shown[i : i + kind.window]
+                    entropy = -sum(n / len(piece) * np.log2(n / len(piece)) for n in Counter(piece).values())
+                    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(piece, piece[1:]))
+                    if re.fullmatch(f"[{kind.characters}]+", piece) and entropy >= kind.bits - 1e-9 and turns >= kind.turns and all(
+                        re.search(f"[{need}]", piece) for need in kind.needs
+                    ):
+                        covered |= set(range(i, i + kind.window + 1))  # windows that touch are one span
+                base = run.start() + segment.start()
+                edges = sorted(covered)
+                while edges:
+                    n = next((k for k in range(1, len(edges)) if edges[k] != edges[k - 1] + 1), len(edges))
+                    found.append((base + edges[0], base + edges[n - 1], kind.name))
+                    edges = edges[n:]
+    return sorted(found)
+
+
+def test_entropy_spans_equal_brute_force():
+    rng = random.Random(31)
+    scanner = SecretScanner()
+    alphabets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcXYZ019+/_-=", "aab12", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+    for _ in range(250):
+        parts = ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(1, 70))) for _ in range(rng.randint(1, 4))]
+        parts += rng.choices(["sample", "a/b/c/", "x=", "sha256-", " ", "word", "_", "/", "EXAMPLE", "123e4567-e89b-12d3-a456-426614174000"], k=3)
+        rng.shuffle(parts)
+        text = "".join(parts)
+        assert sorted(scanner.by_entropy(text)) == secret_spans_by_hand(text)
+    long = "".join(rng.choices(alphabets[1], k=700)) + "a" * 300 + "".join(rng.choices(alphabets[3][:-1], k=500))
+    assert sorted(scanner.by_entropy(long)) == secret_spans_by_hand(long)
+
+
+def test_a_megabyte_of_key_characters_is_scanned_in_seconds():
+    text = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=1_000_000))
+    start = time.perf_counter()
+    assert sum(b - a for a, b, _ in SecretScanner().by_entropy(text)) > 950_000
+    assert time.perf_counter() - start < 10
+
+
 def test_flat_files_scan_over_block_borders(spark, tmp_path):
     rng = random.Random(5)
     wanted = {}
