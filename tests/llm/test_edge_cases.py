@@ -110,6 +110,40 @@ def test_repeated_rows_keep_one(spark):
     assert content_dedup(rows).filter("kept").count() == 1
 
 
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_runs_that_cross_tasks(spark, coalesced):
+    """A text with a third of all rows, ties of ids over task borders, and ids that are null: settled by runs, whatever the ranges."""
+    rows = [(i, "Hot text") for i in range(400)] + [(i, "hot TEXT") for i in range(0, 400, 40)] + [(None, "hot text")] * 3
+    rows += [(i, f"text {i % 300}") for i in range(1000, 1900)] + [(None, "nobody's")] * 2 + [(2000, None), (2001, ""), (2002, "x" * 200_000), (2003, "X" * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS id", "'d' AS digest", "1 AS stays").repartition(6)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault((t or "").lower(), []).append(i)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+        found = content_dedup(docs).collect()
+        kept = distinct_documents(docs).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    best = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    wanted = sorted(str((i, best[t], len(ids), sha(t))) for t, ids in groups.items() for i in ids)
+    assert sorted(str((r.doc_id, r.keep_id, r.group_size, r.text_sha256)) for r in found) == wanted
+    heads = sorted(str((best[t], sha(t))) for t in groups)
+    assert sorted(str((r.doc_id, r.text_sha256)) for r in found if r.kept) == heads
+    assert sorted(str((r.doc_id, sha((r.text or "").lower()))) for r in kept) == heads
+    assert kept[0].id == 7
+
+
+def test_no_grouping_over_all_rows(spark, awkward):
+    plan = content_dedup(awkward)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
+    grouped = plan[plan.index("HashAggregate") :]
+    assert any("edge" in line and "kept" in line for line in grouped.splitlines() if "Filter" in line)  # runs at borders alone
+
+
 def test_scores(results):
     for name in ("quality", "toxic"):
         rows = results[name].collect()
