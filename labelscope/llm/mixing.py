@@ -66,11 +66,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
     )
 
 
-def measured(docs: DataFrame, seed: int) -> DataFrame:
-    """The rows of ``docs`` as a struct, with their size, key and slice of keys."""
+def measured(docs: DataFrame, seed: int, quality: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` as a struct, with their size, key and slice of keys.
+
+    ``quality`` is the weight of a document, by default one of its text; a null, a NaN or one below a millionth counts as a millionth.
+    """
     row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
-    sized = docs.select(row).withColumn("size", word_count(F.col("row.text")))
-    key = exponential_key(F.col("row.doc_id"), text_quality(F.col("row.text"), F.col("size")), seed)
+    given = F.lit(None).cast("double") if quality is None else F.nanvl(F.coalesce(quality.cast("double"), F.lit(0.0)), F.lit(0.0))
+    sized = docs.select(row, given.alias("quality")).withColumn("size", word_count(F.col("row.text")))
+    weight = text_quality(F.col("row.text"), F.col("size")) if quality is None else F.col("quality")
+    key = exponential_key(F.col("row.doc_id"), weight, seed)
     return sized.withColumn("key", key).withColumn("slice", F.floor(F.col("key") / (1 + F.col("key")) * SLICES).cast("int"))
 
 
@@ -123,25 +128,31 @@ def _taken(rows: DataFrame, plan: DataFrame, source: Column, doc_id: Column) ->
     return rows.join(plan, source.eqNullSafe(F.col("of_source"))).withColumn("taken", taken)
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 42) -> DataFrame:
+def mix_sources(
+    docs: DataFrame, weights: Sequence[int] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 42, quality: str | None = None
+) -> DataFrame:
     """One row for each row of ``docs`` (``doc_id``, ``text``, ``source``): its size in words and how many the mix takes.
 
     ``taken`` is the size times the epochs of the source, once more for documents of the fractional
     selection. Null texts have size 0 and are never taken; null sources are one source, the
     last. Rows alike in id share a key and are taken or left together. An empty table gives no rows;
-    other columns are not read.
+    other columns are not read. ``quality`` names a column of weights, such as a trained score; a document of twice the weight is twice as
+    likely to come first. By default the weight is one of the text alone.
     """
+    narrow = docs.select(F.col("doc_id").cast("long"), "text", "source", *([F.col(quality).alias("weight")] if quality else []))
     rows = written(
-        measured(docs.select(F.col("doc_id").cast("long"), "text", "source"), seed)
+        measured(narrow, seed, F.col("weight") if quality else None)
         .select("row.doc_id", "row.source", "size", "key", "slice"), "measured"
     )
     plan = mixing_plan(rows, weights, share, most)
     return _taken(rows, plan, F.col("source"), F.col("doc_id")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 42) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, weights: Sequence[int] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 42, quality: str | None = None
+) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with all their columns and, last, ``taken`` (over a column of that name)."""
-    rows = measured(docs, seed)
+    rows = measured(docs, seed, docs[quality] if quality else None)
     narrow = written(rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "row.source", "size", "key", "slice"), "measured")
     plan = mixing_plan(narrow, weights, share, most)
     mixed = _taken(rows, plan, F.col("row.source"), F.col("row.doc_id").cast("long")).filter("taken > 0")

@@ -76,8 +76,8 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    vocabulary, pattern = tokenizer()
+def op8_token_counts(spark: SparkSession, folder: str, vocabulary_path: str = VOCABULARY) -> DataFrame:
+    vocabulary, pattern = tokenizer(vocabulary_path)
     return token_counts(table(spark, folder, "documents"), vocabulary, pattern, separator=SEPARATOR)
 
 
@@ -117,9 +117,9 @@ def op13_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"))
 
 
-def tokenizer() -> tuple[bytes, str]:
+def tokenizer(path: str = VOCABULARY) -> tuple[bytes, str]:
     """The vocabulary, read once by the driver and sent to the tasks, and the pattern that cuts texts into pieces."""
-    with open(VOCABULARY, "rb") as file:
+    with open(path, "rb") as file:
         return file.read(), PATTERN
 
 
@@ -173,8 +173,7 @@ FROM texts t LEFT JOIN joined j ON t.doc_id = j.doc_id
 
 SQL["op4_mix_sources"] = r"""
 WITH rows AS (
-    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+')) AS size, length(text) AS chars FROM documents
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, length(text) AS chars FROM documents
 ), keyed AS (
     SELECT doc_id, source, size,
            -ln((CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5) / CAST(4503599627370496 AS DOUBLE))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,18 +12,11 @@ BLOOM_BITS = 1 << 23
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, else the context's; where neither is set, and the master is local, one of this machine."""
+    """The folder of ``spark.checkpoint.dir``, else the checkpoint folder of the context; without either nothing is written."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not re.match(r"local($|\[)", spark.sparkContext.master):
+    if not folder:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if _LOCAL.get(spark.sparkContext.applicationId) is None:
-        _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="labelscope-")
-    return _LOCAL[spark.sparkContext.applicationId]
-
-
-_LOCAL: dict[str, str] = {}
+    return folder.rstrip("/")
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -348,6 +348,17 @@ def test_mix_comes_near_targets_and_repeats(spark):
     assert {(r.doc_id, r.taken) for r in one.filter("taken > 0").collect()} == {(r.doc_id, r.taken) for r in mixed_documents(docs).collect()}
 
 
+def test_a_column_of_weights_decides_who_comes_first(spark):
+    """Documents of nine times the weight are nine times as likely to be first; null, NaN and negative weights come last."""
+    rows = [(i, "w w", "a" if i < 4000 else "b", [9.0, 1.0, None, float("nan"), -1.0][i % 5] if i < 4000 else 1.0) for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score double").repartition(3)
+    mixed = mixed_documents(docs, weights=(1, 9), quality="score")
+    taken = mixed.filter("source = 'a'").groupBy("score").count().collect()
+    count = {str(r.score): r["count"] for r in taken}
+    assert 600 < count["9.0"] <= 800 and count.get("1.0", 0) < 400 and sum(count.get(x, 0) for x in ("None", "nan", "-1.0")) < 20
+    assert {r.doc_id for r in mix_sources(docs, weights=(1, 9), quality="score").filter("taken > 0").collect()} == {r.doc_id for r in mixed.collect()}
+
+
 @given
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
