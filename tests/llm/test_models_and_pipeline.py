@@ -1,5 +1,6 @@
 """Held-out accuracy of the trained operators, disclosure of terms, blocks of a benchmark, and the pipeline."""
 
+import hashlib
 import math
 import os
 import random
@@ -16,11 +17,11 @@ import corpus_pipeline
 from labelscope.llm import queries
 from labelscope.llm.decontaminate import clean_documents, decontaminate
 from labelscope.llm.mixing import mix_sources, mixed_documents, source_targets
-from labelscope.llm.ngram_jaccard import ngram_jaccard
 from labelscope.llm.quality import features, features_table, fit_non_negative, score_quality, table_sums
 from labelscope.llm.sanitise import entity_name, personal_data, sanitise, sanitised_documents, sanitised_text
 from labelscope.llm.shared import held_out
 from labelscope.llm.toxicity import FOLDS, fit_chain, fit_logistic, score_toxicity, telling_words
+from tests.llm.test_against_brute_force import components
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 LARGER = "/root/testdata/sf0.1"
@@ -387,12 +388,51 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
                 keep[r.text.translate(lower)] = max(i, keep.get(r.text.translate(lower), -1))
             assert set(after) == set(keep.values())
         if name == "near_dedup":
-            frame = spark.createDataFrame([(i, r.text) for i, r in before.items()], "doc_id long, text string")
-            assert set(after) == {r.doc_id for r in ngram_jaccard(frame, 5, 80).filter("doc_id = component_id").collect()}
+            found = components([(i, r.text) for i, r in before.items()], 5, 80)
+            assert set(after) == {i for i, (_, head) in found.items() if i == head} and len(after) < len(before)
         if name == "benchmark_decontamination":
             lengths = {len(w) for w in windows}
             hit = {i for i, r in before.items() for w in [words(r.text)] for n in lengths
                    if any(tuple(w[k : k + n]) in windows for k in range(len(w) - n + 1))}
             assert set(after) == set(before) - hit
+        if name == "quality_classifier":
+            truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+            stayed = [i in after for i in before if truth.get(i) == 1]
+            assert sum(stayed) >= 0.95 * len(stayed) and len(after) < len(before)
+            assert sum(i in after for i in before if truth.get(i) == 0) <= 0.3 * sum(q == 0 for q in truth.values())
         if name == "source_mixing":
-            assert docs.columns == [*columns, "taken"] and all(r.taken > 0 for r in after.values())
+            assert docs.columns == [*columns, "taken"]
+            assert {i: r.taken for i, r in after.items()} == mix_by_hand([(i, r.text, r.source) for i, r in before.items()])
+
+
+def mix_by_hand(rows):
+    """What the mix takes of each document, from whole sorted sources; documents that it leaves are not in it."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    total = {s: sum(size[i] for i, _, x in rows if x == s) for s in sources}
+    weight = {s: k % 3 + 1 for k, s in enumerate(sources)}
+    target, free = {}, set(sources)
+    while free:
+        level = (sum(total.values()) - sum(3 * total[s] for s in sources if s not in free)) / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] >= 3 * total[s]}
+        if not over:
+            break
+        free -= over
+    for s in sources:
+        target[s] = level * weight[s] if s in free else 3.0 * total[s]
+    taken = {}
+    for s in sources:
+        epochs = int(target[s] // total[s]) if total[s] else 0
+        rest, through = target[s] - epochs * total[s], 0
+        keyed = []
+        for i, t, x in rows:
+            if x == s:
+                u = (int(hashlib.md5(f"42:{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+                mean = len(t) / max(size[i], 1) if t is not None else None
+                keyed.append((-math.log(u) / max(1.0 if mean is None else 1 / (1 + abs(mean - 6) / 6), 1e-6), i))
+        for _, i in sorted(keyed):
+            through += size[i]
+            n = size[i] * (epochs + (rest > 0 and through - size[i] / 2 <= rest))
+            if n:
+                taken[i] = n
+    return taken
