@@ -95,7 +95,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, passage: int | None = Non
     repeated = windows.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").drop("last")
     covered = (
         windows.join(repeated, ["high", "low"]).filter(place > F.col("first"))
-        .groupBy("copy").agg(F.sort_array(F.collect_set("at")).alias("covered"))
+        .groupBy("id", "copy").agg(F.sort_array(F.collect_set("at")).alias("covered"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +115,6 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, passage: int | None = Non
                 ["doc_id", "n_lines", "n_removed", "cleaned"],
             )
 
-    return rows.join(covered, "copy", "left").select("doc_id", "text", "covered").mapInArrow(
+    return rows.join(covered, ["id", "copy"], "left").select("doc_id", "text", "covered").mapInArrow(
         run, "doc_id long, n_lines long, n_removed long, cleaned string"
     )
