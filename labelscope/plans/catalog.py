@@ -145,15 +145,13 @@ def csv_round_trip(d: Derived) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("long") for c in ("row_id", "page_number")})
 
 
-@query("SELECT filename, page_number, model, text, count(*) AS copies FROM raw GROUP BY ALL")
+@query("""SELECT row_id AS order_key, row_number() OVER (ORDER BY row_id) - 1 AS row_id, filename, page_number, model, text FROM raw""")
 def annotation_scan(d: Derived) -> DataFrame:
-    """The scan with row ids of its own: every row once, ids unique."""
+    """The scan with row ids of its own: every row once, ids dense and in the order of the rows as written."""
     path = shared_path(d.spark, "scan_csv")
-    sinks.write_csv(d.raw.drop("row_id"), path)
+    sinks.write_csv(d.raw.withColumnRenamed("row_id", "order_key").orderBy("order_key"), path)
     rows = tables.harden_schema(tables.read_annotations(d.spark, path))
-    return rows.groupBy("filename", "page_number", "model", "text").agg(
-        F.count_distinct("row_id").alias("copies")
-    )
+    return rows.withColumn("order_key", F.col("order_key").cast("long"))
 
 
 @query("SELECT 'local' AS tag, count(*) AS rows FROM lab")
