@@ -66,8 +66,9 @@ def first_page_text(
     return _first_rows(sentences.filter(present(*page, text)), sentences, page, [text], order_columns(sentences, order))
 
 
-#: Sentences of a page that one task compares with its text; rows and bytes that it gathers for one reading.
-BLOCK, GATHERED, GATHERED_BYTES = 50_000, 20_000, 1 << 25
+#: Sentences of a page that one task compares with its text, or this share of all rows if that is more: so no more than
+#: ``SHARES`` pages are dealt in blocks, and their table can be broadcast. Rows and bytes that a task gathers for one reading.
+BLOCK, SHARES, GATHERED, GATHERED_BYTES = 50_000, 100_000, 20_000, 1 << 25
 
 
 def _page_key(page: Sequence[str], *more: Column) -> Column:
@@ -87,11 +88,13 @@ def _meet(
     rows = df.select(*page, *order, F.struct(*df.columns).alias("_row"))
     blocks = F.lit(1)
     if counted is not None:
+        counts = counted.filter(present(*page)).groupBy(*[F.col(c).cast(types[c]).alias(c) for c in page]).agg(F.count("*").alias("_rows"))
+        share = counts.agg(F.greatest(F.sum("_rows") / SHARES, F.lit(float(BLOCK))).alias("_share"))  # one row
         hot = (
-            counted.filter(present(*page)).groupBy(*page).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")).filter("_blocks > 1")
-            .select(*[F.col(c).cast(types[c]).alias(c) for c in page], "_blocks")
+            counts.filter(F.col("_rows") > BLOCK).crossJoin(F.broadcast(share)).filter("_rows > _share")
+            .select(*page, F.ceil(F.col("_rows") / F.col("_share")).cast("int").alias("_blocks"))
         )
-        rows, texts_of = rows.join(hot, list(page), "left"), texts_of.join(hot, list(page), "left")
+        rows, texts_of = (side.join(F.broadcast(hot), list(page), "left") for side in (rows, texts_of))
         blocks = F.coalesce("_blocks", F.lit(1))
     block = F.pmod(F.xxhash64("_row.sentence"), blocks).cast("int").alias("_block")
     each = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block")
