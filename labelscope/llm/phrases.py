@@ -31,7 +31,7 @@ SAMPLE = 0.25
 #: The bound in the sample lies this many standard deviations below the expected count of a phrase that is just frequent.
 LOWERED = 2.3
 #: Bits of a filter for each key, and the most bits of one: a fuller filter admits more phrases to the count, never fewer.
-KEY_BITS, LEAST_BITS, MOST_BITS = 64, 1 << 23, 1 << 27
+KEY_BITS, LEAST_BITS, MOST_BITS = 32, 1 << 23, 1 << 27
 #: Names, and phrases, that a task holds ahead of handing on their counts; bytes of text it looks at together.
 MOST_HELD, MOST_PHRASES, CHUNK = 2_000_000, 200_000, 1 << 20
 
