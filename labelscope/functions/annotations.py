@@ -85,13 +85,12 @@ def other_fields(annotation: Column, fields: dict[str, Column]) -> Column:
     """Everything the typed ``fields`` do not hold, as a VARIANT object.
 
     That is every other key, and each known key whose value is not null but came out NULL,
-    as it has another type than the field.
+    as it has another type than the field. A known key is looked at only where its field is NULL.
     """
     entries = annotation.try_cast("map<string,variant>")
-    empty = F.array(*(F.when(value.isNull(), F.lit(name)) for name, value in fields.items()))
-
-    def kept(key: Column, value: Column) -> Column:
-        mistyped = F.coalesce(F.array_contains(empty, key), F.lit(False)) & ~F.is_variant_null(value)
-        return ~key.isin(list(fields)) | mistyped
-
-    return F.to_variant_object(F.map_filter(entries, kept))
+    others = F.map_filter(entries, lambda key, _: ~key.isin(list(fields)))
+    missed = []
+    for name, value in fields.items():
+        own = F.when(value.isNull(), F.try_variant_get(annotation, f"$['{name}']", "variant"))
+        missed.append(F.when(own.isNotNull() & ~F.is_variant_null(own), F.struct(F.lit(name).alias("key"), own.alias("value"))))
+    return F.to_variant_object(F.map_concat(others, F.map_from_entries(F.array_compact(F.array(*missed)))))
