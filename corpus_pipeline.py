@@ -6,7 +6,6 @@ as Parquet and read again as the next one's documents.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from labelscope.llm.decontaminate import clean_documents
 from labelscope.llm.mixing import mixed_documents
 from labelscope.llm.ngram_jaccard import group_heads
 from labelscope.llm.quality import good_documents
-from labelscope.llm.shared import shared_folder
+from labelscope.llm.shared import Scratch
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over ``documents``, each read back from the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in turn over ``documents``, each read back from the shared folder.
+
+    The table of a stage is dropped when the next one is written, that of the last when the application ends.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        scratch = Scratch(spark)
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            before.drop()
+        before = scratch
     return docs
