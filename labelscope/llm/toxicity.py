@@ -58,15 +58,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def telling_words(row: np.ndarray, word: np.ndarray, y: np.ndarray, least: float = TELLING) -> np.ndarray:
-    """The words whose share of rows differs between the classes, by a chi-squared score; sorted."""
-    known, at = np.unique(word, return_inverse=True)
-    positive = np.bincount(at, weights=y[row], minlength=len(known))
-    total = np.bincount(at, minlength=len(known))
+def telling(row: np.ndarray, at: np.ndarray, width: int, y: np.ndarray, least: float = TELLING) -> np.ndarray:
+    """Which of the words, places below ``width``, are in a share of rows that differs between the classes, by a chi-squared score."""
+    positive = np.bincount(at, weights=y[row], minlength=width)
+    total = np.bincount(at, minlength=width)
     share = y.mean() if len(y) else 0.0
     expected = total * share
-    score = (positive - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9)
-    return known[score >= least]
+    return (positive - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9) >= least
 
 
 def seen_words(row: np.ndarray, word: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,21 +124,26 @@ def fit_chain(rows: int, row: np.ndarray, word: np.ndarray, labels: np.ndarray,
     """(links, out-of-fold probabilities) for the columns of ``labels`` in turn."""
     before = np.zeros((rows, 0))
     links = []
+    known, at_word = np.unique(word, return_inverse=True)
     for category in range(labels.shape[1]):
         y = labels[:, category].astype(np.float64)
 
         def fit(inside: np.ndarray, y=y, before=before) -> Link:
-            at = np.flatnonzero(inside)
-            place = np.cumsum(inside) - 1
-            used = inside[row]
-            its, words = place[row[used]], telling_words(place[row[used]], word[used], y[at])
-            return Link(words, *fit_logistic(len(at), *seen_words(its, word[used], words), len(words), before[at], y[at]))
+            at, used = np.flatnonzero(inside), inside[row]
+            its, words = (np.cumsum(inside) - 1)[row[used]], at_word[used]
+            told = telling(its, words, len(known), y[at])
+            kept = told[words]
+            place = (np.cumsum(told) - 1)[words[kept]]
+            return Link(known[told], *fit_logistic(len(at), its[kept], place, int(told.sum()), before[at], y[at]))
 
         own = np.zeros(rows)
         for fold in range(FOLDS):
             outside = folds == fold
             if outside.any() and (~outside).any():
-                own[outside] = fit(~outside).probability(rows, row, word, before)[outside]
+                used = outside[row]
+                own[outside] = fit(~outside).probability(
+                    int(outside.sum()), (np.cumsum(outside) - 1)[row[used]], word[used], before[outside]
+                )
         links.append(fit(np.ones(rows, dtype=bool)))
         before = np.concatenate([before, own[:, None]], axis=1)
     return links, before

@@ -20,7 +20,7 @@ from labelscope.llm.mixing import mix_sources, mixed_documents, source_targets
 from labelscope.llm.quality import features, features_table, fit_non_negative, score_quality, table_sums
 from labelscope.llm.sanitise import entity_name, personal_data, sanitise, sanitised_documents, sanitised_text
 from labelscope.llm.shared import held_out
-from labelscope.llm.toxicity import FOLDS, fit_chain, fit_logistic, score_toxicity, telling_words
+from labelscope.llm.toxicity import FOLDS, fit_chain, fit_logistic, score_toxicity, telling
 from tests.llm.test_against_brute_force import components
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -132,7 +132,7 @@ def test_newton_steps_by_conjugate_gradients_reach_the_minimum():
     weights, bias = fit_logistic(300, row, at, 40, np.zeros((300, 0)), y, rounds=30, turns=60)
     p = 1 / (1 + np.exp(-(x @ weights + bias)))
     assert np.abs(x.T @ (p - y) + weights).max() < 1e-2 and abs((p - y).sum()) < 1e-2
-    assert telling_words(np.array([0, 1, 2]), np.array([5, 5, 9]), np.array([1.0, 1.0, 0.0]), 0.1).tolist() == [5, 9]
+    assert telling(np.array([0, 1, 2, 0, 1, 2]), np.array([0, 0, 1, 2, 2, 2]), 4, np.array([1.0, 1.0, 0.0]), 0.1).tolist() == [True, True, False, False]
 
 
 def test_terms_that_disclose_an_entity_become_spans(spark):
