@@ -203,7 +203,10 @@ def _merged(passes: int):
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no window of the benchmark occurs."""
+    """The rows of ``docs``, with all their columns, in which no window of the benchmark occurs, by the rules of ``decontaminate``.
+
+    Null and empty texts stay, an empty benchmark removes nothing, repeated rows stay or go together, and texts of any length are read whole.
+    """
     small_batches(docs.sparkSession)
     blocks = window_blocks(benchmark, size, most_bytes)
     first, second = next(blocks), next(blocks, None)

@@ -22,6 +22,8 @@ from labelscope.llm.shared import written
 #: Tokens in a block; blocks of a file in a slice of the prefix scan, so no window holds more.
 BLOCK_TOKENS = 1 << 16
 SLICE_BLOCKS = 1 << 12
+#: Documents in a list.
+LISTED = 1 << 14
 
 
 def token_blocks(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -124,11 +126,12 @@ def encoded(encoder, pattern: regex.Pattern, text: str) -> list[int]:
     return [token for piece in pattern.finditer(text) for token in encoder._encode_single_piece(piece[0])]
 
 
-def packed_blocks(docs: DataFrame, vocabulary: bytes, pattern: str, separator: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Flat token files of ``docs`` (``doc_id``, ``text``) in blocks, with the ids that a file's documents have, in order.
+def packed(docs: DataFrame, vocabulary: bytes, pattern: str, separator: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Flat token files of ``docs`` (``doc_id``, ``text``) in blocks, and beside them lists of the documents of each file, in order.
 
     Each task writes one file: the tokens of its texts in a row, each followed by the separator, two bytes an id, cut
-    wherever a block is full. ``ids`` of a block are those of the documents that end in it. Null texts have no tokens.
+    wherever a block is full. A row ``file, at, tokens`` is block ``at``, which knows nothing of documents; a row ``file, at, ids`` lists
+    documents from number ``at`` on. Null texts have no tokens.
     """
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, pattern))
 
@@ -136,38 +139,38 @@ def packed_blocks(docs: DataFrame, vocabulary: bytes, pattern: str, separator: i
         from pyspark import TaskContext
 
         encoder, cut_by = byte_pair_encoding(*shared.value), regex.compile(shared.value[1])
-        file, block = f"part-{TaskContext.get().partitionId():08d}", 0
+        file = f"part-{TaskContext.get().partitionId():08d}"
+        block, listed, held = 0, 0, 0
         parts: list[np.ndarray] = []
-        held, ids = 0, []
+        ids: list[int | None] = []
 
-        def cut(data: np.ndarray, names: list[int | None]) -> pa.RecordBatch:
-            nonlocal block
-            block += 1
+        def row(at: int, tokens: bytes | None, names: list[int | None] | None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([file]), pa.array([block - 1], pa.int64()), pa.array([data.tobytes()], pa.binary()), pa.array([names], pa.list_(pa.int64()))],
-                ["file", "block", "tokens", "ids"],
+                [pa.array([file]), pa.array([at], pa.int64()), pa.array([tokens], pa.binary()), pa.array([names], pa.list_(pa.int64()))],
+                ["file", "at", "tokens", "ids"],
             )
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                tokens = encoded(encoder, cut_by, text.as_py() or "")
-                rest = np.array([*tokens, separator], dtype="<u2")
+                rest = np.array([*encoded(encoder, cut_by, text.as_py() or ""), separator], dtype="<u2")
+                ids.append(doc_id)
                 while held + len(rest) >= block_tokens:
-                    ends = held + len(rest) == block_tokens
                     parts.append(rest[: block_tokens - held])
                     rest = rest[block_tokens - held :]
-                    yield cut(np.concatenate(parts), [*ids, doc_id] if ends else ids)
-                    parts, held, ids = [], 0, []
-                    if ends:
-                        break
-                else:
+                    yield row(block, np.concatenate(parts).tobytes(), None)
+                    block, parts, held = block + 1, [], 0
+                if len(rest):
                     parts.append(rest)
                     held += len(rest)
-                    ids.append(doc_id)
+                if len(ids) >= LISTED:
+                    yield row(listed, None, ids)
+                    listed, ids = listed + len(ids), []
         if held:
-            yield cut(np.concatenate(parts), ids)
+            yield row(block, np.concatenate(parts).tobytes(), None)
+        if ids:
+            yield row(listed, None, ids)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "file string, block long, tokens binary, ids array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "file string, at long, tokens binary, ids array<long>")
 
 
 def token_counts(docs: DataFrame, vocabulary: bytes, pattern: str, separator: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -177,10 +180,9 @@ def token_counts(docs: DataFrame, vocabulary: bytes, pattern: str, separator: in
     may be null. Other columns are not read. A very long text is encoded whole by one task, at some tens of bytes of memory for each of its own;
     runs of millions of blanks, line ends or letters are encoded as the pattern cuts them.
     """
-    blocks = written(packed_blocks(docs, vocabulary, pattern, separator, block_tokens), "token-blocks")
-    counted = separator_scan(blocks.select("file", "block", "tokens"), separator)
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    named = blocks.select("file", "block", "ids").withColumn("first", F.coalesce(F.sum(F.size("ids")).over(before), F.lit(0)))
-    ids = named.select("file", "first", F.posexplode("ids").alias("i", "doc_id")).select(
-        "file", (F.col("first") + F.col("i")).alias("document"), "doc_id")
+    table = written(packed(docs, vocabulary, pattern, separator, block_tokens), "token-blocks")
+    blocks = table.filter("tokens IS NOT NULL").select("file", F.col("at").alias("block"), "tokens")
+    counted = separator_scan(blocks, separator)
+    ids = table.filter("ids IS NOT NULL").select("file", "at", F.posexplode("ids").alias("i", "doc_id")).select(
+        "file", (F.col("at") + F.col("i")).alias("document"), "doc_id")
     return ids.join(counted, ["file", "document"]).select("doc_id", "n_tokens")
