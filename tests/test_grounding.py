@@ -191,6 +191,32 @@ def test_places_take_time_in_proportion(monkeypatch):
     assert took[1] < 10 * took[0]
 
 
+@pytest.mark.parametrize("few, tried, often", [(0, -1, 64), (200, 1 << 24, 64), (200, 1 << 24, 2)])
+def test_places_one_by_one_and_by_names_are_the_same(monkeypatch, few, tried, often):
+    for name, value in (("FEW", few), ("TRIED", tried), ("OFTEN", often)):
+        monkeypatch.setattr(places_of, name, value)
+    rng = random.Random(often)
+    for _ in range(60):
+        text = "".join(rng.choices(["a", "b", "ab", "é", "中"], k=rng.randint(0, 300))).encode()
+        sentences = [text[i : i + rng.randint(0, 40)] for i in (rng.randint(0, len(text)) for _ in range(10))] + [b"a", b"ab", text, text + b"a", b""]
+        found = [(s, p) for which, at in places_of.places(text, sentences) for s, p in zip(which.tolist(), at.tolist())]
+        assert len(found) == len(set(found)) and set(found) == every_place(text, sentences)
+        assert places_of.present(text, sentences).tolist() == [s in text for s in sentences]
+
+
+def test_few_sentences_are_searched_for_without_naming_runs(monkeypatch):
+    """A page has a text and some hundred sentences, for which naming all runs of the text costs more than the search."""
+    monkeypatch.setattr(places_of, "Names", None)
+    text = b"one page of words " * 3 + b"end"
+    assert places_of.present(text, [b"page of", b"no such", b""]).tolist() == [True, False, True]
+    assert [(w.tolist(), p.tolist()) for w, p in places_of.places(text, [b"page", b"none", b"end"])] == [([0, 0, 0, 2], [4, 22, 40, 54])]
+
+
+def test_plain_sentences_are_not_taken_apart_for_markup(monkeypatch):
+    monkeypatch.setattr(grounding, "_without_cut_tags", None)
+    assert grounding._beside_markup(b"a sentence without a tag, 12 words") is None
+
+
 def folded(text, marks):
     for index, sentence in sorted(marks):
         text = text.replace(sentence, grounding._OPEN + b"[%d] " % index + sentence + grounding._CLOSE)
