@@ -284,16 +284,18 @@ def grounding_scorecard(
 _OPEN, _CLOSE = OPEN_TAG.encode(), CLOSE_TAG.encode()
 _WHOLE_TAGS = re.compile(re.escape(_OPEN) + rb"\[\d+\] |" + re.escape(_CLOSE))
 _AFTER_TAG = re.compile(rb"(?:\[?\d*\])? ")
+_END_OF_TAG = re.compile(rb"([^<>]*>)(\[\d+\] )?")
+_OPENED_LAST = re.compile(re.escape(_OPEN) + rb"\[?\d*\]?$")
 _IN_NUMBER = re.compile(rb"\[?\d*\]? ?")
 
 
 def _without_cut_tags(piece: bytes, first: bool, last: bool) -> bytes:
     """A piece between whole tags without the end of a tag it begins with, or the beginning of one it ends with."""
-    if first and (tag := re.match(rb"([^<>]*>)(\[\d+\] )?", piece)) and (_OPEN.endswith(tag[1]) or _CLOSE.endswith(tag[1])):
+    if first and (tag := _END_OF_TAG.match(piece)) and (_OPEN.endswith(tag[1]) or _CLOSE.endswith(tag[1])):
         piece = piece[tag.end() :]
     elif first and (tag := _AFTER_TAG.match(piece)):
         piece = piece[tag.end() :]
-    if last and (tag := re.search(re.escape(_OPEN) + rb"\[?\d*\]?$", piece)):
+    if last and (tag := _OPENED_LAST.search(piece)):
         piece = piece[: tag.start()]
     elif last and (tag := re.search(rb"<[^<>]*$", piece)) and (_OPEN.startswith(tag[0]) or _CLOSE.startswith(tag[0])):
         piece = piece[: tag.start()]
@@ -309,6 +311,8 @@ def _beside_markup(sentence: bytes) -> list[bytes] | None:
         return None
     if sentence in _OPEN or sentence in _CLOSE or _IN_NUMBER.fullmatch(sentence):
         return []
+    if b"<" not in sentence and b">" not in sentence and not _AFTER_TAG.match(sentence):
+        return None  # as most are
     pieces = _WHOLE_TAGS.split(sentence)
     bare = [_without_cut_tags(p, i == 0, i == len(pieces) - 1) for i, p in enumerate(pieces)]
     if len(pieces) == 1 and bare == pieces:
