@@ -5,9 +5,10 @@ level by level. One full pass then counts the proposed phrases and their negativ
 every phrase whose two parts without its last and without its first word are proposed (of single words:
 all). A border phrase that proves frequent was missed by the sample: it joins the proposed ones, and a further pass
 counts what that admits, until no such phrase is left. Then every phrase that was never counted has
-an infrequent part, so none is lost, whatever the sample.
+an infrequent part, so none is lost, whatever the sample. A frequent phrase that was not counted holds a missed one,
+so where few were missed, one pass counts all that hold one, of every length, and is the last.
 
-Passes count 64-bit names of phrases; proposed ones travel as a Bloom filter sized by their
+Passes count names of phrases, 60 bits of a hash and the number of words; proposed ones travel as a Bloom filter sized by their
 number. A false positive or two phrases of one name only add to what is counted. A last pass over the texts counts the found
 phrases again by their words, so the result is exact.
 """
@@ -15,7 +16,7 @@ phrases again by their words, so the result is exact.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import sqrt
 
 import numpy as np
@@ -30,10 +31,16 @@ LANG = "und"
 SAMPLE = 0.25
 #: The bound in the sample lies this many standard deviations below the expected count of a phrase that is just frequent.
 LOWERED = 2.3
+#: Missed phrases are few if the proposed ones are so many times as many.
+FEW = 16
 #: Bits of a filter for each key, and the most bits of one: a fuller filter admits more phrases to the count, never fewer.
 KEY_BITS, LEAST_BITS, MOST_BITS = 32, 1 << 23, 1 << 27
-#: Names, and phrases, that a task holds ahead of handing on their counts; bytes of text it looks at together.
-MOST_HELD, MOST_PHRASES, CHUNK = 2_000_000, 200_000, 1 << 20
+#: Names that a task holds ahead of adding them up; sums, and phrases, ahead of handing them on; bytes of text it looks at together.
+MOST_HELD, MOST_SUMS, MOST_PHRASES, CHUNK = 1_000_000, 3_000_000, 200_000, 1 << 19
+#: Words of more bytes are hashed by all bytes of their chunk.
+LONG = 256
+#: Where the number of words lies in the name of a phrase, and the most that it tells. Filters use lower bits only.
+_SIZE_AT, _MOST_SIZE = 60, 15
 
 #: Partitions of the documents that one task of the last pass reads at most.
 SPLITS = 16
@@ -44,29 +51,55 @@ _INSIDE[list(b" \t" + _ENDS)] = False
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(_ENDS)] = True
 
+_EIGHT = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Two hashes: what a word's eight bytes, and what its length, are multiplied with.
+_FACTORS = tuple((np.uint64(a), np.uint64(b)) for a, b in ((0x9E3779B97F4A7C15, 0xD1342543DE82EF95), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)))
+
 
 def lang_name(lang: str) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
 
+def word_hashes(words: Words, kind: int = 0) -> np.ndarray:
+    """A 64-bit hash for each word, of eight of its bytes at a time; the two kinds are independent."""
+    factor, of_length = _FACTORS[kind]
+    length = words.end - words.start
+    eights = np.concatenate([words.data, np.zeros(16 - len(words.data) % 8, dtype=np.uint8)]).view("<u8")
+    hashes = length.astype(np.uint64) * of_length
+    at, left, which = words.start, length, slice(None)
+    for _ in range(0, LONG, 8):
+        place, shift = at >> 3, (at.astype(np.uint64) & np.uint64(7)) << np.uint64(3)
+        value = eights[place] >> shift | eights[place + 1] << (np.uint64(63) - shift) << np.uint64(1)
+        hashes[which] = mix(hashes[which] ^ (value & _EIGHT[np.minimum(left, 8)]) * factor)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return hashes
+        at, left = at[more] + 8, left[more] - 8
+        which = more if isinstance(which, slice) else which[more]
+    hashes[which] = words.hashes(kind)[which]
+    return hashes
+
+
 class Chunk:
     """Words of a run of texts, and which neighbours lie in one piece."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> None:
         self.words: Words = words_of(data, offsets, _INSIDE)
         self.doc = self.words.doc()
-        broken = np.concatenate([[0], np.cumsum(_BREAK[data], dtype=np.int64)])
-        self.piece = broken[self.words.start] + self.doc
+        begins = np.zeros(len(self.words.start) + 1, dtype=bool)
+        begins[self.words.first] = True
+        begins[np.searchsorted(self.words.start, np.flatnonzero(_BREAK[data]))] = True
+        self.begins = begins[:-1]
         self.lang = langs[self.doc]
-        self.keys = mix(self.words.hashes() ^ self.lang)
+        self.keys = mix(word_hashes(self.words) ^ self.lang)
 
     def checks(self) -> np.ndarray:
         """A second, independent name of each word."""
-        return mix(self.words.hashes(1) ^ self.lang)
+        return mix(word_hashes(self.words, 1) ^ self.lang)
 
     def pairs(self) -> np.ndarray:
         """Whether a word and the next one lie in one piece."""
-        return self.piece[:-1] == self.piece[1:]
+        return ~self.begins[1:]
 
 
 def names_at(keys: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -101,6 +134,51 @@ def admitted(chunk: Chunk, proposed: np.ndarray | None, longest: int) -> Iterato
         yield size, at, names
 
 
+def missed_by(chunk: Chunk, proposed: np.ndarray, before: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, names) of the phrases that ``proposed`` admits and ``before``, a part of it, does not."""
+    n = len(chunk.keys)
+    joined = chunk.pairs()
+    at, names, old = np.arange(n), chunk.keys, np.ones(n, dtype=bool)
+    for size in range(2, longest + 1):
+        if not len(at):
+            return
+        known, was = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
+        known[at[in_bloom(proposed, names)]] = True
+        was[at[old][in_bloom(before, names[old])]] = True
+        follows, followed = known[:-1] & known[1:], was[:-1] & was[1:]
+        if size == 2:
+            follows[:-1] &= joined
+            followed[:-1] &= joined
+        at = np.flatnonzero(follows)
+        names, old = names_at(chunk.keys, at, size), followed[at]
+        yield size, names[~old]
+
+
+def around_missed(chunk: Chunk, proposed: np.ndarray, before: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, names) of the phrases around those of ``proposed`` that ``before`` lacks, but for those with an infrequent part.
+
+    A part is taken for frequent if it is proposed or is such a phrase itself.
+    """
+    n = len(chunk.keys)
+    joined = chunk.pairs()
+    at, names, around = np.arange(n), chunk.keys, np.zeros(n, dtype=bool)
+    for size in range(2, longest + 1):
+        found = in_bloom(proposed, names)
+        missed = around.copy()
+        missed[found] |= ~in_bloom(before, names[found])
+        known, holds = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
+        known[at[found | around]] = True
+        holds[at[missed]] = True
+        follows = known[:-1] & known[1:]
+        if size == 2:
+            follows[:-1] &= joined
+        at = np.flatnonzero(follows)
+        if not len(at):
+            return
+        names, around = names_at(chunk.keys, at, size), holds[at] | holds[at + 1]
+        yield size, names[around]
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, list[str], np.ndarray]]:
     """(chunk, languages, the language of each text as a place in that list)."""
     for batch in batches:
@@ -111,38 +189,58 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, list[str
             yield Chunk(data, offsets, named[codes[row:end]]), langs, codes[row:end]
 
 
-def _count(docs: DataFrame, proposed: np.ndarray | None, before: np.ndarray | None, sizes: range, longest: int) -> DataFrame:
-    """``name, size, n``: exact counts of the names that ``proposed`` admits and ``before`` did not, of these sizes."""
+def _counts(docs: DataFrame, names_of: Callable[[Chunk], Iterator[tuple[int, np.ndarray]]]) -> DataFrame:
+    """``name, n``: exact counts of the names that ``names_of`` gives of each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {size: [] for size in sizes}
+        held: list[np.ndarray] = []
+        sums: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def add_up() -> None:
+            if held:
+                sums.append(np.unique(np.concatenate(held), return_counts=True))
+                held.clear()
 
         def counted() -> Iterator[pa.RecordBatch]:
-            for size, parts in held.items():
-                if parts:
-                    names, n = np.unique(np.concatenate(parts), return_counts=True)
-                    parts.clear()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(names.view(np.int64)), pa.array(np.full(len(n), size, dtype=np.int32)), pa.array(n)], ["name", "size", "n"]
-                    )
+            if sums:
+                names, n = (np.concatenate(x) for x in zip(*sums, strict=True))
+                several = len(sums) > 1
+                sums.clear()
+                if several:
+                    order = np.argsort(names, kind="stable")  # merges sorted runs
+                    names, n = names[order], n[order]
+                    first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+                    names, n = names[first], np.add.reduceat(n, first)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["name", "n"])
 
         total = 0
         for chunk, _, _ in _chunks(batches):
-            old = {} if before is None else {size: at for size, at, _ in admitted(chunk, before, longest)}
-            for size, at, names in admitted(chunk, proposed, longest):
-                if size not in held:
-                    continue
-                if before is not None:
-                    names = names[~np.isin(at, old.get(size, at[:0]), assume_unique=True)]
-                held[size].append(names)
+            for size, names in names_of(chunk):
+                held.append(names & np.uint64((1 << _SIZE_AT) - 1) | np.uint64(min(size, _MOST_SIZE) << _SIZE_AT))
                 total += len(names)
             if total >= MOST_HELD:
-                yield from counted()
+                add_up()
                 total = 0
+                if sum(len(names) for names, _ in sums) >= MOST_SUMS:
+                    yield from counted()
+        add_up()
         yield from counted()
 
-    counts = docs.select("text", "lang").mapInArrow(run, "name long, size int, n long")
-    return counts.groupBy("name", "size").agg(F.sum("n").alias("n"))
+    # each task has added up its own, so a sum ahead of the shuffle would find next to nothing
+    counts = docs.select("text", "lang").mapInArrow(run, "name long, n long").repartition("name")
+    return counts.groupBy("name").agg(F.sum("n").alias("n"))
+
+
+def _count(docs: DataFrame, proposed: np.ndarray | None, before: np.ndarray | None, sizes: range, longest: int) -> DataFrame:
+    """``name, n``: exact counts of the names that ``proposed`` admits and ``before`` did not, of these sizes."""
+
+    def names_of(chunk: Chunk) -> Iterator[tuple[int, np.ndarray]]:
+        if before is not None:
+            yield from (x for x in missed_by(chunk, proposed, before, longest) if x[0] in sizes)
+        else:
+            yield from ((size, names) for size, _, names in admitted(chunk, proposed, longest) if size in sizes)
+
+    return _counts(docs, names_of)
 
 
 def _bits(count: int) -> int:
@@ -166,14 +264,15 @@ def _proposals(docs: DataFrame, least: int, longest: int, sample: float, scratch
 
 
 def frequent_names(docs: DataFrame, least: int, longest: int, sample: float, scratch: Scratch) -> DataFrame:
-    """``name, size, n`` of every phrase of up to ``longest`` words that occurs ``least`` times in its language."""
+    """``name`` of every phrase of up to ``longest`` words that occurs ``least`` times in its language."""
     proposed = _proposals(docs, least, longest, sample, scratch)
-    bits = _bits(proposed.count())
+    most = proposed.count()
+    bits = _bits(most)
     before, words = None, bloom(proposed, "name", bits)
     passes = []
     while True:
         counted = _count(docs, words, before, range(1 if before is None else 2, longest + 1), longest)
-        found = scratch.write(counted.filter(F.col("n") >= least), "frequent")
+        found = scratch.write(counted.filter(F.col("n") >= least).select("name"), "frequent")
         passes.append(found)
         now = words
 
@@ -182,14 +281,20 @@ def frequent_names(docs: DataFrame, least: int, longest: int, sample: float, scr
                 missed = ~in_bloom(now, batch.column("name").to_numpy().view(np.uint64))
                 yield batch.filter(pa.array(missed))
 
-        failures = scratch.write(found.filter(F.col("size") < longest).select("name").mapInArrow(new, "name long"), "failures")
-        if failures.isEmpty():
+        shorter = found.filter(F.shiftrightunsigned("name", _SIZE_AT) < longest)
+        failures = scratch.write(shorter.mapInArrow(new, "name long"), "failures")
+        missed = failures.count()
+        if not missed:
             break
         before, words = words, words | bloom(failures, "name", bits)
+        if missed * FEW <= most:
+            counted = _counts(docs, lambda chunk, known=words, old=before: around_missed(chunk, known, old, longest))
+            passes.append(scratch.write(counted.filter(F.col("n") >= least).select("name"), "frequent"))
+            break
     frequent = passes[0]
     for found in passes[1:]:
         frequent = frequent.unionByName(found)
-    return frequent
+    return frequent.distinct()
 
 
 def _in_large_tasks(docs: DataFrame) -> DataFrame:
@@ -203,15 +308,18 @@ def _recount(docs: DataFrame, names: DataFrame, longest: int) -> DataFrame:
     words = bloom(names, "name", _bits(names.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
         totals: dict[str, int] = {}
-
-        def counted() -> Iterator[pa.RecordBatch]:
-            rows = [*held.values(), *([lang, 0, b"", n] for lang, n in totals.items())]
-            held.clear()
+        rows: list[tuple[str, int, bytes]] = []
+        none = np.zeros(0, dtype=np.uint64)
+        # of the rows held: their two names, sorted by the first, the place of each among the rows, and the counts by that place
+        one, two, row, held = none, none, none.astype(np.int64), none.astype(np.int64)
+
+        def counted(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            given = [*((*x, n) for x, n in zip(rows, counts.tolist(), strict=True)), *((lang, 0, b"", n) for lang, n in totals.items())]
+            rows.clear()
             totals.clear()
-            for first in range(0, len(rows), 10_000):
-                lang, size, phrase, n = zip(*rows[first : first + 10_000], strict=True)
+            for first in range(0, len(given), 10_000):
+                lang, size, phrase, n = zip(*given[first : first + 10_000], strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array([p.decode() for p in phrase], pa.string()), pa.array(n, pa.int64())],
                     ["lang", "size", "phrase", "n"],
@@ -223,21 +331,31 @@ def _recount(docs: DataFrame, names: DataFrame, longest: int) -> DataFrame:
                     totals[langs[code]] = totals.get(langs[code], 0) + int(n)
             data, checks = chunk.words.data.tobytes(), chunk.checks()
             start, end, doc = chunk.words.start, chunk.words.end, chunk.doc
+            phrases = []
             for size, at, found in admitted(chunk, words, longest):
                 known = in_bloom(words, found)
                 at, found = at[known], found[known]
-                second = names_at(checks, at, size)
-                first, n = distinct_keys(found, second)
-                for place, a, b, count in zip(at[first].tolist(), found[first].tolist(), second[first].tolist(), n.tolist(), strict=True):
-                    row = held.get((a, b))
-                    if row is None:
-                        phrase = b" ".join(data[start[i] : end[i]] for i in range(place, place + size))
-                        held[(a, b)] = [langs[codes[doc[place]]], size, phrase, count]
-                    else:
-                        row[3] += count
-            if len(held) >= MOST_PHRASES:
-                yield from counted()
-        yield from counted()
+                phrases.append((np.full(len(at), size), at, found, names_at(checks, at, size)))
+            sizes, at, found, second = map(np.concatenate, zip(*phrases, strict=True))
+            first, n = distinct_keys(found, second)
+            sizes, at, found, second = sizes[first], at[first], found[first], second[first]
+            place = np.searchsorted(one, found)
+            there = place < len(one)
+            there[there] = (one[place[there]] == found[there]) & (two[place[there]] == second[there])
+            held[row[place[there]]] += n[there]
+            if not there.all():
+                fresh = ~there
+                added = np.arange(len(rows), len(rows) + np.count_nonzero(fresh))
+                for size, i in zip(sizes[fresh].tolist(), at[fresh].tolist(), strict=True):
+                    rows.append((langs[codes[doc[i]]], size, b" ".join([data[start[k] : end[k]] for k in range(i, i + size)])))
+                held = np.concatenate([held, n[fresh]])
+                one, two, row = np.concatenate([one, found[fresh]]), np.concatenate([two, second[fresh]]), np.concatenate([row, added])
+                order = np.argsort(one, kind="stable")
+                one, two, row = one[order], two[order], row[order]
+            if len(rows) >= MOST_PHRASES:
+                yield from counted(held)
+                one, two, row, held = none, none, none.astype(np.int64), none.astype(np.int64)
+        yield from counted(held)
 
     counts = _in_large_tasks(docs.select("text", "lang")).mapInArrow(run, "lang string, size int, phrase string, n long")
     return counts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))

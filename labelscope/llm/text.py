@@ -129,7 +129,7 @@ def distinct_keys(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.
     """The place of one member, and the number, of each group of equal (key, check)."""
     if not len(keys):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     new = np.r_[True, keys[order[1:]] != keys[order[:-1]]]
     differ = np.r_[False, checks[order[1:]] != checks[order[:-1]]]
     if (differ & ~new).any():  # two contents of one key

@@ -108,6 +108,51 @@ def test_full_filters_lose_no_phrase(prose, monkeypatch):
     assert sorted(tuple(r) for r in collocations(docs, least=20).collect()) == collocations_by_hand(rows, 20)
 
 
+def test_few_missed_phrases_take_one_further_pass(spark, monkeypatch):
+    tables = []
+    write = phrases.Scratch.write
+    monkeypatch.setattr(phrases.Scratch, "write", lambda self, frame, name: (tables.append(name), write(self, frame, name))[1])
+    common = " ".join(f"a{i}" for i in range(60))
+    # words of one text alone, in runs of their own and between common ones
+    rare = "r0 r1 r2 r3 r4 r5 r6. a1 a2 r7 a3 a4, r8 a59 r8 r8 r8 r8 r8 r8\n" * 30
+    rows = [(i, common, "en") for i in range(200)] + [(1000, rare, "en"), (1001, None, None), (None, "", "de")]
+    frequent, totals = frequent_phrases(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), least=20)
+    assert tables.count("frequent") == 2
+    counts, sums = counts_by_hand(rows)
+    assert sorted((r.lang, tuple(r.phrase.split(" ")), r.n) for r in frequent.collect()) == sorted(
+        (lang, p, a) for lang, c in counts.items() for p, a in c.items() if a >= 20
+    )
+    assert {r.lang: r.total for r in totals.collect()} == {lang: n for lang, n in sums.items() if n}
+
+
+def test_sums_of_tasks_are_merged(prose, monkeypatch):
+    rows, docs = prose
+    monkeypatch.setattr(phrases, "CHUNK", 300)
+    monkeypatch.setattr(phrases, "MOST_HELD", 100)
+    monkeypatch.setattr(phrases, "MOST_SUMS", 500)
+    counted = phrases._counts(docs.coalesce(1).withColumn("lang", F.coalesce("lang", F.lit("und"))), lambda chunk: ((size, names) for size, _, names in phrases.admitted(chunk, None, 1)))
+    counts, _ = counts_by_hand(rows, longest=1)
+    assert sorted(r.n for r in counted.collect()) == sorted(n for c in counts.values() for n in c.values())
+
+
+@pytest.mark.parametrize("kind", [0, 1])
+def test_hashes_of_words_tell_words_apart(kind):
+    rng = random.Random(7)
+    words = ["a", "a\0", "a\0\0", "\0", "é", "中文", "b" * 8, "b" * 9]
+    for size in [*range(1, 40), 64, 65, 255, 256, 257, 300, 1000]:
+        word = "".join(rng.choice("abc") for _ in range(size))
+        words += [word, word[:-1] + "x", "x" + word[1:], word + "\0"]
+    places = [(word, before) for word in dict.fromkeys(words) for before in range(0, 20, 3)]
+    rng.shuffle(places)
+    seen = defaultdict(set)
+    for data in (" ".join("." * before + word for word, before in places).encode(), *(word.encode() for word in words)):
+        found = phrases.words_of(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]), phrases._INSIDE)
+        for start, end, name in zip(found.start, found.end, phrases.word_hashes(found, kind).tolist(), strict=True):
+            seen[bytes(found.data[start:end])].add(name)
+    assert set(seen) == {word.encode() for word in words}
+    assert all(len(names) == 1 for names in seen.values()) and len(set.union(*seen.values())) == len(seen)
+
+
 def test_scores_beyond_64_bits(spark, monkeypatch, tmp_path):
     big = 3_000_000_000_000
     frequent = spark.createDataFrame(
